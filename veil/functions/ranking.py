@@ -28,14 +28,20 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def hash_key(seed: int, *cols) -> Column:
-    """Reproducible pseudo-random order key (not numpy's stream)."""
-    return F.xxhash64(F.lit(int(seed)), *[F.col(c) if isinstance(c, str) else c for c in cols])
+    """Reproducible pseudo-random order key: ``md5('<seed>:<k1>:<k2>…')``.
+
+    md5 is spelled the same in every SQL engine, so shuffles and draws made
+    with it can be checked by an independent oracle (not numpy's stream).
+    """
+    parts = [F.lit(str(int(seed)))] + [(F.col(c) if isinstance(c, str) else c).cast("string")
+                                       for c in cols]
+    return F.md5(F.concat_ws(":", *parts))
 
 
 def hash_uniform(seed: int, *cols) -> Column:
-    """Uniform in [0, 1) from a seeded hash of the key columns."""
+    """Uniform in [0, 1) from the first 52 bits of ``hash_key``."""
     h = hash_key(seed, *cols)
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, out: str = "pos",

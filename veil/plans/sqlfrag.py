@@ -72,3 +72,22 @@ def py_strip(expr: str) -> str:
 
 def r6(x: float) -> str:
     return f"round({x}, 6)"
+
+
+def hash_key(seed: int, *exprs: str) -> str:
+    parts = " || ':' || ".join([q(str(int(seed)))] + [f"CAST({e} AS VARCHAR)" for e in exprs])
+    return f"md5({parts})"
+
+
+def hash_uniform(seed: int, *exprs: str) -> str:
+    return f"(CAST(('0x' || substr({hash_key(seed, *exprs)}, 1, 13)) AS BIGINT) / {float(1 << 52)})"
+
+
+def role_token(expr: str = "role") -> str:
+    return (f"(CASE {expr} WHEN 'customer' THEN 'USR:' WHEN 'agent' THEN 'SYS:' "
+            f"WHEN 'bot' THEN 'BOT:' ELSE error('Author ' || {expr} || ' not supported') END)")
+
+
+def format_turn(use_domain_tokens: bool = True) -> str:
+    body = f"{role_token('role')} || ' ' || {py_strip('utterance')}"
+    return f"('<' || domain || '> ' || {body})" if use_domain_tokens else f"({body})"
