@@ -169,22 +169,22 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
     """
     feats = train.select(F.col(label_col).alias("label"),
                          F.explode(feature_ngrams(text_col, lo, hi)).alias("gram"))
-    counts = feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("gram_n"))
     vocab = counts.select("gram").distinct()
-    v = vocab.agg(F.count(F.lit(1)).alias("V"))
-    tot = counts.groupBy("label").agg(F.sum("n").alias("N"))
+    v = vocab.agg(F.count(F.lit(1)).alias("vocab_n"))
+    tot = counts.groupBy("label").agg(F.sum("gram_n").alias("label_n"))
     ndocs = train.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("c"))
     classes = (ndocs.join(tot, "label", "left").join(F.broadcast(v), how="inner")
                .select("label",
                        (F.log("c") - F.log(F.sum("c").over(Window.partitionBy()))).alias("logprior"),
-                       (F.log(F.lit(alpha)) - F.log(F.coalesce("N", F.lit(0)) + F.lit(alpha) * F.col("V"))
-                        ).alias("unseen"), "V"))
-    logp = (counts.join(F.broadcast(classes.select("label", "V")), "label")
+                       (F.log(F.lit(alpha)) - F.log(F.coalesce("label_n", F.lit(0)) + F.lit(alpha) * F.col("vocab_n"))
+                        ).alias("unseen"), "vocab_n"))
+    logp = (counts.join(F.broadcast(classes.select("label", "vocab_n")), "label")
             .join(tot, "label")
             .select("gram", "label",
-                    (F.log(F.col("n") + F.lit(alpha)) - F.log(F.col("N") + F.lit(alpha) * F.col("V"))
+                    (F.log(F.col("gram_n") + F.lit(alpha)) - F.log(F.col("label_n") + F.lit(alpha) * F.col("vocab_n"))
                      ).alias("logp")))
-    return {"logp": logp, "classes": classes.drop("V"), "vocab": vocab, "lo": lo, "hi": hi}
+    return {"logp": logp, "classes": classes.drop("vocab_n"), "vocab": vocab, "lo": lo, "hi": hi}
 
 
 def nb_score(items: DataFrame, model: dict, text_col: str = "gram") -> DataFrame:
@@ -220,7 +220,9 @@ def class_keywords(vocab_scores: DataFrame, threshold: float, label: str | None
     """Vocabulary terms whose class probability passes (strict), descending."""
     s = vocab_scores if label is None else vocab_scores.where(F.col("label") == label)
     s = s.where(F.col("prob") > threshold)
-    w = Window.partitionBy("label").orderBy(F.desc("prob"), F.asc("gram"))
+    # probabilities are compared at 1e-9 so that summation-order noise does
+    # not reorder ties; equal ones are ordered by the term
+    w = Window.partitionBy("label").orderBy(F.desc(F.round("prob", 9)), F.asc("gram"))
     return s.withColumn("rank", F.row_number().over(w))
 
 
@@ -323,28 +325,32 @@ def redact_unigrams(text, keywords: Sequence[str] | Column) -> Column:
 
 # R15 ------------------------------------------------------------------------------
 def redact_dataset(df: DataFrame, method: str, *, keywords=None, domain: str | None = None,
-                   scores: DataFrame | None = None, model: dict | None = None,
-                   token_probs: DataFrame | None = None,
+                   domain_col: str | None = None, scores: DataFrame | None = None,
+                   model: dict | None = None, token_probs: DataFrame | None = None,
                    threshold: float | None = None, key_cols: Sequence[str] = ("id",),
                    text_col: str = "utterance", lo: int = 1, hi: int = 3) -> DataFrame:
-    """Null fill, domain tag, redact ``utterance``, other columns untouched, domain dropped.
+    """Null fill, domain tag, redact the text column, other columns untouched,
+    domain dropped before writing.
 
-    ``method`` ∈ {key, nb, scores, merged} (exact match, Q12).
+    ``method`` ∈ {key, nb, scores, merged} (exact match, Q12).  ``domain`` is a
+    constant tag (a file's stem, upper-cased, Q4); ``domain_col`` an existing
+    per-row column.  A dict of keywords redacts per domain, a list with all.
     """
     if method not in DEFAULT_THRESHOLDS:
         raise ValueError(f"unknown method {method!r}")
     thr = DEFAULT_THRESHOLDS[method] if threshold is None else threshold
     d = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    added = False
-    if domain is not None and "domain" not in d.columns:
-        d = d.withColumn("domain", F.lit(domain.upper()))
-        added = True
+    dcol = domain_col
+    if domain is not None:
+        d = d.withColumn("__domain", F.lit(domain.upper()))
+        dcol = "__domain"
     if method == "key":
-        out = redact_keywords(d, keywords, text_col, key_cols=key_cols, lo=lo, hi=hi)
+        out = redact_keywords(d, keywords, text_col,
+                              domain_col=dcol if isinstance(keywords, Mapping) else None, lo=lo, hi=hi)
     elif method == "nb":
         out = redact_by_classifier(d, model, thr, text_col, key_cols=key_cols)
     elif method == "scores":
         out = redact_by_scores(d, scores, thr, text_col, key_cols=key_cols, lo=lo, hi=hi)
     else:
         out = redact_merged(d, token_probs, scores, thr, text_col, key_cols=key_cols)
-    return out.drop("domain") if added or "domain" in out.columns else out
+    return out.drop(*[c for c in (dcol,) if c])

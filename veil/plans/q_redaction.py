@@ -46,3 +46,188 @@ def r1_word_ngrams(spark, sf_dir):
     return T.with_ngrams(d, "text", 1, 3, out="g").select(
             "doc_id", F.size("g").alias("n_grams"), F.try_element_at("g", F.lit(1)).alias("first_gram"),
             F.try_element_at("g", F.size("g")).alias("last_gram"))
+
+
+# ---------------------------------------------------------------------------
+# Documents: the language is the domain (FIXTURES); per-language dictionary.
+LANG_KEYWORDS = {
+    "en": ["the", "of", "and", "of the"],
+    "fr": ["la", "le", "des"],
+    "de": ["der", "die"],
+    "es": ["que", "la"],
+}
+LANG_FLAT = sorted({w for ws in LANG_KEYWORDS.values() for w in ws})
+SQL_FLAT = S.sql_list(LANG_FLAT)
+
+
+def _docs(spark, sf_dir):
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
+@register("r2_is_keyword", f"""
+SELECT doc_id, CAST(len(list_filter({S.ngrams(S.tokens('text'))}, lambda g: list_contains({SQL_FLAT}, {S.normalise('g')}))) AS INTEGER) AS n_private
+FROM documents
+""")
+def r2_is_keyword(spark, sf_dir):
+    d = T.with_ngrams(_docs(spark, sf_dir), "text")
+    return d.select("doc_id", F.size(F.filter("__grams", lambda g: R.is_keyword(g, LANG_FLAT))).alias("n_private"))
+
+
+SQL_R3 = f"SELECT doc_id, {S.redact_with_list('text', SQL_FLAT)} AS redacted FROM documents"
+
+
+@register("r3_redact_keywords", SQL_R3)
+def r3_redact_keywords(spark, sf_dir):
+    return R.redact_keywords(_docs(spark, sf_dir), LANG_FLAT, "text", "redacted").select("doc_id", "redacted")
+
+
+@register("r3_redact_keywords_exploded", SQL_R3)
+def r3_redact_keywords_exploded(spark, sf_dir):
+    """Same fold through explode + join + ordered collect (large-dictionary form)."""
+    kw = spark.createDataFrame([(w,) for w in LANG_FLAT], "phrase string")
+    return R.redact_keywords(_docs(spark, sf_dir), kw, "text", "redacted",
+                             key_cols=["doc_id"]).select("doc_id", "redacted")
+
+
+SQL_R4 = f"""SELECT doc_id, lang, {S.redact_with_list('text', S.keyword_case('lang', LANG_KEYWORDS))} AS redacted
+FROM documents"""
+
+
+@register("r4_redact_keywords_by_domain", SQL_R4)
+def r4_redact_keywords_by_domain(spark, sf_dir):
+    return R.redact_keywords(_docs(spark, sf_dir), LANG_KEYWORDS, "text", "redacted",
+                             domain_col="lang").select("doc_id", "lang", "redacted")
+
+
+@register("r5_is_redacted", f"""
+SELECT lang, count(*) AS docs, count(*) FILTER (WHERE contains(redacted, '<REDACTED>')) AS redacted_docs
+FROM ({SQL_R4}) GROUP BY lang
+""")
+def r5_is_redacted(spark, sf_dir):
+    r = r4_redact_keywords_by_domain(spark, sf_dir)
+    return r.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"),
+                                 F.count_if(R.is_redacted("redacted")).alias("redacted_docs"))
+
+
+@register("r6_is_redacted_any", f"""
+SELECT doc_id,
+       contains({S.redact_with_list('text', S.sql_list(LANG_KEYWORDS['de']))}, '<REDACTED>')
+       OR contains({S.redact_with_list('text', S.sql_list(LANG_KEYWORDS['es']))}, '<REDACTED>') AS success
+FROM documents
+""")
+def r6_is_redacted_any(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    for dom in ("de", "es"):
+        d = R.redact_keywords(d.withColumn("__d", F.lit(dom)), {dom: LANG_KEYWORDS[dom]}, "text",
+                              f"__r_{dom}", domain_col="__d")
+    return d.select("doc_id", (R.is_redacted("__r_de") | R.is_redacted("__r_es")).alias("success"))
+
+
+@register("r14_redact_unigrams", f"""
+SELECT doc_id, array_to_string(list_transform({S.tokens('text')},
+       lambda w: CASE WHEN list_contains({SQL_FLAT}, {S.normalise('w')}) THEN '<REDACTED>' ELSE w END), ' ') AS redacted
+FROM documents
+""")
+def r14_redact_unigrams(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", R.redact_unigrams("text", LANG_FLAT).alias("redacted"))
+
+
+@register("r15_redact_dataset_key", f"""
+SELECT conv_id, turn, role,
+       {S.redact_with_list("coalesce(text, '')", S.keyword_case("['AIRLINE','MEDIA','INSURANCE'][CAST(conv_id % 3 + 1 AS INTEGER)]", TEST_KEYWORDS))} AS text
+FROM conversations
+""")
+def r15_redact_dataset_key(spark, sf_dir):
+    """Whole-table redaction job: null fill, domain tag, redact, drop the domain."""
+    c = spread(read(spark, sf_dir, "conversations"))
+    dom = F.element_at(F.array(*[F.lit(x) for x in ("AIRLINE", "MEDIA", "INSURANCE")]),
+                       (F.col("conv_id") % 3 + 1).cast("int"))
+    c = c.withColumn("domain", dom)
+    out = R.redact_dataset(c, "key", keywords=TEST_KEYWORDS, text_col="text", key_cols=["conv_id", "turn"],
+                           domain_col="domain")
+    return out.select("conv_id", "turn", "role", "text")
+
+
+# ---------------------------------------------------------------------------
+# Count-based naive Bayes trained on documents (label = language), vectoriser
+# of word 1..2-grams; candidates of the classifier redactions are 1..2-grams.
+NB_LO, NB_HI = 1, 2
+SQL_NB = S.nb_model_ctes("SELECT lang AS label, text FROM documents", NB_LO, NB_HI)
+
+
+def _nb(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text")
+    return R.fit_naive_bayes(d, "text", "label", NB_LO, NB_HI)
+
+
+def _bench(spark, sf_dir):
+    return spread(read(spark, sf_dir, "benchmark"))
+
+
+def _bench_grams(spark, sf_dir):
+    g = R.explode_ngrams(_bench(spark, sf_dir), "text", ["item_id"], NB_LO, NB_HI)
+    return g
+
+
+SQL_BENCH_GRAMS = f"SELECT unnest({S.ngrams(S.tokens('text'), NB_LO, NB_HI)}) AS t FROM benchmark"
+
+
+@register("r7_nb_score", f"""
+WITH {SQL_NB}, {S.nb_score_ctes(SQL_BENCH_GRAMS, NB_LO, NB_HI)}
+SELECT t AS gram, label, round(prob, 6) AS prob FROM nb_scored
+""")
+def r7_nb_score(spark, sf_dir):
+    m = _nb(spark, sf_dir)
+    s = R.nb_score(_bench_grams(spark, sf_dir), m, "__gram")
+    return s.select(F.col("__gram").alias("gram"), "label", F.round("prob", 6).alias("prob"))
+
+
+@register("r10_class_keywords", f"""
+WITH {SQL_NB}, {S.nb_score_ctes('SELECT gram AS t FROM nb_vocab', NB_LO, NB_HI)}
+SELECT label, t AS gram, round(prob, 6) AS prob,
+       row_number() OVER (PARTITION BY label ORDER BY round(prob, 9) DESC, t) AS rank
+FROM nb_scored WHERE prob > 0.9 AND label = 'de'
+""")
+def r10_class_keywords(spark, sf_dir):
+    m = _nb(spark, sf_dir)
+    s = R.nb_score(m["vocab"], m, "gram")
+    k = R.class_keywords(s, 0.9, "de")
+    return k.select("label", "gram", F.round("prob", 6).alias("prob"), F.col("rank").cast("long").alias("rank"))
+
+
+def _sql_fold_nb(hot_where: str, base_sql: str, key: str, dom_expr: str | None = None,
+                 grams: str | None = None) -> str:
+    grams = grams or S.ngrams(S.tokens("text"), NB_LO, NB_HI)
+    items = f"SELECT unnest({grams}) AS t FROM ({base_sql})"
+    return f"""
+WITH {SQL_NB}, {S.nb_score_ctes(items, NB_LO, NB_HI)},
+{S.fold_by_table(base_sql, key, 'b.text', grams, f'SELECT t, label FROM nb_scored WHERE {hot_where}', dom_expr)}
+"""
+
+
+@register("r8_redact_by_classifier", _sql_fold_nb("prob > 0.9", "SELECT item_id, text FROM benchmark", "item_id")
+          + "SELECT item_id, redacted FROM folded")
+def r8_redact_by_classifier(spark, sf_dir):
+    out = R.redact_by_classifier(_bench(spark, sf_dir), _nb(spark, sf_dir), 0.9, "text", "redacted",
+                                 key_cols=["item_id"])
+    return out.select("item_id", "redacted")
+
+
+@register("r9_redact_by_classifier_domain",
+          _sql_fold_nb("prob > 0.9", "SELECT doc_id, lang, text FROM documents", "doc_id", "lang")
+          + "SELECT doc_id, lang, redacted FROM folded")
+def r9_redact_by_classifier_domain(spark, sf_dir):
+    out = R.redact_by_classifier(_docs(spark, sf_dir), _nb(spark, sf_dir), 0.9, "text", "redacted",
+                                 key_cols=["doc_id"], domain_col="lang")
+    return out.select("doc_id", "lang", "redacted")
+
+
+@register("r11_redact_by_scores", _sql_fold_nb("prob >= 0.95", "SELECT item_id, text FROM benchmark", "item_id")
+          + "SELECT item_id, redacted FROM folded")
+def r11_redact_by_scores(spark, sf_dir):
+    """External-classifier form: a score table ``(gram, label, prob)``, inclusive ``>=``."""
+    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram") \
+        .withColumnRenamed("__gram", "gram")
+    out = R.redact_by_scores(_bench(spark, sf_dir), scores, 0.95, "text", "redacted",
+                             key_cols=["item_id"], lo=NB_LO, hi=NB_HI)
+    return out.select("item_id", "redacted")

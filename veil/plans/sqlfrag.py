@@ -91,3 +91,65 @@ def role_token(expr: str = "role") -> str:
 def format_turn(use_domain_tokens: bool = True) -> str:
     body = f"{role_token('role')} || ' ' || {py_strip('utterance')}"
     return f"('<' || domain || '> ' || {body})" if use_domain_tokens else f"({body})"
+
+
+def feature_ngrams(expr: str, lo: int, hi: int) -> str:
+    toks = tokens(f"lower({expr})")
+    return "flatten([" + ", ".join(exact_ngrams(toks, n) for n in range(lo, hi + 1)) + "])"
+
+
+def nb_model_ctes(train_sql: str, lo: int, hi: int, alpha: float = 1.0) -> str:
+    """CTEs nb_vocab, nb_classes(label, logprior, unseen), nb_logp(gram, label, logp).
+
+    ``train_sql`` yields (label, text).
+    """
+    return f"""
+nb_train AS ({train_sql}),
+nb_counts AS (SELECT label, gram, count(*) AS gram_n
+              FROM (SELECT label, unnest({feature_ngrams('text', lo, hi)}) AS gram FROM nb_train)
+              GROUP BY label, gram),
+nb_vocab AS (SELECT DISTINCT gram FROM nb_counts),
+nb_v AS (SELECT count(*) AS V FROM nb_vocab),
+nb_tot AS (SELECT label, sum(gram_n) AS label_n FROM nb_counts GROUP BY label),
+nb_nd AS (SELECT label, count(*) AS c FROM nb_train GROUP BY label),
+nb_classes AS (SELECT nb_nd.label, ln(c) - ln(sum(c) OVER ()) AS logprior,
+                      ln({alpha}) - ln(coalesce(label_n, 0) + {alpha} * V) AS unseen
+               FROM nb_nd LEFT JOIN nb_tot USING (label) CROSS JOIN nb_v),
+nb_logp AS (SELECT gram, label, ln(gram_n + {alpha}) - ln(label_n + {alpha} * V) AS logp
+            FROM nb_counts JOIN nb_tot USING (label) CROSS JOIN nb_v)"""
+
+
+def nb_score_ctes(items_sql: str, lo: int, hi: int, name: str = "nb_scored") -> str:
+    """CTE ``name(t, label, prob)`` for the distinct texts ``t`` of ``items_sql``."""
+    return f"""
+{name}_items AS (SELECT DISTINCT t FROM ({items_sql})),
+{name}_f AS (SELECT t, gram, count(*) AS cnt
+             FROM (SELECT t, unnest({feature_ngrams('t', lo, hi)}) AS gram FROM {name}_items)
+             GROUP BY t, gram),
+{name}_inv AS (SELECT * FROM {name}_f WHERE gram IN (SELECT gram FROM nb_vocab)),
+{name}_tv AS (SELECT t, sum(cnt) AS tv FROM {name}_inv GROUP BY t),
+{name}_seen AS (SELECT t, label, sum(cnt * (logp - unseen)) AS seen
+                FROM {name}_inv JOIN nb_logp USING (gram) JOIN nb_classes USING (label) GROUP BY t, label),
+{name}_jll AS (SELECT i.t, c.label, c.logprior + c.unseen * coalesce(tv.tv, 0) + coalesce(s.seen, 0) AS jll
+               FROM {name}_items i CROSS JOIN nb_classes c LEFT JOIN {name}_tv tv ON tv.t = i.t
+               LEFT JOIN {name}_seen s ON s.t = i.t AND s.label = c.label),
+{name}_m AS (SELECT *, max(jll) OVER (PARTITION BY t) AS m FROM {name}_jll),
+{name} AS (SELECT t, label, exp(jll - (m + ln(sum(exp(jll - m)) OVER (PARTITION BY t)))) AS prob
+           FROM {name}_m)"""
+
+
+def fold_by_table(base_sql: str, key: str, text: str, grams_expr: str, hot_sql: str,
+                  dom_expr: str | None = None) -> str:
+    """Redaction fold where the decision is membership in ``hot_sql`` (t[, label])."""
+    dom_sel = f", {dom_expr} AS __dom" if dom_expr else ""
+    cond = ("(g, __dom) IN (SELECT t, label FROM hot)" if dom_expr
+            else "g IN (SELECT t FROM hot)")
+    return f"""
+hot AS ({hot_sql}),
+fb_base AS ({base_sql}),
+fb_ex AS (SELECT {key}, g, pos{', __dom' if dom_expr else ''}
+          FROM (SELECT {key}{dom_sel}, unnest(grams) AS g, generate_subscripts(grams, 1) AS pos
+                FROM (SELECT *, {grams_expr} AS grams FROM fb_base))),
+fb_priv AS (SELECT {key}, list(g ORDER BY pos) AS pl FROM fb_ex WHERE {cond} GROUP BY {key}),
+folded AS (SELECT b.*, {fold(text, "coalesce(p.pl, CAST([] AS VARCHAR[]))")} AS redacted
+           FROM fb_base b LEFT JOIN fb_priv p USING ({key}))"""
