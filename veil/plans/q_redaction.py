@@ -231,3 +231,63 @@ def r11_redact_by_scores(spark, sf_dir):
     out = R.redact_by_scores(_bench(spark, sf_dir), scores, 0.95, "text", "redacted",
                              key_cols=["item_id"], lo=NB_LO, hi=NB_HI)
     return out.select("item_id", "redacted")
+
+
+# ---------------------------------------------------------------------------
+# Token probability vectors = NB class probabilities of each token
+# (labels in sorted order), merged into spans by Jensen–Shannon distance.
+def _token_probs(spark, sf_dir):
+    b = _bench(spark, sf_dir)
+    toks = b.select("item_id", F.posexplode(T.tokens("text")).alias("tok_pos", "token"))
+    m = _nb(spark, sf_dir)
+    s = R.nb_score(toks.select(F.col("token").alias("t")), m, "t")
+    vec = (s.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("label", "prob"))).alias("lp"))
+           .select(F.col("t").alias("token"), F.transform("lp", lambda x: x["prob"]).alias("probs")))
+    return toks.join(vec, "token").select("item_id", (F.col("tok_pos") + 1).alias("tok_pos"), "token", "probs")
+
+
+SQL_SPANS = f"""
+tok AS (SELECT item_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS tok_pos
+        FROM (SELECT item_id, {S.tokens('text')} AS toks FROM benchmark)),
+{S.nb_score_ctes('SELECT token AS t FROM tok', NB_LO, NB_HI)},
+pv AS (SELECT t, list(prob ORDER BY label) AS probs FROM nb_scored GROUP BY t),
+e AS (SELECT item_id, tok_pos, token, probs,
+             lag(probs) OVER (PARTITION BY item_id ORDER BY tok_pos) AS prev
+      FROM tok JOIN pv ON pv.t = tok.token),
+n1 AS (SELECT *, list_transform(prev, lambda x: greatest(x, 0)) AS a,
+                 list_transform(probs, lambda x: greatest(x, 0)) AS b FROM e),
+n2 AS (SELECT *, list_sum(a) AS sa, list_sum(b) AS sb FROM n1),
+n3 AS (SELECT *, list_transform(a, lambda x: x / sa) AS pa, list_transform(b, lambda x: x / sb) AS pb FROM n2),
+n4 AS (SELECT *, list_transform(list_zip(pa, pb), lambda s: (s[1] + s[2]) / 2) AS mm FROM n3),
+n5 AS (SELECT *, sqrt(greatest((
+          list_sum(list_transform(list_zip(pa, mm), lambda s: CASE WHEN s[1] > 0 THEN s[1] * ln(s[1] / s[2]) ELSE 0 END))
+        + list_sum(list_transform(list_zip(pb, mm), lambda s: CASE WHEN s[1] > 0 THEN s[1] * ln(s[1] / s[2]) ELSE 0 END))
+        ) / 2, 0)) AS d FROM n4),
+n6 AS (SELECT *, median(d) OVER (PARTITION BY item_id) AS med FROM n5),
+n7 AS (SELECT *, sum(CASE WHEN d IS NULL OR NOT (d < med) THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY item_id ORDER BY tok_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS span_pos
+       FROM n6),
+spans AS (SELECT item_id, CAST(span_pos AS BIGINT) AS span_pos, string_agg(token, ' ' ORDER BY tok_pos) AS span
+          FROM n7 GROUP BY item_id, span_pos)"""
+
+
+@register("r12_merge_spans", f"WITH {SQL_NB}, {SQL_SPANS} SELECT * FROM spans")
+def r12_merge_spans(spark, sf_dir):
+    sp = R.merge_spans(_token_probs(spark, sf_dir), ["item_id"])
+    return sp.select("item_id", F.col("span_pos").cast("long").alias("span_pos"), "span")
+
+
+@register("r13_redact_merged", f"""
+WITH {SQL_NB}, {SQL_SPANS},
+{S.nb_score_ctes('SELECT span AS t FROM spans', NB_LO, NB_HI, 'sp_scored')},
+hot AS (SELECT DISTINCT t FROM sp_scored WHERE prob >= 0.95),
+priv AS (SELECT item_id, list(span ORDER BY span_pos) AS pl FROM spans WHERE span IN (SELECT t FROM hot) GROUP BY item_id)
+SELECT b.item_id, {S.fold('b.text', 'coalesce(p.pl, CAST([] AS VARCHAR[]))')} AS redacted
+FROM benchmark b LEFT JOIN priv p USING (item_id)
+""")
+def r13_redact_merged(spark, sf_dir):
+    tp = _token_probs(spark, sf_dir)
+    spans = R.merge_spans(tp, ["item_id"])
+    scores = R.nb_score(spans, _nb(spark, sf_dir), "span").withColumnRenamed("span", "gram")
+    out = R.redact_merged(_bench(spark, sf_dir), tp, scores, 0.95, "text", "redacted", ["item_id"])
+    return out.select("item_id", "redacted")
