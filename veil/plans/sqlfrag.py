@@ -153,3 +153,28 @@ fb_ex AS (SELECT {key}, g, pos{', __dom' if dom_expr else ''}
 fb_priv AS (SELECT {key}, list(g ORDER BY pos) AS pl FROM fb_ex WHERE {cond} GROUP BY {key}),
 folded AS (SELECT b.*, {fold(text, "coalesce(p.pl, CAST([] AS VARCHAR[]))")} AS redacted
            FROM fb_base b LEFT JOIN fb_priv p USING ({key}))"""
+
+
+def lm_ctes(name: str, corpus_sql: str) -> str:
+    """Bigram count LM: CTEs {name}_pair(prev, tok, c_pair), {name}_ctx(prev, c_ctx), {name}_v(V)."""
+    return f"""
+{name}_toks AS (SELECT {tokens('text')} AS toks FROM ({corpus_sql})),
+{name}_bg AS (SELECT toks[i - 1] AS prev, toks[i] AS tok
+              FROM (SELECT toks, unnest(range(2, len(toks) + 1)) AS i FROM {name}_toks)),
+{name}_pair AS (SELECT prev, tok, count(*) AS c_pair FROM {name}_bg GROUP BY prev, tok),
+{name}_ctx AS (SELECT prev, count(*) AS c_ctx FROM {name}_bg GROUP BY prev),
+{name}_v AS (SELECT count(DISTINCT t) AS V FROM (SELECT unnest(toks) AS t FROM {name}_toks))"""
+
+
+def ppl_cte(out: str, lm: str, items_sql: str, k: float = 1.0) -> str:
+    """CTE ``out(key, ppl)`` for ``items_sql`` yielding (key, t); null ppl below 2 tokens."""
+    return f"""
+{out}_it AS ({items_sql}),
+{out}_bg AS (SELECT key, toks[i - 1] AS prev, toks[i] AS tok
+             FROM (SELECT key, toks, unnest(range(2, len(toks) + 1)) AS i
+                   FROM (SELECT key, {tokens('t')} AS toks FROM {out}_it))),
+{out}_lp AS (SELECT b.key, ln(coalesce(p.c_pair, 0) + {k}) - ln(coalesce(c.c_ctx, 0) + {k} * v.V) AS lp
+             FROM {out}_bg b LEFT JOIN {lm}_pair p ON p.prev = b.prev AND p.tok = b.tok
+             LEFT JOIN {lm}_ctx c ON c.prev = b.prev CROSS JOIN {lm}_v v),
+{out} AS (SELECT i.key, exp(-avg(l.lp)) AS ppl FROM {out}_it i LEFT JOIN {out}_lp l ON l.key = i.key
+          GROUP BY i.key)"""
