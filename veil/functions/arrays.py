@@ -10,17 +10,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Elements are widened to double before any product: float32 arrays would
+# otherwise multiply in single precision.
 def asum(a) -> Column:
-    return F.aggregate(_c(a), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    return F.aggregate(_c(a), F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double"))
 
 
 def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y),
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
 def sqnorm(a) -> Column:
-    return F.aggregate(_c(a), F.lit(0.0).cast("double"), lambda acc, x: acc + x * x)
+    return F.aggregate(_c(a), F.lit(0.0).cast("double"),
+                       lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
 def l2norm(a) -> Column:

@@ -16,6 +16,7 @@ from typing import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veil.functions import text as T
 
@@ -104,7 +105,7 @@ def conditional_perplexity(gens: DataFrame, lm: dict, key_cols: Sequence[str] =
 
 
 # A5 ---------------------------------------------------------------------------
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def zlib_entropy(s: pd.Series) -> pd.Series:
     """Bytes of the zlib-compressed UTF-8 text (no built-in: Arrow-batched UDF)."""
     return s.map(lambda t: None if t is None or t == "" else len(zlib.compress(t.encode("utf-8"))))
