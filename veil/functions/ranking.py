@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, ou
               .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = (ranged.withColumn("__pid", F.shiftright("__mid", 33))
               .withColumn("__li", F.col("__mid").bitwiseAND(F.lit(_LOW_BITS))))
+    # The range bounds are sampled per execution; the counts and the rows must
+    # come from ONE execution, so the ranged copy is persisted (memory, then
+    # disk).  A lost block is recomputed from the same shuffle dependency and
+    # hence the same bounds.
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     counts = (ranged.groupBy(*group_cols, "__pid")
               .agg(F.count(F.lit(1)).alias("__n"), F.min("__li").alias("__first")))
     w = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
