@@ -98,9 +98,24 @@ def redaction_of(g: Column) -> Column:
     return F.array_join(F.array_repeat(F.lit(REDACTED), F.size(F.split(g, " "))), " ")
 
 
+def _noop_safe(g: Column) -> Column:
+    """True when a later replacement can never re-create ``g``: it holds no
+    ``<``/``>`` and is not a piece of ``REDACTED`` — any new occurrence would
+    have to overlap an inserted token."""
+    return ~(F.contains(g, F.lit("<")) | F.contains(g, F.lit(">")) | F.contains(F.lit("REDACTED"), g))
+
+
+def drop_noop_repeats(private_grams: Column) -> Column:
+    """Exact shortcut of the fold: once a safe n-gram has been replaced its
+    later repeats are no-ops, so when every private n-gram of a row is safe
+    the list is deduplicated (first occurrences, order kept)."""
+    return F.when(F.exists(private_grams, lambda g: ~_noop_safe(g)), private_grams) \
+        .otherwise(F.array_distinct(private_grams))
+
+
 def fold_replace(text, private_grams: Column) -> Column:
     """R3's fold: each private n-gram, in order, replaces every occurrence."""
-    return F.aggregate(private_grams, _c(text),
+    return F.aggregate(drop_noop_repeats(private_grams), _c(text),
                        lambda acc, g: F.replace(acc, g, redaction_of(g)))
 
 

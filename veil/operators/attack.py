@@ -46,7 +46,9 @@ def _bigrams(df: DataFrame, text_col: str, key_cols: Sequence[str]) -> DataFrame
     n = F.size("__t") - 1
     pairs = F.arrays_zip(F.slice("__t", 1, F.greatest(n, F.lit(0))).alias("prev"),
                          F.slice("__t", 2, F.greatest(n, F.lit(0))).alias("tok"))
-    return d.select(*key_cols, F.posexplode(pairs).alias("pos", "__p")).select(
+    # *_outer + null filter: an inner generator makes Catalyst infer a
+    # size(...) > 0 filter that re-computes the token array below it
+    return d.select(*key_cols, F.posexplode_outer(pairs).alias("pos", "__p")).where(F.col("pos").isNotNull()).select(
         *key_cols, (F.col("pos") + 2).alias("pos"), F.col("__p.prev").alias("prev"),
         F.col("__p.tok").alias("tok"))
 
@@ -60,7 +62,7 @@ def fit_ngram_lm(corpus: DataFrame, text_col: str = "text", k: float = 1.0) -> d
     bg = _bigrams(corpus, text_col, [])
     pair = bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair"))
     ctx = bg.groupBy("prev").agg(F.count(F.lit(1)).alias("c_ctx"))
-    vocab = corpus.select(F.explode(T.tokens(text_col)).alias("tok")).distinct() \
+    vocab = corpus.select(F.explode_outer(T.tokens(text_col)).alias("tok")).where(F.col("tok").isNotNull()).distinct() \
         .agg(F.count(F.lit(1)).alias("V"))
     return {"pair": pair, "ctx": ctx, "V": vocab, "k": float(k)}
 

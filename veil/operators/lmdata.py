@@ -26,7 +26,7 @@ MAP_BATCH = 1000   # rows per map batch of the reference's dataset.map
 def build_vocab(texts: DataFrame, text_col: str = "text", specials: Sequence[str] = ()) -> DataFrame:
     """``(token, id)``: ids 1.. in token order (0 is the pad id); specials first."""
     spark = texts.sparkSession
-    toks = texts.select(F.explode(T.tokens(text_col)).alias("token")).distinct()
+    toks = texts.select(F.explode_outer(T.tokens(text_col)).alias("token")).where(F.col("token").isNotNull()).distinct()
     if specials:
         sp = spark.createDataFrame([(s,) for s in specials], "token string")
         toks = toks.join(sp, "token", "left_anti")
@@ -42,7 +42,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, text_col: str, key_cols: Sequence[
              out: str = "input_ids", unk_id: int = -1) -> DataFrame:
     """Text → ids by a vocabulary join; the text column is dropped (L1)."""
     keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode(T.tokens(text_col)).alias("__pos", "token"))
+    ex = df.select(*keys, F.posexplode_outer(T.tokens(text_col)).alias("__pos", "token")).where(F.col("__pos").isNotNull())
     ids = ex.join(vocab, "token", "left").select(*keys, "__pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
     agg = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "id"))).alias("__s"))
     agg = agg.select(*keys, F.transform("__s", lambda s: s["id"]).alias(out))

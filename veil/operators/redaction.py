@@ -17,8 +17,10 @@ order, by k × ``<REDACTED>``.
 
 from __future__ import annotations
 
+import math
 from typing import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def explode_ngrams(df: DataFrame, text_col: str, key_cols: Sequence[str], lo: in
     extra = [F.col(domain_col).alias("__dom")] if domain_col else []
     d = T.with_ngrams(df.select(*key_cols, *extra, text_col), text_col, lo, hi)
     return d.select(*key_cols, *(["__dom"] if domain_col else []),
-                    F.posexplode("__grams").alias("__gpos", "__gram"))
+                    F.posexplode_outer("__grams").alias("__gpos", "__gram")).where(F.col("__gpos").isNotNull())
 
 
 def fold_collected(df: DataFrame, private: DataFrame, text_col: str, out_col: str,
@@ -161,59 +163,67 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
                     lo: int = 1, hi: int = 1, alpha: float = 1.0) -> dict:
     """Multinomial NB with Laplace smoothing, as Spark tables.
 
-    ``logp(gram, label, logp)`` holds only observed (gram, label) pairs;
-    ``classes(label, logprior, unseen)`` gives the prior and the log-probability
-    of an in-vocabulary gram never seen with the label; ``vocab(gram)``.  The
-    vocabulary grows with the corpus, so it is never a driver object; only
-    the label set (the number of classes) is.
+    * ``contrib(gram, contrib array<double>)`` — per vocabulary gram, its log
+      probability under each label (labels in sorted order); a gram never seen
+      with a label contributes that label's ``unseen`` value.  One row per
+      gram: scoring needs no (item × label) expansion.
+    * ``logp(gram, label, logp)`` — the observed pairs (long form).
+    * ``labels``, ``prior``, ``unseen`` — per-class values: the only driver
+      objects, bounded by the number of classes.
     """
     feats = train.select(F.col(label_col).alias("label"),
-                         F.explode(feature_ngrams(text_col, lo, hi)).alias("gram"))
-    counts = feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("gram_n"))
-    vocab = counts.select("gram").distinct()
-    v = vocab.agg(F.count(F.lit(1)).alias("vocab_n"))
-    tot = counts.groupBy("label").agg(F.sum("gram_n").alias("label_n"))
-    ndocs = train.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("c"))
-    classes = (ndocs.join(tot, "label", "left").join(F.broadcast(v), how="inner")
-               .select("label",
-                       (F.log("c") - F.log(F.sum("c").over(Window.partitionBy()))).alias("logprior"),
-                       (F.log(F.lit(alpha)) - F.log(F.coalesce("label_n", F.lit(0)) + F.lit(alpha) * F.col("vocab_n"))
-                        ).alias("unseen"), "vocab_n"))
-    logp = (counts.join(F.broadcast(classes.select("label", "vocab_n")), "label")
-            .join(tot, "label")
-            .select("gram", "label",
-                    (F.log(F.col("gram_n") + F.lit(alpha)) - F.log(F.col("label_n") + F.lit(alpha) * F.col("vocab_n"))
-                     ).alias("logp")))
-    return {"logp": logp, "classes": classes.drop("vocab_n"), "vocab": vocab, "lo": lo, "hi": hi}
-
-
-def nb_score(items: DataFrame, model: dict, text_col: str = "gram") -> DataFrame:
-    """Class probabilities of each distinct item text → ``(text, label, prob)``.
-
-    jll(c) = logprior_c + unseen_c · (in-vocabulary feature count)
-             + Σ_seen cnt · (logp_c − unseen_c);  prob = softmax over c.
+                         F.explode_outer(feature_ngrams(text_col, lo, hi)).alias("gram")).where(F.col("gram").isNotNull())
+    # the count table feeds three small driver aggregates and the contribution
+    # table: materialise it once (memory, then disk)
+    counts = feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("gram_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab_n = counts.select("gram").distinct().count()
+    tot = {r["label"]: r["label_n"] for r in counts.groupBy("label").agg(F.sum("gram_n").alias("label_n")).collect()}
+    ndocs = {r["label"]: r["c"] for r in
+             train.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    labels = sorted(ndocs)
+    n_all = sum(ndocs.values())
+    prior = [math.log(ndocs[l]) - math.log(n_all) for l in labels]
+    unseen = [math.log(alpha) - math.log(tot.get(l, 0) + alpha * vocab_n) for l in labels]
+    denom = F.create_map(*[x for l in labels for x in (F.lit(l), F.lit(float(tot.get(l, 0) + alpha * vocab_n)))])
+    logp = counts.select("gram", "label",
+                         (F.log(F.col("gram_n") + F.lit(alpha)) - F.log(F.element_at(denom, F.col("label")))).alias("logp"))
+    # one row per gram, one column per label: plain (codegen'd) hash
+    # aggregation instead of collecting maps
+    per_label = logp.groupBy("gram").agg(*[F.max(F.when(F.col("label") == l, F.col("logp"))).alias(f"__c{i}")
+                                           for i, l in enumerate(labels)])
+    contrib = per_label.select("gram", F.array(*[F.coalesce(F.col(f"__c{i}"), F.lit(u))
+                                                 for i, u in enumerate(unseen)]).alias("contrib"))
+    return {"contrib": contrib, "logp": logp, "labels": labels, "prior": prior, "unseen": unseen,
+            "vocab": contrib.select("gram"), "lo": lo, "hi": hi}
+
+
+def nb_probs(items: DataFrame, model: dict, text_col: str = "gram") -> DataFrame:
+    """R7 in array form: ``(text, probs array<double>)`` per distinct item, the
+    class probabilities in the model's label order.
+
+    jll = prior + Σ over the item's in-vocabulary features of their
+    contribution arrays (one summed column per label: a plain hash
+    aggregation); probs = softmax(jll).
     """
     lo, hi = model["lo"], model["hi"]
-    classes = model["classes"]
-    labels = [r["label"] for r in classes.select("label").distinct().collect()]  # #classes rows
+    n_labels = len(model["labels"])
     distinct_items = items.select(F.col(text_col).alias("__t")).distinct()
-    feats = (distinct_items.select("__t", F.explode(feature_ngrams("__t", lo, hi)).alias("gram"))
-             .groupBy("__t", "gram").agg(F.count(F.lit(1)).alias("cnt")))
-    invocab = feats.join(model["vocab"], "gram", "left_semi")
-    tv = invocab.groupBy("__t").agg(F.sum("cnt").alias("tv"))
-    seen = (invocab.join(model["logp"], "gram")
-            .join(F.broadcast(classes), "label")
-            .groupBy("__t", "label")
-            .agg(F.sum(F.col("cnt") * (F.col("logp") - F.col("unseen"))).alias("seen")))
-    base = distinct_items.select("__t", F.explode(T.lit_array(labels)).alias("label"))
-    jll = (base.join(F.broadcast(classes), "label")
-           .join(tv, "__t", "left").join(seen, ["__t", "label"], "left")
-           .select("__t", "label", (F.col("logprior") + F.col("unseen") * F.coalesce("tv", F.lit(0))
-                                    + F.coalesce("seen", F.lit(0.0))).alias("jll")))
-    w = Window.partitionBy("__t")
-    m = F.max("jll").over(w)
-    lse = m + F.log(F.sum(F.exp(F.col("jll") - m)).over(w))
-    return jll.select(F.col("__t").alias(text_col), "label", F.exp(F.col("jll") - lse).alias("prob"))
+    feats = (distinct_items.select("__t", F.explode_outer(feature_ngrams("__t", lo, hi)).alias("gram"))
+             .where(F.col("gram").isNotNull()))
+    summed = (feats.join(model["contrib"], "gram", "inner")
+              .groupBy("__t").agg(*[F.sum(F.col("contrib")[i]).alias(f"__s{i}") for i in range(n_labels)]))
+    jll = F.array(*[F.lit(p) + F.coalesce(F.col(f"__s{i}"), F.lit(0.0)) for i, p in enumerate(model["prior"])])
+    from veil.functions.arrays import softmax
+    return (distinct_items.join(summed, "__t", "left")
+            .select(F.col("__t").alias(text_col), softmax(jll).alias("probs")))
+
+
+def nb_score(items: DataFrame, model: dict, text_col: str = "gram") -> DataFrame:
+    """R7 in long form ``(text, label, prob)``."""
+    p = nb_probs(items, model, text_col)
+    labels = T.lit_array(model["labels"])
+    return p.select(text_col, F.posexplode("probs").alias("__i", "prob")).select(
+        text_col, F.element_at(labels, F.col("__i") + 1).alias("label"), "prob")
 
 
 def class_keywords(vocab_scores: DataFrame, threshold: float, label: str | None = None) -> DataFrame:
@@ -256,14 +266,26 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
                          lo: int | None = None, hi: int | None = None) -> DataFrame:
     """R8 (any class) / R9 (the row's domain) with the count NB model, strict ``>``.
 
-    The candidate n-gram range is the vectoriser's unless given.
+    The candidate n-gram range is the vectoriser's unless given.  Distinct
+    candidates are scored once; the decision is joined back to the exploded
+    n-grams.
     """
     lo = model["lo"] if lo is None else lo
     hi = model["hi"] if hi is None else hi
-    g = explode_ngrams(df, text_col, list(key_cols), lo, hi, domain_col)
-    scores = nb_score(g, model, "__gram").withColumnRenamed("__gram", "gram")
-    return redact_by_scores(df, scores, threshold, text_col, out_col, key_cols, domain_col,
-                            lo, hi, strict=True, grams=g)
+    out_col = out_col or text_col
+    keys = list(key_cols)
+    g = explode_ngrams(df, text_col, keys, lo, hi, domain_col)
+    probs = nb_probs(g, model, "__gram")
+    if domain_col:
+        labels = T.lit_array(model["labels"])
+        hot = probs.select("__gram", F.explode(F.filter(
+            F.transform("probs", lambda p, i: F.struct(F.element_at(labels, i + 1).alias("__dom"), p.alias("p"))),
+            lambda s: s["p"] > threshold)).alias("s")).select("__gram", F.col("s.__dom").alias("__dom"))
+        private = g.join(hot, ["__gram", "__dom"], "left_semi")
+    else:
+        hot = probs.where(F.exists("probs", lambda p: p > threshold)).select("__gram")
+        private = g.join(hot, ["__gram"], "left_semi")
+    return fold_collected(df, private, text_col, out_col, keys)
 
 
 # Span merging ---------------------------------------------------------

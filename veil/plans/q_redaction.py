@@ -239,10 +239,7 @@ def r11_redact_by_scores(spark, sf_dir):
 def _token_probs(spark, sf_dir):
     b = _bench(spark, sf_dir)
     toks = b.select("item_id", F.posexplode(T.tokens("text")).alias("tok_pos", "token"))
-    m = _nb(spark, sf_dir)
-    s = R.nb_score(toks.select(F.col("token").alias("t")), m, "t")
-    vec = (s.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("label", "prob"))).alias("lp"))
-           .select(F.col("t").alias("token"), F.transform("lp", lambda x: x["prob"]).alias("probs")))
+    vec = R.nb_probs(toks.select(F.col("token").alias("t")), _nb(spark, sf_dir), "t").withColumnRenamed("t", "token")
     return toks.join(vec, "token").select("item_id", (F.col("tok_pos") + 1).alias("tok_pos"), "token", "probs")
 
 

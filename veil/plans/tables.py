@@ -24,7 +24,8 @@ DOMAINS3 = ["AIRLINE", "MEDIA", "INSURANCE"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, spread over the cores when its scan is a single split."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def spread(df: DataFrame) -> DataFrame:
