@@ -187,7 +187,7 @@ def s10_read_webnlg(spark, sf_dir):
     """WebNLG nested JSON written in the reference layout and read back."""
     folder = io.scratch(spark, "webnlg")
     io.write_webnlg(webnlg_entries(spark, sf_dir), folder)
-    back = io.read_webnlg(spark, folder)
+    back = io.read_webnlg(spark, folder, multi_line=False)
     src = F.array_join(F.transform("modifiedtripleset", lambda t: F.concat_ws(" : ", t["subject"], t["property"],
                                                                               t["object"])), " | ")
     out = back.select(F.col("eid").alias("entry_id"), src.alias("src"), F.explode("lexicalisations").alias("lx"))
@@ -202,7 +202,7 @@ FROM part
 def s11_read_dart(spark, sf_dir):
     folder = io.scratch(spark, "dart")
     io.write_dart(dart_examples(spark, sf_dir), folder)
-    lin = L.linearize_dart(io.read_dart(spark, folder))
+    lin = L.linearize_dart(io.read_dart(spark, folder, multi_line=False))
     return lin.groupBy("example_id", "src").agg(F.count(F.lit(1)).cast("int").alias("n_annotations"))
 
 
@@ -247,7 +247,7 @@ def s14_read_metric_log(spark, sf_dir):
     folder = io.scratch(spark, "metrics")
     io.write_metric_log(_metric_log(spark, sf_dir), folder)
     back = io.read_metric_log(spark, folder, "global_step long, train struct<model: struct<ppl: double, "
-                                             "eval_losses: double, lr: double>>")
+                                             "eval_losses: double, lr: double>>", multi_line=False)
     return back.select("global_step", F.round("train.model.ppl", 6).alias("ppl"))
 
 

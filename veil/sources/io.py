@@ -181,10 +181,12 @@ WEBNLG_ENTRY = ("struct<lexicalisations: array<struct<comment: string, lex: stri
                 "modifiedtripleset: array<struct<subject: string, property: string, object: string>>, eid: long>")
 
 
-def read_webnlg(spark: SparkSession, path: str) -> DataFrame:
+def read_webnlg(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``{entries: [{"<i+1>": {...}}]}`` documents → one row per entry
-    (``entry_id`` = i+1 inside its document, ``eid`` the entry's own id)."""
-    raw = spark.read.schema(f"entries array<map<string, {WEBNLG_ENTRY}>>").option("multiLine", True).json(path)
+    (``entry_id`` = i+1 inside its document, ``eid`` the entry's own id).
+    ``multi_line``: one (pretty-printed) document per file, as the reference
+    ships it; ``False`` for files with one document per line (our writer)."""
+    raw = spark.read.schema(f"entries array<map<string, {WEBNLG_ENTRY}>>").option("multiLine", multi_line).json(path)
     e = raw.select(F.posexplode("entries").alias("i", "m"))
     return e.select((F.col("i") + 1).alias("entry_id"),
                     F.element_at("m", (F.col("i") + 1).cast("string")).alias("x")).select("entry_id", "x.*")
@@ -198,8 +200,9 @@ def _per_partition_documents(df: DataFrame, key_col: str, item: "Column") -> Dat
 
 
 def write_webnlg(entries: DataFrame, path: str, key_col: str = "entry_id") -> None:
-    """The nested reference layout, one document per partition; entries are
-    numbered 1..m inside each document and keep their id in ``eid``."""
+    """The nested reference layout, one document per partition, written one
+    document per line; entries are numbered 1..m inside each document and
+    keep their id in ``eid``."""
     item = F.struct("lexicalisations", "modifiedtripleset", F.col(key_col).cast("long").alias("eid"))
     docs = _per_partition_documents(entries, key_col, item)
     docs = docs.select(F.transform("__l", lambda s, i: F.create_map((i + 1).cast("string"), s["__item"])).alias("entries"))
@@ -207,7 +210,7 @@ def write_webnlg(entries: DataFrame, path: str, key_col: str = "entry_id") -> No
 
 
 def write_dart(examples: DataFrame, path: str, key_col: str = "example_id") -> None:
-    """DART layout: a JSON array of examples per file (one file per partition)."""
+    """DART layout: a JSON array of examples per partition, one array per line."""
     item = F.struct(*[c for c in examples.columns])
     docs = _per_partition_documents(examples, key_col, item)
     docs.select(F.to_json(F.transform("__l", lambda s: s["__item"])).alias("value")).write.mode("overwrite").text(path)
@@ -253,13 +256,14 @@ def read_vectors(spark: SparkSession, path: str, start: int = 0, n: int | None =
 
 # S14 ---------------------------------------------------------------------------
 def write_metric_log(log: DataFrame, path: str, key_col: str = "global_step") -> None:
-    """The reference layout: a JSON array of records (one file per partition)."""
+    """The reference layout: a JSON array of records per partition, one array per line."""
     docs = _per_partition_documents(log, key_col, F.struct(*log.columns))
     docs.select(F.to_json(F.transform("__l", lambda s: s["__item"])).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_metric_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("multiLine", True)
+def read_metric_log(spark: SparkSession, path: str, schema: str | None = None,
+                    multi_line: bool = True) -> DataFrame:
+    r = spark.read.option("multiLine", multi_line)
     if schema:
         r = r.schema(schema)
     return r.json(path)
