@@ -80,3 +80,17 @@ def test_merge_spans_cuts_at_median(spark):
 def test_single_token_unchanged(spark):
     d = spark.createDataFrame([(1, 1, "solo", [0.5, 0.5])], "id int, tok_pos int, token string, probs array<double>")
     assert [r["span"] for r in R.merge_spans(d, ["id"]).collect()] == ["solo"]
+
+
+def test_multi_pattern_fold_equals_sequential():
+    import random
+    from veil.functions.fold import fold_text
+    rng = random.Random(0)
+    words = ["the", "cat", "he", "there", "a", "at", "A", "RED", "<x>", "th", "e"]
+    for _ in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        grams = [rng.choice(words) + (" " + rng.choice(words) if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 12))]
+        seq = text
+        for g in grams:
+            seq = seq.replace(g, " ".join(["<REDACTED>"] * len(g.split(" "))))
+        assert fold_text(text, grams) == seq, (text, grams)

@@ -125,7 +125,9 @@ def fold_collected(df: DataFrame, private: DataFrame, text_col: str, out_col: st
         F.array_sort(F.collect_list(F.struct("__gpos", "__gram"))).alias("__priv"))
     joined = df.join(per_row, on=list(key_cols), how="left")
     grams = F.coalesce(F.transform("__priv", lambda s: s["__gram"]), F.array().cast("array<string>"))
-    return joined.withColumn(out_col, T.fold_replace(text_col, grams)).drop("__priv")
+    # long lists: the one-pass multi-pattern fold (exact, see veil.functions.fold)
+    from veil.functions.fold import fold_udf
+    return joined.withColumn(out_col, fold_udf(F.col(text_col), grams)).drop("__priv")
 
 
 def redact_exploded(df: DataFrame, kw_df: DataFrame, join_on: Sequence[str], text_col: str,
