@@ -80,3 +80,31 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, ou
 
 def group_sizes(df: DataFrame, group_cols: Sequence[str], out: str = "n") -> DataFrame:
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(out))
+
+
+def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, value_col: str,
+                out_sum: str = "running_sum", out_n: str = "running_n",
+                num_partitions: int | None = None) -> DataFrame:
+    """Running sum and count inside each group, in order, without sending a
+    group to one task: local running sums per (group, range partition), plus
+    the totals of the earlier partitions of the group (a table of at most
+    #partitions + #groups rows).  ``order_cols`` must be a total order."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group_cols = list(group_cols)
+    ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    okeys = [f"__o{i}" for i in range(len(ocols))]
+    d = df.select("*", *[o.alias(k) for o, k in zip(ocols, okeys)])
+    d = (d.repartitionByRange(n, *group_cols, *okeys).withColumn("__pid", F.spark_partition_id())
+         .persist(StorageLevel.MEMORY_AND_DISK))           # one materialisation for both uses
+    w = Window.partitionBy(*group_cols, "__pid").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
+    local = (d.withColumn("__cs", F.sum(value_col).over(w))
+             .withColumn("__cn", F.count(F.lit(1)).over(w)))
+    tot = d.groupBy(*group_cols, "__pid").agg(F.sum(value_col).alias("__ps"), F.count(F.lit(1)).alias("__pn"))
+    wo = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*group_cols, "__pid", F.coalesce(F.sum("__ps").over(wo), F.lit(0)).alias("__os"),
+                      F.coalesce(F.sum("__pn").over(wo), F.lit(0)).alias("__on"))
+    res = local.join(offs, [*group_cols, "__pid"], "inner")
+    res = (res.withColumn(out_sum, F.col("__os") + F.col("__cs"))
+           .withColumn(out_n, (F.col("__on") + F.col("__cn")).cast("long")))
+    return res.drop("__pid", "__cs", "__cn", "__os", "__on", *okeys)

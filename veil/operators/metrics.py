@@ -160,11 +160,12 @@ def grid_select(runs: DataFrame, group_cols: Sequence[str], setting_col: str,
 # M11 ----------------------------------------------------------------------------
 def iterate_average(df: DataFrame, group_cols: Sequence[str], step_col: str, value_col: str,
                     out: str = "running_avg") -> DataFrame:
-    """Running mean ``avg·t/(t+1) + x/(t+1)`` = running sum / running count."""
-    w = Window.partitionBy(*group_cols).orderBy(step_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.withColumn("running_sum", F.sum(value_col).over(w))
-            .withColumn("running_n", F.count(F.lit(1)).over(w))
-            .withColumn(out, F.col("running_sum") / F.col("running_n")))
+    """Running mean ``avg·t/(t+1) + x/(t+1)`` = running sum / running count,
+    computed with distributed prefix sums (a metric stream may hold a third of
+    all rows; it is never sent to one task)."""
+    from veil.functions.ranking import running_sum
+    r = running_sum(df, group_cols, [step_col], value_col)
+    return r.withColumn(out, F.col("running_sum") / F.col("running_n"))
 
 
 # M12 ----------------------------------------------------------------------------

@@ -239,9 +239,11 @@ def class_keywords(vocab_scores: DataFrame, threshold: float, label: str | None
     s = vocab_scores if label is None else vocab_scores.where(F.col("label") == label)
     s = s.where(F.col("prob") > threshold)
     # probabilities are compared at 1e-9 so that summation-order noise does
-    # not reorder ties; equal ones are ordered by the term
-    w = Window.partitionBy("label").orderBy(F.desc(F.round("prob", 9)), F.asc("gram"))
-    return s.withColumn("rank", F.row_number().over(w))
+    # not reorder ties; equal ones are ordered by the term.  A label's share of
+    # the vocabulary is ranked by range partitions, not in one task.
+    from veil.functions.ranking import positions
+    r = positions(s, ["label"], [-F.round("prob", 9), F.col("gram")], out="rank")
+    return r.withColumn("rank", F.col("rank") + 1)
 
 
 # Decision by a score table ------------------------------------------
