@@ -176,9 +176,9 @@ def gram_matrix(df: DataFrame, vec_col: str, scale: float | None = None) -> Data
 
 def exact_spectrum(df: DataFrame, vec_col: str) -> np.ndarray:
     """Eigenvalues of GᵀG/n: the p × p Gram matrix (size-checked) on the driver."""
+    p = len(df.select(vec_col).first()[0])
+    _check(p, p)                                            # before anything is collected
     g = gram_matrix(df, vec_col).collect()
-    p = int(max(r["i"] for r in g)) + 1
-    _check(p, p)
     M = np.zeros((p, p))
     for r in g:
         M[r["i"], r["j"]] = r["value"]
@@ -209,9 +209,9 @@ def spectral_density(eigs: DataFrame, grid_len: int = 10000, sigma_squared: floa
     draws and normalised to 1.  ``eigs(draw, eig, weight)`` is bounded by the
     Lanczos order × draws (a checked literal); the grid is a distributed range
     and every grid point folds over the literal — no join."""
-    rows = eigs.select("draw", "eig", "weight").collect()
-    if len(rows) > 1_000_000:
+    if eigs.count() > 1_000_000:                            # checked before collecting
         raise ValueError("eigenvalue table exceeds the checked bound")
+    rows = eigs.select("draw", "eig", "weight").collect()
     by = {}
     for r in rows:
         by.setdefault(r["draw"], []).append((r["eig"], r["weight"]))
