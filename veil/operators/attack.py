@@ -14,6 +14,7 @@ import zlib
 from typing import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -60,8 +61,10 @@ def fit_ngram_lm(corpus: DataFrame, text_col: str = "text", k: float = 1.0) -> d
     with the corpus and stay Spark tables; only V is a scalar.
     """
     bg = _bigrams(corpus, text_col, [])
-    pair = bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair"))
-    ctx = bg.groupBy("prev").agg(F.count(F.lit(1)).alias("c_ctx"))
+    # the model is scored many times (prompt, prompt + gen, lower-cased, per
+    # LM): its count tables are materialised once (memory, then disk)
+    pair = bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")).persist(StorageLevel.MEMORY_AND_DISK)
+    ctx = pair.groupBy("prev").agg(F.sum("c_pair").alias("c_ctx")).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = corpus.select(F.explode_outer(T.tokens(text_col)).alias("tok")).where(F.col("tok").isNotNull()).distinct() \
         .agg(F.count(F.lit(1)).alias("V"))
     return {"pair": pair, "ctx": ctx, "V": vocab, "k": float(k)}
@@ -93,16 +96,22 @@ def perplexity(texts: DataFrame, lm: dict, text_col: str = "text",
 def conditional_perplexity(gens: DataFrame, lm: dict, key_cols: Sequence[str] = ("gen_id",),
                            prompt_col: str = "prompt", gen_col: str = "gen", out: str = "cond_ppl",
                            lower: bool = False) -> DataFrame:
-    """ppl(prompt + ' ' + gen) / ppl(prompt); null for empty generations."""
+    """ppl(prompt + ' ' + gen) / ppl(prompt); null for empty generations.
+
+    The tokens of the prompt are a prefix of the tokens of prompt + ' ' + gen,
+    so one scoring pass gives both perplexities: the mean over all positions
+    and the mean over the positions inside the prompt.
+    """
     keys = list(key_cols)
     p = F.lower(prompt_col) if lower else F.col(prompt_col)
     g = F.lower(gen_col) if lower else F.col(gen_col)
     nonempty = gens.where(F.length(gen_col) > 0)
-    both = nonempty.select(*keys, F.concat(p, F.lit(" "), g).alias("__t"))
-    only = nonempty.select(*keys, p.alias("__t"))
-    pb = perplexity(both, lm, "__t", keys, "__pb")
-    po = perplexity(only, lm, "__t", keys, "__po")
-    r = pb.join(po, keys).select(*keys, F.try_divide("__pb", "__po").alias(out))
+    both = nonempty.select(*keys, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
+    lp = token_logprobs(both, lm, "__t", keys + ["__np"])
+    agg = lp.groupBy(*keys).agg(
+        F.exp(-F.avg("logprob")).alias("__pb"),
+        F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col("logprob")))).alias("__po"))
+    r = both.select(*keys).join(agg, keys, "left").select(*keys, F.try_divide("__pb", "__po").alias(out))
     return gens.select(*keys).join(r, keys, "left")
 
 
