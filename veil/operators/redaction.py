@@ -119,13 +119,20 @@ def explode_ngrams(df: DataFrame, text_col: str, key_cols: Sequence[str], lo: in
 
 
 def fold_collected(df: DataFrame, private: DataFrame, text_col: str, out_col: str,
-                   key_cols: Sequence[str]) -> DataFrame:
-    """Collect private n-grams per row in position order and fold them."""
+                   key_cols: Sequence[str], multi_pattern: bool = True) -> DataFrame:
+    """Collect private n-grams per row in position order and fold them.
+
+    ``multi_pattern``: the one-pass Aho–Corasick fold (for long lists, as with
+    classifier decisions where most n-grams are private); otherwise the
+    JVM-side sequential fold (short lists, e.g. sparse dictionary hits).
+    Both are exact.
+    """
     per_row = private.groupBy(*key_cols).agg(
         F.array_sort(F.collect_list(F.struct("__gpos", "__gram"))).alias("__priv"))
     joined = df.join(per_row, on=list(key_cols), how="left")
     grams = F.coalesce(F.transform("__priv", lambda s: s["__gram"]), F.array().cast("array<string>"))
-    # long lists: the one-pass multi-pattern fold (exact, see veil.functions.fold)
+    if not multi_pattern:
+        return joined.withColumn(out_col, T.fold_replace(text_col, grams)).drop("__priv")
     from veil.functions.fold import fold_udf
     return joined.withColumn(out_col, fold_udf(F.col(text_col), grams)).drop("__priv")
 
@@ -136,7 +143,7 @@ def redact_exploded(df: DataFrame, kw_df: DataFrame, join_on: Sequence[str], tex
     g = explode_ngrams(df, text_col, key_cols, lo, hi, domain_col)
     g = g.withColumn("__key", T.normalise_ngram(F.col("__gram")))
     private = g.join(kw_df, on=list(join_on), how="left_semi")
-    return fold_collected(df, private, text_col, out_col, key_cols)
+    return fold_collected(df, private, text_col, out_col, key_cols, multi_pattern=False)
 
 
 # R5 / R6 ----------------------------------------------------------------------
