@@ -334,7 +334,7 @@ def neighbor_words(cands: DataFrame, seeds: DataFrame, word_vecs: DataFrame, k:
     c = cands.join(wv, "id")
     s = seeds.join(wv.withColumnRenamed("id", "seed_id").withColumnRenamed("vec", "seed_vec"), "seed_id")
     j = c.join(s.select(label_col, "seed_id", "seed_vec"), label_col)
-    j = j.withColumn("distance", 1 - AR.cosine("vec", "seed_vec"))
+    j = j.withColumn("distance", F.greatest(F.lit(0.0), 1 - AR.cosine("vec", "seed_vec")))   # ≥ 0 up to rounding
     w = Window.partitionBy(label_col).orderBy("distance", "id")
     j = j.withColumn("nrank", F.row_number().over(w))
     return j if k <= 0 else j.where(F.col("nrank") <= k)

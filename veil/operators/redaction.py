@@ -335,7 +335,10 @@ def merge_spans(token_probs: DataFrame, key_cols: Sequence[str] = ("id",)) -> Da
     wk = Window.partitionBy(*key_cols)
     t = token_probs.withColumn("__d", js_distance(F.lag("probs").over(w), F.col("probs")))
     t = t.withColumn("__med", F.median("__d").over(wk))
-    cut = F.when(F.col("__d").isNull() | ~(F.col("__d") < F.col("__med")), 1).otherwise(0)
+    # distances and the median are compared at 1e-9: below that the order of
+    # floating-point sums decides, not the data
+    d9, m9 = F.round("__d", 9), F.round("__med", 9)
+    cut = F.when(F.col("__d").isNull() | ~(d9 < m9), 1).otherwise(0)
     t = t.withColumn("__span", F.sum(cut).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return (t.groupBy(*key_cols, "__span")
             .agg(F.array_sort(F.collect_list(F.struct("tok_pos", "token"))).alias("__toks"))

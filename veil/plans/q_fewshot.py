@@ -269,8 +269,8 @@ def f14_likely_words(spark, sf_dir):
 WITH {SQL_VOCAB64},
 wv AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 seeds AS (SELECT label, id AS seed_id FROM likely WHERE rank = 1),
-j AS (SELECT l.label, l.id, 1 - list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1] * z[2]))
-             / (sqrt(list_sum(list_transform(a.vec, lambda x: x * x))) * sqrt(list_sum(list_transform(b.vec, lambda x: x * x)))) AS distance
+j AS (SELECT l.label, l.id, greatest(0.0, 1 - list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1] * z[2]))
+             / (sqrt(list_sum(list_transform(a.vec, lambda x: x * x))) * sqrt(list_sum(list_transform(b.vec, lambda x: x * x))))) AS distance
       FROM likely l JOIN wv a ON a.id = l.id JOIN seeds s ON s.label = l.label JOIN wv b ON b.id = s.seed_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY distance, id) AS INTEGER) AS nrank FROM j)
 SELECT label, id, round(distance, 6) AS distance, nrank FROM r WHERE nrank <= 2

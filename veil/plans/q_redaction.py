@@ -261,7 +261,7 @@ n5 AS (SELECT *, sqrt(greatest((
         + list_sum(list_transform(list_zip(pb, mm), lambda s: CASE WHEN s[1] > 0 THEN s[1] * ln(s[1] / s[2]) ELSE 0 END))
         ) / 2, 0)) AS d FROM n4),
 n6 AS (SELECT *, median(d) OVER (PARTITION BY item_id) AS med FROM n5),
-n7 AS (SELECT *, sum(CASE WHEN d IS NULL OR NOT (d < med) THEN 1 ELSE 0 END)
+n7 AS (SELECT *, sum(CASE WHEN d IS NULL OR NOT (round(d, 9) < round(med, 9)) THEN 1 ELSE 0 END)
                  OVER (PARTITION BY item_id ORDER BY tok_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS span_pos
        FROM n6),
 spans AS (SELECT item_id, CAST(span_pos AS BIGINT) AS span_pos, string_agg(token, ' ' ORDER BY tok_pos) AS span

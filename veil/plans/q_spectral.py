@@ -79,7 +79,7 @@ def v4_reconstruction_error(spark, sf_dir):
 WITH {SQL_A},
 p AS (SELECT AQ.vec_id, i, sum(AQ.aq * Q.q[i]) AS v FROM AQ JOIN Q USING (j), (SELECT unnest(range(1, 65)) AS i)
       WHERE AQ.j < 2 GROUP BY AQ.vec_id, i)
-SELECT vec_id, list(round(v, 6) ORDER BY i) AS projected FROM p GROUP BY vec_id
+SELECT vec_id, list(round(v, 6) + 0.0 ORDER BY i) AS projected FROM p GROUP BY vec_id
 """)
 def v5_project(spark, sf_dir):
     P = _Q(spark, sf_dir)
