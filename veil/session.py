@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # broadcast only what is provably small; the operators that broadcast
     # check the size themselves, this is the planner's own cap.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
