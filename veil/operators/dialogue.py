@@ -17,8 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.constants import (BOT_START, CONVO_END, CONVO_START, ROLE_TOKENS, SYS_START,
-                            USR_START, domain_token, stop_tokens, task_domain_tokens)
+from veil.constants import CONVO_END, CONVO_START, ROLE_TOKENS, stop_tokens, task_domain_tokens
 from veil.functions import text as T
 from veil.functions.ranking import hash_key, positions
 

@@ -15,8 +15,6 @@ p × p small matrices whose size is checked.
 from __future__ import annotations
 
 import math
-from typing import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.constants import stop_tokens, task_domain_tokens
+from veil.constants import stop_tokens
 from veil.operators import dialogue as D
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
-from veil.plans.tables import SQL_TURNS, SQL_TURNS_COPIES, read, spread, turns, with_copies
+from veil.plans.tables import SQL_TURNS, SQL_TURNS_COPIES, read, turns, with_copies
 
 TASK = "airline_media_ins"
 

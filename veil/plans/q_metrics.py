@@ -85,7 +85,6 @@ SELECT split, round(exp(sum(loss * n) / sum(n)), 6) AS ppl FROM bl JOIN bn USING
 """)
 def m2_split_perplexity(spark, sf_dir):
     """Conversations split by id (train/val/eval), batches of 8; ppl per split."""
-    from pyspark.sql import Window
     from veil.functions.ranking import positions
     conv = D.assemble_conversations(turns(spark, sf_dir))
     cid = F.col("conversation_id").cast("long") % 10
