@@ -34,3 +34,19 @@ def test_running_sum_matches_python(spark):
         s, n = s + v, n + 1
         exp[(g, k)] = (s, n)
     assert got == exp
+
+
+def test_positions_with_more_partitions_than_rows(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "g string, k int")
+    got = sorted((r["g"], r["k"], r["pos"]) for r in positions(df, ["g"], ["k"], num_partitions=16).collect())
+    assert got == [("a", 1, 0), ("a", 3, 1), ("b", 2, 0)]
+
+
+def test_split_manifest_counts_on_skewed_domain(spark):
+    from veil.operators import dialogue as D
+    rows = [(str(i), 0, "customer", "u", "HOT" if i % 3 else "COLD") for i in range(3000)]
+    t = spark.createDataFrame(rows, "conversation_id string, turn int, role string, utterance string, domain string")
+    m = D.split_conversations(t.repartition(8), 0.1, 0.1, seed=1)
+    c = {(r["domain"], r["split"]): r["n"] for r in m.groupBy("domain", "split").count().withColumnRenamed("count", "n").collect()}
+    assert c[("HOT", "test")] == 200 and c[("HOT", "valid")] == 200 and c[("HOT", "train")] == 1600
+    assert c[("COLD", "test")] == 100 and c[("COLD", "valid")] == 100 and c[("COLD", "train")] == 800
