@@ -211,7 +211,8 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
             "vocab": contrib.select("gram"), "lo": lo, "hi": hi}
 
 
-def nb_probs(items: DataFrame, model: dict, text_col: str = "gram", space_joined: bool = False) -> DataFrame:
+def nb_probs(items: DataFrame, model: dict, text_col: str = "gram", space_joined: bool = False,
+             include_oov: bool = True) -> DataFrame:
     """R7 in array form: ``(text, probs array<double>)`` per distinct item, the
     class probabilities in the model's label order.
 
@@ -228,6 +229,10 @@ def nb_probs(items: DataFrame, model: dict, text_col: str = "gram", space_joined
               .groupBy("__t").agg(*[F.sum(F.col("contrib")[i]).alias(f"__s{i}") for i in range(n_labels)]))
     jll = F.array(*[F.lit(p) + F.coalesce(F.col(f"__s{i}"), F.lit(0.0)) for i, p in enumerate(model["prior"])])
     from veil.functions.arrays import softmax
+    if not include_oov:
+        # items without any in-vocabulary feature (probs = softmax(prior)) are
+        # left out: the caller has decided that they can never be private
+        return summed.select(F.col("__t").alias(text_col), softmax(jll).alias("probs"))
     return (distinct_items.join(summed, "__t", "left")
             .select(F.col("__t").alias(text_col), softmax(jll).alias("probs")))
 
@@ -291,7 +296,13 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
     out_col = out_col or text_col
     keys = list(key_cols)
     g = explode_ngrams(df, text_col, keys, lo, hi, domain_col)
-    probs = nb_probs(g, model, "__gram", space_joined=True)      # candidates are space-joined tokens
+    # a candidate with no in-vocabulary feature gets the prior; when no class's
+    # prior passes the threshold such candidates are never private and the
+    # scoring skips them (no join back to all candidates)
+    m = max(model["prior"])
+    z = sum(math.exp(p - m) for p in model["prior"])
+    prior_passes = any(math.exp(p - m) / z > threshold for p in model["prior"])
+    probs = nb_probs(g, model, "__gram", space_joined=True, include_oov=prior_passes)
     if domain_col:
         labels = T.lit_array(model["labels"])
         hot = probs.select("__gram", F.explode(F.filter(
