@@ -45,14 +45,21 @@ def hash_uniform(seed: int, *cols) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """Range partitions for a ranking pass: the shuffle width, capped at four
+    per core (on a cluster the cap is far above any shuffle setting)."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+
+
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, out: str = "pos",
               num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row inside its group, in order.
 
     ``order_cols`` must make the order total inside a group.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _range_partitions(df)
     group_cols = list(group_cols)
     ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keyed = df.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(ocols)])
@@ -89,8 +96,7 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     group to one task: local running sums per (group, range partition), plus
     the totals of the earlier partitions of the group (a table of at most
     #partitions + #groups rows).  ``order_cols`` must be a total order."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _range_partitions(df)
     group_cols = list(group_cols)
     ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     okeys = [f"__o{i}" for i in range(len(ocols))]
