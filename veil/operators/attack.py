@@ -115,6 +115,32 @@ def conditional_perplexity(gens: DataFrame, lm: dict, key_cols: Sequence[str] =
     return gens.select(*keys).join(r, keys, "left")
 
 
+def conditional_perplexities(gens: DataFrame, lms: dict, key_cols: Sequence[str] = ("gen_id",),
+                             prompt_col: str = "prompt", gen_col: str = "gen", lower: bool = False) -> DataFrame:
+    """A3 for several LMs in one scoring pass: ``lms`` maps an output column
+    to a model; the tokens of prompt + ' ' + gen are exploded once and joined
+    to every model's count tables."""
+    keys = list(key_cols)
+    p = F.lower(prompt_col) if lower else F.col(prompt_col)
+    g = F.lower(gen_col) if lower else F.col(gen_col)
+    nonempty = gens.where(F.length(gen_col) > 0)
+    both = nonempty.select(*keys, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
+    bg = _bigrams(both, "__t", keys + ["__np"])
+    aggs = []
+    for i, (out, lm) in enumerate(lms.items()):
+        pair = lm["pair"].select("prev", "tok", F.col("c_pair").alias(f"__cp{i}"))
+        ctx = lm["ctx"].select("prev", F.col("c_ctx").alias(f"__cc{i}"))
+        vv = lm["V"].select(F.col("V").alias(f"__v{i}"))
+        bg = bg.join(pair, ["prev", "tok"], "left").join(ctx, "prev", "left").join(F.broadcast(vv), how="inner")
+        lp = (F.log(F.coalesce(f"__cp{i}", F.lit(0)) + F.lit(lm["k"]))
+              - F.log(F.coalesce(f"__cc{i}", F.lit(0)) + F.lit(lm["k"]) * F.col(f"__v{i}")))
+        bg = bg.withColumn(f"__lp{i}", lp)
+        aggs.append(F.try_divide(F.exp(-F.avg(f"__lp{i}")),
+                                 F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col(f"__lp{i}"))))).alias(out))
+    r = bg.groupBy(*keys).agg(*aggs)
+    return gens.select(*keys).join(r, keys, "left")
+
+
 # A5 ---------------------------------------------------------------------------
 @F.pandas_udf(LongType())
 def zlib_entropy(s: pd.Series) -> pd.Series:
@@ -194,10 +220,9 @@ def attack_summary(results: DataFrame, group_cols: Sequence[str] = (), gen_col:
 def attack_results(gens: DataFrame, target_lm: dict, ref_lm: dict, target_domains: Sequence[str],
                    key_cols: Sequence[str] = ("gen_id",), with_zlib: bool = True) -> DataFrame:
     keys = list(key_cols)
-    t = conditional_perplexity(gens, target_lm, keys, out="target_ppl")
-    r = conditional_perplexity(gens, ref_lm, keys, out="ref_ppl")
+    tr = conditional_perplexities(gens, {"target_ppl": target_lm, "ref_ppl": ref_lm}, keys)
     lo = conditional_perplexity(gens, target_lm, keys, out="lower_ppl", lower=True)
-    out = gens.join(t, keys).join(r, keys).join(lo, keys)
+    out = gens.join(tr, keys).join(lo, keys)
     if with_zlib:
         out = out.withColumn("zlib", zlib_entropy(F.col("gen")))
     return attack_success_keyword(out, "gen", target_domains)
