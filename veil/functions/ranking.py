@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.session import keep
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -73,7 +74,7 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, ou
     # come from ONE execution, so the ranged copy is persisted (memory, then
     # disk).  A lost block is recomputed from the same shuffle dependency and
     # hence the same bounds.
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = keep(ranged)
     counts = (ranged.groupBy(*group_cols, "__pid")
               .agg(F.count(F.lit(1)).alias("__n"), F.min("__li").alias("__first")))
     w = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,8 +102,8 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     okeys = [f"__o{i}" for i in range(len(ocols))]
     d = df.select("*", *[o.alias(k) for o, k in zip(ocols, okeys)])
-    d = (d.repartitionByRange(n, *group_cols, *okeys).withColumn("__pid", F.spark_partition_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))           # one materialisation for both uses
+    d = keep(d.repartitionByRange(n, *group_cols, *okeys)
+             .withColumn("__pid", F.spark_partition_id()))      # one materialisation for both uses
     w = Window.partitionBy(*group_cols, "__pid").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
     local = (d.withColumn("__cs", F.sum(value_col).over(w))
              .withColumn("__cn", F.count(F.lit(1)).over(w)))

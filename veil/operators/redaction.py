@@ -20,12 +20,12 @@ from __future__ import annotations
 import math
 from typing import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.constants import REDACTED
 from veil.functions import text as T
+from veil.session import keep
 
 ARRAY_DICT_LIMIT = 1000  # above this many phrases the exploded form is used
 
@@ -189,7 +189,7 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
                          F.explode_outer(feature_ngrams(text_col, lo, hi)).alias("gram")).where(F.col("gram").isNotNull())
     # the count table feeds three small driver aggregates and the contribution
     # table: materialise it once (memory, then disk)
-    counts = feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("gram_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = keep(feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("gram_n")))
     vocab_n = counts.select("gram").distinct().count()
     tot = {r["label"]: r["label_n"] for r in counts.groupBy("label").agg(F.sum("gram_n").alias("label_n")).collect()}
     ndocs = {r["label"]: r["c"] for r in

@@ -65,3 +65,24 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+# DataFrames the library materialised for reuse inside a query (ranked copies,
+# model count tables).  A long-lived session releases them between jobs.
+_MATERIALISED: list = []
+
+
+def keep(df):
+    """Persist (memory, then disk) and remember ``df`` for ``release``."""
+    from pyspark import StorageLevel
+    d = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _MATERIALISED.append(d)
+    return d
+
+
+def release() -> int:
+    """Unpersist everything ``keep`` materialised; returns how many."""
+    n = len(_MATERIALISED)
+    while _MATERIALISED:
+        _MATERIALISED.pop().unpersist(blocking=False)
+    return n
