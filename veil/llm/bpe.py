@@ -22,6 +22,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -304,7 +305,7 @@ def _decode_batches(batches, ranks):
     for batch in batches:
         ids = batch.column(1)
         values = ids.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(np.asarray(pa.compute.list_value_length(ids), dtype=np.int64)).tolist()
+        ends = np.cumsum(np.asarray(pc.list_value_length(ids), dtype=np.int64)).tolist()
         start = first = held = 0
         texts = []
         for k, end in enumerate(ends):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def slices(batch: pa.RecordBatch, col: int, limit: int = SLICE_BYTES) -> Iterato
     if n == 0:
         return
     arr = batch.column(col)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(arr), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(arr), 0), dtype=np.int64)
     ends = np.cumsum(size)
     start = 0
     while start < n:
