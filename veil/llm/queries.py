@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from veil.llm.bpe import op2_byte_bpe
+from veil.llm.class_lm import op1_class_lm
+from veil.llm.contamination import op7_fm_decontamination
+from veil.llm.language_id import op4_language_id
+from veil.llm.pii import op8_pii_crf
+from veil.llm.quality import op3_quality_rules
+from veil.llm.secret_scan import op10_secret_scan
+from veil.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_class_lm": op1_class_lm,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
+    "op7_fm_decontamination": op7_fm_decontamination,
+    "op8_pii_crf": op8_pii_crf,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
