@@ -327,10 +327,10 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", id_col: str = "
             .withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col))
 
 
-def digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
     """The contract's digest columns of encoded and decoded rows."""
     return df.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"),
+        id_col, *(extra or []), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
