@@ -46,12 +46,24 @@ def hash_uniform(seed: int, *cols) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _range_partitions(df: DataFrame) -> int:
-    """Range partitions for a ranking pass: the shuffle width, capped at four
-    per core (on a cluster the cap is far above any shuffle setting)."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner",
+                   broadcast: bool = False) -> DataFrame:
+    """Join on ``cols`` where null equals null; the columns of ``left`` stay, then the others of ``right``."""
+    cols = list(cols)
+    if not cols:
+        return left.join(F.broadcast(right), how="inner") if how in ("inner", "left") else left.join(right, how=how)
+    renamed = right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(cols)],
+                           *[c for c in right.columns if c not in cols])
+    on = F.lit(True)
+    for i, c in enumerate(cols):
+        on = on & left[c].eqNullSafe(renamed[f"__r{i}"])
+    out = left.join(F.broadcast(renamed) if broadcast else renamed, on, how)
+    return out.drop(*[f"__r{i}" for i in range(len(cols))])
+
+
+def _ranged(df: DataFrame, num_partitions: int | None, cols: Sequence) -> DataFrame:
+    """Range partitions; without an explicit number AQE sizes them by their bytes."""
+    return df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
 
 
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, out: str = "pos",
@@ -60,12 +72,11 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, ou
 
     ``order_cols`` must make the order total inside a group.
     """
-    n = num_partitions or _range_partitions(df)
     group_cols = list(group_cols)
     ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keyed = df.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(ocols)])
     okeys = [f"__o{i}" for i in range(len(ocols))]
-    ranged = (keyed.repartitionByRange(n, *group_cols, *okeys)
+    ranged = (_ranged(keyed, num_partitions, [*group_cols, *okeys])
               .sortWithinPartitions(*group_cols, *okeys)
               .withColumn("__mid", F.monotonically_increasing_id()))
     ranged = (ranged.withColumn("__pid", F.shiftright("__mid", 33))
@@ -81,7 +92,7 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, ou
     counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
     # counts has at most (#partitions + #groups) rows: safe to broadcast when
     # the number of groups is small, otherwise AQE decides at run time.
-    res = ranged.join(counts.drop("__n"), on=[*group_cols, "__pid"], how="inner")
+    res = null_safe_join(ranged, counts.drop("__n"), [*group_cols, "__pid"])
     res = res.withColumn(out, (F.col("__off") + F.col("__li") - F.col("__first")).cast("long"))
     return res.drop("__mid", "__pid", "__li", "__first", "__off", *okeys)
 
@@ -97,12 +108,11 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     group to one task: local running sums per (group, range partition), plus
     the totals of the earlier partitions of the group (a table of at most
     #partitions + #groups rows).  ``order_cols`` must be a total order."""
-    n = num_partitions or _range_partitions(df)
     group_cols = list(group_cols)
     ocols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     okeys = [f"__o{i}" for i in range(len(ocols))]
     d = df.select("*", *[o.alias(k) for o, k in zip(ocols, okeys)])
-    d = keep(d.repartitionByRange(n, *group_cols, *okeys)
+    d = keep(_ranged(d, num_partitions, [*group_cols, *okeys])
              .withColumn("__pid", F.spark_partition_id()))      # one materialisation for both uses
     w = Window.partitionBy(*group_cols, "__pid").orderBy(*okeys).rowsBetween(Window.unboundedPreceding, 0)
     local = (d.withColumn("__cs", F.sum(value_col).over(w))
@@ -111,7 +121,7 @@ def running_sum(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     wo = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*group_cols, "__pid", F.coalesce(F.sum("__ps").over(wo), F.lit(0)).alias("__os"),
                       F.coalesce(F.sum("__pn").over(wo), F.lit(0)).alias("__on"))
-    res = local.join(offs, [*group_cols, "__pid"], "inner")
+    res = null_safe_join(local, offs, [*group_cols, "__pid"])
     res = (res.withColumn(out_sum, F.col("__os") + F.col("__cs"))
            .withColumn(out_n, (F.col("__on") + F.col("__cn")).cast("long")))
     return res.drop("__pid", "__cs", "__cn", "__os", "__on", *okeys)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import arrays as AR
-from veil.functions.ranking import hash_key, hash_uniform, positions
+from veil.functions.ranking import hash_key, hash_uniform, null_safe_join, positions
 
 
 # C1 ---------------------------------------------------------------------------
@@ -41,7 +41,7 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, seed: int = 0,
     d = df.withColumn("__h", hash_key(seed, key_col))
     d = positions(d, [label_col], ["__h", key_col], out="__r")
     n = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__n"))
-    d = d.join(n, label_col)
+    d = null_safe_join(d, n, [label_col])
     n_test = F.ceil(F.col("__n") * F.lit(test_frac))
     n_valid = F.ceil((F.col("__n") - n_test) * F.lit(valid_frac_of_rest))
     split = F.when(F.col("__r") < n_test, "test").when(F.col("__r") < n_test + n_valid, "valid").otherwise("train")
@@ -54,7 +54,7 @@ def label_index(df: DataFrame, label_col: str = "label", out: str = "label_id")
     the label −1 passes through."""
     labels = df.select(label_col).where(F.col(label_col).cast("string") != "-1").distinct()
     idx = positions(labels, [], [label_col], out=out)
-    res = df.join(F.broadcast(idx), label_col, "left")
+    res = df.join(idx, label_col, "left")
     return res.withColumn(out, F.when(F.col(label_col).cast("string") == "-1", F.lit(-1))
                           .otherwise(F.col(out)).cast("int"))
 
@@ -78,4 +78,4 @@ def confusion_matrix(df: DataFrame, pred_col: str, label_col: str) -> DataFrame:
     """Row-normalised (normalize='true') long confusion matrix (y, p, rate)."""
     c = df.groupBy(F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     tot = c.groupBy("y").agg(F.sum("n").alias("__t"))
-    return c.join(F.broadcast(tot), "y").select("y", "p", (F.col("n") / F.col("__t")).alias("rate"))
+    return null_safe_join(c, tot, ["y"]).select("y", "p", (F.col("n") / F.col("__t")).alias("rate"))

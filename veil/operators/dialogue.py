@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veil.constants import CONVO_END, CONVO_START, ROLE_TOKENS, stop_tokens, task_domain_tokens
 from veil.functions import text as T
-from veil.functions.ranking import hash_key, positions
+from veil.functions.ranking import hash_key, null_safe_join, positions
 
 
 # D1 -------------------------------------------------------------------------
@@ -157,7 +157,7 @@ def split_conversations(turns: DataFrame, valid_frac: float = 0.1, test_frac: fl
     ids = ids.withColumn("__h", hash_key(seed, "conversation_id"))
     ranked = positions(ids, ["domain"], ["__h", "conversation_id"], out="__r")
     n = ids.groupBy("domain").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ranked.join(n, "domain")
+    ranked = null_safe_join(ranked, n, ["domain"])
     n_test = F.floor(F.col("__n") * F.lit(test_frac))
     n_valid = F.floor(F.col("__n") * F.lit(valid_frac))
     r = F.col("__r")
@@ -170,8 +170,7 @@ def split_conversations(turns: DataFrame, valid_frac: float = 0.1, test_frac: fl
 # D12 ------------------------------------------------------------------------
 def apply_split_manifest(turns: DataFrame, manifest: DataFrame, split: str | None = None) -> DataFrame:
     m = manifest if split is None else manifest.where(F.col("split") == split)
-    return turns.join(m.select("domain", "split", "conversation_id"),
-                      on=["domain", "conversation_id"], how="inner")
+    return null_safe_join(turns, m.select("domain", "split", "conversation_id"), ["domain", "conversation_id"])
 
 
 # D13 ------------------------------------------------------------------------

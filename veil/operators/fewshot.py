@@ -147,18 +147,22 @@ def segment_ids(template: str) -> list[int]:
 
 
 def expand_template(template: str, num_labels: int = 0, num_demos: int = 0, head: bool = False) -> str:
-    """Replicate the template body per label (``*mask*`` → ``*label_i*``,
-    sentence ids shifted) or per in-context example (``*labelx_i*``)."""
-    def shift(body: str, k: int) -> str:
-        return re.sub(r"(sent[lu]?-?_)(\d+)", lambda m: f"{m.group(1)}{int(m.group(2)) + k}", body)
+    """Replicate the template body per label (``*mask*`` → ``*label_i*``) or per
+    in-context example (``*labelx_i*``).  With n sentences in the template, the
+    i-th copy speaks of the sentences n·(1 + i) … n·(1 + i) + n − 1.  Copies
+    follow the query, which alone keeps ``*cls*``; with ``head`` the in-context
+    copies precede it, the last one first."""
+    body = template.replace("*cls*", "")
+    per_copy = 2 if "_1" in body else 1
+
+    def copy(i: int, word: str) -> str:
+        shifted = re.sub(r"(sent[lu]?-?_)(\d+)", lambda m: f"{m.group(1)}{int(m.group(2)) + per_copy * (1 + i)}", body)
+        return shifted.replace("*mask*", f"*{word}_{i}*")
+
     if num_labels:
-        body = template.replace("*cls*", "")
-        return template + "".join(shift(body, 1).replace("*mask*", f"*label_{i}*") for i in range(num_labels))
-    if num_demos:
-        body = template.replace("*cls*", "")
-        demos = "".join(shift(body, i + 1).replace("*mask*", f"*labelx_{i}*") for i in range(num_demos))
-        return ("*cls*" + demos + body) if head else (template + demos)
-    return template
+        return template + "".join(copy(i, "label") for i in range(num_labels))
+    demos = [copy(i, "labelx") for i in range(num_demos)]
+    return "".join(reversed(demos)) + template if head else template + "".join(demos)
 
 
 # F5 ---------------------------------------------------------------------------
@@ -176,66 +180,66 @@ def fit_length(ids, max_len: int, pad_id: int = 0, truncate_head: bool = False,
 
 
 # F6 ---------------------------------------------------------------------------
+def _unit_rows(vectors) -> np.ndarray:
+    """Vectors as rows of length 1; a zero vector stays zero (similarity 0 to all)."""
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size > 0, size, 1.0)
+
+
 def demo_filter(queries: DataFrame, support: DataFrame, key_col: str, vec_col: str, label_col: str,
-                num_labels: int, rate: float, exclude_self: bool = False, chunk_rows: int = 20000,
-                work_dir: str | None = None) -> DataFrame:
+                num_labels: int, rate: float, exclude_self: bool = False, query_rows: int = 1024,
+                support_rows: int = 8192) -> DataFrame:
     """Per query: cosine similarity to every support row (self excluded when
     ``exclude_self``), descending; keep at most ``int(n // num_labels · rate)``
     per label (n = number of candidates).
 
-    The support table is written once to the shared checkpoint folder; each
-    query task streams it in chunks of ``chunk_rows`` and keeps a running
-    top-k per (query, label) in numpy.  No pair table is ever materialised,
-    nothing passes through the driver, and the result is exact.
+    Blocks of queries meet blocks of support rows (both of bounded size, dealt
+    by a hash of the key).  Each pair of blocks is one matrix product that
+    keeps its best rows per query and label; these are merged by rank.  The
+    result is exact, and what a task holds does not grow with either table.
     """
-    from veil.session import checkpoint_dir
-    spark = queries.sparkSession
     n_support = support.count()
     n_cand = n_support - 1 if exclude_self else n_support
     limit = int(n_cand // num_labels * rate)
-    base = work_dir or checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/demo_support_{abs(hash((key_col, vec_col, n_support, rate))) % 10**9}"
-    support.select(F.col(key_col).alias("sk"), F.col(label_col).alias("sl"),
-                   F.col(vec_col).alias("sv")).write.mode("overwrite").parquet(path)
-
-    def run(it):
-        import pyarrow.dataset as ds
-        sup = ds.dataset(path, format="parquet")
-        for pdf in it:
-            if not len(pdf):
-                continue
-            qk = pdf[key_col].to_numpy()
-            Q = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            Q /= np.linalg.norm(Q, axis=1, keepdims=True)
-            best = {}                                       # label -> (sims q×k, keys q×k)
-            for batch in sup.to_batches(batch_size=chunk_rows):
-                b = batch.to_pandas()
-                S = np.stack(b["sv"].to_numpy()).astype(np.float64)
-                S /= np.linalg.norm(S, axis=1, keepdims=True)
-                sims = Q @ S.T
-                sk = b["sk"].to_numpy()
+    q_blocks = max(1, -(-queries.count() // query_rows))
+    s_blocks = max(1, -(-n_support // support_rows))
+
+    def blocks(df, cols, own, n_own, other, n_other):
+        return df.select(*cols, F.pmod(F.xxhash64(key_col), F.lit(n_own)).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    left = blocks(queries, [key_col, vec_col], "__q", q_blocks, "__s", s_blocks)
+    right = blocks(support, [F.col(key_col), F.col(vec_col), F.col(label_col)], "__s", s_blocks, "__q", q_blocks)
+
+    def best(q, s):
+        parts = []
+        if len(q) and len(s):
+            sims = _unit_rows(q[vec_col]) @ _unit_rows(s[vec_col]).T
+            qk, sk, labels = q[key_col].to_numpy(), s[key_col].to_numpy(), s[label_col].to_numpy()
+            for label in np.unique(labels):
+                cols = np.flatnonzero(labels == label)
+                keys = np.broadcast_to(sk[cols], (len(qk), len(cols)))
+                order = np.lexsort((keys, -sims[:, cols]), axis=1)
                 if exclude_self:
-                    sims = np.where(qk[:, None] == sk[None, :], -np.inf, sims)
-                for lab in np.unique(b["sl"].to_numpy()):
-                    cols = np.where(b["sl"].to_numpy() == lab)[0]
-                    s_new, k_new = sims[:, cols], np.broadcast_to(sk[cols], (len(Q), len(cols)))
-                    if lab in best:
-                        s_new = np.hstack([best[lab][0], s_new])
-                        k_new = np.hstack([best[lab][1], k_new])
-                    # order: similarity desc, key asc; keep the first `limit`
-                    order = np.lexsort((k_new, -s_new), axis=1)[:, :limit]
-                    best[lab] = (np.take_along_axis(s_new, order, 1), np.take_along_axis(k_new, order, 1))
-            rows = []
-            for lab, (s, k) in best.items():
-                for i in range(len(Q)):
-                    for r in range(s.shape[1]):
-                        if np.isfinite(s[i, r]):
-                            rows.append((qk[i], k[i, r], lab, float(s[i, r]), r + 1))
-            yield pd.DataFrame(rows, columns=["query_id", "support_id", "label", "sim", "rank"])
-    out_schema = (f"query_id {queries.schema[key_col].dataType.simpleString()}, "
-                  f"support_id {support.schema[key_col].dataType.simpleString()}, "
-                  f"label {support.schema[label_col].dataType.simpleString()}, sim double, rank int")
-    return queries.select(key_col, vec_col).mapInPandas(run, out_schema)
+                    # self takes no place: moved behind all others, then dropped
+                    own = np.take_along_axis(keys, order, 1) == qk[:, None]
+                    order = np.take_along_axis(order, np.argsort(own, axis=1, kind="stable"), 1)
+                order = order[:, :limit]
+                kept = np.take_along_axis(keys, order, 1).ravel()
+                who = np.repeat(qk, order.shape[1])
+                sim = np.take_along_axis(sims[:, cols], order, 1).ravel()
+                ok = (who != kept) if exclude_self else np.ones(len(who), dtype=bool)
+                parts.append(pd.DataFrame({"query_id": who[ok], "support_id": kept[ok], "label": label, "sim": sim[ok]}))
+        return pd.concat(parts) if parts else pd.DataFrame(
+            {"query_id": q[key_col][:0], "support_id": s[key_col][:0], "label": s[label_col][:0], "sim": []})
+
+    schema = (f"query_id {queries.schema[key_col].dataType.simpleString()}, "
+              f"support_id {support.schema[key_col].dataType.simpleString()}, "
+              f"label {support.schema[label_col].dataType.simpleString()}, sim double")
+    found = left.groupBy("__q", "__s").cogroup(right.groupBy("__q", "__s")).applyInPandas(best, schema)
+    w = Window.partitionBy("query_id", "label").orderBy(F.desc("sim"), "support_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 # F7 / F8 / F9 -------------------------------------------------------------------
@@ -267,7 +271,7 @@ def ensemble_predict(logits: DataFrame, query_col: str, logits_col: str, label_c
     ex = logits.select(query_col, F.posexplode(AR.to_double(logits_col)).alias("pos", "v"))
     mean = ex.groupBy(query_col, "pos").agg(F.avg("v").alias("m"))
     if regression:
-        pred = mean.groupBy(query_col).agg(F.first("m").alias("pred"))
+        pred = mean.groupBy(query_col).agg(F.min_by("m", "pos").alias("pred"))
     else:
         pred = mean.groupBy(query_col).agg(F.max_by("pos", F.struct("m", -F.col("pos"))).alias("pred"))
     if label_col:
@@ -309,9 +313,17 @@ def relabel_splits(split) -> Column:
 
 
 # F14 / F15 / F16 ------------------------------------------------------------------
+def exact_median(df: DataFrame, value_col: str) -> DataFrame:
+    """One row ``(median)`` of the non-null values, selected by distributed rank."""
+    v = df.select(F.col(value_col).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    n = v.count()
+    return positions(v, [], ["__v"], out="__r").where(F.col("__r").isin((n - 1) // 2, n // 2)).agg(
+        F.avg("__v").alias("median"))
+
+
 def binarize_by_median(df: DataFrame, label_col: str) -> DataFrame:
-    med = df.agg(F.median(label_col).alias("__med"))
-    return df.join(F.broadcast(med), how="inner").withColumn(
+    med = exact_median(df, label_col).withColumnRenamed("median", "__med")
+    return df.join(F.broadcast(med), how="inner").withColumn(          # one row
         label_col, (F.col(label_col) > F.col("__med")).cast("int")).drop("__med")
 
 
@@ -340,36 +352,71 @@ def neighbor_words(cands: DataFrame, seeds: DataFrame, word_vecs: DataFrame, k:
     return j if k <= 0 else j.where(F.col("nrank") <= k)
 
 
+_PAIRINGS_AT_ONCE = 4096
+_SUMS = ["n", "hits", "x", "y", "xx", "yy", "xy"]
+
+
 def search_label_words(examples: DataFrame, cands: dict, logits_col: str, label_col: str, top_n: int,
-                       max_pairings: int = 100000) -> DataFrame:
-    """All pairings of one candidate per class; accuracy of the argmax over the
-    pairing's logits; the best ``top_n`` (−1 = all, Q11).  Pairings are a
-    bounded, size-checked literal; each example scores all of them in one
-    higher-order expression, then a grouped average per pairing."""
+                       correlation: bool = False) -> DataFrame:
+    """All pairings of one candidate per class, scored by the accuracy of the
+    argmax over the pairing's logits, or (``correlation``, two classes) by
+    Pearson's r of the second softmax probability (an equal pair: −1); the best
+    ``top_n`` (−1 = all, Q11).
+
+    Pairings are numbered, the last class fastest, and never listed: a task
+    adds up sums per number over its Arrow batches, block by block of numbers,
+    and only these sums are shuffled.
+    """
     classes = sorted(cands)
-    n = 1
-    for c in classes:
-        n *= len(cands[c])
-    if n > max_pairings:
-        raise ValueError(f"{n} pairings exceed the checked bound {max_pairings}")
-    pairings = []
-    for idx in range(n):
-        r, combo = idx, []
-        for c in reversed(classes):
-            combo.append(cands[c][r % len(cands[c])])
-            r //= len(cands[c])
-        pairings.append(list(reversed(combo)))
-    lit = F.array(*[F.array(*[F.lit(int(x)) for x in p]) for p in pairings])
-    lg = AR.to_double(logits_col)
-    correct = F.transform(lit, lambda p: (AR.argmax(F.transform(p, lambda i: F.element_at(lg, i + 1)))
-                                          == F.col(label_col)).cast("double"))
-    ex = examples.select(F.posexplode(correct).alias("pairing", "ok"))
-    acc = ex.groupBy("pairing").agg(F.avg("ok").alias("accuracy"))
-    names = F.array(*[F.lit(",".join(str(x) for x in p)) for p in pairings])
-    acc = acc.withColumn("words", F.element_at(names, F.col("pairing") + 1))
-    w = Window.orderBy(F.desc("accuracy"), "pairing")       # ≤ max_pairings rows
-    acc = acc.withColumn("rank", F.row_number().over(w))
-    return acc if top_n < 0 else acc.where(F.col("rank") <= top_n)
+    words = [np.asarray(cands[c], dtype=np.int64) for c in classes]
+    shape = tuple(len(w) for w in words)
+    total = int(np.prod(shape))
+
+    def score(batches):
+        sums = np.zeros((len(_SUMS), total))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            logits = np.stack(pdf["logits"].to_numpy()).astype(np.float64)
+            y = pdf["label"].to_numpy().astype(np.float64)
+            for a in range(0, total, _PAIRINGS_AT_ONCE):
+                number = np.arange(a, min(a + _PAIRINGS_AT_ONCE, total))
+                picked = [logits[:, w[i]] for w, i in zip(words, np.unravel_index(number, shape))]
+                part = sums[:, a:a + len(number)]
+                part[0] += len(y)
+                if correlation:
+                    x = 1 / (1 + np.exp(picked[0] - picked[1]))
+                    part[2:] += [x.sum(axis=0), np.full(len(number), y.sum()), (x * x).sum(axis=0),
+                                 np.full(len(number), (y * y).sum()), (x * y[:, None]).sum(axis=0)]
+                else:
+                    best, at = picked[0], np.zeros(picked[0].shape, dtype=np.int64)
+                    for k, p in enumerate(picked[1:], 1):
+                        at = np.where(p > best, k, at)          # ties: the first class
+                        best = np.maximum(best, p)
+                    part[1] += (at == y[:, None]).sum(axis=0)
+        if sums[0].any():
+            yield pd.DataFrame({"pairing": np.arange(total), **dict(zip(_SUMS, sums))})
+
+    rows = examples.select(AR.to_double(logits_col).alias("logits"), F.col(label_col).alias("label"))
+    got = rows.mapInPandas(score, "pairing long, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("pairing").agg(
+        *[F.sum(c).alias(c) for c in _SUMS])
+    # the word of each class from the pairing's number
+    picks, rest = [], F.col("pairing")
+    for w in reversed(words):
+        picks.insert(0, F.element_at(F.array(*[F.lit(int(x)) for x in w]), (F.pmod(rest, F.lit(len(w))) + 1).cast("int")))
+        rest = F.floor(rest / len(w))
+    if correlation:
+        cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+        var = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)
+        value = F.when(picks[0] == picks[1], F.lit(-1.0)).otherwise(cov / F.sqrt(var)).alias("correlation")
+        name = "correlation"
+    else:
+        value, name = (F.col("hits") / F.col("n")).alias("accuracy"), "accuracy"
+    out = got.select("pairing", value, F.concat_ws(",", *picks).alias("words"))
+    if top_n >= 0:
+        out = out.orderBy(F.desc(name), "pairing").limit(top_n)            # the limit is the feature
+        return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(name), "pairing")))
+    return positions(out, [], [-F.col(name), F.col("pairing")], out="rank").withColumn("rank", F.col("rank") + 1)
 
 
 # F17 / F18 ------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import arrays as AR
-from veil.functions.ranking import positions
+from veil.functions.ranking import null_safe_join, positions
 
 IGNORE_INDEX = -100
 
@@ -85,7 +85,7 @@ def average_ranks(df: DataFrame, value_col: str, tie_col: str, out: str) -> Data
     """1-based ranks with ties averaged, without a single-partition window."""
     p = positions(df, [], [F.col(value_col), F.col(tie_col)], out="__p")
     avg_rank = p.groupBy(value_col).agg((F.avg("__p") + 1).alias(out))
-    return df.join(avg_rank, value_col)
+    return null_safe_join(df, avg_rank, [value_col])
 
 
 def pearson_spearman(df: DataFrame, x: str, y: str, id_col: str) -> DataFrame:

@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 from veil.constants import REDACTED
 from veil.functions import text as T
+from veil.functions.ranking import null_safe_join
 from veil.session import keep
 
-ARRAY_DICT_LIMIT = 1000  # above this many phrases the exploded form is used
-
 # default thresholds per method (run_redaction)
 DEFAULT_THRESHOLDS = {"key": None, "nb": 0.9, "scores": 0.95, "merged": 0.95}
 
@@ -69,43 +68,36 @@ def redact_keywords_by_domain_col(text, domain, keyword_dict: Mapping[str, Seque
 def redact_keywords(df: DataFrame, keywords, text_col: str = "utterance",
                     out_col: str | None = None, key_cols: Sequence[str] | None = None,
                     domain_col: str | None = None, lo: int = 1, hi: int = 3) -> DataFrame:
-    """R3/R4 on a DataFrame, choosing the physical form by dictionary size.
+    """R3/R4 on a DataFrame; the kind of the dictionary chooses the physical form.
 
-    ``keywords`` is a list (flat), a dict (per domain, needs ``domain_col``) or
-    a DataFrame ``(phrase[, domain])``.  The exploded form needs ``key_cols``
-    that identify a row.
+    ``keywords`` is a list (flat) or a dict (per domain, needs ``domain_col``),
+    both held as an array in the plan, or a DataFrame ``(phrase[, domain])`` of
+    any size, which is joined.  ``key_cols`` is not needed for either: rows are
+    told apart by what the redaction depends on (text and domain).
     """
     out_col = out_col or text_col
-    if isinstance(keywords, DataFrame):
-        kw_df = keywords
-        small = False
-    else:
-        n = (sum(len(v) for v in keywords.values()) if isinstance(keywords, Mapping)
-             else len(keywords))
-        small = n <= ARRAY_DICT_LIMIT
-        kw_df = None
-    if small or key_cols is None:
-        if kw_df is not None:
-            raise ValueError("a dictionary DataFrame needs key_cols (exploded form)")
+    if not isinstance(keywords, DataFrame):
         if isinstance(keywords, Mapping):
             kw = F.coalesce(F.element_at(keyword_map_col(keywords), F.col(domain_col)),
                             F.array().cast("array<string>"))
         else:
             kw = T.lit_array(sorted({k.lower() for k in keywords}))
         return T.redact_df(df, text_col, kw, out_col, lo, hi)
-    if kw_df is None:
-        spark = df.sparkSession
-        if isinstance(keywords, Mapping):
-            kw_df = spark.createDataFrame(
-                [(w.lower(), d) for d, ws in keywords.items() for w in ws], "phrase string, domain string")
-        else:
-            kw_df = spark.createDataFrame([(w.lower(),) for w in keywords], "phrase string")
-    kw_df = kw_df.select(F.lower("phrase").alias("__key"),
-                         *(["domain"] if domain_col and "domain" in kw_df.columns else [])).distinct()
-    join_on = ["__key"] + (["__dom"] if domain_col else [])
-    if domain_col:
-        kw_df = kw_df.withColumnRenamed("domain", "__dom")
-    return redact_exploded(df, kw_df, join_on, text_col, out_col, key_cols, domain_col, lo, hi)
+    by_domain = domain_col is not None and "domain" in keywords.columns
+    kw_df = keywords.select(F.lower("phrase").alias("__key"),
+                            *([F.col("domain").alias("__dom")] if by_domain else [])).distinct()
+    join_on = ["__key"] + (["__dom"] if by_domain else [])
+    return redact_exploded(df, kw_df, join_on, text_col, out_col, domain_col if by_domain else None, lo, hi)
+
+
+ROW_KEY = "__rk"
+
+
+def with_row_key(df: DataFrame, text_col: str, domain_col: str | None = None) -> DataFrame:
+    """Add a key of everything a redaction of the row depends on: its text and,
+    per domain, its domain.  Never null; rows that share it have the same result."""
+    parts = [F.col(text_col).alias("t")] + ([F.col(domain_col).alias("d")] if domain_col else [])
+    return df.withColumn(ROW_KEY, F.unhex(F.md5(F.to_json(F.struct(*parts)).cast("binary"))))
 
 
 def explode_ngrams(df: DataFrame, text_col: str, key_cols: Sequence[str], lo: int, hi: int,
@@ -126,9 +118,10 @@ def fold_collected(df: DataFrame, private: DataFrame, text_col: str, out_col: st
     JVM-side sequential fold (short lists, e.g. sparse dictionary hits).
     Both are exact.
     """
+    # rows with the same key have the same n-grams: a set, not a list
     per_row = private.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("__gpos", "__gram"))).alias("__priv"))
-    joined = df.join(per_row, on=list(key_cols), how="left")
+        F.array_sort(F.collect_set(F.struct("__gpos", "__gram"))).alias("__priv"))
+    joined = null_safe_join(df, per_row, key_cols, "left")
     grams = F.coalesce(F.transform("__priv", lambda s: s["__gram"]), F.array().cast("array<string>"))
     if not multi_pattern:
         return joined.withColumn(out_col, T.fold_replace(text_col, grams)).drop("__priv")
@@ -137,12 +130,12 @@ def fold_collected(df: DataFrame, private: DataFrame, text_col: str, out_col: st
 
 
 def redact_exploded(df: DataFrame, kw_df: DataFrame, join_on: Sequence[str], text_col: str,
-                    out_col: str, key_cols: Sequence[str], domain_col: str | None,
-                    lo: int, hi: int) -> DataFrame:
-    g = explode_ngrams(df, text_col, key_cols, lo, hi, domain_col)
+                    out_col: str, domain_col: str | None, lo: int, hi: int) -> DataFrame:
+    keyed = with_row_key(df, text_col, domain_col)
+    g = explode_ngrams(keyed, text_col, [ROW_KEY], lo, hi, domain_col)
     g = g.withColumn("__key", T.normalise_ngram(F.col("__gram")))
     private = g.join(kw_df, on=list(join_on), how="left_semi")
-    return fold_collected(df, private, text_col, out_col, key_cols, multi_pattern=False)
+    return fold_collected(keyed, private, text_col, out_col, [ROW_KEY], multi_pattern=False).drop(ROW_KEY)
 
 
 # R5 / R6 ----------------------------------------------------------------------
@@ -259,18 +252,22 @@ def class_keywords(vocab_scores: DataFrame, threshold: float, label: str | None
 
 # Decision by a score table ------------------------------------------
 def redact_by_scores(df: DataFrame, scores: DataFrame, threshold: float, text_col: str = "utterance",
-                     out_col: str | None = None, key_cols: Sequence[str] = ("id",),
+                     out_col: str | None = None, key_cols: Sequence[str] | None = None,
                      domain_col: str | None = None, lo: int = 1, hi: int = 2,
                      strict: bool = False, grams: DataFrame | None = None) -> DataFrame:
     """Fold with the decision "class probability passes the threshold".
 
     ``scores(gram, label, prob)``: any class counts, or only the row's domain
     when ``domain_col`` is given (R9/R11 per domain).  NB uses ``>`` (strict),
-    external classifiers ``>=``.  ``grams`` may pass pre-built n-grams (R13).
+    external classifiers ``>=``.  ``grams`` may pass pre-built n-grams (R13),
+    which carry the ``key_cols`` of their row (and ``__dom`` per domain).
     """
     out_col = out_col or text_col
-    key_cols = list(key_cols)
-    g = grams if grams is not None else explode_ngrams(df, text_col, key_cols, lo, hi, domain_col)
+    if grams is None:
+        df = with_row_key(df, text_col, domain_col)
+        g, key_cols = explode_ngrams(df, text_col, [ROW_KEY], lo, hi, domain_col), [ROW_KEY]
+    else:
+        g, key_cols = grams, list(key_cols)
     passes = (F.col("prob") > threshold) if strict else (F.col("prob") >= threshold)
     hot = scores.where(passes).select(F.col("gram").alias("__gram"),
                                       F.col("label").alias("__dom")).distinct()
@@ -278,12 +275,12 @@ def redact_by_scores(df: DataFrame, scores: DataFrame, threshold: float, text_co
         private = g.join(hot, ["__gram", "__dom"], "left_semi")
     else:
         private = g.join(hot.select("__gram").distinct(), ["__gram"], "left_semi")
-    return fold_collected(df, private, text_col, out_col, key_cols)
+    return fold_collected(df, private, text_col, out_col, key_cols).drop(ROW_KEY)
 
 
 def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
                          text_col: str = "utterance", out_col: str | None = None,
-                         key_cols: Sequence[str] = ("id",), domain_col: str | None = None,
+                         domain_col: str | None = None,
                          lo: int | None = None, hi: int | None = None) -> DataFrame:
     """R8 (any class) / R9 (the row's domain) with the count NB model, strict ``>``.
 
@@ -294,7 +291,7 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
     lo = model["lo"] if lo is None else lo
     hi = model["hi"] if hi is None else hi
     out_col = out_col or text_col
-    keys = list(key_cols)
+    df, keys = with_row_key(df, text_col, domain_col), [ROW_KEY]
     g = explode_ngrams(df, text_col, keys, lo, hi, domain_col)
     # a candidate with no in-vocabulary feature gets the prior; when no class's
     # prior passes the threshold such candidates are never private and the
@@ -312,7 +309,7 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
     else:
         hot = probs.where(F.exists("probs", lambda p: p > threshold)).select("__gram")
         private = g.join(hot, ["__gram"], "left_semi")
-    return fold_collected(df, private, text_col, out_col, keys)
+    return fold_collected(df, private, text_col, out_col, keys).drop(ROW_KEY)
 
 
 # Span merging ---------------------------------------------------------
@@ -358,12 +355,16 @@ def merge_spans(token_probs: DataFrame, key_cols: Sequence[str] = ("id",)) -> Da
 
 def redact_merged(df: DataFrame, token_probs: DataFrame, span_scores: DataFrame, threshold: float = 0.95,
                   text_col: str = "utterance", out_col: str | None = None,
-                  key_cols: Sequence[str] = ("id",)) -> DataFrame:
-    """Merged spans are the candidate n-grams, decided by ``span_scores``."""
+                  key_cols: Sequence[str] = ("id",), domain_col: str | None = None) -> DataFrame:
+    """Merged spans are the candidate n-grams, decided by ``span_scores``;
+    with ``domain_col`` only the score for the row's own domain counts."""
     spans = merge_spans(token_probs, key_cols)
     g = spans.select(*key_cols, F.col("span_pos").alias("__gpos"), F.col("span").alias("__gram"))
+    if domain_col:
+        domains = df.select(*key_cols, F.col(domain_col).alias("__dom")).distinct()
+        g = null_safe_join(g, domains, key_cols)
     return redact_by_scores(df, span_scores, threshold, text_col, out_col, key_cols,
-                            None, strict=False, grams=g)
+                            domain_col, strict=False, grams=g)
 
 
 # R14 ------------------------------------------------------------------------------
@@ -380,13 +381,17 @@ def redact_dataset(df: DataFrame, method: str, *, keywords=None, domain: str | N
                    domain_col: str | None = None, scores: DataFrame | None = None,
                    model: dict | None = None, token_probs: DataFrame | None = None,
                    threshold: float | None = None, key_cols: Sequence[str] = ("id",),
-                   text_col: str = "utterance", lo: int = 1, hi: int = 3) -> DataFrame:
+                   text_col: str = "utterance", lo: int = 1, hi: int | None = None,
+                   per_domain: bool = False) -> DataFrame:
     """Null fill, domain tag, redact the text column, other columns untouched,
     domain dropped before writing.
 
     ``method`` ∈ {key, nb, scores, merged} (exact match, Q12).  ``domain`` is a
     constant tag (a file's stem, upper-cased, Q4); ``domain_col`` an existing
-    per-row column.  A dict of keywords redacts per domain, a list with all.
+    per-row column.  A dict of keywords redacts per domain, a list with all;
+    a dictionary table does so by its ``domain`` column.  ``per_domain`` makes
+    the model methods heed the row's own domain only.  N-grams go up to three
+    words for keywords and up to two for scores unless ``hi`` is given.
     """
     if method not in DEFAULT_THRESHOLDS:
         raise ValueError(f"unknown method {method!r}")
@@ -396,13 +401,14 @@ def redact_dataset(df: DataFrame, method: str, *, keywords=None, domain: str | N
     if domain is not None:
         d = d.withColumn("__domain", F.lit(domain.upper()))
         dcol = "__domain"
+    model_domain = dcol if per_domain else None
     if method == "key":
-        out = redact_keywords(d, keywords, text_col,
-                              domain_col=dcol if isinstance(keywords, Mapping) else None, lo=lo, hi=hi)
+        flat = not isinstance(keywords, (Mapping, DataFrame))
+        out = redact_keywords(d, keywords, text_col, domain_col=None if flat else dcol, lo=lo, hi=hi or 3)
     elif method == "nb":
-        out = redact_by_classifier(d, model, thr, text_col, key_cols=key_cols)
+        out = redact_by_classifier(d, model, thr, text_col, domain_col=model_domain)
     elif method == "scores":
-        out = redact_by_scores(d, scores, thr, text_col, key_cols=key_cols, lo=lo, hi=hi)
+        out = redact_by_scores(d, scores, thr, text_col, domain_col=model_domain, lo=lo, hi=hi or 2)
     else:
-        out = redact_merged(d, token_probs, scores, thr, text_col, key_cols=key_cols)
+        out = redact_merged(d, token_probs, scores, thr, text_col, key_cols=key_cols, domain_col=model_domain)
     return out.drop(*[c for c in (dcol,) if c])

@@ -188,15 +188,15 @@ def quadrature(tridiags: DataFrame, mask_negative: bool = False) -> DataFrame:
     """Per draw: eigenvalues of T sorted, weight = squared first eigenvector
     component (``applyInPandas`` per draw).  ``tridiags(draw, alphas, betas)``."""
     def per_draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        a, b = np.asarray(r["alphas"], float), np.asarray(r["betas"], float)
-        T = np.diag(a) + np.diag(b, 1) + np.diag(b, -1)
-        nodes, evecs = np.linalg.eigh(T)
-        idx = np.argsort(nodes)
-        nodes, evecs = nodes[idx], evecs[:, idx]
+        draw, main, off = pdf.iloc[0][["draw", "alphas", "betas"]]
+        order = len(main)
+        band = np.zeros((order, order))
+        band[np.arange(order), np.arange(order)] = main
+        band[np.arange(1, order), np.arange(order - 1)] = off      # eigh reads the lower half
+        eig, vectors = np.linalg.eigh(band)                        # ascending
         if mask_negative:
-            nodes = np.where(nodes < 0, 1.0, nodes)
-        return pd.DataFrame({"draw": r["draw"], "k": np.arange(len(nodes)), "eig": nodes, "weight": evecs[0] ** 2})
+            eig[eig < 0] = 1.0
+        return pd.DataFrame({"draw": draw, "k": np.arange(order), "eig": eig, "weight": np.square(vectors[0])})
     return tridiags.groupBy("draw").applyInPandas(per_draw, "draw long, k long, eig double, weight double")
 
 

@@ -9,15 +9,14 @@ from veil.operators import attack as A
 from veil.operators import dialogue as D
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
-from veil.plans.tables import SQL_TURNS, read, spread, turns
+from veil.plans.tables import SQL_TURNS, read, turns
 
 TARGETS = ["AIRLINE", "MEDIA"]
 REF_SOURCES = [f"src{i}" for i in range(10)]
 
 
 def target_lm(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.col("lang") == "en")
-    return A.fit_ngram_lm(d, "text", 1.0)
+    return A.fit_ngram_lm(read(spark, sf_dir, "documents"), "text", 1.0)
 
 
 def ref_lm(spark, sf_dir):
@@ -33,8 +32,8 @@ def generations(spark, sf_dir):
     nxt = t.select("conversation_id", (F.col("turn") - 1).alias("prompt_idx"), F.col("utterance").alias("__u"))
     g = p.join(nxt, ["conversation_id", "prompt_idx"], "inner")
     gen = F.when(F.col("conversation_id").cast("long") % 7 == 0, F.lit("")).otherwise(F.coalesce("__u", F.lit("")))
-    return spread(g.select(F.concat_ws(":", "conversation_id", F.col("prompt_idx").cast("string")).alias("gen_id"),
-                           "domain", "conversation_id", "prompt_idx", "prompt", gen.alias("gen")))
+    return g.select(F.concat_ws(":", "conversation_id", F.col("prompt_idx").cast("string")).alias("gen_id"),
+                           "domain", "conversation_id", "prompt_idx", "prompt", gen.alias("gen"))
 
 
 SQL_GENS = f"""
@@ -52,7 +51,7 @@ gens AS (
          CASE WHEN CAST(p.conversation_id AS BIGINT) % 7 = 0 THEN '' ELSE coalesce(t.utterance, '') END AS gen
   FROM prompts p JOIN turns t ON t.conversation_id = p.conversation_id AND t.turn - 1 = p.prompt_idx)"""
 
-SQL_LMS = (S.lm_ctes("tlm", "SELECT text FROM documents WHERE lang = 'en'") + "," +
+SQL_LMS = (S.lm_ctes("tlm", "SELECT text FROM documents") + "," +
            S.lm_ctes("rlm", "SELECT text FROM documents WHERE lang = 'en' AND source IN ("
                      + ", ".join(S.q(s) for s in REF_SOURCES) + ")"))
 
@@ -86,7 +85,7 @@ def _results(spark, sf_dir, with_zlib=False):
 
 
 @register("a1_fit_ngram_lm", f"""
-WITH {S.lm_ctes('tlm', "SELECT text FROM documents WHERE lang = 'en'")}
+WITH {S.lm_ctes('tlm', "SELECT text FROM documents")}
 SELECT c.prev, c.c_ctx, count(*) AS n_next, max(p.c_pair) AS max_pair
 FROM tlm_ctx c JOIN tlm_pair p USING (prev) GROUP BY c.prev, c.c_ctx
 """)
@@ -97,12 +96,12 @@ def a1_fit_ngram_lm(spark, sf_dir):
 
 
 @register("a2_perplexity", f"""
-WITH {S.lm_ctes('tlm', "SELECT text FROM documents WHERE lang = 'en'")},
+WITH {S.lm_ctes('tlm', "SELECT text FROM documents")},
 {S.ppl_cte('pp', 'tlm', 'SELECT item_id AS key, text AS t FROM benchmark')}
 SELECT key AS item_id, round(ppl, 6) AS ppl FROM pp
 """)
 def a2_perplexity(spark, sf_dir):
-    b = spread(read(spark, sf_dir, "benchmark"))
+    b = read(spark, sf_dir, "benchmark")
     p = A.perplexity(b, target_lm(spark, sf_dir), "text", ["item_id"])
     return p.select("item_id", F.round("ppl", 6).alias("ppl"))
 

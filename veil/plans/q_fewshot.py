@@ -99,16 +99,39 @@ def f3_render_template(spark, sf_dir):
     return d.select("doc_id", FS.render_template(TEMPLATE, [F.col("s1")]).alias("prompt"))
 
 
+PAIR_TEMPLATE = "*cls**sent_0*?*mask*,*+sentl_1**sep+*"
+
+
+def _sql_pair(first: str, second: str, word: str) -> str:
+    return f"{first} || '?' || '{word}' || ',' || ' ' || lower({second}[1:1]) || {second}[2:] || '</s>'"
+
+
 @register("f4_expand_template", f"""
-SELECT doc_id, '<s>' || s1 || ' It was' || '<mask>' || '.' || '</s>'
-               || s2 || ' It was' || 'great' || '.' || '</s>' || s2 || ' It was' || 'terrible' || '.' || '</s>' AS prompt
+SELECT doc_id, '<s>' || {_sql_pair('s1', 's2', '<mask>')} || {_sql_pair("('A ' || s1)", "('A ' || s2)", 'great')}
+               || {_sql_pair("('B ' || s1)", "('B ' || s2)", 'fair')} || {_sql_pair("('C ' || s1)", "('C ' || s2)", 'terrible')} AS prompt
 FROM {SQL_DOC_SENTS}
 """)
 def f4_expand_template(spark, sf_dir):
-    """The template replicated per label (2 labels); the shifted sentence is the second one."""
-    t = FS.expand_template(TEMPLATE, num_labels=2)
+    """A sentence-pair template replicated per label (three labels): copy i speaks of the i-th demonstration pair."""
+    t = FS.expand_template(PAIR_TEMPLATE, num_labels=3)
+    d = _doc_sents(spark, sf_dir)
+    pairs = [F.col("s1"), F.col("s2")]
+    for mark in "ABC":
+        pairs += [F.concat(F.lit(f"{mark} "), F.col("s1")), F.concat(F.lit(f"{mark} "), F.col("s2"))]
+    return d.select("doc_id", FS.render_template(t, pairs, ["great", "fair", "terrible"]).alias("prompt"))
+
+
+@register("f4_expand_in_context", f"""
+SELECT doc_id, 'B ' || s1 || ' It was' || lang || '.' || '</s>' || 'A ' || s1 || ' It was' || source || '.' || '</s>'
+               || '<s>' || s1 || ' It was' || '<mask>' || '.' || '</s>' AS prompt
+FROM {SQL_DOC_SENTS}
+""")
+def f4_expand_in_context(spark, sf_dir):
+    """Two in-context examples at the head: the later one first, the query last with its ``*cls*``."""
+    t = FS.expand_template(TEMPLATE, num_demos=2, head=True)
     d = _doc_sents(spark, sf_dir)
-    return d.select("doc_id", FS.render_template(t, [F.col("s1"), F.col("s2")], ["great", "terrible"]).alias("prompt"))
+    sents = [F.col("s1"), F.concat(F.lit("A "), F.col("s1")), F.concat(F.lit("B "), F.col("s1"))]
+    return d.select("doc_id", FS.render_template(t, sents, demo_labels=[F.col("source"), F.col("lang")]).alias("prompt"))
 
 
 @register("f5_fit_length", """
@@ -308,6 +331,27 @@ def f16_search_label_words(spark, sf_dir):
                     F.col("rank").cast("long").alias("rank"))
 
 
+@register("f16_search_label_words_corr", f"""
+WITH {SQL_VOCAB64},
+c0 AS (SELECT id AS w0, rank AS r0 FROM likely WHERE label = 0),
+c1 AS (SELECT id AS w1, rank AS r1 FROM likely WHERE label = 1),
+pr AS (SELECT (r0 - 1) * (SELECT count(*) FROM c1) + (r1 - 1) AS pairing, w0, w1 FROM c0, c1),
+ex AS (SELECT CAST(label AS DOUBLE) AS y, CAST(embedding AS DOUBLE[]) AS l FROM embeddings)
+SELECT CAST(pairing AS INTEGER) AS pairing, w0 || ',' || w1 AS words,
+       round(CASE WHEN w0 = w1 THEN -1.0 ELSE corr(1 / (1 + exp(l[w0 + 1] - l[w1 + 1])), y) END, 6) AS correlation
+FROM pr, ex GROUP BY pairing, w0, w1
+""")
+def f16_search_label_words_corr(spark, sf_dir):
+    """Regression (the label as a number): every pairing by the correlation of its second probability."""
+    l = _likely(spark, sf_dir).select("label", "id", "rank").collect()   # ≤ 4 words per class
+    cands = {}
+    for r in sorted(l, key=lambda r: (r["label"], r["rank"])):
+        cands.setdefault(r["label"], []).append(int(r["id"]))
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("y"), "embedding")
+    s = FS.search_label_words(e, cands, "embedding", "y", -1, correlation=True)
+    return s.select(F.col("pairing").cast("int").alias("pairing"), "words", F.round("correlation", 6).alias("correlation"))
+
+
 @register("f17_bounded_label", """
 SELECT vec_id, [round(1 - (label / 2.0) / 5.0, 6), round((label / 2.0) / 5.0, 6)] AS bounded,
        round(((label / 2.0) / 5.0) * 5.0, 6) AS back

@@ -12,7 +12,7 @@ from veil.functions import text as T
 from veil.operators import lmdata as L
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
-from veil.plans.tables import read, spread
+from veil.plans.tables import read
 
 BOS = EOS = "<|endoftext|>"
 
@@ -70,7 +70,7 @@ FROM g WHERE goff // 128 < tot // 128 GROUP BY map_batch, goff // 128
 """)
 def l2_pack_blocks(spark, sf_dir):
     """Documents tokenised with their own vocabulary, packed into 128-token blocks."""
-    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = L.build_vocab(d, "text")
     ids = L.tokenize(d, vocab, "text", ["doc_id"])
     b = L.pack_blocks(ids, "input_ids", "doc_id", 128)

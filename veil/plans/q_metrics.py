@@ -14,7 +14,7 @@ from veil.plans.q_attack import SQL_GENS, generations, target_lm
 from veil.plans.registry import register
 from veil.plans.tables import SQL_TURNS, read, turns
 
-SQL_TLM = S.lm_ctes("tlm", "SELECT text FROM documents WHERE lang = 'en'")
+SQL_TLM = S.lm_ctes("tlm", "SELECT text FROM documents")
 
 
 def _gen_tokens(spark, sf_dir):

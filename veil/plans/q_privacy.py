@@ -224,7 +224,7 @@ def p11_sigma_for(spark, sf_dir):
     p = P.privacy_params(_settings(spark, sf_dir))
     s = p.select(F.col("event_type").alias("setting"), F.lit(8.0).alias("epsilon"), F.lit(DELTA).alias("delta"),
                  "q", "steps")
-    return P.sigma_for(s, orders=[float(o) for o in INT_ORDERS])
+    return P.sigma_for(s)
 
 
 @register("p12_per_step_budget")

@@ -8,14 +8,14 @@ from veil.operators import redaction as R
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
 from veil.functions import text as T
-from veil.plans.tables import SQL_TURNS, TEST_KEYWORDS, read, spread, turns
+from veil.plans.tables import SQL_TURNS, TEST_KEYWORDS, read, turns
 
 FLAT_KEYWORDS = sorted({w for ws in TEST_KEYWORDS.values() for w in ws})
 
 
 def redacted_turns_per_domain(spark, sf_dir):
     """Flagship: per-domain keyword redaction of every turn, then a rate."""
-    t = spread(turns(spark, sf_dir).fillna({"utterance": ""}))
+    t = turns(spark, sf_dir).fillna({"utterance": ""})
     red = R.redact_keywords(t, TEST_KEYWORDS, "utterance", "redacted", domain_col="domain")
     return (red.groupBy("domain")
             .agg(F.count(F.lit(1)).alias("turns"),
@@ -42,7 +42,7 @@ SELECT doc_id, len(g) AS n_grams, g[1] AS first_gram, g[len(g)] AS last_gram
 FROM (SELECT doc_id, {S.ngrams(S.tokens('text'), 1, 3)} AS g FROM documents)
 """)
 def r1_word_ngrams(spark, sf_dir):
-    d = spread(read(spark, sf_dir, "documents"))
+    d = read(spark, sf_dir, "documents")
     return T.with_ngrams(d, "text", 1, 3, out="g").select(
             "doc_id", F.size("g").alias("n_grams"), F.try_element_at("g", F.lit(1)).alias("first_gram"),
             F.try_element_at("g", F.size("g")).alias("last_gram"))
@@ -61,7 +61,7 @@ SQL_FLAT = S.sql_list(LANG_FLAT)
 
 
 def _docs(spark, sf_dir):
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
 
 
 @register("r2_is_keyword", f"""
@@ -85,8 +85,8 @@ def r3_redact_keywords(spark, sf_dir):
 def r3_redact_keywords_exploded(spark, sf_dir):
     """Same fold through explode + join + ordered collect (large-dictionary form)."""
     kw = spark.createDataFrame([(w,) for w in LANG_FLAT], "phrase string")
-    return R.redact_keywords(_docs(spark, sf_dir), kw, "text", "redacted",
-                             key_cols=["doc_id"]).select("doc_id", "redacted")
+    return R.redact_keywords(_docs(spark, sf_dir), kw, "text",
+                             "redacted").select("doc_id", "redacted")
 
 
 SQL_R4 = f"""SELECT doc_id, lang, {S.redact_with_list('text', S.keyword_case('lang', LANG_KEYWORDS))} AS redacted
@@ -139,7 +139,7 @@ FROM conversations
 """)
 def r15_redact_dataset_key(spark, sf_dir):
     """Whole-table redaction job: null fill, domain tag, redact, drop the domain."""
-    c = spread(read(spark, sf_dir, "conversations"))
+    c = read(spark, sf_dir, "conversations")
     dom = F.element_at(F.array(*[F.lit(x) for x in ("AIRLINE", "MEDIA", "INSURANCE")]),
                        (F.col("conv_id") % 3 + 1).cast("int"))
     c = c.withColumn("domain", dom)
@@ -161,7 +161,11 @@ def _nb(spark, sf_dir):
 
 
 def _bench(spark, sf_dir):
-    return spread(read(spark, sf_dir, "benchmark"))
+    """Candidate texts: all turns of the conversations."""
+    return read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), "text")
+
+
+SQL_ITEMS = ("(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS item_id, text FROM conversations)")
 
 
 def _bench_grams(spark, sf_dir):
@@ -169,7 +173,7 @@ def _bench_grams(spark, sf_dir):
     return g
 
 
-SQL_BENCH_GRAMS = f"SELECT unnest({S.ngrams(S.tokens('text'), NB_LO, NB_HI)}) AS t FROM benchmark"
+SQL_BENCH_GRAMS = f"SELECT unnest({S.ngrams(S.tokens('text'), NB_LO, NB_HI)}) AS t FROM {SQL_ITEMS}"
 
 
 @register("r7_nb_score", f"""
@@ -186,12 +190,12 @@ def r7_nb_score(spark, sf_dir):
 WITH {SQL_NB}, {S.nb_score_ctes('SELECT gram AS t FROM nb_vocab', NB_LO, NB_HI)}
 SELECT label, t AS gram, round(prob, 6) AS prob,
        row_number() OVER (PARTITION BY label ORDER BY round(prob, 9) DESC, t) AS rank
-FROM nb_scored WHERE prob > 0.9 AND label = 'de'
+FROM nb_scored WHERE prob > 0.9
 """)
 def r10_class_keywords(spark, sf_dir):
     m = _nb(spark, sf_dir)
     s = R.nb_score(m["vocab"], m, "gram")
-    k = R.class_keywords(s, 0.9, "de")
+    k = R.class_keywords(s, 0.9)
     return k.select("label", "gram", F.round("prob", 6).alias("prob"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -205,11 +209,10 @@ WITH {SQL_NB}, {S.nb_score_ctes(items, NB_LO, NB_HI)},
 """
 
 
-@register("r8_redact_by_classifier", _sql_fold_nb("prob > 0.9", "SELECT item_id, text FROM benchmark", "item_id")
+@register("r8_redact_by_classifier", _sql_fold_nb("prob > 0.9", f"SELECT item_id, text FROM {SQL_ITEMS}", "item_id")
           + "SELECT item_id, redacted FROM folded")
 def r8_redact_by_classifier(spark, sf_dir):
-    out = R.redact_by_classifier(_bench(spark, sf_dir), _nb(spark, sf_dir), 0.9, "text", "redacted",
-                                 key_cols=["item_id"])
+    out = R.redact_by_classifier(_bench(spark, sf_dir), _nb(spark, sf_dir), 0.9, "text", "redacted")
     return out.select("item_id", "redacted")
 
 
@@ -218,18 +221,18 @@ def r8_redact_by_classifier(spark, sf_dir):
           + "SELECT doc_id, lang, redacted FROM folded")
 def r9_redact_by_classifier_domain(spark, sf_dir):
     out = R.redact_by_classifier(_docs(spark, sf_dir), _nb(spark, sf_dir), 0.9, "text", "redacted",
-                                 key_cols=["doc_id"], domain_col="lang")
+                                 domain_col="lang")
     return out.select("doc_id", "lang", "redacted")
 
 
-@register("r11_redact_by_scores", _sql_fold_nb("prob >= 0.95", "SELECT item_id, text FROM benchmark", "item_id")
+@register("r11_redact_by_scores", _sql_fold_nb("prob >= 0.95", f"SELECT item_id, text FROM {SQL_ITEMS}", "item_id")
           + "SELECT item_id, redacted FROM folded")
 def r11_redact_by_scores(spark, sf_dir):
     """External-classifier form: a score table ``(gram, label, prob)``, inclusive ``>=``."""
     scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram") \
         .withColumnRenamed("__gram", "gram")
     out = R.redact_by_scores(_bench(spark, sf_dir), scores, 0.95, "text", "redacted",
-                             key_cols=["item_id"], lo=NB_LO, hi=NB_HI)
+                             lo=NB_LO, hi=NB_HI)
     return out.select("item_id", "redacted")
 
 
@@ -245,7 +248,7 @@ def _token_probs(spark, sf_dir):
 
 SQL_SPANS = f"""
 tok AS (SELECT item_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS tok_pos
-        FROM (SELECT item_id, {S.tokens('text')} AS toks FROM benchmark)),
+        FROM (SELECT item_id, {S.tokens('text')} AS toks FROM {SQL_ITEMS})),
 {S.nb_score_ctes('SELECT token AS t FROM tok', NB_LO, NB_HI)},
 pv AS (SELECT t, list(prob ORDER BY label) AS probs FROM nb_scored GROUP BY t),
 e AS (SELECT item_id, tok_pos, token, probs,
@@ -280,7 +283,7 @@ WITH {SQL_NB}, {SQL_SPANS},
 hot AS (SELECT DISTINCT t FROM sp_scored WHERE prob >= 0.95),
 priv AS (SELECT item_id, list(span ORDER BY span_pos) AS pl FROM spans WHERE span IN (SELECT t FROM hot) GROUP BY item_id)
 SELECT b.item_id, {S.fold('b.text', 'coalesce(p.pl, CAST([] AS VARCHAR[]))')} AS redacted
-FROM benchmark b LEFT JOIN priv p USING (item_id)
+FROM {SQL_ITEMS} b LEFT JOIN priv p USING (item_id)
 """)
 def r13_redact_merged(spark, sf_dir):
     tp = _token_probs(spark, sf_dir)

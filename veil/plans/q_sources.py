@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veil.operators import dialogue as D
 from veil.operators import fewshot as FS
 from veil.operators import lmdata as L
+from veil.functions.ranking import positions
 from veil.plans import sqlfrag as S
 from veil.plans.q_lmdata import dart_examples, e2e_lines, webnlg_entries
 from veil.plans.registry import register
@@ -65,12 +66,12 @@ def s3_read_lines(spark, sf_dir):
 @register("s4_read_prompts", f"""
 WITH t AS ({SQL_TURNS})
 SELECT {S.py_strip("line")} AS value
-FROM (SELECT unnest(string_split('  <_soc_> ' || {S.format_turn(True)} || '  ', chr(10))) AS line FROM t WHERE turn < 3)
+FROM (SELECT unnest(string_split('  <_soc_> ' || {S.format_turn(True)} || '  ', chr(10))) AS line FROM t)
 """)
 def s4_read_prompts(spark, sf_dir):
     """Prompt files (one formatted turn per line) read back stripped."""
     folder = io.scratch(spark, "prompts")
-    t = turns(spark, sf_dir).where(F.col("turn") < 3)
+    t = turns(spark, sf_dir)
     t = t.select(F.concat(F.lit("  <_soc_> "), D.format_turn(True), F.lit("  ")).alias("value"),
                  F.struct("conversation_id", "turn").alias("__o"))
     paths = []
@@ -102,22 +103,19 @@ def s5_read_keywords(spark, sf_dir):
 
 
 @register("s6_split_manifest_roundtrip", """
-SELECT domain, split, count(*) AS n, min(pos) AS min_pos, max(pos) AS max_pos
-FROM (SELECT dom AS domain, CASE WHEN r < floor(n * 0.1) THEN 'test' WHEN r < 2 * floor(n * 0.1) THEN 'valid' ELSE 'train' END AS split,
+SELECT domain, split, CAST(pos AS BIGINT) AS pos, conversation_id
+FROM (SELECT dom AS domain, cid AS conversation_id, CASE WHEN r < floor(n * 0.1) THEN 'test' WHEN r < 2 * floor(n * 0.1) THEN 'valid' ELSE 'train' END AS split,
              CASE WHEN r < floor(n * 0.1) THEN r WHEN r < 2 * floor(n * 0.1) THEN r - floor(n * 0.1) ELSE r - 2 * floor(n * 0.1) END AS pos
-      FROM (SELECT dom, row_number() OVER (PARTITION BY dom ORDER BY md5('0' || ':' || cid), cid) - 1 AS r,
+      FROM (SELECT dom, cid, row_number() OVER (PARTITION BY dom ORDER BY md5('0' || ':' || cid), cid) - 1 AS r,
                    count(*) OVER (PARTITION BY dom) AS n
             FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS cid,
                                   ['AIRLINE', 'MEDIA', 'INSURANCE'][CAST(conv_id % 3 + 1 AS INTEGER)] AS dom FROM conversations)))
-GROUP BY domain, split
 """)
 def s6_split_manifest_roundtrip(spark, sf_dir):
     m = D.split_conversations(turns(spark, sf_dir), 0.1, 0.1, seed=0)
     path = io.scratch(spark, "manifest")
     io.write_split_manifest(m, path)
-    back = io.read_split_manifest(spark, path)
-    return back.groupBy("domain", "split").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos"),
-                                               F.max("pos").alias("max_pos"))
+    return io.read_split_manifest(spark, path)
 
 
 @register("s7_read_glue_tsv", """
@@ -227,6 +225,28 @@ def s12_s18_attack_results_roundtrip(spark, sf_dir):
         F.round(F.sum("target_ppl"), 6).alias("target_sum"))
 
 
+@register("s18_ratio_order", """
+SELECT prompt, CAST(row_number() OVER (ORDER BY round(n_chars / 100.0 / (doc_id + 1.0), 12), doc_id) - 1 AS BIGINT) AS place
+FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS prompt, n_chars FROM documents WHERE doc_id % 7 <> 0)
+""")
+def s18_ratio_order(spark, sf_dir):
+    """The ratio copy of the attack results: rows with a generation, by target over reference perplexity."""
+    d = read(spark, sf_dir, "documents")
+    res = d.select(F.col("doc_id").cast("string").alias("prompt"),
+                   F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("lang")).alias("gen"),
+                   (F.col("n_chars") / 100.0).alias("target_ppl"), (F.col("doc_id") + 1.0).alias("ref_ppl"),
+                   F.lit(2.0).alias("lower_ppl"), F.lit(None).cast("double").alias("zlib"), F.lit(True).alias("success"))
+    folder = io.scratch(spark, "ratio")
+    io.write_attack_results(res, f"{folder}/results.csv", f"{folder}/ratio.csv")
+    back = io.with_line_order(spark.read.schema(io.ATTACK_SCHEMA).option("header", True).csv(f"{folder}/ratio.csv"))
+    # the place in the file; equal ratios (at 1e-12) by the id, as in the twin
+    placed = positions(back, [], io.LINE_ORDER, out="line").withColumn(
+        "ratio", F.round(F.col("target_ppl") / F.col("ref_ppl"), 12))
+    first = placed.groupBy("ratio").agg(F.min("line").alias("first"))
+    within = positions(placed.select("prompt", "ratio", F.col("prompt").cast("long").alias("id")), ["ratio"], ["id"], out="k")
+    return within.join(first, "ratio").select("prompt", (F.col("first") + F.col("k")).alias("place"))
+
+
 @register("s13_read_vectors", """
 SELECT vec_id AS idx, CAST(floor((vec_id - 100) / 64) AS BIGINT) AS batch, label
 FROM embeddings WHERE vec_id >= 100 AND vec_id < 100 + 300
@@ -253,19 +273,23 @@ def s14_read_metric_log(spark, sf_dir):
 
 @register("s15_write_split_text", f"""
 WITH t AS ({SQL_TURNS}),
-c AS (SELECT domain, conversation_id, string_agg({S.format_turn(True)}, ' ' ORDER BY turn) AS text FROM t GROUP BY ALL)
-SELECT CASE WHEN CAST(conversation_id AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS split, lower(domain) AS domain,
-       sum(len(string_split(text, chr(10)))) AS lines
-FROM c GROUP BY ALL
+c AS (SELECT domain, conversation_id, '<_soc_> ' || string_agg({S.format_turn(True)}, ' ' ORDER BY turn) || ' <_eoc_>' AS text FROM t GROUP BY ALL)
+SELECT CASE WHEN CAST(conversation_id AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+       lower(domain) || kind AS name, unnest(string_split(text, chr(10))) AS value
+FROM c, (SELECT unnest(['', '_prompts', '_prompts_full']) AS kind)
 """)
 def s15_write_split_text(spark, sf_dir):
-    """Assembled conversations written as split/domain text folders, read back."""
+    """Assembled conversations written as ``<split>/<domain>{kind}.txt`` for each kind, read back line by line."""
     c = D.assemble_conversations(turns(spark, sf_dir))
     c = c.withColumn("split", F.when(F.col("conversation_id").cast("long") % 5 == 0, "test").otherwise("train"))
     folder = io.scratch(spark, "splits")
-    io.write_split_text(c, folder)
-    back = spark.read.text(folder)
-    return back.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("lines"))
+    out = None
+    for kind in ("", "_prompts", "_prompts_full"):
+        for path in io.write_split_text(c, folder, kind):
+            split, name = path.split("/")[-2:]
+            part = spark.read.text(path).select(F.lit(split).alias("split"), F.lit(name[:-4]).alias("name"), "value")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("s16_write_redacted", f"""

@@ -24,22 +24,11 @@ DOMAINS3 = ["AIRLINE", "MEDIA", "INSURANCE"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when its scan is a single split."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row-local work at least one task per core.
-
-    A plan-time check of the scan's split count: on a cluster reading many
-    files the scan already has thousands of splits and this is a no-op; a
-    single-row-group file (the local test data) is spread round-robin.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    """A driver table.  A table that is a single file is dealt round-robin over
+    the cores (its row group is one task otherwise); one of many files keeps the
+    splits of its scan.  The file list is metadata: no job runs."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

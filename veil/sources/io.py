@@ -3,20 +3,20 @@
 Every reader declares its schema (no inference).  Line order inside text
 files comes from the scan itself: ``_metadata.file_block_start`` orders the
 splits of a file and ``monotonically_increasing_id`` the lines inside a
-split, so "first n lines per file" is a window-group limit, not a pass of a
-whole file through one task.
+split; line numbers are distributed ranks over this order, so no file or
+folder passes through one task.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veil.functions.ranking import positions
 from veil.session import checkpoint_dir
 
 DIALOGUE_SCHEMA = T.StructType([
@@ -64,6 +64,19 @@ def with_line_order(df: DataFrame) -> DataFrame:
 LINE_ORDER = ("file", "__blk", "__mid")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as the scan's metadata spells it (scheme and all)."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hp).toUri().toString()
+
+
+def _same_place(file: Column, path: str) -> Column:
+    """Whether a file is ``path`` or lies in the folder ``path``, however its scheme is written."""
+    plain = path.split(":", 1)[1].lstrip("/")
+    name = F.regexp_replace(file, "^[a-z0-9]+:/*", "")
+    return (name == plain) | name.startswith(plain + "/")
+
+
 # S1 / S2 ----------------------------------------------------------------------
 def domain_from_path(path_col="file", upper: bool = True):
     """Domain = file stem (a Spark output folder named ``<stem>.tsv`` counts as the file)."""
@@ -107,11 +120,8 @@ def read_lines(spark: SparkSession, paths: Sequence[str], max_examples: int | No
     """Text lines, the first n per file, files concatenated in list order →
     (file_idx, line_no, value)."""
     d = with_line_order(spark.read.text(list(paths)))
-    order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(os.path.basename(p.rstrip("/"))), F.lit(i))])
-    d = d.withColumn("file_idx", F.element_at(order, F.regexp_extract("file", r"([^/]+)/[^/]*$", 1)))
-    d = d.withColumn("file_idx", F.coalesce("file_idx", F.element_at(order, F.regexp_extract("file", r"([^/]+)$", 1))))
-    w = Window.partitionBy("file_idx").orderBy(*LINE_ORDER)
-    d = d.withColumn("line_no", F.row_number().over(w) - 1)
+    which = F.coalesce(*[F.when(_same_place(F.col("file"), _qualified(spark, p)), F.lit(i)) for i, p in enumerate(paths)])
+    d = positions(d.withColumn("file_idx", which), ["file_idx"], LINE_ORDER, out="line_no")
     if max_examples is not None:
         d = d.where(F.col("line_no") < max_examples)
     v = F.concat("value", F.lit("\n")) if keep_linebreaks else F.col("value")
@@ -163,15 +173,13 @@ def read_split_manifest(spark: SparkSession, path: str, nested: bool = False) ->
 def read_tsv_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a GLUE TSV with their line number (header is line 0)."""
     d = with_line_order(spark.read.text(path))
-    w = Window.partitionBy("folder").orderBy(*LINE_ORDER)
-    return d.select((F.row_number().over(w) - 1).alias("line_no"), "value")
+    return positions(d, ["folder"], LINE_ORDER, out="line_no").select("line_no", "value")
 
 
 def read_headerless_csv(spark: SparkSession, path: str, n_cols: int) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n_cols)])
     d = with_line_order(spark.read.schema(schema).option("header", False).option("multiLine", False).csv(path))
-    w = Window.partitionBy("folder").orderBy(*LINE_ORDER)
-    return d.withColumn("line_no", F.row_number().over(w) - 1).drop("folder", "file", "__blk", "__mid")
+    return positions(d, ["folder"], LINE_ORDER, out="line_no").drop("folder", "file", "__blk", "__mid")
 
 
 # S9 is lmdata.split_src_tgt over read.text ------------------------------------------
@@ -192,28 +200,22 @@ def read_webnlg(spark: SparkSession, path: str, multi_line: bool = True) -> Data
                     F.element_at("m", (F.col("i") + 1).cast("string")).alias("x")).select("entry_id", "x.*")
 
 
-def _per_partition_documents(df: DataFrame, key_col: str, item: "Column") -> DataFrame:
-    """One JSON document per partition (a group is one partition: bounded by
-    the partition size, never the whole table)."""
-    d = df.select(F.spark_partition_id().alias("__pid"), F.col(key_col).alias("__k"), item.alias("__item"))
-    return d.groupBy("__pid").agg(F.array_sort(F.collect_list(F.struct("__k", "__item"))).alias("__l"))
-
-
 def write_webnlg(entries: DataFrame, path: str, key_col: str = "entry_id") -> None:
-    """The nested reference layout, one document per partition, written one
-    document per line; entries are numbered 1..m inside each document and
-    keep their id in ``eid``."""
+    """The nested reference layout, one document of one entry per line; the
+    entry is number 1 of its document and keeps its id in ``eid``."""
     item = F.struct("lexicalisations", "modifiedtripleset", F.col(key_col).cast("long").alias("eid"))
-    docs = _per_partition_documents(entries, key_col, item)
-    docs = docs.select(F.transform("__l", lambda s, i: F.create_map((i + 1).cast("string"), s["__item"])).alias("entries"))
-    docs.select(F.to_json(F.struct("entries")).alias("value")).write.mode("overwrite").text(path)
+    doc = F.struct(F.array(F.create_map(F.lit("1"), item)).alias("entries"))
+    entries.select(F.to_json(doc).alias("value")).write.mode("overwrite").text(path)
+
+
+def _write_arrays(df: DataFrame, path: str) -> None:
+    """A JSON array of one record per line."""
+    df.select(F.to_json(F.array(F.struct(*df.columns))).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_dart(examples: DataFrame, path: str, key_col: str = "example_id") -> None:
-    """DART layout: a JSON array of examples per partition, one array per line."""
-    item = F.struct(*[c for c in examples.columns])
-    docs = _per_partition_documents(examples, key_col, item)
-    docs.select(F.to_json(F.transform("__l", lambda s: s["__item"])).alias("value")).write.mode("overwrite").text(path)
+def write_dart(examples: DataFrame, path: str) -> None:
+    """DART layout: JSON arrays of examples, one example per line."""
+    _write_arrays(examples, path)
 
 
 def read_dart(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -255,10 +257,9 @@ def read_vectors(spark: SparkSession, path: str, start: int = 0, n: int | None =
 
 
 # S14 ---------------------------------------------------------------------------
-def write_metric_log(log: DataFrame, path: str, key_col: str = "global_step") -> None:
-    """The reference layout: a JSON array of records per partition, one array per line."""
-    docs = _per_partition_documents(log, key_col, F.struct(*log.columns))
-    docs.select(F.to_json(F.transform("__l", lambda s: s["__item"])).alias("value")).write.mode("overwrite").text(path)
+def write_metric_log(log: DataFrame, path: str) -> None:
+    """The reference layout: JSON arrays of records, one record per line."""
+    _write_arrays(log, path)
 
 
 def read_metric_log(spark: SparkSession, path: str, schema: str | None = None,
@@ -270,12 +271,16 @@ def read_metric_log(spark: SparkSession, path: str, schema: str | None = None,
 
 
 # S15 / S16 / S17 ------------------------------------------------------------------
-def write_split_text(df: DataFrame, path: str, kind: str = "") -> None:
-    """``<split>/<domain>{kind}.txt`` as Spark partition folders
-    ``split=<split>/domain=<domain>{kind}``; ``kind`` ∈ {"", "_prompts", "_prompts_full"}."""
-    d = df.withColumn("domain", F.concat(F.lower("domain"), F.lit(kind)))
-    d.select("split", "domain", F.col("text").alias("value")).write.mode("overwrite") \
-        .partitionBy("split", "domain").text(path)
+def write_split_text(df: DataFrame, path: str, kind: str = "") -> list[str]:
+    """``<split>/<domain>{kind}.txt`` (each a folder of part files); returns the
+    paths.  ``kind`` ∈ {"", "_prompts", "_prompts_full"}."""
+    out = []
+    for r in df.select("split", "domain").distinct().orderBy("split", "domain").collect():    # splits × domains
+        target = f"{path}/{r['split']}/{r['domain'].lower()}{kind}.txt"
+        df.where((F.col("split") == r["split"]) & (F.col("domain") == r["domain"])) \
+            .select(F.col("text").alias("value")).write.mode("overwrite").text(target)
+        out.append(target)
+    return out
 
 
 def write_redacted(df: DataFrame, path: str, domain_col: str = "domain") -> None:
