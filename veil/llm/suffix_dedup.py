@@ -205,6 +205,8 @@ def equal_windows(group: np.ndarray, before: list[bytes], after: list[bytes], lo
             cls[order] = np.cumsum(prefix < bytes_needed)
             classes.append(cls)
         on = np.flatnonzero((lo <= offset) & (offset <= hi))
+        if not len(on):
+            continue
         code = classes[0][on] * (n + 1) + classes[1][on]
         sort = np.argsort(code, kind="stable")
         code = code[sort]
