@@ -438,6 +438,8 @@ def op8_pii_crf(spark, sf_dir) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in KINDS])
     written = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
         ":", kinds[s["kind"]], s["start"], s["end"])), ",")
-    return found.select("doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(
-        f"n_{name}") for k, name in enumerate(KINDS)], F.size("added").cast("long").alias("n_added"),
-        F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
+                        F.size("added").cast("long").alias("n_added"),
+                        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+                        written(F.concat("base", "added")).alias("spans"))
