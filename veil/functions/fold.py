@@ -12,17 +12,13 @@ paths give exactly the result of the sequential ``str.replace`` loop.
 
 from __future__ import annotations
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from veil.constants import REDACTED
 
-try:  # optional accelerator; the plain loop is always available
-    import ahocorasick
-except ImportError:  # pragma: no cover
-    ahocorasick = None
-
 
 def _redaction(g: str) -> str:
     return " ".join([REDACTED] * len(g.split(" ")))
@@ -38,7 +34,7 @@ def fold_text(text, grams) -> str | None:
     grams = [] if grams is None else list(grams)
     if not grams:
         return text
-    if ahocorasick is None or any(_unsafe(g) for g in grams):
+    if any(_unsafe(g) for g in grams):
         out = text
         for g in grams:
             out = out.replace(g, _redaction(g))

@@ -230,6 +230,29 @@ def nb_probs(items: DataFrame, model: dict, text_col: str = "gram", space_joined
             .select(F.col("__t").alias(text_col), softmax(jll).alias("probs")))
 
 
+def nb_probs_short(grams: DataFrame, model: dict, text_col: str, include_oov: bool = True) -> DataFrame:
+    """``nb_probs`` of distinct space-joined n-grams of one or two words under a
+    model of 1–2-grams: such an item has at most three features (each word and
+    the pair), so its contributions are three look-ups in place of an explode
+    and a sum."""
+    if (model["lo"], model["hi"]) != (1, 2):
+        raise ValueError("needs a model of 1-2-grams")
+    contrib = model["contrib"]
+    zero = F.array(*[F.lit(0.0)] * len(model["labels"]))
+    items = grams.select(F.col(text_col).alias("__t")).distinct()
+    words = F.split(F.lower("__t"), " ")
+    d = items.select("__t", words[0].alias("__w0"), F.when(F.size(words) == 2, words[1]).alias("__w1"),
+                     F.when(F.size(words) == 2, F.lower("__t")).alias("__w2"))
+    for k in range(3):
+        d = d.join(contrib.select(F.col("gram").alias(f"__w{k}"), F.col("contrib").alias(f"__c{k}")), f"__w{k}", "left")
+    if not include_oov:
+        d = d.where(F.coalesce("__c0", "__c1", "__c2").isNotNull())
+    parts = [F.coalesce(f"__c{k}", zero) for k in range(3)]
+    jll = F.array(*[F.lit(p) + (parts[0][i] + parts[1][i] + parts[2][i]) for i, p in enumerate(model["prior"])])
+    from veil.functions.arrays import softmax
+    return d.select(F.col("__t").alias(text_col), softmax(jll).alias("probs"))
+
+
 def nb_score(items: DataFrame, model: dict, text_col: str = "gram", space_joined: bool = False) -> DataFrame:
     """R7 in long form ``(text, label, prob)``."""
     p = nb_probs(items, model, text_col, space_joined)
@@ -299,7 +322,10 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
     m = max(model["prior"])
     z = sum(math.exp(p - m) for p in model["prior"])
     prior_passes = any(math.exp(p - m) / z > threshold for p in model["prior"])
-    probs = nb_probs(g, model, "__gram", space_joined=True, include_oov=prior_passes)
+    if (model["lo"], model["hi"], lo, hi) == (1, 2, 1, 2):
+        probs = nb_probs_short(g, model, "__gram", include_oov=prior_passes)
+    else:
+        probs = nb_probs(g, model, "__gram", space_joined=True, include_oov=prior_passes)
     if domain_col:
         labels = T.lit_array(model["labels"])
         hot = probs.select("__gram", F.explode(F.filter(
