@@ -34,7 +34,7 @@ from veil.llm import common as C
 
 WINDOW = 10
 SAMPLE = 8                      # every SAMPLE-th suffix position is stored
-BLOCK_BYTES = 16 << 20          # benchmark text searched in one pass
+BLOCK_BYTES = 1 << 20           # benchmark text searched in one pass
 SHARD_WORDS = 1_000_000         # indexed words of a shard
 SHARD_SLICES = 4                # slices of C.SLICE_BYTES text of a shard
 _SEPARATOR, _FIRST = 1, 2       # symbol 0 ends the text

@@ -31,6 +31,7 @@ from veil.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 64
+LONGEST = 5_000                     # tokens decoded together; a longer stretch goes in parts
 MAX_LABELLED = 5_000                # rows of the labelled table
 _DIGITS = {"email": (0, 40), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
@@ -341,8 +342,7 @@ def field_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int
     for k, text in enumerate(texts):
         for a, b in _stretches(text):
             spans = _tokens(text, a, b)
-            if spans:
-                todo.append((k, spans))
+            todo += [(k, spans[i:i + LONGEST]) for i in range(0, len(spans), LONGEST)]
     todo.sort(key=lambda x: len(x[1]))
     at = 0
     while at < len(todo):
