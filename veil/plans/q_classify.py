@@ -9,15 +9,14 @@ from veil.plans import sqlfrag as S
 from veil.plans.registry import register
 from veil.plans.tables import read
 
-LANGS = ["de", "en", "es", "fr"]
-
 
 @register("c1_label_union", """
 SELECT lang AS label, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang
 """)
 def c1_label_union(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    u = C.label_union({l: d.where(F.col("lang") == l).select("doc_id", "n_chars") for l in LANGS})
+    langs = [r[0] for r in d.select("lang").distinct().orderBy("lang").collect()]      # the label set: small
+    u = C.label_union({l: d.where(F.col("lang").eqNullSafe(F.lit(l))).select("doc_id", "n_chars") for l in langs})
     return u.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
