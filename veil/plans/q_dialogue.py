@@ -118,14 +118,12 @@ def d11_split_manifest(spark, sf_dir):
 
 
 @register("d12_apply_split_manifest", f"""
-SELECT m.split, t.domain, count(*) AS turns, count(DISTINCT t.conversation_id) AS conversations
+SELECT m.split, t.domain, t.conversation_id, t.turn, t.utterance
 FROM {SQL_DEDUP} t JOIN {SQL_MANIFEST} m USING (domain, conversation_id)
-GROUP BY m.split, t.domain
 """)
 def d12_apply_split_manifest(spark, sf_dir):
     t = D.apply_split_manifest(_dedup(spark, sf_dir), _manifest(spark, sf_dir))
-    return t.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("turns"),
-                                            F.countDistinct("conversation_id").alias("conversations"))
+    return t.select("split", "domain", "conversation_id", "turn", "utterance")
 
 
 @register("d10_prompts_of_first_k", f"""

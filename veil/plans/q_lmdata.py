@@ -212,6 +212,38 @@ def l14_pad_batch(spark, sf_dir):
     return out.select("p_partkey", "batch", "b_input_ids", "b_labels")
 
 
+@register("l14_pad_batch_modes", f"""
+WITH {SQL_E2E},
+x AS (SELECT p_partkey, input_ids, sep_id, (row_number() OVER (ORDER BY p_partkey) - 1) // 8 AS batch FROM ids, sep),
+y AS (SELECT p_partkey, batch, input_ids, input_ids[: list_position(input_ids, sep_id) - 1] AS src_ids,
+             input_ids[list_position(input_ids, sep_id) :] AS tgt_ids, input_ids[: p_partkey % 3 + 1] AS cat_ids FROM x),
+m AS (SELECT mode, p_partkey, batch, CASE WHEN mode IN ('peek', 'cat') THEN input_ids ELSE tgt_ids END AS a,
+             CASE WHEN mode = 'cat' THEN cat_ids ELSE src_ids END AS s, CASE WHEN mode = 'infix' THEN cat_ids ELSE NULL END AS c
+      FROM y, (SELECT unnest(['peek', 'nopeek', 'cat', 'infix']) AS mode)),
+w AS (SELECT *, max(len(a)) OVER v AS ma, max(len(s)) OVER v AS ms, max(len(c)) OVER v AS mc FROM m
+      WINDOW v AS (PARTITION BY mode, batch)),
+p AS (SELECT mode, p_partkey, list_concat(a, list_transform(range(ma - len(a)), lambda i: 0)) AS b_input_ids,
+             list_concat(s, list_transform(range(ms - len(s)), lambda i: 0)) AS b_src,
+             CASE WHEN c IS NOT NULL THEN list_concat(c, list_transform(range(mc - len(c)), lambda i: 0)) END AS b_cate FROM w)
+SELECT *, list_transform(b_input_ids, lambda v: CASE WHEN v = 0 THEN -100 ELSE v END) AS b_labels FROM p
+""")
+def l14_pad_batch_modes(spark, sf_dir):
+    """All four modes on the same batches of 8 lines (labels are the input ids here)."""
+    from veil.functions.ranking import positions
+    d = _e2e_ids(spark, sf_dir)
+    src, tgt = L.split_at_separator("input_ids", F.col("sep_id"))
+    d = d.select("p_partkey", "input_ids", F.col("input_ids").alias("labels"), src.alias("src_ids"), tgt.alias("tgt_ids"),
+                 F.slice("input_ids", 1, (F.col("p_partkey") % 3 + 1).cast("int")).alias("cat_ids"))
+    d = positions(d, [], ["p_partkey"], out="__r").withColumn("batch", F.floor(F.col("__r") / 8).cast("long"))
+    out = None
+    for mode in L.PAD_COLUMNS:
+        p = L.pad_batch(d, "batch", mode)
+        cate = F.col("b_cate") if "b_cate" in p.columns else F.lit(None).cast(p.schema["b_src"].dataType)
+        p = p.select(F.lit(mode).alias("mode"), "p_partkey", "b_input_ids", "b_src", cate.alias("b_cate"), "b_labels")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 @register("l15_mlm_mask")
 def l15_mlm_mask(spark, sf_dir):
     d = _e2e_ids(spark, sf_dir)

@@ -227,12 +227,21 @@ def p11_sigma_for(spark, sf_dir):
     return P.sigma_for(s)
 
 
-@register("p12_per_step_budget")
+@register("p12_per_step_budget", f"""
+WITH RECURSIVE s AS (SELECT event_type, floor(count(*) / 100)::DOUBLE AS t FROM events GROUP BY event_type),
+b AS (SELECT event_type, t, {DELTA} / (t + 1) AS d, 1e-6::DOUBLE AS lo, 5.0::DOUBLE AS hi FROM s
+      UNION ALL
+      SELECT event_type, t, d, CASE WHEN big THEN lo ELSE mid END, CASE WHEN big THEN mid ELSE hi END
+      FROM (SELECT *, mid * (sqrt(-2 * t * ln(d)) + t * (exp(mid) - 1)) > 1.0 AS big
+            FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE hi - lo > 1e-4)))
+SELECT event_type, round(lo, 6) AS per_step_epsilon, round(d, 12) AS per_step_delta FROM b WHERE hi - lo <= 1e-4
+""")
 def p12_per_step_budget(spark, sf_dir):
     ev = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     b = ev.select("event_type", P.per_step_budget_udf(F.lit(1.0), F.lit(DELTA),
                                                       F.floor(F.col("n") / 100).cast("long")).alias("b"))
-    return b.select("event_type", "b.*")
+    return b.select("event_type", F.round("b.per_step_epsilon", 6).alias("per_step_epsilon"),
+                    F.round("b.per_step_delta", 12).alias("per_step_delta"))
 
 
 @register("p13_gaussian_variance", f"""
@@ -281,17 +290,18 @@ def p16_redaction_schedule(spark, sf_dir):
 
 @register("p17_mix_batches", f"""
 WITH s AS (SELECT event_id AS step, (SELECT count(*) FROM events)::DOUBLE AS T FROM events),
-nb AS (SELECT CAST(ceil(count(*) / 16.0) AS BIGINT) AS n FROM conversations)
+nb AS (SELECT CAST(ceil(count(*) / 16.0) AS BIGINT) AS n, CAST(ceil(count(*) / 24.0) AS BIGINT) AS p FROM conversations)
 SELECT step, ((T - step) / T) > 0 AND {S.hash_uniform(0, 'step')} < (T - step) / T AS redacted,
-       CAST(step % (SELECT n FROM nb) AS BIGINT) AS private_batch, CAST(step % (SELECT n FROM nb) AS BIGINT) AS public_batch
+       CAST(step % (SELECT n FROM nb) AS BIGINT) AS private_batch, CAST(step % (SELECT p FROM nb) AS BIGINT) AS public_batch
 FROM s
 """)
 def p17_mix_batches(spark, sf_dir):
-    """Steps = events; both streams are the 16-turn batches of the conversations."""
+    """Steps = events; the private stream has batches of 16 turns, the public one of 24."""
     ev = read(spark, sf_dir, "events")
     T = ev.count()
-    n_batches = math.ceil(read(spark, sf_dir, "conversations").count() / 16)
-    m = P.mix_batches(ev.select(F.col("event_id").alias("step")), n_batches, n_batches, "linear", T, seed=0)
+    turns_n = read(spark, sf_dir, "conversations").count()
+    m = P.mix_batches(ev.select(F.col("event_id").alias("step")), math.ceil(turns_n / 24), math.ceil(turns_n / 16),
+                      "linear", T, seed=0)
     return m.select("step", ((F.col("p") > 0) & F.col("redacted")).alias("redacted"),
                     F.col("private_batch").cast("long").alias("private_batch"),
                     F.col("public_batch").cast("long").alias("public_batch"))
