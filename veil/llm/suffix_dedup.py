@@ -110,12 +110,19 @@ def _context_batches(batches):
                     pa.array(np.concatenate(c)) for c in zip(*rows))], ["key", "g", "u", "at"])
 
 
+def _pack_batches(batches):
+    for batch in batches:
+        for part in C.slices(batch, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(
+                C.pack(C.bytes_of(part, 2)), pa.binary())], ["id", "key", "packed"])
+
+
 def _piece_batches(batches):
     """Pieces of the wanted contexts of each text."""
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("lead", "core", "before", "after", "lo", "hi", "part", "g", "u", "n")}
         held = 0
-        for text, wanted in zip(C.bytes_of(batch, 0), batch.column(1).to_pylist()):
+        for text, wanted in zip(map(C.unpack, batch.column("packed").to_pylist()), batch.column("wanted").to_pylist()):
             for row in wanted:
                 start, count, far = _unpack(row["at"])
                 anchor, near = start + far, far - count + 1
@@ -260,16 +267,17 @@ def _solve(table: pa.Table):
 
 
 def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(id, key, text) of every row, and (key, windows): the repeated windows of a key as start ranges."""
+    """(id, key, packed) of every row, and (key, windows): the repeated windows of a key as start ranges."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), text.alias("text")).select(
         "id", F.xxhash64(F.col("id").cast("string"), "text").alias("key"), "text")
     found = keep(docs.select("key", "text").mapInArrow(_context_batches, "key long, g long, u long, at long"))
+    packed = docs.mapInArrow(_pack_batches, f"id {docs.schema['id'].dataType.simpleString()}, key long, packed binary")
     kinds = found.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
     wanted = kinds.join(mixed, "g").select("one.key", F.struct("g", "u", "n", "one.at").alias("w"))
-    pieces = (docs.select("key", "text").join(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "key")
-              .select("text", "wanted").mapInArrow(_piece_batches, _PIECES))
+    pieces = (packed.join(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "key")
+              .select("packed", "wanted").mapInArrow(_piece_batches, _PIECES))
     some = (pieces.repartitionByRange("lead", "core").sortWithinPartitions("lead", "core")
             .mapInArrow(_bucket_batches, "g long, u long, near int, far int"))
     whole = kinds.where("n > 1").select("g", "u", F.lit(0).alias("near"), F.lit(511).alias("far"))
@@ -277,13 +285,13 @@ def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     anchor = F.shiftright("at", 18) + far
     hits = found.join(whole.unionByName(some), ["g", "u"]).select(
         "key", (anchor - F.least("far", far)).alias("first"), (anchor - F.greatest("near", far - count + 1)).alias("last"))
-    return docs, hits.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    return packed, hits.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
 
 
 def _cut_batches(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in C.slices(whole, 1, C.SLICE_BYTES // 2)):
         figures = []
-        for text, windows in zip(C.bytes_of(batch, 1), batch.column(2).to_pylist()):
+        for text, windows in zip(map(C.unpack, batch.column("packed").to_pylist()), batch.column("windows").to_pylist()):
             spans: list[list[int]] = []
             for w in sorted((w["first"], w["last"] + LENGTH) for w in windows or ()):
                 if spans and w[0] <= spans[-1][1]:
@@ -307,7 +315,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """(id_col, n_bytes, spans, kept): removed byte spans and the bytes that stay, of every row."""
     docs, windows = repeated_spans(df, text_col, id_col)
     kind = docs.schema["id"].dataType.simpleString()
-    return (docs.join(windows, "key", "left").select("id", "text", "windows")
+    return (docs.join(windows, "key", "left").select("id", "packed", "windows")
             .mapInArrow(_cut_batches, f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
             .withColumnRenamed("id", id_col))
 
