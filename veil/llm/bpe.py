@@ -300,8 +300,15 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
             .withColumnRenamed("id", id_col))
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(data: bytes) -> list[bytes]:
+    """Token bytes by id: all that decoding needs of a rank file."""
+    ids = {int(b): base64.b64decode(a) for a, b in (line.split() for line in data.splitlines() if line)}
+    return [ids.get(i, b"") for i in range(max(ids) + 1)]
+
+
 def _decode_batches(batches, ranks):
-    table = _ranks(ranks.value).bytes.__getitem__
+    table = _token_bytes(ranks.value).__getitem__
     for batch in batches:
         ids = batch.column(1)
         values = ids.flatten().to_numpy(zero_copy_only=False)
