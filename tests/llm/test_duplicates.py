@@ -108,6 +108,55 @@ def test_classes_of_the_documents(spark):
     assert got == brute_classes(texts)
 
 
+def template_family(slopes=6, q=13):
+    """Linked pairs of texts of one template whose base text is absent; texts of two pairs are no link.
+
+    Edits stand at the points of lines, and two lines meet once at most: a pair shares
+    one edit (similarity 0.82), texts of two pairs one place of an edit at most (0.79).
+    """
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(8))
+    base, texts = [word() for _ in range(300)], []
+    for b in range(q):
+        for a in range(slopes):
+            if a % 2 == 0:
+                shared = word()
+            copy = list(base)
+            for x in range(4):
+                copy[5 + 5 * (x * q + (a * x + b) % q)] = word() if x else shared
+            texts.append(" ".join(copy))
+    return dict(enumerate(texts))
+
+
+def test_links_inside_a_family_without_its_base(spark, monkeypatch):
+    texts = template_family()
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 39
+    # the worst draw: no wave meets a linked pair
+    drawn = near_dup.between_components
+    monkeypatch.setattr(near_dup, "between_components", lambda *a: drawn(*a).where("false"))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == want
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_prefix_pairs_hold_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "_BLOCK", block)
+    texts = template_family(4) | {100 + i: t for i, t in planted().items() if t and len(t.split()) > 4 and i < 74}
+    prints = {hashlib.md5(" ".join(t.lower().split()).encode()).digest(): t.lower().encode().split()
+              for t in texts.values()}
+    df = spark.createDataFrame([(t,) for t in texts.values()], "text string")
+    packed = df.mapInArrow(near_dup._print_batches, "print binary, packed binary").dropDuplicates(["print"])
+    members = packed.selectExpr("1L as key", "print")
+    rank = members.selectExpr("print", "0L as rank")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dup.prefix_pairs(
+        near_dup.rarest_prefixes(members, roots, rank, packed)).collect()}
+    sets = {p: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for p, w in prints.items()}
+    linked = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert linked and linked <= got
+
+
 def brute_removal(texts, length=400):
     seen = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
