@@ -61,6 +61,18 @@ def test_field_finds_unseen_forms_and_leaves_prose(model):
     assert pii.find_spans(clean, model)[1] == [[]] * len(clean)
 
 
+def test_long_stretches_are_decoded_whole(model, monkeypatch):
+    text = " ".join(f"{k} call (212) 555-01{k % 90 + 10} or ann [at] host{k} [dot] org, 12-34-56" for k in range(40))
+    tokens = pii._tokens(text)
+    whole = pii.field_spans([text], model)[0]
+    labels = pii.viterbi(model, [(text, tokens)])[0]
+    assert len(whole) >= 80
+    for longest in (1, 2, 7, 50, len(tokens) - 1):
+        monkeypatch.setattr(pii, "LONGEST", longest)
+        assert pii.field_spans([text], model)[0] == whole
+        assert (pii.viterbi_long(model, text, tokens) == labels).all()
+
+
 def test_pii_query_and_redaction(spark, model):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op8_pii_crf"](spark, SF).collect():

@@ -31,7 +31,7 @@ from veil.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 64
-LONGEST = 5_000                     # tokens decoded together; a longer stretch goes in parts
+LONGEST = 5_000                     # tokens whose features are held together; a longer stretch goes on from block to block
 MAX_LABELLED = 5_000                # rows of the labelled table
 _DIGITS = {"email": (0, 40), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
@@ -323,6 +323,30 @@ def viterbi(model: Model, texts_spans) -> list[np.ndarray]:
     return [out[k, :m] for k, m in enumerate(lens.tolist())]
 
 
+def viterbi_long(model: Model, text: str, spans) -> np.ndarray:
+    """Best labels of one long sequence, as ``viterbi``: the scores go on from block to block."""
+    back = np.zeros((len(spans), _L), dtype=np.int8)
+    score = None
+    for i in range(0, len(spans), LONGEST):
+        # features look at two tokens on each side
+        low, j = max(0, i - 2), min(len(spans), i + LONGEST)
+        shape, word, glue, _ = _rows([(text, spans[low:j + 2])], model.words)
+        feats, _ = _features(shape, word, glue)
+        emit = sum(p[f[0, i - low:j - low]] for p, f in zip(model.tables, feats))
+        for t in range(i, j):
+            if score is None:
+                score = model.first + emit[0]
+                continue
+            step = score[:, None] + model.trans
+            back[t] = step.argmax(axis=0)
+            score = step.max(axis=0) + emit[t - i]
+    out = np.zeros(len(spans), dtype=np.int64)
+    out[-1] = score.argmax()
+    for t in range(len(spans) - 1, 0, -1):
+        out[t - 1] = back[t, out[t]]
+    return out
+
+
 def _stretches(text: str) -> list[tuple[int, int]]:
     """Stretches within REACH of a digit or at sign, out to the next blank."""
     out = []
@@ -342,7 +366,10 @@ def field_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int
     for k, text in enumerate(texts):
         for a, b in _stretches(text):
             spans = _tokens(text, a, b)
-            todo += [(k, spans[i:i + LONGEST]) for i in range(0, len(spans), LONGEST)]
+            if len(spans) > LONGEST:
+                found[k] += _label_spans(spans, viterbi_long(model, text, spans).tolist())
+            else:
+                todo.append((k, spans))
     todo.sort(key=lambda x: len(x[1]))
     at = 0
     while at < len(todo):
