@@ -193,6 +193,40 @@ def test_repeated_strings(spark, tmp_path, monkeypatch):
     assert got == dict(enumerate(brute_removal([(t or "").encode() for t in texts])))
 
 
+@pytest.mark.parametrize("group", [3, 10_000])
+def test_frequent_cores_are_not_held(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "_ROWS_AT_ONCE", 40)
+    monkeypatch.setattr(suffix_dedup, "_GROUP", group)
+    rnd = random.Random(14)
+    filler = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = filler(450)
+    texts = [filler(rnd.randrange(20, 300)) + passage[rnd.randrange(30):rnd.randrange(420, 451)] + filler(200)
+             for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+           for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_removal([t.encode() for t in texts])))
+
+
+def test_a_task_holds_a_bounded_group(monkeypatch):
+    """A core of many pieces leaves the task as hashes while it is read, in bounded parts."""
+    monkeypatch.setattr(suffix_dedup, "_ROWS_AT_ONCE", 40)
+    monkeypatch.setattr(suffix_dedup, "_GROUP", 10)
+    sizes = []
+    solve = suffix_dedup.equal_windows
+    monkeypatch.setattr(suffix_dedup, "equal_windows", lambda group, *a: sizes.append(len(group)) or solve(group, *a))
+
+    def pieces():
+        for core in (b"a", b"b", b"c"):
+            for k in range(20 if core == b"b" else 2):
+                yield suffix_dedup._pieces({"lead": [core] * 20, "core": [core] * 20, "before": [b""] * 20, "after": [
+                    bytes([k, j]) + b"x" * 90 for j in range(20)], "lo": [0] * 20, "hi": [0] * 20, "part": [0] * 20,
+                    "g": [1] * 20, "u": list(range(20 * k, 20 * k + 20)), "n": [1] * 20})
+
+    rows = sum(b.num_rows for b in suffix_dedup._bucket_batches(pieces()))
+    assert rows == 480 and not sizes
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     rnd = random.Random(6)
     text = bytes(rnd.randrange(97, 101) for _ in range(9_000))

@@ -33,6 +33,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ STEP = 93                   # windows of a piece
 _SEGMENT = 1 << 20          # windows looked at together
 _PLACE = np.uint64((1 << 24) - 1)
 _ROWS_AT_ONCE = 20_000
+_GROUP = 10_000             # pieces of one core that are sorted together; windows of more are counted as hashes
+_PIECES_HASHED = 500
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -224,28 +227,88 @@ def equal_windows(group: np.ndarray, before: list[bytes], after: list[bytes], lo
 
 
 def _bucket_batches(batches):
-    """Repeated windows of the pieces of a bucket, which come sorted by their leading tokens."""
+    """Repeated windows of the pieces of a task, which come sorted by their leading tokens.
+
+    The first and last group of a task may go on in another one, and a group of
+    more than ``_GROUP`` pieces is not held: of these the windows are handed on
+    as hashes, which are counted over all tasks.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
+    open_core = None                    # pieces of this core are handed on
     for batch in batches:
         if not batch.num_rows:
             continue
+        if open_core is None:
+            open_core = batch.column("core")[0].as_py()
         held.append(batch)
         rows += batch.num_rows
         if rows < _ROWS_AT_ONCE:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
-        core = whole.column("core").to_pylist()
-        # the last group may go on in the next batch
-        cut = len(core) - 1
-        while cut and core[cut - 1] == core[-1]:
-            cut -= 1
-        if cut:
-            yield from _solve(whole.slice(0, cut))
-        held = whole.slice(cut).to_batches()
-        rows = len(core) - cut
+        starts = _group_starts(whole)
+        cut = starts[-1]
+        # the last group goes on in the next batch or task
+        if rows - cut > _GROUP:
+            yield from _groups(whole, starts, {open_core, last := whole.column("core")[cut].as_py()})
+            open_core, held, rows = last, [], 0
+        else:
+            yield from _groups(whole.slice(0, cut), starts[:-1], {open_core})
+            held, rows = whole.slice(cut).to_batches(), rows - cut
     if held:
-        yield from _solve(pa.Table.from_batches(held))
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield from _groups(whole, _group_starts(whole), {open_core, whole.column("core")[rows - 1].as_py()})
+
+
+def _group_starts(table: pa.Table) -> list[int]:
+    core = table.column("core")
+    differ = np.asarray(pc.not_equal(core.slice(1), core.slice(0, len(core) - 1)))
+    return [0, *(np.flatnonzero(differ) + 1).tolist()]
+
+
+def _groups(table: pa.Table, starts: list[int], handed_on: set):
+    """Groups that are whole are sorted together; the others are handed on."""
+    at = 0
+    core = table.column("core")
+    for a, b in zip(starts, [*starts[1:], table.num_rows]):
+        if b - a > _GROUP or core[a].as_py() in handed_on:
+            if at < a:
+                yield from _solve(table.slice(at, a - at))
+            for k in range(a, b, _PIECES_HASHED):
+                yield _window_hashes(table.slice(k, min(b - k, _PIECES_HASHED)))
+            at = b
+    if at < table.num_rows:
+        yield from _solve(table.slice(at))
+
+
+def _window_hashes(table: pa.Table) -> pa.RecordBatch:
+    """(g, u, near, far, n, window) of every window of the pieces; near and far are its offset."""
+    where, offsets, hashes = [], [], []
+    columns = [table.column(c).to_pylist() for c in ("core", "before", "after", "lo", "hi", "part")]
+    for k, (core, before, after, lo, hi, part) in enumerate(zip(*columns)):
+        for offset in range(lo, hi + 1):
+            # the bytes a window has before and after the shared ones
+            text = core + before[len(before) - offset:] + after[:STEP - 1 - offset]
+            where.append(k)
+            offsets.append(part * STEP + offset)
+            hashes.append(xxhash.xxh64_intdigest(text))
+    at = np.array(where, dtype=np.int64)
+    offset = pa.array(offsets, pa.int32())
+    return pa.RecordBatch.from_arrays([
+        *(pa.array(np.asarray(table.column(c))[at]) for c in ("g", "u")), offset, offset,
+        pa.array(np.asarray(table.column("n"))[at]), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))],
+        ["g", "u", "near", "far", "n", "window"])
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """(g, u, near, far): runs of the windows that were handed on and stand twice or more."""
+    handed = found.where("window is not null")
+    twice = handed.groupBy("g", "near", "window").agg(F.count("*").alias("pieces")).where("pieces > 1")
+    offsets = handed.where("n = 1").join(twice, ["g", "near", "window"]).groupBy("g", "u").agg(
+        F.array_sort(F.collect_set("near")).alias("o"))         # at most LENGTH of a context
+    return offsets.select("g", "u", F.explode(F.arrays_zip(
+        F.filter("o", lambda x: ~F.array_contains("o", x - 1)).alias("near"),
+        F.filter("o", lambda x: ~F.array_contains("o", x + 1)).alias("far"))).alias("r")).select("g", "u", "r.near", "r.far")
 
 
 def _solve(table: pa.Table):
@@ -263,7 +326,8 @@ def _solve(table: pa.Table):
     base = np.asarray(table.column("part"))[row] * STEP
     yield pa.RecordBatch.from_arrays([
         pa.array(np.asarray(table.column("g"))[row]), pa.array(np.asarray(table.column("u"))[row]),
-        pa.array((base + first).astype(np.int32)), pa.array((base + last - 1).astype(np.int32))], ["g", "u", "near", "far"])
+        pa.array((base + first).astype(np.int32)), pa.array((base + last - 1).astype(np.int32)),
+        pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64())], ["g", "u", "near", "far", "n", "window"])
 
 
 def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -278,14 +342,16 @@ def repeated_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     wanted = kinds.join(mixed, "g").select("one.key", F.struct("g", "u", "n", "one.at").alias("w"))
     pieces = (packed.join(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "key")
               .select("packed", "wanted").mapInArrow(_piece_batches, _PIECES))
-    some = (pieces.repartitionByRange("lead", "core").sortWithinPartitions("lead", "core")
-            .mapInArrow(_bucket_batches, "g long, u long, near int, far int"))
+    # the context's hash spreads the pieces of a frequent core over tasks
+    solved = keep(pieces.repartitionByRange("lead", "core", "u").sortWithinPartitions("lead", "core")
+                  .mapInArrow(_bucket_batches, "g long, u long, near int, far int, n long, window long"))
+    some = solved.where("window is null").select("g", "u", "near", "far").unionByName(_counted(solved))
     whole = kinds.where("n > 1").select("g", "u", F.lit(0).alias("near"), F.lit(511).alias("far"))
     far, count = F.col("at").bitwiseAND(F.lit(511)), F.shiftright("at", 9).bitwiseAND(F.lit(511)) + 1
     anchor = F.shiftright("at", 18) + far
     hits = found.join(whole.unionByName(some), ["g", "u"]).select(
         "key", (anchor - F.least("far", far)).alias("first"), (anchor - F.greatest("near", far - count + 1)).alias("last"))
-    return packed, hits.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("windows"))
+    return packed, hits.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
 
 
 def _cut_batches(batches):
