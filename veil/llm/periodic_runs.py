@@ -57,12 +57,14 @@ def numbered(words: list) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _last_lag(x: np.ndarray) -> np.ndarray:
-    """Distance of each word to its previous occurrence; the text's length and more where there is none."""
-    order = np.argsort(x, kind="stable")
+def _last_lag(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Distance of each word to its previous occurrence; the text's length and more where there is none.
+
+    ``order`` lists the places word by word, each word's in ascending order.
+    """
     lag = np.full(len(x), len(x) + 1, dtype=np.int64)
-    same = x[order[1:]] == x[order[:-1]]
-    lag[order[1:][same]] = (order[1:] - order[:-1])[same]
+    sorted_x, gaps = x[order], np.diff(order)
+    lag[order[1:]] = np.where(sorted_x[1:] == sorted_x[:-1], gaps, len(x) + 1)
     return lag
 
 
@@ -70,10 +72,25 @@ def _regions(lag: np.ndarray, power: int) -> list[tuple[int, int]]:
     """Stretches [lo, hi) of words with an occurrence at most ``power`` back, long enough for a run."""
     least = max(LEAST_PERIODS - 1, 1) * (power // 2 + 1) if power > 1 else LEAST_WORDS - 1
     far = np.flatnonzero(lag > power)
-    ends = np.append(far, len(lag))
-    starts = np.concatenate(([0], far + 1))
-    long = np.flatnonzero(ends - starts >= least)
-    return [(int(starts[k]), int(ends[k])) for k in long]
+    edges = np.concatenate(([-1], far, [len(lag)]))
+    long = np.flatnonzero(np.diff(edges) > least)
+    return [(int(edges[k]) + 1, int(edges[k + 1])) for k in long]
+
+
+class _Places:
+    """Earlier occurrences of words."""
+
+    def __init__(self, x: np.ndarray, order: np.ndarray):
+        self.x, self.order = x, order
+        counts = np.bincount(x)
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+
+    def between(self, i: int, far: int, near: int) -> np.ndarray:
+        """Occurrences of the word at ``i`` that are at most ``far`` and more than ``near`` words back."""
+        word = self.x[i]
+        own = self.order[self.starts[word]:self.ends[word]]
+        return own[np.searchsorted(own, i - far):np.searchsorted(own, i - near)]
 
 
 class _Windows:
@@ -100,9 +117,9 @@ def _emitted(end: int, lag: int, length: int, found: list) -> None:
         found.append((end + 1 - words, words, lag))
 
 
-def _openings(x: np.ndarray, places: dict, windows: _Windows, lo: int, hi: int, power: int,
-              known: list) -> Iterator[tuple[int, list[int]]]:
-    """(place, lags) where diagonals of lags in (power/2, power] open, place by place."""
+def _openings(x: np.ndarray, places: _Places, windows: _Windows, lo: int, hi: int, power: int, known: list
+              ) -> Iterator[tuple[int, list[int]]]:
+    """(place, lags) where diagonals of lags in (power/2, power] may open, place by place."""
     step = max(power // 2, 1)
     at_all = np.arange(-(-lo // step) * step, hi, step)
     if power <= _SMALL:
@@ -112,8 +129,9 @@ def _openings(x: np.ndarray, places: dict, windows: _Windows, lo: int, hi: int,
         at, which = np.nonzero(fits)
         hit = windows.squares(at_all[at], lags[which])
         at, which = at[hit], which[hit]
-        cuts = np.searchsorted(at, np.unique(at))
-        candidates = zip(at_all[at[cuts]].tolist(), np.split(lags[which], cuts[1:])) if len(at) else ()
+        cuts = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(at)]
+        places_of, lags_of = at_all[at].tolist(), lags[which]
+        candidates = ((places_of[a], lags_of[a:b]) for a, b in zip(cuts, cuts[1:]))
     else:
         candidates = ((i, None) for i in at_all.tolist())
     live, coming = [], iter(known)
@@ -126,17 +144,16 @@ def _openings(x: np.ndarray, places: dict, windows: _Windows, lo: int, hi: int,
         if any(r[0] <= i + 1 - 2 * power for r in live):
             continue                               # all lags that match here are multiples of that run's period
         if lags is None:
-            same = places[int(x[i])]
-            lags = i - same[np.searchsorted(same, i - power):np.searchsorted(same, i - step)]
+            lags = i - places.between(i, power, step)
             lags = lags[2 * lags <= i + 1]
             lags = lags[windows.squares(i, lags)]
         for start, _, period in live:
             lags = lags[(lags % period != 0) | (i + 1 - lags < start)]
         if len(lags):
-            yield i, [d for d in lags.tolist() if np.array_equal(x[i + 1 - d:i + 1], x[i + 1 - 2 * d:i + 1 - d])]
+            yield i, lags.tolist()
 
 
-def _read(xs: list[int], openings: Iterator[tuple[int, list[int]]], hi: int, found: list) -> None:
+def _read(x: np.ndarray, xs: list[int], openings: Iterator[tuple[int, list[int]]], hi: int, found: list) -> None:
     """Follow the diagonals word by word from where they open; none of them goes on beyond ``hi``."""
     active: dict[int, int] = {}
 
@@ -156,7 +173,7 @@ def _read(xs: list[int], openings: Iterator[tuple[int, list[int]]], hi: int, fou
         follow(at, i + 1)
         at = i + 1
         for lag in lags:
-            if lag not in active:
+            if lag not in active and np.array_equal(x[i + 1 - lag:i + 1], x[i + 1 - 2 * lag:i + 1 - lag]):
                 length = lag                       # it may have begun since the last place to open
                 while i - length - lag >= 0 and xs[i - length] == xs[i - length - lag]:
                     length += 1
@@ -167,25 +184,23 @@ def _read(xs: list[int], openings: Iterator[tuple[int, list[int]]], hi: int, fou
 
 
 def runs_of(x: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, length, period) of all runs of a sequence of word numbers, by start and period."""
+    """(start, length, period) of all runs of a sequence of word numbers (from 0, as few as words), by start and period."""
     n = len(x)
     if n < LEAST_WORDS:
         return []
-    lag = _last_lag(x)
+    order = np.argsort(x, kind="stable")
+    lag = _last_lag(x, order)
     found: list[tuple[int, int, int]] = []
-    places, windows, xs = {}, None, []
+    places, windows, xs = None, None, []
     power = 1
     while (power // 2 + 1) * LEAST_PERIODS <= n:
         regions = _regions(lag, power)
         if regions and windows is None:
-            windows, xs = _Windows(x), x.tolist()
-            order = np.argsort(x, kind="stable")
-            cuts = np.flatnonzero(np.diff(x[order])) + 1
-            places = {int(x[part[0]]): part for part in np.split(order, cuts)}
+            places, windows, xs = _Places(x, order), _Windows(x), x.tolist()
         known = sorted(found)
         for lo, hi in regions:
             near = [r for r in known if r[0] < hi and r[0] + r[1] > lo]
-            _read(xs, _openings(x, places, windows, lo, hi, power, near), hi, found)
+            _read(x, xs, _openings(x, places, windows, lo, hi, power, near), hi, found)
         power *= 2
     return sorted(set(found), key=lambda r: (r[0], r[2]))
 
