@@ -31,6 +31,7 @@ the id and text columns are read; a null id stays null.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,10 +126,11 @@ def _openings(x: np.ndarray, places: _Places, windows: _Windows, lo: int, hi: in
     if power <= _SMALL:
         # few lags: all of them at once for every place
         lags = np.arange(step + 1 if power > 1 else 1, power + 1)
-        fits = 2 * lags <= at_all[:, None] + 1
-        at, which = np.nonzero(fits)
-        hit = windows.squares(at_all[at], lags[which])
-        at, which = at[hit], which[hit]
+        hit = 2 * lags <= at_all[:, None] + 1
+        at, which = np.nonzero(hit)
+        hit[at, which] = windows.squares(at_all[at], lags[which])
+        hit[1:] &= ~hit[:-1]                       # a diagonal that opened a place before is still active
+        at, which = np.nonzero(hit)
         cuts = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(at)]
         places_of, lags_of = at_all[at].tolist(), lags[which]
         candidates = ((places_of[a], lags_of[a:b]) for a, b in zip(cuts, cuts[1:]))
@@ -136,17 +138,20 @@ def _openings(x: np.ndarray, places: _Places, windows: _Windows, lo: int, hi: in
         candidates = ((i, None) for i in at_all.tolist())
     live, coming = [], iter(known)
     head = next(coming, None)
+    before = np.zeros(0, dtype=np.int64)
     for i, lags in candidates:
         while head and head[0] <= i:
             live.append(head)
             head = next(coming, None)
         live = [r for r in live if r[0] + r[1] > i]
         if any(r[0] <= i + 1 - 2 * power for r in live):
+            before = before[:0]
             continue                               # all lags that match here are multiples of that run's period
         if lags is None:
             lags = i - places.between(i, power, step)
             lags = lags[2 * lags <= i + 1]
             lags = lags[windows.squares(i, lags)]
+            lags, before = np.setdiff1d(lags, before, assume_unique=True) if len(before) else lags, lags
         for start, _, period in live:
             lags = lags[(lags % period != 0) | (i + 1 - lags < start)]
         if len(lags):
@@ -198,13 +203,29 @@ def runs_of(x: np.ndarray) -> list[tuple[int, int, int]]:
         if regions and windows is None:
             places, windows, xs = _Places(x, order), _Windows(x), x.tolist()
         known = sorted(found)
+        begins = [r[0] for r in known]
         for lo, hi in regions:
-            near = [r for r in known if r[0] < hi and r[0] + r[1] > lo]
+            # a run of a smaller power lies in the region but for its first period
+            near = known[bisect_left(begins, lo - power):bisect_left(begins, hi)]
             _read(x, xs, _openings(x, places, windows, lo, hi, power, near), hi, found)
         power *= 2
     return sorted(set(found), key=lambda r: (r[0], r[2]))
 
 
+def runs_of_texts(texts: list[list]) -> list[list[tuple[int, int, int]]]:
+    """The runs of several texts at once: no word of a text is numbered like one of another."""
+    numbers, base = [], 0
+    for words in texts:
+        numbers.append(numbered(words) + base)
+        base += len(words)
+    starts = np.cumsum([0, *map(len, texts)])
+    out: list[list] = [[] for _ in texts]
+    for start, length, period in runs_of(np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)):
+        k = int(np.searchsorted(starts, start, side="right")) - 1
+        out[k].append((start - int(starts[k]), length, period))
+    return out
+
+
 def kept_words(words: list, runs: list[tuple[int, int, int]]) -> list:
     """The words that no run holds after its first period."""
     if not runs:
@@ -232,14 +253,14 @@ def find_runs(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in C.slices(batch, 1):
-                ids, counts, runs, collapsed = part.column(0), [], [], []
-                for key, data in zip(ids.to_pylist(), C.bytes_of(part, 1)):
-                    words = words_of(data)
-                    words = prepare(key, words) if prepare else words
-                    own = runs_of(numbered(words))
-                    counts.append(len(words))
-                    runs.append([{"start": s, "length": n, "period": p} for s, n, p in own])
-                    collapsed.append(b" ".join(kept_words(words, own)))
+                ids = part.column(0)
+                texts = [words_of(data) for data in C.bytes_of(part, 1)]
+                if prepare:
+                    texts = [prepare(key, words) for key, words in zip(ids.to_pylist(), texts)]
+                found = runs_of_texts(texts)
+                counts = [len(words) for words in texts]
+                runs = [[{"start": s, "length": n, "period": p} for s, n, p in own] for own in found]
+                collapsed = [b" ".join(kept_words(words, own)) for words, own in zip(texts, found)]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(counts, pa.int64()), pa.array(runs, _RUNS), pa.array(collapsed, pa.binary()).view(pa.string())],
                     names=["id", "n_words", "runs", "collapsed"])
