@@ -6,13 +6,14 @@ longest windows are counted; ``ROLLUP (w1, …, w5)`` sums them to the counts of
 all shorter phrases, since a phrase occurs where a window begins with it, and
 to the number of words of a group.
 
-Most windows hold a word or a neighbour pair that is rare, and no phrase that
-is frequent enough holds one.  A first pass adds words and pairs to 2^26 hashed
-saturating counters (one byte each, of fixed size whatever the corpus); a word
-or pair whose counter stays below the least count is certainly too rare, so the
-windows end before it, like at the end of a piece.  Equal counters of different
-pairs only keep windows longer: the counts of frequent phrases are exact on
-any input.  What is cut keeps counting as words of its group.
+Most windows hold a neighbour pair, or three to five words in a row, that are
+rare, and no phrase that is frequent enough holds one.  Two passes before add
+pairs, then longer windows all whose pairs may be frequent, to 2^26 hashed
+saturating counters (one byte each, of fixed size whatever the corpus); what
+has a counter below the least count is certainly too rare, and the windows end
+before it, like at the end of a piece.  Different windows of one counter only
+keep windows longer: the counts of frequent phrases are exact on any input.
+Every word still leads a window.
 
 Scores are compared in decimals: ``1000·a·n div (l·r)`` of the worst cut.
 
@@ -25,7 +26,7 @@ are summed in its tasks before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ LONGEST = 5
 LEAST_COUNT = 100
 TOP = 2000
 COUNTER_BITS = 26
-SLICE_BYTES = 6 << 20           # text bytes that are counted together inside a task
+SLICE_BYTES = 16 << 20          # text bytes that are counted together inside a task
 _CHUNKS = 64                    # parts of the counters
 _COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
@@ -77,11 +78,42 @@ class _Tokens:
         if len(self.ids):
             self.hashes = _mixed(self.hashes ^ salt[self.groups])
 
-    def counters(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the counters of each word, and of each word with its next."""
-        shift = np.uint64(64 - bits)
-        pair = _mixed(self.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[1:])
-        return (self.hashes >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    def pairs(self, bits: int) -> np.ndarray:
+        """Place of the counter of each word with its next."""
+        return _place(_mixed(self.hashes[:-1] * _STEP + self.hashes[1:]), bits)
+
+    def lengths(self, pairs: bytes, bits: int) -> np.ndarray:
+        """Words of each word's window up to the first pair that is too rare."""
+        follows = self.joined.copy()
+        follows[follows] = _is_set(pairs, self.pairs(bits)[follows])
+        at = np.arange(len(self.ids))
+        stops = np.append(np.flatnonzero(~follows), len(self.ids) - 1)
+        return np.minimum(stops[np.searchsorted(stops, at)] - at + 1, LONGEST)
+
+    def chains(self, lengths: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, words whose windows have k words or more, counters of those k words) for k from 3 on.
+
+        ``lengths`` may shrink meanwhile.
+        """
+        at = np.flatnonzero(lengths >= 3)
+        h = _mixed(self.hashes[at] * _STEP + self.hashes[at + 1])
+        for k in range(3, LONGEST + 1):
+            keep = lengths[at] >= k
+            at, h = at[keep], h[keep]
+            h = _mixed(h * _STEP + self.hashes[at + k - 1] + np.uint64(k))
+            yield k, at, _place(h, bits)
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _is_set(bitmap: bytes, at: np.ndarray) -> np.ndarray:
+    b = np.frombuffer(bitmap, dtype=np.uint8)
+    return ((b[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -122,8 +154,11 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Tokens]:
         yield _Tokens(texts, groups)
 
 
-def rare_filter(rows: DataFrame, least: int, bits: int = COUNTER_BITS) -> bytes:
-    """A bit for every counter that reaches ``least`` (at most 255): 2^bits / 8 bytes on the driver."""
+def rare_filter(rows: DataFrame, least: int, bits: int, places: Callable[[_Tokens], np.ndarray]) -> bytes:
+    """A bit for every counter that reaches ``least`` (at most 255): 2^bits / 8 bytes on the driver.
+
+    ``places`` gives the counters that the words of a slice add to.
+    """
     if not 1 <= least <= 255:
         raise ValueError("least must be between 1 and 255")
     if bits < 9:
@@ -134,8 +169,7 @@ def rare_filter(rows: DataFrame, least: int, bits: int = COUNTER_BITS) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.uint8)
         for t in _slices(batches):
-            words, pairs = t.counters(bits)
-            at, n = np.unique(np.concatenate((words, pairs[t.joined])), return_counts=True)
+            at, n = np.unique(places(t), return_counts=True)
             counts[at] = np.minimum(counts[at] + np.minimum(n, 255), 255)
         for k in range(_CHUNKS):
             part = counts[k * width:(k + 1) * width]
@@ -162,25 +196,25 @@ def rare_filter(rows: DataFrame, least: int, bits: int = COUNTER_BITS) -> bytes:
     return out.tobytes()
 
 
-def windows(rows: DataFrame, frequent: bytes, bits: int = COUNTER_BITS) -> DataFrame:
+def windows(rows: DataFrame, least: int, bits: int = COUNTER_BITS) -> DataFrame:
     """(group, w1 … w5, n): padded longest windows, each task's counted once a slice."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    share = rows.sparkSession.sparkContext.broadcast          # 2^bits / 8 bytes each
+    pairs = share(rare_filter(rows, least, bits, lambda t: t.pairs(bits)[t.joined]))
+
+    def longer(t: _Tokens) -> np.ndarray:
+        lengths = t.lengths(pairs.value, bits)
+        return np.concatenate([at for _, _, at in t.chains(lengths, bits)])
+
+    chains = share(rare_filter(rows, least, bits, longer))
 
     def emit(t: _Tokens, parts: list) -> None:
         """Distinct windows of every length from the shortest on; parts gets (group, word places, n)."""
-        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
-        is_set = lambda at: ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-        words, pairs = t.counters(bits)
-        known = is_set(words)
-        follows = t.joined & known[:-1] & known[1:]
-        follows[follows] = is_set(pairs[follows])
-        lost, n_lost = np.unique(t.groups[~known], return_counts=True)
-        parts.append((lost, np.zeros((len(lost), 0), dtype=np.int64), n_lost))
-        stops = np.append(np.flatnonzero(~follows), len(known) - 1)
-        here = np.flatnonzero(known)
-        length = np.minimum(stops[np.searchsorted(stops, here)] - here + 1, LONGEST)
+        length = t.lengths(pairs.value, bits)
+        for k, at, place in t.chains(length, bits):
+            length[at[~_is_set(chains.value, place)]] = k - 1
+        here = np.arange(len(t.ids))
         width = len(t.words) + 1
-        code = t.groups[here] * width + t.ids[here]
+        code = t.groups * width + t.ids
         for k in range(1, LONGEST + 1):
             done = length == k
             _, first, n = np.unique(code[done], return_index=True, return_counts=True)
@@ -222,7 +256,7 @@ def phrase_counts(df: DataFrame, text_col: str = "text", group_col: str = "lang"
     """
     rows = df.select(F.col(text_col).cast("string").alias("text"),
                      F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("g"))
-    counted = windows(rows, rare_filter(rows, min(least, 255), bits), bits).groupBy("g", *_COLUMNS).agg(
+    counted = windows(rows, min(least, 255), bits).groupBy("g", *_COLUMNS).agg(
         F.sum("n").alias("n"))
     # a column that is rolled up is null; one that stays is a word, or the pad behind a shorter window
     summed = counted.rollup("g", *_COLUMNS).agg(F.sum("n").alias("f")).where("g is not null")
@@ -258,8 +292,8 @@ def collocations(df: DataFrame, text_col: str = "text", group_col: str = "lang",
     worst = scored.groupBy("g", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x"))
     order = Window.partitionBy("g").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     return (worst.select("g", "phrase", "x.score", "x.a", "x.l", "x.r", "x.n")
-            .withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-            .select(F.col("g").alias(group_col), "rank", "phrase", "a", "l", "r", "n", "score"))
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+            .select(F.col("g").alias(group_col), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
 
 
 def op12_collocations(spark, sf_dir) -> DataFrame:
