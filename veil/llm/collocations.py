@@ -41,7 +41,7 @@ LONGEST = 5
 LEAST_COUNT = 100
 TOP = 2000
 COUNTER_BITS = 26
-SLICE_BYTES = 16 << 20          # text bytes that are counted together inside a task
+SLICE_BYTES = 5 << 20           # text bytes that are counted together inside a task
 _CHUNKS = 64                    # parts of the counters
 _COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
@@ -71,7 +71,7 @@ class _Tokens:
         number = {g: k for k, g in enumerate(self.group_names)}
         of_text = np.fromiter((number[g] for g in groups), dtype=np.int64, count=len(groups))
         self.groups = of_text[np.searchsorted(np.cumsum(sizes), starts, side="right")]
-        piece = np.cumsum(raw == 10)[starts] if len(starts) else np.zeros(0, dtype=np.int64)
+        piece = np.searchsorted(np.flatnonzero(raw == 10), starts)
         self.joined = piece[1:] == piece[:-1]      # word i and i + 1 stand in one piece
         self.hashes = _hashed(self.words)[self.ids] if len(self.ids) else np.zeros(0, dtype=np.uint64)
         salt = np.array([_salt(g) for g in self.group_names], dtype=np.uint64)
