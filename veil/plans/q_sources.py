@@ -32,6 +32,36 @@ def s1_s2_read_dialogues(spark, sf_dir):
     return io.read_dialogues(spark, paths + [f"{folder}/finance.tsv"])
 
 
+@register("s1_read_multiline_dialogues", """
+SELECT CAST(doc_id AS VARCHAR) AS conversation_id, CAST(n_chars AS INTEGER) AS turn, source AS role,
+       nullif(text, '') AS utterance, upper(lang) AS domain
+FROM documents
+""")
+def s1_read_multiline_dialogues(spark, sf_dir):
+    """Whole documents as utterances: fields with line breaks, quotes and commas,
+    one file per domain, cut into records by the quote parities of its blocks."""
+    d = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("conversation_id"), F.col("n_chars").cast("int").alias("turn"),
+        F.col("source").alias("role"), F.col("text").alias("utterance"), F.col("lang").alias("domain"))
+    return io.read_dialogues(spark, io.write_dialogues(d, io.scratch(spark, "multiline")))
+
+
+@register("s12_read_multiline_attack_results", """
+SELECT text AS prompt, nullif(substr(text, 1, doc_id % 3 * 40), '') AS gen, CAST(n_chars AS DOUBLE) AS target_ppl, doc_id % 2 = 0 AS success
+FROM documents
+""")
+def s12_read_multiline_attack_results(spark, sf_dir):
+    """Attack results whose prompts are whole documents and whose generations break lines."""
+    d = read(spark, sf_dir, "documents")
+    res = d.select(F.col("text").alias("prompt"), F.substring("text", F.lit(1), (F.col("doc_id") % 3 * 40).cast("int")).alias("gen"),
+                   F.col("n_chars").cast("double").alias("target_ppl"), F.lit(1.0).alias("ref_ppl"),
+                   F.lit(2.0).alias("lower_ppl"), F.lit(None).cast("double").alias("zlib"),
+                   (F.col("doc_id") % 2 == 0).alias("success"))
+    path = io.scratch(spark, "attack_lines") + "/results.csv"
+    io.write_attack_results(res, path)
+    return io.read_attack_results(spark, path).select("prompt", "gen", "target_ppl", "success")
+
+
 SQL_DOC_LINES = """
 (SELECT lang, doc_id, i, s AS value,
         row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS line_no

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from veil.functions.ranking import positions
 from veil.session import checkpoint_dir
+from veil.sources.multiline import read_csv
 
 DIALOGUE_SCHEMA = T.StructType([
     T.StructField("conversationId", T.StringType()),
@@ -34,6 +35,10 @@ ATTACK_SCHEMA = T.StructType([
 ])
 
 
+# quoted fields as they are: blanks at their ends stay
+CSV_OUT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/veil_io/{name}_{uuid.uuid4().hex[:12]}"
@@ -88,16 +93,15 @@ def domain_from_path(path_col="file", upper: bool = True):
 
 def read_dialogues(spark: SparkSession, paths: Sequence[str] | str, skip_missing: bool = True) -> DataFrame:
     """Comma-separated dialogue files with a header (although named ``.tsv``);
-    the domain is the file stem, upper-cased (Q4); missing files are skipped."""
+    the domain is the file stem, upper-cased (Q4); missing files are skipped.
+    Fields may hold line breaks, and yet a file is read by several tasks."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if skip_missing:
         paths = _existing(spark, paths)
-    d = (spark.read.schema(DIALOGUE_SCHEMA)
-         .option("header", True).option("multiLine", True).option("escape", '"')
-         .csv(paths))
+    d = read_csv(spark, paths, DIALOGUE_SCHEMA)
     return d.select(F.col("conversationId").alias("conversation_id"), F.col("turnNumber").alias("turn"),
                     F.col("authorRole").alias("role"), F.col("utterance"),
-                    domain_from_path(F.col("_metadata.file_path")).alias("domain"))
+                    domain_from_path(F.col("file")).alias("domain"))
 
 
 def write_dialogues(df: DataFrame, folder: str) -> list[str]:
@@ -109,7 +113,7 @@ def write_dialogues(df: DataFrame, folder: str) -> list[str]:
         (df.where(F.col("domain") == d)
          .select(F.col("conversation_id").alias("conversationId"), F.col("turn").alias("turnNumber"),
                  F.col("role").alias("authorRole"), "utterance")
-         .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+         .write.mode("overwrite").options(**CSV_OUT).csv(path))
         out.append(path)
     return out
 
@@ -226,21 +230,21 @@ def read_dart(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
 
 # S12 / S18 ----------------------------------------------------------------------
 def read_attack_results(spark: SparkSession, path: str) -> DataFrame:
-    """Attack CSV with header; an empty ``gen`` comes back null."""
-    return spark.read.schema(ATTACK_SCHEMA).option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(path)
+    """Attack CSV with header; an empty ``gen`` comes back null.  Line breaks in
+    fields do not keep a file from being read by several tasks."""
+    return read_csv(spark, [path], ATTACK_SCHEMA).drop("file", "record_no")
 
 
 def write_attack_results(df: DataFrame, path: str, ratio_path: str | None = None,
                          target_col: str = "target_ppl", ref_col: str = "ref_ppl") -> None:
     cols = [c.name for c in ATTACK_SCHEMA]
     out = df.select(*[F.col(c).cast(ATTACK_SCHEMA[c].dataType) for c in cols])
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").options(**CSV_OUT).csv(path)
     if ratio_path:
         r = F.try_divide(target_col, ref_col)
         (out.where(F.col("gen").isNotNull() & (F.length("gen") > 0))
          .orderBy(F.when(F.isnan(r), None).otherwise(r).asc_nulls_first())
-         .write.mode("overwrite").option("header", True).option("escape", '"').csv(ratio_path))
+         .write.mode("overwrite").options(**CSV_OUT).csv(ratio_path))
 
 
 # S13 ---------------------------------------------------------------------------
@@ -286,7 +290,7 @@ def write_split_text(df: DataFrame, path: str, kind: str = "") -> list[str]:
 def write_redacted(df: DataFrame, path: str, domain_col: str = "domain") -> None:
     """Redacted dialogue CSV; the domain column is dropped before writing."""
     d = df.drop(domain_col) if domain_col in df.columns else df
-    d.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    d.write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
 def write_generations(df: DataFrame, path: str, context_col: str = "context", gen_col: str = "gen",
