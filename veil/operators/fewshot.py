@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from typing import Sequence
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import arrays as AR
 from veil.functions.ranking import hash_key, positions
+from veil.operators import label_search
 
 # --- fixed values: GLUE column layout per task ---------------------------------
 # task: (text_a index, text_b index or None, label index (-1 = last), guid from, header skipped)
@@ -192,13 +194,14 @@ def demo_filter(queries: DataFrame, support: DataFrame, key_col: str, vec_col: s
                 support_rows: int = 8192) -> DataFrame:
     """Per query: cosine similarity to every support row (self excluded when
     ``exclude_self``), descending; keep at most ``int(n // num_labels · rate)``
-    per label (n = number of candidates).
+    per label (n = number of candidates; rows without a label are none).
 
     Blocks of queries meet blocks of support rows (both of bounded size, dealt
     by a hash of the key).  Each pair of blocks is one matrix product that
     keeps its best rows per query and label; these are merged by rank.  The
     result is exact, and what a task holds does not grow with either table.
     """
+    support = support.where(F.col(label_col).isNotNull())
     n_support = support.count()
     n_cand = n_support - 1 if exclude_self else n_support
     limit = int(n_cand // num_labels * rate)
@@ -352,59 +355,25 @@ def neighbor_words(cands: DataFrame, seeds: DataFrame, word_vecs: DataFrame, k:
     return j if k <= 0 else j.where(F.col("nrank") <= k)
 
 
-_PAIRINGS_AT_ONCE = 4096
-_SUMS = ["n", "hits", "x", "y", "xx", "yy", "xy"]
-
-
 def search_label_words(examples: DataFrame, cands: dict, logits_col: str, label_col: str, top_n: int,
-                       correlation: bool = False) -> DataFrame:
+                       correlation: bool = False, exhaustive: int = 1 << 22) -> DataFrame:
     """All pairings of one candidate per class, scored by the accuracy of the
     argmax over the pairing's logits, or (``correlation``, two classes) by
     Pearson's r of the second softmax probability (an equal pair: −1); the best
-    ``top_n`` (−1 = all, Q11).
+    ``top_n`` (−1 = all, Q11).  Rows without logits or label are left out.
 
-    Pairings are numbered, the last class fastest, and never listed: a task
-    adds up sums per number over its Arrow batches, block by block of numbers,
-    and only these sums are shuffled.
+    Pairings are numbered, the last class fastest, and never listed.  The best
+    few of more than ``exhaustive`` pairings are found by bounds, otherwise tiles
+    of pairings are scored against blocks of rows (see ``label_search``).
     """
     classes = sorted(cands)
     words = [np.asarray(cands[c], dtype=np.int64) for c in classes]
-    shape = tuple(len(w) for w in words)
-    total = int(np.prod(shape))
-
-    def score(batches):
-        sums = np.zeros((len(_SUMS), total))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            logits = np.stack(pdf["logits"].to_numpy()).astype(np.float64)
-            y = pdf["label"].to_numpy().astype(np.float64)
-            for a in range(0, total, _PAIRINGS_AT_ONCE):
-                number = np.arange(a, min(a + _PAIRINGS_AT_ONCE, total))
-                picked = [logits[:, w[i]] for w, i in zip(words, np.unravel_index(number, shape))]
-                part = sums[:, a:a + len(number)]
-                part[0] += len(y)
-                if correlation:
-                    x = 1 / (1 + np.exp(picked[0] - picked[1]))
-                    part[2:] += [x.sum(axis=0), np.full(len(number), y.sum()), (x * x).sum(axis=0),
-                                 np.full(len(number), (y * y).sum()), (x * y[:, None]).sum(axis=0)]
-                else:
-                    best, at = picked[0], np.zeros(picked[0].shape, dtype=np.int64)
-                    for k, p in enumerate(picked[1:], 1):
-                        at = np.where(p > best, k, at)          # ties: the first class
-                        best = np.maximum(best, p)
-                    part[1] += (at == y[:, None]).sum(axis=0)
-        if sums[0].any():
-            yield pd.DataFrame({"pairing": np.arange(total), **dict(zip(_SUMS, sums))})
-
-    rows = examples.select(AR.to_double(logits_col).alias("logits"), F.col(label_col).alias("label"))
-    got = rows.mapInPandas(score, "pairing long, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("pairing").agg(
-        *[F.sum(c).alias(c) for c in _SUMS])
-    # the word of each class from the pairing's number
-    picks, rest = [], F.col("pairing")
-    for w in reversed(words):
-        picks.insert(0, F.element_at(F.array(*[F.lit(int(x)) for x in w]), (F.pmod(rest, F.lit(len(w))) + 1).cast("int")))
-        rest = F.floor(rest / len(w))
+    total = math.prod(len(w) for w in words)
+    numbers = None
+    if not correlation and 0 <= top_n and total > exhaustive:
+        numbers = [m for _, m in label_search.best_pairings(examples, words, logits_col, label_col, top_n)]
+    got = label_search.tile_sums(examples, words, logits_col, label_col, correlation, numbers=numbers)
+    picks = label_search.words_of_pairing(words, F.col("pairing"))
     if correlation:
         cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
         var = (F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("yy") - F.col("y") ** 2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import arrays as AR
 from veil.functions.ranking import positions
+from veil.operators import demos as DM
 from veil.operators import fewshot as FS
 from veil.operators import lmdata as L
 from veil.plans import sqlfrag as S
@@ -177,6 +178,84 @@ def f6_demo_filter(spark, sf_dir):
     return _demo(spark, sf_dir).withColumn("sim", F.round("sim", 6))
 
 
+# The nearest k demonstrations per label.  Some support rows have no label; the
+# regression label is the label number, with the median as the border of two buckets.
+DEMO_K, DEMO_MEDIAN = 8, 4.0
+
+
+def _sql_topk(label: str, num_labels: int, rate: float, exclude_self: bool) -> str:
+    """CTE ``topk``: all similarities, ranked; the label may be null."""
+    support = "SELECT vec_id, label, embedding FROM embeddings" + ("" if exclude_self else " WHERE vec_id % 5 <> 0")
+    query = "SELECT vec_id, embedding FROM embeddings WHERE vec_id % 5 = 0"
+    return f"""
+q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM ({query})),
+s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
+      FROM (SELECT vec_id, {label} AS label, embedding FROM ({support})) WHERE label IS NOT NULL),
+lim AS (SELECT least({DEMO_K}, CAST(floor(((count(*) - {int(exclude_self)}) // {num_labels}) * {rate}) AS INTEGER)) AS k FROM s),
+pairs AS (SELECT q.vec_id AS query_id, s.vec_id AS support_id, s.label,
+             list_sum(list_transform(list_zip(q.v, s.v), lambda z: z[1] * z[2]))
+             / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(s.v, lambda x: x * x)))) AS sim
+      FROM q, s {"WHERE q.vec_id <> s.vec_id" if exclude_self else ""}),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, support_id) AS INTEGER) AS rank FROM pairs),
+topk AS (SELECT * FROM ranked WHERE rank <= (SELECT k FROM lim))"""
+
+
+SQL_TOPK = _sql_topk("CASE WHEN vec_id % 7 <> 3 THEN label END", 10, 0.5, False)
+SQL_TOPK_REG = _sql_topk(f"CASE WHEN label <= {DEMO_MEDIAN} THEN 0 WHEN label > {DEMO_MEDIAN} THEN 1 END", 2, 0.5, True)
+
+
+def _topk(spark, sf_dir):
+    q, s = _qs(spark, sf_dir)
+    s = s.withColumn("label", F.when(F.col("vec_id") % 7 != 3, F.col("label")))
+    return DM.nearest_per_label(q, s, "vec_id", "embedding", "label", DEMO_K, num_labels=10, rate=0.5)
+
+
+def _topk_regression(spark, sf_dir):
+    q, _ = _qs(spark, sf_dir)
+    e = read(spark, sf_dir, "embeddings").withColumn("bucket", DM.buckets_at_median(F.col("label").cast("double"), DEMO_MEDIAN))
+    return DM.nearest_per_label(q, e, "vec_id", "embedding", "bucket", DEMO_K, num_labels=2, rate=0.5, exclude_self=True)
+
+
+@register("f6_demo_topk", f"WITH {SQL_TOPK} SELECT query_id, support_id, label, round(sim, 6) AS sim, rank FROM topk")
+def f6_demo_topk(spark, sf_dir):
+    """Nearest demonstrations per label by pivots and bounds; rows without a label are none."""
+    return _topk(spark, sf_dir).withColumn("sim", F.round("sim", 6))
+
+
+@register("f6_demo_topk_regression", f"""
+WITH {SQL_TOPK_REG} SELECT query_id, support_id, label, round(sim, 6) AS sim, rank FROM topk
+""")
+def f6_demo_topk_regression(spark, sf_dir):
+    """Two buckets at the median, the query itself left out (training)."""
+    return _topk_regression(spark, sf_dir).withColumn("sim", F.round("sim", 6))
+
+
+def _sql_drawn(ctes: str, seed: int, groups: str, limit: int) -> str:
+    return f"""
+WITH {ctes},
+rep AS (SELECT topk.*, sample FROM topk, (SELECT unnest(range(0, 2)) AS sample)),
+o AS (SELECT *, row_number() OVER (PARTITION BY {groups}
+                                   ORDER BY {S.hash_key(seed, 'query_id', 'sample', 'support_id')}, support_id) AS rn FROM rep)
+SELECT query_id, sample, label, support_id FROM o WHERE rn <= {limit}
+"""
+
+
+@register("f7_sample_demo_per_bucket", _sql_drawn(SQL_TOPK_REG, 3, "query_id, sample, label", 1))
+def f7_sample_demo_per_bucket(spark, sf_dir):
+    """One demonstration per bucket of a regression task, drawn from the nearest."""
+    rep = FS.replicate(_topk_regression(spark, sf_dir), 2)
+    return FS.sample_demo_per_label(rep, 3).select("query_id", F.col("sample").cast("bigint").alias("sample"),
+                                                   "label", "support_id")
+
+
+@register("f8_sample_in_context_topk", _sql_drawn(SQL_TOPK, 5, "query_id, sample", 4))
+def f8_sample_in_context_topk(spark, sf_dir):
+    """Four demonstrations a query, drawn from the nearest of every label."""
+    rep = FS.replicate(_topk(spark, sf_dir), 2)
+    return FS.sample_in_context(rep, 4, 5).select("query_id", F.col("sample").cast("bigint").alias("sample"),
+                                                  "label", "support_id")
+
+
 @register("f7_sample_demo_per_label", f"""
 WITH {SQL_SIMS},
 rep AS (SELECT demo.*, sample FROM demo, (SELECT unnest(range(0, 2)) AS sample)),
@@ -352,6 +431,39 @@ def f16_search_label_words_corr(spark, sf_dir):
     return s.select(F.col("pairing").cast("int").alias("pairing"), "words", F.round("correlation", 6).alias("correlation"))
 
 
+def _sql_pairings(words: int, top: int) -> str:
+    return f"""
+WITH ex AS (SELECT label % 3 AS y, CAST(embedding AS DOUBLE[]) AS l FROM embeddings),
+w AS (SELECT unnest(range({words})) AS w),
+pr AS (SELECT (a.w * {words} + b.w) * {words} + c.w AS pairing, a.w AS w0, b.w AS w1, c.w AS w2 FROM w a, w b, w c),
+acc AS (SELECT pairing, w0, w1, w2, count(*) FILTER (WHERE
+          CASE y WHEN 0 THEN l[w0 + 1] >= l[w1 + 1] AND l[w0 + 1] >= l[w2 + 1]
+                 WHEN 1 THEN l[w1 + 1] > l[w0 + 1] AND l[w1 + 1] >= l[w2 + 1]
+                 ELSE l[w2 + 1] > l[w0 + 1] AND l[w2 + 1] > l[w1 + 1] END) / count(*) AS accuracy
+        FROM pr, ex GROUP BY pairing, w0, w1, w2),
+r AS (SELECT *, row_number() OVER (ORDER BY accuracy DESC, pairing) AS rank FROM acc)
+SELECT pairing, w0 || ',' || w1 || ',' || w2 AS words, round(accuracy, 6) AS accuracy, rank FROM r WHERE rank <= {top}
+"""
+
+
+def _three_classes(spark, sf_dir, words, top, **how):
+    e = read(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("y"), "embedding")
+    s = FS.search_label_words(e, {c: range(words) for c in range(3)}, "embedding", "y", top, **how)
+    return s.select("pairing", "words", F.round("accuracy", 6).alias("accuracy"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("f16_search_label_words_wide", _sql_pairings(64, 5))
+def f16_search_label_words_wide(spark, sf_dir):
+    """Three classes with every coordinate as a candidate word: 262,144 pairings, scored by tiles."""
+    return _three_classes(spark, sf_dir, 64, 5)
+
+
+@register("f16_search_label_words_bounds", _sql_pairings(16, 5))
+def f16_search_label_words_bounds(spark, sf_dir):
+    """Three classes of sixteen words, searched by the bounds of boxes."""
+    return _three_classes(spark, sf_dir, 16, 5, exhaustive=100)
+
+
 @register("f17_bounded_label", """
 SELECT vec_id, [round(1 - (label / 2.0) / 5.0, 6), round((label / 2.0) / 5.0, 6)] AS bounded,
        round(((label / 2.0) / 5.0) * 5.0, 6) AS back
