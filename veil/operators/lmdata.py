@@ -38,37 +38,77 @@ def build_vocab(texts: DataFrame, text_col: str = "text", specials: Sequence[str
     return ranked.select("token", (F.col("__p") + 1).cast("int").alias("id"))
 
 
-def tokenize(df: DataFrame, vocab: DataFrame, text_col: str, key_cols: Sequence[str],
-             out: str = "input_ids", unk_id: int = -1) -> DataFrame:
-    """Text → ids by a vocabulary join; the text column is dropped (L1)."""
-    keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode_outer(T.tokens(text_col)).alias("__pos", "token")).where(F.col("__pos").isNotNull())
-    ids = ex.join(vocab, "token", "left").select(*keys, "__pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
-    agg = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "id"))).alias("__s"))
-    agg = agg.select(*keys, F.transform("__s", lambda s: s["id"]).alias(out))
-    rest = [c for c in df.columns if c != text_col]
-    return df.select(*rest).join(agg, keys, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+HOT_TOKENS = 1000          # tokens whose ids every task knows
+_TRACKED = 10_000          # counters of the sketch that finds them
+
+
+def hot_tokens(texts: DataFrame, tokens_col: str, k: int = HOT_TOKENS) -> list[str]:
+    """At most ``k`` tokens that are probably the most frequent (a sketch of fixed size)."""
+    top = texts.select(F.explode(tokens_col).alias("t")).agg(F.expr(f"approx_top_k(t, {k}, {max(_TRACKED, k)})").alias("top"))
+    return [r["item"] for r in (top.first()["top"] or [])]
+
+
+def tokenize(df: DataFrame, vocab: DataFrame, text_col: str, key_cols: Sequence[str] = (),
+             out: str = "input_ids", unk_id: int = -1, hot: int = HOT_TOKENS) -> DataFrame:
+    """Text → ids by a vocabulary of any size; the text column is dropped (L1).
+
+    Rows are told apart by their text, so keys may be null or repeated
+    (``key_cols`` is not needed).  The ids of at most ``hot`` frequent tokens are
+    looked up in a broadcast table of that many rows; only the other tokens go
+    through the shuffle of a join, where none of them is a large share.  A null
+    or empty text has no ids.
+    """
+    rk = "__text_key"
+    keyed = df.withColumn(rk, F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))))
+    texts = keyed.where(F.col(rk).isNotNull()).select(rk, text_col).dropDuplicates([rk])
+    toks = texts.select(rk, T.tokens(text_col).alias("__toks"))
+    frequent = hot_tokens(toks, "__toks", hot) if hot else []
+    known = vocab.select("token", F.col("id").cast("int").alias("id"))
+    ex = toks.select(rk, F.posexplode_outer("__toks").alias("__pos", "token")).where(F.col("__pos").isNotNull())
+    if frequent:
+        few = toks.sparkSession.createDataFrame([(t,) for t in frequent], "token string").join(known, "token", "left").select(
+            "token", F.coalesce("id", F.lit(unk_id)).alias("__hot"))
+        ex = ex.join(F.broadcast(few), "token", "left")                     # at most ``hot`` rows
+        near = ex.where(F.col("__hot").isNotNull()).select(rk, "__pos", F.col("__hot").alias("id"))
+        rest = ex.where(F.col("__hot").isNull()).drop("__hot")
+    else:
+        near, rest = None, ex
+    ids = rest.join(known, "token", "left").select(rk, "__pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
+    ids = ids.unionByName(near) if near is not None else ids
+    agg = ids.groupBy(rk).agg(F.array_sort(F.collect_list(F.struct("__pos", "id"))).alias("__s"))
+    agg = agg.select(rk, F.transform("__s", lambda s: s["id"]).alias("__ids"))
+    rest_cols = [c for c in df.columns if c != text_col]
+    return keyed.join(agg, rk, "left").select(
+        *rest_cols, F.coalesce("__ids", F.array().cast("array<int>")).alias(out))
 
 
 # L2 ---------------------------------------------------------------------------
 def pack_blocks(df: DataFrame, ids_col: str, order_col: str, block: int,
                 map_batch: int = MAP_BATCH) -> DataFrame:
     """Within each map batch of ``map_batch`` rows (in ``order_col`` order)
-    concatenate ids, drop the remainder, cut blocks; ``labels = input_ids``."""
+    concatenate ids, drop the remainder, cut blocks; ``labels = input_ids``.
+
+    A row holds the places [off, off + n) of its batch and so overlaps a few
+    blocks; it gives each of them one slice, and a block is its slices in order.
+    """
     d = positions(df.select(order_col, ids_col), [], [order_col], out="__row")
-    d = d.withColumn("map_batch", F.floor(F.col("__row") / map_batch))
-    w = Window.partitionBy("map_batch").orderBy("__row")          # ≤ map_batch rows per group
-    d = d.withColumn("__off", F.coalesce(F.sum(F.size(ids_col)).over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("__tot", F.sum(F.size(ids_col)).over(Window.partitionBy("map_batch")))
-    t = d.select("map_batch", "__tot", "__off", F.posexplode(ids_col).alias("__i", "id"))
-    t = t.withColumn("__g", F.col("__off") + F.col("__i"))
-    t = t.withColumn("block", F.floor(F.col("__g") / block)).where(
-        F.col("block") < F.floor(F.col("__tot") / block))
-    b = t.groupBy("map_batch", "block").agg(F.array_sort(F.collect_list(F.struct("__g", "id"))).alias("__s"))
-    ids = F.transform("__s", lambda s: s["id"])
-    return b.select("map_batch", "block", ids.alias("input_ids"), ids.alias("labels"))
+    d = d.select(F.floor(F.col("__row") / map_batch).alias("map_batch"), "__row", F.col(ids_col).alias("__ids"),
+                 F.greatest(F.size(ids_col), F.lit(0)).alias("__n"))
+    batch = Window.partitionBy("map_batch").orderBy("__row")          # ≤ map_batch rows per group
+    d = d.withColumn("__end", F.sum("__n").over(batch)).withColumn(
+        "__tot", F.sum("__n").over(batch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    off = F.col("__end") - F.col("__n")
+    last = F.least(F.floor((F.col("__end") - 1) / block), F.floor(F.col("__tot") / block) - 1)
+    d = d.withColumn("__off", off).withColumn("__first", F.floor(off / block)).withColumn("__last", last)
+    d = d.where((F.col("__n") > 0) & (F.col("__first") <= F.col("__last"))).withColumn(
+        "block", F.explode(F.sequence("__first", "__last")))
+    start = F.greatest(F.col("block") * block - F.col("__off"), F.lit(0))
+    stop = F.least((F.col("block") + 1) * block - F.col("__off"), F.col("__n"))
+    part = F.slice("__ids", (start + 1).cast("int"), (stop - start).cast("int"))
+    b = d.select("map_batch", "block", F.struct("__row", part.alias("ids")).alias("__s")).groupBy("map_batch", "block").agg(
+        F.array_sort(F.collect_list("__s")).alias("__s"))
+    ids = F.flatten(F.transform("__s", lambda s: s["ids"]))
+    return b.select("map_batch", "block", ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
 
 
 # L3 ---------------------------------------------------------------------------

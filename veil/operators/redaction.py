@@ -153,6 +153,78 @@ def is_redacted_any(text, domains: Sequence[str], keyword_dict: Mapping[str, Seq
     return out
 
 
+# R6 over a table: all target domains in one pass.  A text is redacted under a domain iff
+# one of the domain's private n-grams occurs in it: the first that does is replaced, and
+# whatever is replaced later leaves a whole token behind.  So no fold is needed, and one
+# look-up of an n-gram answers for every domain, as a set of bits.
+MOST_DOMAINS = 62
+
+
+def _bit(label: Column, domains: Sequence[str]) -> Column:
+    if len(domains) > MOST_DOMAINS:
+        raise ValueError(f"at most {MOST_DOMAINS} target domains")
+    return F.call_function("shiftleft", F.lit(1).cast("long"),
+                           (F.array_position(T.lit_array(list(domains)), label) - 1).cast("int"))
+
+
+def score_bits(scores: DataFrame, domains: Sequence[str], threshold: float, strict: bool = False) -> DataFrame:
+    """(gram, bits): the domains whose probability passes, from ``scores(gram, label, prob)``."""
+    passes = (F.col("prob") > threshold) if strict else (F.col("prob") >= threshold)
+    return scores.where(passes & F.col("label").isin(list(domains))).groupBy("gram").agg(
+        F.bit_or(_bit(F.col("label"), domains)).alias("bits"))
+
+
+def keyword_bits(keywords: DataFrame, domains: Sequence[str]) -> DataFrame:
+    """(gram, bits) from a dictionary ``(domain, phrase)`` of any size; grams are lower-cased."""
+    return keywords.where(F.col("domain").isin(list(domains))).groupBy(F.lower("phrase").alias("gram")).agg(
+        F.bit_or(_bit(F.col("domain"), domains)).alias("bits"))
+
+
+def classifier_bits(df: DataFrame, model: dict, domains: Sequence[str], threshold: float = 0.9,
+                    text_col: str = "utterance") -> DataFrame:
+    """(gram, bits) of the n-grams of ``df`` under the count NB model (strict ``>``); each is scored once."""
+    grams = T.with_ngrams(df.select(text_col), text_col, model["lo"], model["hi"]).select(
+        F.explode(F.array_distinct("__grams")).alias("gram"))
+    short = (model["lo"], model["hi"]) == (1, 2)
+    probs = nb_probs_short(grams, model, "gram") if short else nb_probs(grams, model, "gram", space_joined=True)
+    place = {label: k for k, label in enumerate(model["labels"])}
+    bits = F.lit(0).cast("long")
+    for k, d in enumerate(domains):
+        if d in place:
+            bits = bits.bitwiseOR(F.when(F.col("probs")[place[d]] > threshold, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return probs.select("gram", bits.alias("bits")).where(F.col("bits") != 0)
+
+
+def redacted_domains(df: DataFrame, bits: DataFrame, text_col: str, domains: Sequence[str], lo: int, hi: int,
+                     out: str = "redacted_in", normalise: bool = False) -> DataFrame:
+    """Add ``out``: the domains (in their order) under which the text would be redacted.
+
+    ``bits(gram, bits)`` tells the private n-grams; ``normalise`` looks them up
+    lower-cased and without outer punctuation (dictionaries).  Equal texts are
+    looked at once; a null text gets null.
+    """
+    domains = list(domains)
+    keyed = with_row_key(df, text_col)
+    texts = keyed.where(F.col(text_col).isNotNull()).select(ROW_KEY, F.col(text_col).alias("__t")).dropDuplicates([ROW_KEY])
+    cut = T.with_ngrams(texts, "__t", lo, hi)
+    # tokens joined by single blanks hold every n-gram; of other texts some are not in the text
+    plain = F.contains(F.col("__t"), F.array_join("__toks", " "))
+    grams = cut.select(ROW_KEY, plain.alias("__plain"), F.explode(F.array_distinct("__grams")).alias("__gram"))
+    key = T.normalise_ngram(F.col("__gram")) if normalise else F.col("__gram")
+    private = grams.withColumn("gram", key).join(bits, "gram")
+    sure = private.where("__plain").groupBy(ROW_KEY).agg(F.bit_or("bits").alias("bits"))
+    maybe = private.where(~F.col("__plain")).groupBy(ROW_KEY).agg(
+        F.collect_set(F.struct("__gram", "bits")).alias("__x")).join(texts, ROW_KEY)
+    found = F.filter("__x", lambda x: F.contains(F.col("__t"), x["__gram"]))
+    checked = maybe.select(ROW_KEY, F.aggregate(found, F.lit(0).cast("long"),
+                                                lambda s, x: s.bitwiseOR(x["bits"])).alias("bits"))
+    joined = keyed.join(sure.unionByName(checked), ROW_KEY, "left")
+    every = F.lit((1 << len(domains)) - 1).cast("long")
+    bit = F.when(F.contains(F.col(text_col), F.lit(REDACTED)), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
+    names = F.filter(T.lit_array(domains), lambda d: bit.bitwiseAND(_bit(d, domains)) != 0)
+    return joined.withColumn(out, F.when(F.col(text_col).isNotNull(), names)).drop(ROW_KEY, "bits")
+
+
 # Count-based naive Bayes ------------------------------------------------
 def feature_ngrams(text, lo: int, hi: int, space_joined: bool = False) -> Column:
     """Vectoriser of the NB model: lower-cased word n-grams for n in lo..hi.

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from veil.operators import factor_norms as FN
 from veil.operators import privacy as P
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
@@ -127,6 +128,46 @@ def p6_factor_norms(spark, sf_dir):
     return out.select("example", *[F.round(c, 6).alias(c) for c in ("weight_norm", "bias_norm", "embedding_norm")])
 
 
+# Sequences of unequal length: the k-th holds the rows k² .. (k + 1)² - 1, so the
+# short ones take the Gram form and the long ones the direct form.
+def _sequences(spark, sf_dir):
+    k = F.floor(F.sqrt(F.col("vec_id").cast("double")))
+    return _emb(spark, sf_dir).select(k.cast("long").alias("example"), (F.col("vec_id") - k * k).cast("long").alias("t"),
+                                      F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+
+
+SQL_SEQUENCE_NORMS = """
+WITH t AS (SELECT CAST(floor(sqrt(vec_id)) AS BIGINT) AS example, CAST(embedding[1:32] AS DOUBLE[]) AS a,
+                  CAST(embedding[33:64] AS DOUBLE[]) AS b FROM embeddings)
+SELECT example, round(sqrt(sum(s * s)), 6) AS weight_norm
+FROM (SELECT example, bi, ai, sum(b[bi] * a[ai]) AS s
+      FROM (SELECT example, a, b, unnest(range(1, 33)) AS bi FROM t), LATERAL (SELECT unnest(range(1, 33)) AS ai)
+      GROUP BY example, bi, ai) GROUP BY example"""
+
+
+def _register_norms(form: str):
+    @register(f"p6_weight_norms_{form}", SQL_SEQUENCE_NORMS)
+    def query(spark, sf_dir):
+        norms = FN.factor_norms(_sequences(spark, sf_dir), "example", "a", "b", form, pos_col="t")
+        return norms.select("example", F.round("weight_norm", 6).alias("weight_norm"))
+    query.__doc__ = f"Per-example weight gradient norms of unequal sequences, form: {form}."
+    return query
+
+
+p6_weight_norms_auto, p6_weight_norms_gram, p6_weight_norms_direct = map(_register_norms, ("auto", "gram", "direct"))
+
+
+@register("p6_weight_norms_product", """
+SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding[1:32] AS DOUBLE[]), lambda x: x * x)))
+                     * sqrt(list_sum(list_transform(CAST(embedding[33:64] AS DOUBLE[]), lambda x: x * x))), 6) AS weight_norm
+FROM embeddings
+""")
+def p6_weight_norms_product(spark, sf_dir):
+    """One position per example: the product of both norms, without a shuffle."""
+    e = _emb(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return FN.product_norms(e, "vec_id", "a", "b").select("vec_id", F.round("weight_norm", 6).alias("weight_norm"))
+
+
 def ledger(spark, sf_dir):
     """Per day and event type: q = share of the day's events, σ = 1, steps = count."""
     ev = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type")
@@ -319,6 +360,48 @@ def p18_assign_batches(spark, sf_dir):
     return b.select("conversation_id", "turn", F.col("batch").cast("long").alias("batch"))
 
 
+SQL_POISSON = """
+WITH RECURSIVE n AS (SELECT ln(1 - 64.0 / count(*)) AS scale FROM conversations),
+k AS (SELECT conversation_id, turn, conversation_id || ':' || CAST(turn AS VARCHAR) AS key FROM (%s)),
+d(conversation_id, turn, key, j, step) AS (
+  SELECT conversation_id, turn, key, 0, CAST(floor(ln((CAST('0x' || substr(md5('7:' || key || ':0'), 1, 13) AS BIGINT) + 1e0)
+         / 4503599627370496e0) / scale) AS BIGINT) FROM k, n
+  UNION ALL
+  SELECT conversation_id, turn, key, j + 1, step + 1 + CAST(floor(ln((CAST('0x' || substr(md5('7:' || key || ':' || (j + 1)), 1, 13) AS BIGINT)
+         + 1e0) / 4503599627370496e0) / scale) AS BIGINT) FROM d, n WHERE step < 40)
+SELECT conversation_id, turn, step AS batch FROM d WHERE step < 40
+""" % SQL_TURNS
+
+
+@register("p18_poisson_batches", SQL_POISSON)
+def p18_poisson_batches(spark, sf_dir):
+    """Forty Poisson-sampled batches of 64 expected turns."""
+    t = turns(spark, sf_dir).withColumn("key", F.concat_ws(":", "conversation_id", F.col("turn").cast("string")))
+    return P.poisson_batches(t, "key", 64.0 / t.count(), 40, 7).select("conversation_id", "turn", "batch")
+
+
+@register("p17_mixed_batch_rows", f"""
+WITH t AS (SELECT conversation_id || ':' || CAST(turn AS VARCHAR) AS item FROM ({SQL_TURNS})),
+priv AS (SELECT item, (row_number() OVER (ORDER BY {S.hash_key(7, "item")}, item) - 1) // 16 AS batch FROM t),
+pub AS (SELECT item, (row_number() OVER (ORDER BY {S.hash_key(8, "item")}, item) - 1) // 24 AS batch FROM t),
+s AS (SELECT event_id AS step, (SELECT count(*) FROM events)::DOUBLE AS T FROM events),
+m AS (SELECT step, ((T - step) / T) > 0 AND {S.hash_uniform(0, 'step')} < (T - step) / T AS redacted,
+             step % (SELECT max(batch) + 1 FROM priv) AS pb, step % (SELECT max(batch) + 1 FROM pub) AS ub FROM s)
+SELECT step, redacted, CAST(batch AS BIGINT) AS batch, item FROM m JOIN pub ON redacted AND pub.batch = m.ub
+UNION ALL
+SELECT step, redacted, CAST(batch AS BIGINT) AS batch, item FROM m JOIN priv ON NOT redacted AND priv.batch = m.pb
+""")
+def p17_mixed_batch_rows(spark, sf_dir):
+    """The turns of every step's batch: 16 private or 24 public ones, both streams cyclic."""
+    ev = read(spark, sf_dir, "events")
+    t = turns(spark, sf_dir).select(F.concat_ws(":", "conversation_id", F.col("turn").cast("string")).alias("item"))
+    n = t.count()
+    m = P.mix_batches(ev.select(F.col("event_id").alias("step")), math.ceil(n / 24), math.ceil(n / 16), "linear",
+                      ev.count(), seed=0).withColumn("redacted", (F.col("p") > 0) & F.col("redacted"))
+    rows = P.mixed_batch_rows(m, P.assign_batches(t, 16, 7, "item"), P.assign_batches(t, 24, 8, "item"))
+    return rows.select("step", "redacted", "batch", "item")
+
+
 @register("p19_lr_schedule", """
 WITH s AS (SELECT event_id AS step, (SELECT count(*) FROM events) AS T FROM events)
 SELECT step, round(0.001 * CASE WHEN step < 100 THEN step / 100.0 ELSE greatest(0.0, (T - step) / (T - 100.0)) END, 9) AS lr

@@ -291,3 +291,68 @@ def r13_redact_merged(spark, sf_dir):
     scores = R.nb_score(spans, _nb(spark, sf_dir), "span").withColumnRenamed("span", "gram")
     out = R.redact_merged(_bench(spark, sf_dir), tp, scores, 0.95, "text", "redacted", ["item_id"])
     return out.select("item_id", "redacted")
+
+
+# ---------------------------------------------------------------------------
+# R6, all modes over a table of n-grams: which target domains redact a text.
+# The twins fold the text once per domain and look for the token.
+TARGET_LANGS = ["de", "es"]
+
+
+def _in_domains(cols: dict[str, str]) -> str:
+    """List of the domains whose condition holds, in order."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {S.q(d)} END" for d, cond in cols.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def sql_redacted_in(base_sql: str, key: str, text: str, hot_where: str, domains) -> str:
+    """CTEs ``marked(key, redacted_in)``: one fold per target domain under the NB model."""
+    grams = S.ngrams(S.tokens(text), NB_LO, NB_HI)
+    items = f"SELECT unnest({grams}) AS t FROM ({base_sql})"
+    priv = ",".join(f"""
+priv_{d} AS (SELECT {key}, list(g ORDER BY pos) AS pl FROM grams_of
+             WHERE g IN (SELECT t FROM nb_scored WHERE label = {S.q(d)} AND {hot_where}) GROUP BY {key})""" for d in domains)
+    joins = " ".join(f"LEFT JOIN priv_{d} USING ({key})" for d in domains)
+    none = "CAST([] AS VARCHAR[])"
+    conds = {d: f"contains({S.fold('b.' + text, f'coalesce(priv_{d}.pl, {none})')}, '<REDACTED>')" for d in domains}
+    return f"""{SQL_NB}, {S.nb_score_ctes(items, NB_LO, NB_HI)},
+marked_base AS ({base_sql}),
+grams_of AS (SELECT {key}, unnest(grams) AS g, generate_subscripts(grams, 1) AS pos
+             FROM (SELECT {key}, {grams} AS grams FROM marked_base)),{priv},
+marked AS (SELECT b.{key}, b.{text}, {_in_domains(conds)} AS redacted_in FROM marked_base b {joins})"""
+
+
+@register("r6_redacted_domains_keyword", f"""
+SELECT doc_id, {_in_domains({d: f"contains({S.redact_with_list('text', S.sql_list(LANG_KEYWORDS[d]))}, '<REDACTED>')" for d in TARGET_LANGS})} AS redacted_in
+FROM documents
+""")
+def r6_redacted_domains_keyword(spark, sf_dir):
+    """Dictionary as a table, every target domain decided in one pass."""
+    rows = [(d, w) for d, words in LANG_KEYWORDS.items() for w in words]
+    bits = R.keyword_bits(spark.createDataFrame(rows, "domain string, phrase string"), TARGET_LANGS)
+    out = R.redacted_domains(_docs(spark, sf_dir), bits, "text", TARGET_LANGS, 1, 3, normalise=True)
+    return out.select("doc_id", "redacted_in")
+
+
+@register("r6_redacted_domains_classifier", f"""
+WITH {sql_redacted_in(f"SELECT item_id, text FROM {SQL_ITEMS}", "item_id", "text", "prob > 0.9", TARGET_LANGS)}
+SELECT item_id, redacted_in, len(redacted_in) > 0 AS redacted_any FROM marked
+""")
+def r6_redacted_domains_classifier(spark, sf_dir):
+    """Count NB model, strict threshold: all turns of the conversations."""
+    items, model = _bench(spark, sf_dir), _nb(spark, sf_dir)
+    bits = R.classifier_bits(items, model, TARGET_LANGS, 0.9, "text")
+    out = R.redacted_domains(items, bits, "text", TARGET_LANGS, NB_LO, NB_HI)
+    return out.select("item_id", "redacted_in", (F.size("redacted_in") > 0).alias("redacted_any"))
+
+
+@register("r6_redacted_domains_scores", f"""
+WITH {sql_redacted_in(f"SELECT item_id, text FROM {SQL_ITEMS}", "item_id", "text", "prob >= 0.95", TARGET_LANGS)}
+SELECT item_id, redacted_in, len(redacted_in) > 0 AS redacted_any FROM marked
+""")
+def r6_redacted_domains_scores(spark, sf_dir):
+    """A score table of an external classifier, inclusive threshold."""
+    items = _bench(spark, sf_dir)
+    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram").withColumnRenamed("__gram", "gram")
+    bits = R.score_bits(scores, TARGET_LANGS, 0.95)
+    out = R.redacted_domains(items, bits, "text", TARGET_LANGS, NB_LO, NB_HI)
+    return out.select("item_id", "redacted_in", (F.size("redacted_in") > 0).alias("redacted_any"))
