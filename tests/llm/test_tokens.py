@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import DATA
 from veil.llm import bpe, common, language_id, token_counts
 from veil.llm import pieces as P
@@ -126,3 +128,22 @@ def test_language_of_texts_without_letters(spark):
     assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en" and got[4][0] == "de"
     # piece probabilities of a language sum to one, bytes outside included
     assert np.allclose(np.exp(model.log_p).sum(axis=0) + 256 * np.exp(model.byte_log_p), 1)
+
+
+def test_numerals_are_no_letters(spark):
+    """Number characters that count as word characters have no language; letters around them do."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.fit(docs, common.vocabulary_path("piece_bpe_32k.model"))
+    texts = ["½ ②", "Ⅷ", "²", "12 _ !", "", None, "der Tisch und die Stühle", "② der Tisch und die Stühle ½"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    # a numeral sign of category Nl is a letter to no one but the regular expression
+    assert [got[k] for k in range(6)] == ["und"] * 6 and got[6] == got[7] != "und"
+
+
+def test_a_sample_never_shrinks_to_nothing(spark):
+    ids = spark.range(20_000).select(F.col("id").cast("string").alias("id"))
+    assert ids.where(common.in_sample("id", 5, 5)).count() == 20_000
+    assert 800 < ids.where(common.in_sample("id", 1, 20)).count() < 1200
+    share = ids.where(common.in_sample("id", 3_000, 10**13))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" not in share              # a share of 3e-10 still takes hashes

@@ -24,6 +24,12 @@ def fold_of(col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def in_sample(col: str, wanted: int, rows: int) -> Column:
+    """Whether the row's hash is among the least ``wanted / rows`` of all hashes: a share that never rounds to none."""
+    share = min(1 << 64, -(-(wanted << 64) // max(rows, 1)))
+    return F.xxhash64(col) <= F.lit(max(share, 1) - (1 << 63) - 1)
+
+
 def slices(batch: pa.RecordBatch, col: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``limit`` bytes in column ``col``.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from functools import partial
-from itertools import chain
+from itertools import chain, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -51,7 +51,14 @@ class Model(NamedTuple):
 
 
 def _words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters; numerals that are word characters but no letters part them."""
+    out = []
+    for w in _LETTERS.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += ["".join(part) for letters, part in groupby(w, str.isalpha) if letters]
+    return out
 
 
 def _count_batches(batches):
@@ -118,9 +125,10 @@ def fit(df: DataFrame, piece_path: str, text_col: str = "text", lang_col: str =
     model = Model(langs, trie, log_p, np.full(len(langs), byte_log_p), prior)
     if not langs:
         return model
-    share = F.coalesce(F.element_at(F.create_map(*chain.from_iterable(
-        (F.lit(x), F.lit(int(1_000_000 * min(1.0, max_docs / n)))) for x, n in seen.items())), F.col("lang")), F.lit(0))
-    words = (rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "text")
+    taken = F.lit(False)
+    for lang, n in seen.items():
+        taken = taken | ((F.col("lang") == lang) & C.in_sample("id", max_docs, n))
+    words = (rows.where(taken).select("lang", "text")
              .mapInArrow(_count_batches, "lang string, word string, n long")
              .groupBy("lang", "word").agg(F.sum("n").alias("n")).persist())
     try:
