@@ -201,7 +201,7 @@ def labelled_sample(labels: DataFrame, id_col: str, max_labelled: int) -> DataFr
     n = one.count()
     if n <= max_labelled:
         return one
-    return one.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+    return one.where(C.in_sample("label_id", max_labelled, n))
 
 
 def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
