@@ -1,6 +1,7 @@
 """Personal data and secrets: base rules against plain regular expressions, added spans on planted cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -144,3 +145,20 @@ def test_secret_scan_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secret_scan.scan(df, [0.0] * secret_scan._WIDTH ** 2)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chains_recomputed_from_all_documents(spark):
+    """The log ratios equal those of a plain count over every sample, whatever the number of documents."""
+    docs = spark.createDataFrame([(k, f"alpha{'beta' * (k % 3)} password={'q9Z' * 8}{k} x") for k in range(300)],
+                                 "doc_id long, text string")
+    width, letters = secret_scan._WIDTH, secret_scan._ALPHABET
+    code = lambda c: letters.find(c) + 1
+    count = {True: [1.0] * width ** 2, False: [1.0] * width ** 2}
+    for r in secret_scan.samples(docs, "text").collect():
+        for a, b in zip(r.value, r.value[1:]):
+            count[r.random][code(a) * width + code(b)] += 1
+    row = lambda v, p: sum(v[p // width * width:(p // width + 1) * width])
+    want = [math.log(count[True][p] / row(count[True], p)) - math.log(count[False][p] / row(count[False], p))
+            for p in range(width ** 2)]
+    assert secret_scan.fit(docs) == pytest.approx(want, abs=1e-12)
+    assert sum(r.random and "q9Z" in r.value for r in secret_scan.samples(docs, "text").collect()) == 300

@@ -14,8 +14,8 @@ what stands between the matches and the matches themselves, summed up.
 Results per case: null and empty texts have no spans; whole texts are scanned
 at any length; spans that start together are ordered by kind; an empty table
 gives an empty result (the chains then know the fixed samples only); only the
-id and text columns are read.  The chains' document sample is bounded by
-``SAMPLE_DOCS`` in expectation, chosen by a hash of the id.
+id and text columns are read; repeated rows have the same spans and count
+again in the chains.  The chains count the transitions of all documents.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_RATIO = 14.0              # about a million ordinary tokens for a random one
-SAMPLE_DOCS = 20_000
 SAMPLE_HASHES = 2_000           # generated random strings of each form
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _WIDTH = len(_ALPHABET) + 1     # 0 stands for any other character
@@ -122,13 +121,10 @@ def _pairs(value: Column) -> Column:
         lambda a, b: a * _WIDTH + b))
 
 
-def samples(docs: DataFrame, text_col: str, id_col: str, sample_docs: int) -> DataFrame:
-    """(random, value): the labelled samples of both chains."""
+def samples(docs: DataFrame, text_col: str) -> DataFrame:
+    """(random, value): the labelled samples of both chains, from all documents."""
     spark = docs.sparkSession
-    n = docs.count()
-    some = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
-    if n > sample_docs:
-        some = some.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample_docs / n))
+    some = docs.select(F.col(text_col).cast("string").alias("text"))
     value = F.regexp_extract("s.value", ASSIGN, 2)
     found = some.select(F.explode(base_spans(F.col("text"))).alias("s")).select(
         F.lit(True).alias("random"), F.when(F.col("s.kind") == 0, value).otherwise(F.col("s.value")).alias("value")
@@ -145,10 +141,9 @@ def samples(docs: DataFrame, text_col: str, id_col: str, sample_docs: int) -> Da
     return found.unionByName(plain).unionByName(made).unionByName(fixed)
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-        sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def fit(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log ratio of the transition probabilities of both chains, by pair number."""
-    pairs = samples(docs, text_col, id_col, sample_docs).select("random", F.explode(_pairs(F.col("value"))).alias("p"))
+    pairs = samples(docs, text_col).select("random", F.explode(_pairs(F.col("value"))).alias("p"))
     count = {True: [1.0] * _WIDTH ** 2, False: [1.0] * _WIDTH ** 2}     # one added to every transition
     for r in pairs.groupBy("random", "p").count().collect():           # at most 2 x _WIDTH² rows
         count[r.random][r.p] += r["count"]
