@@ -122,7 +122,7 @@ def _pack_batches(batches):
 
 def _piece_batches(batches):
     """Pieces of the wanted contexts of each text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in C.slices(whole, whole.schema.get_field_index("packed"))):
         out: dict[str, list] = {k: [] for k in ("lead", "core", "before", "after", "lo", "hi", "part", "g", "u", "n")}
         held = 0
         for text, wanted in zip(map(C.unpack, batch.column("packed").to_pylist()), batch.column("wanted").to_pylist()):
