@@ -310,3 +310,11 @@ def test_fm_index_counts_and_locates():
         for p, a, b in zip(patterns, lo, hi):
             want = [k for k in range(401 - n) if (text[k:k + n] == p).all()]
             assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
+
+
+def test_prints_in_sql_equal_those_of_the_sketches(spark):
+    texts = ["A b\tC", " a  b c ", "a b\x85c", "ÄB c", "", None, " \n\x0b\x0c\r\t ", "x\x1cy z", "a b", "W " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {r.id: r.print for r in near_dup.sketches(df, "text", "doc_id").collect()}
+    sql = {r.doc_id: r.p for r in df.select("doc_id", near_dup._print(df["text"]).alias("p")).collect()}
+    assert own == sql and own[0] == own[1] and own[6] is None
