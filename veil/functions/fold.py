@@ -75,3 +75,18 @@ def fold_text(text, grams) -> str | None:
 @F.pandas_udf(StringType())
 def fold_udf(text: pd.Series, grams: pd.Series) -> pd.Series:
     return pd.Series([fold_text(t, g) for t, g in zip(text, grams)])
+
+
+@F.pandas_udf(StringType())
+def fold_places_udf(text: pd.Series, grams: pd.Series, places: pd.Series) -> pd.Series:
+    """The fold of the n-grams whose places among the distinct ones of ``grams`` are given."""
+    out = []
+    for t, every, at in zip(text, grams, places):
+        if t is None or at is None or not len(at):
+            out.append(t)
+            continue
+        every = list(every)
+        distinct = list(dict.fromkeys(every))
+        private = {distinct[i] for i in at}
+        out.append(fold_text(t, [g for g in every if g in private]))
+    return pd.Series(out, dtype=object)

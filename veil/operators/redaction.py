@@ -250,28 +250,26 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
     * ``labels``, ``prior``, ``unseen`` — per-class values: the only driver
       objects, bounded by the number of classes.
     """
-    feats = train.select(F.col(label_col).alias("label"),
-                         F.explode_outer(feature_ngrams(text_col, lo, hi)).alias("gram")).where(F.col("gram").isNotNull())
-    # the count table feeds three small driver aggregates and the contribution
-    # table: materialise it once (memory, then disk)
-    counts = keep(feats.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("gram_n")))
-    vocab_n = counts.select("gram").distinct().count()
-    tot = {r["label"]: r["label_n"] for r in counts.groupBy("label").agg(F.sum("gram_n").alias("label_n")).collect()}
     ndocs = {r["label"]: r["c"] for r in
              train.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("c")).collect()}
     labels = sorted(ndocs)
+    feats = train.select(F.col(label_col).alias("label"),
+                         F.explode_outer(feature_ngrams(text_col, lo, hi)).alias("gram")).where(F.col("gram").isNotNull())
+    # one row per gram, one count per label: a plain hash aggregation and the only
+    # shuffle of the grams; materialised once (memory, then disk)
+    counts = keep(feats.groupBy("gram").agg(*[F.count_if(F.col("label") == l).alias(f"__n{i}") for i, l in enumerate(labels)]))
+    sums = counts.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"__n{i}").alias(f"t{i}") for i in range(len(labels))]).first()
+    vocab_n, tot = sums["v"], [sums[f"t{i}"] or 0 for i in range(len(labels))]
     n_all = sum(ndocs.values())
     prior = [math.log(ndocs[l]) - math.log(n_all) for l in labels]
-    unseen = [math.log(alpha) - math.log(tot.get(l, 0) + alpha * vocab_n) for l in labels]
-    denom = F.create_map(*[x for l in labels for x in (F.lit(l), F.lit(float(tot.get(l, 0) + alpha * vocab_n)))])
-    logp = counts.select("gram", "label",
-                         (F.log(F.col("gram_n") + F.lit(alpha)) - F.log(F.element_at(denom, F.col("label")))).alias("logp"))
-    # one row per gram, one column per label: plain (codegen'd) hash
-    # aggregation instead of collecting maps
-    per_label = logp.groupBy("gram").agg(*[F.max(F.when(F.col("label") == l, F.col("logp"))).alias(f"__c{i}")
-                                           for i, l in enumerate(labels)])
-    contrib = per_label.select("gram", F.array(*[F.coalesce(F.col(f"__c{i}"), F.lit(u))
-                                                 for i, u in enumerate(unseen)]).alias("contrib"))
+    denom = [t + alpha * vocab_n for t in tot]
+    unseen = [math.log(alpha) - math.log(d) if d > 0 else 0.0 for d in denom]
+    seen = [F.log(F.col(f"__n{i}") + F.lit(alpha)) - F.log(F.lit(float(d))) for i, d in enumerate(denom)]
+    contrib = counts.select("gram", F.array(*[F.when(F.col(f"__n{i}") > 0, x).otherwise(F.lit(u))
+                                              for i, (x, u) in enumerate(zip(seen, unseen))]).alias("contrib"))
+    logp = counts.select("gram", F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(f"__n{i}").alias("n"), x.alias("logp"))
+                                                     for i, (l, x) in enumerate(zip(labels, seen))])).alias("s")).where(
+        "s.n > 0").select("gram", "s.label", "s.logp")
     return {"contrib": contrib, "logp": logp, "labels": labels, "prior": prior, "unseen": unseen,
             "vocab": contrib.select("gram"), "lo": lo, "hi": hi}
 
@@ -373,6 +371,80 @@ def redact_by_scores(df: DataFrame, scores: DataFrame, threshold: float, text_co
     return fold_collected(df, private, text_col, out_col, key_cols).drop(ROW_KEY)
 
 
+def _with_private_bits(df: DataFrame, parts: Sequence[Column], model: dict, threshold: float) -> DataFrame:
+    """Add ``bits``: bit i is set where the probability of label i passes (strict).
+
+    ``parts`` are contribution arrays (null: none).  Plain columns, one a label:
+    arrays would be built again for every use.
+    """
+    own = range(len(model["labels"]))
+    d = df
+    for i, p in enumerate(model["prior"]):
+        total = F.coalesce(parts[0][i], F.lit(0.0))
+        for x in parts[1:]:
+            total = total + F.coalesce(x[i], F.lit(0.0))
+        d = d.withColumn(f"__j{i}", F.lit(p) + total)
+    top = F.greatest(*[F.col(f"__j{i}") for i in own]) if len(own) > 1 else F.col("__j0")
+    d = d.withColumn("__top", top)
+    d = d.withColumns({f"__e{i}": F.exp(F.col(f"__j{i}") - F.col("__top")) for i in own})
+    d = d.withColumn("__all", sum((F.col(f"__e{i}") for i in own), F.lit(0.0)))
+    bits = sum((F.when(F.col(f"__e{i}") / F.col("__all") > threshold, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+                for i in own), F.lit(0).cast("long"))
+    return d.withColumn("bits", bits).drop("__top", "__all", *[f"__{c}{i}" for i in own for c in "je"])
+
+
+def _word_contribs(grams: DataFrame, model: dict) -> DataFrame:
+    """Add the contributions ``__c0``, ``__c1`` of the one or two words of ``gram`` (null: not in the vocabulary)."""
+    words = F.split("gram", " ")
+    d = grams.withColumn("__w0", words[0]).withColumn("__w1", F.when(F.size(words) == 2, words[1]))
+    single = model["contrib"].where(~F.contains(F.col("gram"), F.lit(" ")))
+    for k in range(2):
+        d = d.join(single.select(F.col("gram").alias(f"__w{k}"), F.col("contrib").alias(f"__c{k}")), f"__w{k}", "left")
+    return d.drop("__w0", "__w1")
+
+
+def vocabulary_bits(model: dict, threshold: float) -> DataFrame:
+    """(gram, bits): for every vocabulary gram of one or two words the labels under which it is private."""
+    own = F.contains(F.col("gram"), F.lit(" "))                # a pair adds its own contribution to its words'
+    d = _word_contribs(model["contrib"], model)
+    parts = [F.col("__c0"), F.col("__c1"), F.when(own, F.col("contrib"))]
+    return _with_private_bits(d, parts, model, threshold).select("gram", "bits")
+
+
+def _redact_short(df: DataFrame, model: dict, threshold: float, text_col: str, out_col: str,
+                  domain_col: str | None) -> DataFrame:
+    """Grams of one or two words under a model of the same.
+
+    The vocabulary is scored once, from the training counts; a text's distinct
+    grams are looked up in it by one join, and only those outside it are scored
+    apart.  What comes back to a row are places in its list of grams, not strings.
+    """
+    from veil.functions.fold import fold_places_udf
+    keyed = with_row_key(df, text_col, domain_col)
+    unique = keyed.select(ROW_KEY, text_col, *([F.col(domain_col).alias("__dom")] if domain_col else [])).dropDuplicates([ROW_KEY])
+    # which bits make a gram of this row private: all of them, or the row's domain alone
+    labels = model["labels"]
+    if domain_col:
+        place = F.array_position(T.lit_array(labels), F.col("__dom"))
+        wanted = F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int")))
+    else:
+        wanted = F.lit((1 << len(labels)) - 1).cast("long")
+    cut = T.with_ngrams(unique, text_col, 1, 2).select(ROW_KEY, F.coalesce(wanted, F.lit(0).cast("long")).alias("__want"),
+                                                       F.array_distinct("__grams").alias("__d"))
+    g = cut.where("__want != 0").select(ROW_KEY, "__want", F.posexplode_outer("__d").alias("__i", "__g")).where(
+        F.col("__i").isNotNull()).select(ROW_KEY, "__want", "__i", F.lower("__g").alias("gram"))
+    looked = g.join(vocabulary_bits(model, threshold), "gram", "left")
+    outside = looked.where(F.col("bits").isNull()).drop("bits")
+    scored = _with_private_bits(_word_contribs(outside.select("gram").distinct(), model),
+                                [F.col("__c0"), F.col("__c1")], model, threshold).select("gram", "bits")
+    private = looked.where(F.col("bits").isNotNull()).select(ROW_KEY, "__want", "__i", "bits").unionByName(
+        outside.join(scored, "gram").select(ROW_KEY, "__want", "__i", "bits")).where(F.col("bits").bitwiseAND(F.col("__want")) != 0)
+    places = private.groupBy(ROW_KEY).agg(F.collect_list("__i").alias("__places"))
+    joined = T.with_ngrams(keyed.join(places, ROW_KEY, "left"), text_col, 1, 2)
+    return joined.withColumn(out_col, fold_places_udf(F.col(text_col), F.col("__grams"), F.col("__places"))).drop(
+        ROW_KEY, "__places", "__grams", "__toks")
+
+
 def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
                          text_col: str = "utterance", out_col: str | None = None,
                          domain_col: str | None = None,
@@ -386,6 +458,8 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
     lo = model["lo"] if lo is None else lo
     hi = model["hi"] if hi is None else hi
     out_col = out_col or text_col
+    if (model["lo"], model["hi"], lo, hi) == (1, 2, 1, 2) and len(model["labels"]) <= MOST_DOMAINS:
+        return _redact_short(df, model, threshold, text_col, out_col, domain_col)
     df, keys = with_row_key(df, text_col, domain_col), [ROW_KEY]
     g = explode_ngrams(df, text_col, keys, lo, hi, domain_col)
     # a candidate with no in-vocabulary feature gets the prior; when no class's
@@ -394,10 +468,7 @@ def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
     m = max(model["prior"])
     z = sum(math.exp(p - m) for p in model["prior"])
     prior_passes = any(math.exp(p - m) / z > threshold for p in model["prior"])
-    if (model["lo"], model["hi"], lo, hi) == (1, 2, 1, 2):
-        probs = nb_probs_short(g, model, "__gram", include_oov=prior_passes)
-    else:
-        probs = nb_probs(g, model, "__gram", space_joined=True, include_oov=prior_passes)
+    probs = nb_probs(g, model, "__gram", space_joined=True, include_oov=prior_passes)
     if domain_col:
         labels = T.lit_array(model["labels"])
         hot = probs.select("__gram", F.explode(F.filter(
