@@ -234,6 +234,63 @@ def s11_read_dart(spark, sf_dir):
     return lin.groupBy("example_id", "src").agg(F.count(F.lit(1)).cast("int").alias("n_annotations"))
 
 
+def _documents_of(records, number: str, head: str = "", tail: str = ""):
+    """Lines with JSON arrays of at most fifty records each, as one document a line."""
+    body = F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.struct(F.col(number), "record"))), lambda r: r["record"]))
+    return records.groupBy(F.floor(F.col(number) / 50).alias("__d")).agg(
+        F.concat(F.lit(head + "["), body, F.lit("]" + tail)).alias("value")).select("value")
+
+
+@register("s10_read_webnlg_documents", """
+SELECT p_partkey AS eid, CAST(p_partkey % 50 + 1 AS INTEGER) AS entry_id, p_name AS subject, p_type || ' }], {" ' || p_brand AS lex
+FROM part
+""")
+def s10_read_webnlg_documents(spark, sf_dir):
+    """Documents of many entries, the layout of the reference, cut into records at their braces."""
+    p = read(spark, sf_dir, "part")
+    entry = F.struct(
+        F.array(F.struct(F.lit("good").alias("comment"), F.concat("p_type", F.lit(' }], {" '), "p_brand").alias("lex"))).alias("lexicalisations"),
+        F.array(F.struct(F.col("p_name").alias("subject"), F.lit("{").alias("property"), F.lit("\\").alias("object"))).alias("modifiedtripleset"),
+        F.col("p_partkey").cast("long").alias("eid"))
+    rows = p.select("p_partkey", F.to_json(F.create_map((F.col("p_partkey") % 50 + 1).cast("string"), entry)).alias("record"))
+    folder = io.scratch(spark, "webnlg_documents")
+    _documents_of(rows, "p_partkey", '{"version": 1, "entries": ', "}").write.text(folder)
+    back = io.read_webnlg(spark, folder)
+    return back.select("eid", "entry_id", F.col("modifiedtripleset")[0]["subject"].alias("subject"),
+                       F.col("lexicalisations")[0]["lex"].alias("lex"))
+
+
+@register("s11_read_dart_documents", """
+SELECT p_partkey AS example_id, p_name || ' : {"brand": [ : ' || p_brand AS triple, p_type || chr(10) || '}' AS text FROM part
+""")
+def s11_read_dart_documents(spark, sf_dir):
+    """Arrays of many examples; strings hold braces, brackets, quotes and escaped line ends."""
+    p = read(spark, sf_dir, "part")
+    example = F.struct(
+        F.array(F.array("p_name", F.lit('{"brand": ['), "p_brand")).alias("tripleset"),
+        F.array(F.struct(F.concat("p_type", F.lit("\n}")).alias("text"))).alias("annotations"),
+        F.col("p_partkey").cast("long").alias("example_id"))
+    folder = io.scratch(spark, "dart_documents")
+    _documents_of(p.select("p_partkey", F.to_json(example).alias("record")), "p_partkey").write.text(folder)
+    return io.read_dart(spark, folder).select(
+        "example_id", F.array_join(F.col("tripleset")[0], " : ").alias("triple"), F.col("annotations")[0]["text"].alias("text"))
+
+
+@register("s14_read_metric_log_documents", """
+SELECT event_id AS global_step, round(value, 6) AS ppl FROM events
+""")
+def s14_read_metric_log_documents(spark, sf_dir):
+    """Metric logs of many records a document."""
+    from veil.plans.q_metrics import _metric_log
+    log = _metric_log(spark, sf_dir)
+    rows = log.select("global_step", F.to_json(F.struct(*log.columns)).alias("record"))
+    folder = io.scratch(spark, "metric_documents")
+    _documents_of(rows, "global_step").write.text(folder)
+    back = io.read_metric_log(spark, folder, "global_step long, train struct<model: struct<ppl: double, "
+                                             "eval_losses: double, lr: double>>")
+    return back.select("global_step", F.round("train.model.ppl", 6).alias("ppl"))
+
+
 @register("s12_s18_attack_results_roundtrip", """
 SELECT doc_id % 997 AS k, count(*) AS n, count(*) FILTER (WHERE doc_id % 7 = 0) AS n_null_gen,
        round(sum(n_chars / 100.0), 6) AS target_sum

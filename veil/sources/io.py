@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from veil.functions.ranking import positions
 from veil.session import checkpoint_dir
+from veil.sources.json_split import json_records, read_json_records
 from veil.sources.multiline import read_csv
 
 DIALOGUE_SCHEMA = T.StructType([
@@ -196,9 +197,13 @@ WEBNLG_ENTRY = ("struct<lexicalisations: array<struct<comment: string, lex: stri
 def read_webnlg(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``{entries: [{"<i+1>": {...}}]}`` documents → one row per entry
     (``entry_id`` = i+1 inside its document, ``eid`` the entry's own id).
-    ``multi_line``: one (pretty-printed) document per file, as the reference
-    ships it; ``False`` for files with one document per line (our writer)."""
-    raw = spark.read.schema(f"entries array<map<string, {WEBNLG_ENTRY}>>").option("multiLine", multi_line).json(path)
+    ``multi_line``: large documents, as the reference ships them, read by
+    several tasks; ``False`` for files with one document per line (our writer)."""
+    if multi_line:
+        rows = json_records(spark, [path], level=2)
+        m = F.map_entries(F.from_json("record", f"map<string, {WEBNLG_ENTRY}>"))[0]
+        return rows.select(m.alias("m")).select(F.col("m.key").cast("int").alias("entry_id"), "m.value.*")
+    raw = spark.read.schema(f"entries array<map<string, {WEBNLG_ENTRY}>>").json(path)
     e = raw.select(F.posexplode("entries").alias("i", "m"))
     return e.select((F.col("i") + 1).alias("entry_id"),
                     F.element_at("m", (F.col("i") + 1).cast("string")).alias("x")).select("entry_id", "x.*")
@@ -223,9 +228,12 @@ def write_dart(examples: DataFrame, path: str) -> None:
 
 
 def read_dart(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """``[{tripleset: [[s, p, o]], annotations: [{text}]}]`` (a JSON array per file)."""
-    return spark.read.schema("tripleset array<array<string>>, annotations array<struct<text: string>>, "
-                             "example_id long").option("multiLine", multi_line).json(path)
+    """``[{tripleset: [[s, p, o]], annotations: [{text}]}]``: a JSON array per file
+    (``multi_line``, read by several tasks) or per line."""
+    schema = "tripleset array<array<string>>, annotations array<struct<text: string>>, example_id long"
+    if multi_line:
+        return read_json_records(spark, [path], schema).drop("file", "record_no")
+    return spark.read.schema(schema).json(path)
 
 
 # S12 / S18 ----------------------------------------------------------------------
@@ -268,10 +276,11 @@ def write_metric_log(log: DataFrame, path: str) -> None:
 
 def read_metric_log(spark: SparkSession, path: str, schema: str | None = None,
                     multi_line: bool = True) -> DataFrame:
+    """Records of a JSON array; with a schema one large array is read by several tasks."""
+    if schema and multi_line:
+        return read_json_records(spark, [path], schema).drop("file", "record_no")
     r = spark.read.option("multiLine", multi_line)
-    if schema:
-        r = r.schema(schema)
-    return r.json(path)
+    return (r.schema(schema) if schema else r).json(path)
 
 
 # S15 / S16 / S17 ------------------------------------------------------------------
