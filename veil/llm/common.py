@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+# Rows of an Arrow batch between the JVM and a worker; both sides hold whole batches of texts.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_ROWS`` rows, unless the session asks for shorter ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
