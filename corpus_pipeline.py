@@ -10,6 +10,7 @@ the last return the columns of ``documents``; where a text changes, its
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -20,6 +21,15 @@ from veil.llm import bpe, common, contamination, near_dup, pii, quality
 from veil.session import checkpoint_dir
 
 
+def _stage(function):
+    """A stage whose workers get short batches: texts are what the executors' memory goes to."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.short_batches(spark)
+        return function(spark, docs, sf_dir)
+    return run_stage
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` of the text as it is now, where there is such a column."""
     if "n_chars" not in docs.columns:
@@ -28,26 +38,31 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(kind))
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality.keep_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, the one of the least id."""
     return near_dup.keep_one(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts."""
     return _counted(contamination.remove(docs, common.table(spark, sf_dir, "benchmark")))
 
 
+@_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
     return _counted(pii.redact(docs, pii.fit(pii.labelled_table(spark))))
 
 
+@_stage
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of the ids and of what they decode to."""
     path = common.vocabulary_path("byte_bpe_50k.tiktoken")
