@@ -5,11 +5,12 @@ passes over the rows are distributed; the only driver objects are p × k
 matrices (k columns of a subspace, bounded by the parameters) and k × k /
 p × p small matrices whose size is checked.
 
-* ``gram_times`` (V1) computes Aᵀ(AQ) with one ``mapInPandas`` pass: each
-  task multiplies its Arrow batches and emits one p × k partial; the driver
-  adds #tasks partials.
+* products with a basis (V1, V3–V5) multiply Arrow batches by a broadcast
+  matrix of checked size; the tasks' partial sums are added slice by slice on
+  the executors, and only the total reaches the driver.
 * the iterative methods (V2, V6) are driver loops over V1.
-* the Gram matrix (V7) and the grid density (V9) are pure aggregations.
+* the grid density (V9) adds blocks of kernels on the grid inside the tasks.
+* the Gram matrix (V7) is a pure aggregation.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,22 +32,70 @@ def _check(p: int, k: int):
         raise ValueError(f"{p}×{k} subspace exceeds the checked driver bound")
 
 
+_SLICE_CELLS = 1 << 16          # cells of a partial sum that travel as one row
+
+
+def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch as rows of a matrix."""
+    flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(batch.num_rows, -1)
+
+
+def _vectors(df: DataFrame, vec_col: str) -> DataFrame:
+    return df.where(F.col(vec_col).isNotNull()).select(AR.to_double(vec_col).alias("v"))
+
+
+def _total_slices(df: DataFrame, add, cells: int) -> DataFrame:
+    """(lo, cells): Σ over the batches of ``add(batch)``, an array of ``cells`` numbers, in
+    slices: each task adds up its own, the tasks' sums are added slice by slice."""
+    def partial(batches):
+        acc = np.zeros(cells)
+        for batch in batches:
+            if batch.num_rows:
+                acc += add(batch)
+        for lo in range(0, cells, _SLICE_CELLS):
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([acc[lo:lo + _SLICE_CELLS]])], ["lo", "cells"])
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, lo in enumerate(batch.column(0).to_pylist()):
+                part = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+                sums[lo] = sums[lo] + part if lo in sums else np.array(part)
+        for lo, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([part])], ["lo", "cells"])
+
+    schema = "lo long, cells array<double>"
+    parts = df.mapInArrow(partial, schema)
+    slices = -(-cells // _SLICE_CELLS)
+    return parts.repartition(min(slices, 200), "lo").mapInArrow(merge, schema)
+
+
+def _total(df: DataFrame, add, cells: int) -> np.ndarray:
+    """The total of ``_total_slices`` on the driver: ``cells`` numbers."""
+    out = np.zeros(cells)
+    for r in _total_slices(df, add, cells).collect():
+        out[r["lo"]:r["lo"] + len(r["cells"])] = r["cells"]
+    return out
+
+
+def _total_rows(df: DataFrame, add, cells: int) -> DataFrame:
+    """(cell, value): the total as a table."""
+    return _total_slices(df, add, cells).select("lo", F.posexplode("cells").alias("pos", "value")).select(
+        (F.col("lo") + F.col("pos")).alias("cell"), "value")
+
+
 # V1 ---------------------------------------------------------------------------
 def gram_times(df: DataFrame, vec_col: str, Q: np.ndarray, scale: float = 1.0) -> np.ndarray:
     """Aᵀ(A Q) (uncentred), rows in Arrow batches inside the tasks."""
     p, k = Q.shape
     _check(p, k)
-    Qc = np.asarray(Q, dtype=np.float64)
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(Q, dtype=np.float64))    # checked size
 
-    def part(it):
-        acc = np.zeros((p, k))
-        for pdf in it:
-            if len(pdf):
-                A = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-                acc += A.T @ (A @ Qc)
-        yield pd.DataFrame({"m": [acc.ravel().tolist()]})
-    rows = df.select(vec_col).mapInPandas(part, "m array<double>").collect()   # one row per task
-    return scale * np.sum([np.asarray(r["m"]) for r in rows], axis=0).reshape(p, k)
+    def add(batch):
+        A = _rows_of(batch)
+        return (A.T @ (A @ shared.value)).ravel()
+    return scale * _total(_vectors(df, vec_col), add, p * k).reshape(p, k)
 
 
 # V2 ---------------------------------------------------------------------------
@@ -80,43 +130,62 @@ def rayleigh(df: DataFrame, vec_col: str, Q: np.ndarray) -> np.ndarray:
 
 
 def rayleigh_df(df: DataFrame, vec_col: str, basis: DataFrame) -> DataFrame:
-    """Column form: ``basis(j, q array)`` small; Σ_r (A_r·q_j)² / ‖q_j‖² per j."""
-    qs = basis.orderBy("j").collect()                      # k rows, bounded
-    k = len(qs)
-    lits = [F.array(*[F.lit(float(x)) for x in r["q"]]) for r in qs]
-    proj = F.array(*[AR.dot(vec_col, l) for l in lits])
-    d = df.select(F.posexplode(proj).alias("j", "v"))
-    s = d.groupBy("j").agg(F.sum(F.col("v") ** 2).alias("num"))
-    norms = basis.select("j", AR.sqnorm("q").alias("den"))
-    return s.join(F.broadcast(norms), "j").select("j", (F.col("num") / F.col("den")).alias("eigenvalue"))
+    """Table form: ``basis(j, q array)``; Σ_r (A_r·q_j)² / ‖q_j‖² per j.  The basis is
+    broadcast as a matrix of checked size; a block of rows is one product."""
+    size = basis.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("q")).alias("p")).first()
+    _check(size.p or 0, size.k)
+    qs = basis.orderBy("j").collect()                      # k rows of checked size
+    if not qs:
+        return basis.select("j", F.lit(0.0).alias("eigenvalue"))
+    Q = np.array([r["q"] for r in qs], dtype=np.float64).T
+    shared = df.sparkSession.sparkContext.broadcast(Q)
+    num = _total_rows(_vectors(df, vec_col), lambda batch: np.square(_rows_of(batch) @ shared.value).sum(axis=0), len(qs))
+    den = [(i, r["j"], float(d)) for i, (r, d) in enumerate(zip(qs, (Q ** 2).sum(axis=0)))]
+    names = df.sparkSession.createDataFrame(den, f"cell long, j {basis.schema['j'].dataType.simpleString()}, den double")
+    return num.join(F.broadcast(names), "cell").select("j", (F.col("value") / F.col("den")).alias("eigenvalue"))
 
 
 # V4 ---------------------------------------------------------------------------
 def reconstruction_error(df: DataFrame, vec_col: str, Q: np.ndarray) -> DataFrame:
-    """‖A − AQQᵀ‖_F, absolute and relative to ‖A‖_F (one pass)."""
-    cols = [F.array(*[F.lit(float(x)) for x in Q[:, j]]) for j in range(Q.shape[1])]
-    a = AR.to_double(vec_col)
-    coef = [AR.dot(a, c) for c in cols]
-    recon = None
-    for c, q in zip(coef, cols):
-        term = AR.scale(q, c)
-        recon = term if recon is None else AR.add(recon, term)
-    resid = AR.sub(a, recon)
-    return df.agg(F.sqrt(F.sum(AR.sqnorm(resid))).alias("abs_error"),
-                  F.sqrt(F.sum(AR.sqnorm(a))).alias("__norm")).select(
+    """‖A − AQQᵀ‖_F, absolute and relative to ‖A‖_F (one pass of block products)."""
+    _check(*Q.shape)
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(Q, dtype=np.float64))
+
+    def squares(batches):
+        for batch in batches:
+            if batch.num_rows:
+                A = _rows_of(batch)
+                rest = A - (A @ shared.value) @ shared.value.T
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.square(rest).sum())]),
+                                                  pa.array([float(np.square(A).sum())])], ["e", "a"])
+
+    return _vectors(df, vec_col).mapInArrow(squares, "e double, a double").agg(
+        F.sqrt(F.sum("e")).alias("abs_error"), F.sqrt(F.sum("a")).alias("__norm")).select(
         "abs_error", (F.col("abs_error") / F.col("__norm")).alias("rel_error"))
 
 
 # V5 ---------------------------------------------------------------------------
-def project(vec, P: np.ndarray, rank: int):
-    """P Pᵀ v on the leading ``rank`` columns (P broadcast as a literal)."""
-    cols = [F.array(*[F.lit(float(x)) for x in P[:, j]]) for j in range(min(rank, P.shape[1]))]
-    a = AR.to_double(vec)
-    out = None
-    for q in cols:
-        term = AR.scale(q, AR.dot(a, q))
-        out = term if out is None else AR.add(out, term)
-    return out
+def project(df: DataFrame, vec_col: str, P: np.ndarray, rank: int, out: str = "projected") -> DataFrame:
+    """``df`` with ``out`` = P Pᵀ v on the leading ``rank`` columns of P, a broadcast
+    matrix of checked size; a null vector has a null projection."""
+    lead = np.asarray(P, dtype=np.float64)[:, :rank]
+    _check(*lead.shape)
+    shared = df.sparkSession.sparkContext.broadcast(lead)
+    rows = df.select(AR.to_double(vec_col).alias("v"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def products(batches):
+        for batch in batches:
+            some = batch.column(0).is_valid()
+            made = np.zeros((0, 0))
+            if batch.num_rows and some.true_count:
+                made = (_rows_of(batch.filter(some)) @ shared.value) @ shared.value.T
+            every = iter(made)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(
+                [next(every) if ok else None for ok in some.to_pylist()], pa.list_(pa.float64()))], ["row", "made"])
+
+    made = rows.mapInArrow(products, f"row {kind}, made array<double>")
+    return made.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("made").alias(out))
 
 
 # V6 ---------------------------------------------------------------------------
@@ -204,29 +273,36 @@ def quadrature(tridiags: DataFrame, mask_negative: bool = False) -> DataFrame:
 def spectral_density(eigs: DataFrame, grid_len: int = 10000, sigma_squared: float | None = None,
                      grid_expand: float = 1e-2) -> DataFrame:
     """Gaussian-kernel density of weighted eigenvalues on a grid, averaged over
-    draws and normalised to 1.  ``eigs(draw, eig, weight)`` is bounded by the
-    Lanczos order × draws (a checked literal); the grid is a distributed range
-    and every grid point folds over the literal — no join."""
-    if eigs.count() > 1_000_000:                            # checked before collecting
-        raise ValueError("eigenvalue table exceeds the checked bound")
-    rows = eigs.select("draw", "eig", "weight").collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r["draw"], []).append((r["eig"], r["weight"]))
-    draws = sorted(by)
-    lam_max = float(np.mean([max(e for e, _ in by[d]) for d in draws])) + grid_expand
-    lam_min = float(np.mean([min(e for e, _ in by[d]) for d in draws])) - grid_expand
+    draws and normalised to 1.  ``eigs(draw, eig, weight)`` may be of any size: a
+    block of eigenvalues adds its kernels to the grid's values inside the task,
+    and only these ``grid_len`` numbers travel."""
+    ends = eigs.groupBy("draw").agg(F.max("eig").alias("hi"), F.min("eig").alias("lo")).agg(
+        F.avg("hi").alias("hi"), F.avg("lo").alias("lo"), F.count(F.lit(1)).alias("draws")).first()
+    spark = eigs.sparkSession
+    if not ends.draws:
+        return spark.createDataFrame([], "grid_idx long, x double, density double")
+    lam_max, lam_min = ends.hi + grid_expand, ends.lo - grid_expand
     width = max(1.0, lam_max - lam_min)
     var = (1e-5 if sigma_squared is None else sigma_squared) * width
     step = (lam_max - lam_min) / (grid_len - 1)
-    spark = eigs.sparkSession
-    lit = F.array(*[F.struct(F.lit(float(e)).alias("e"), F.lit(float(w)).alias("w"))
-                    for d in draws for e, w in by[d]])
-    g = spark.range(grid_len).select(F.col("id").alias("grid_idx"),
-                                     F.when(F.col("id") == grid_len - 1, F.lit(lam_max))
-                                     .otherwise(F.lit(lam_min) + F.col("id") * F.lit(step)).alias("x"))
-    dens = F.aggregate(lit, F.lit(0.0), lambda acc, s: acc + s["w"] * F.exp(-(s["e"] - F.col("x")) ** 2 / (2 * var))
-                       / math.sqrt(2 * math.pi * var)) / F.lit(float(len(draws)))
-    g = g.withColumn("raw", dens)
+    x = lam_min + np.arange(grid_len) * step
+    x[-1] = lam_max
+
+    def add(batch):
+        e, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        acc = np.zeros(grid_len)
+        for lo in range(0, len(e), _KERNELS):
+            part = slice(lo, lo + _KERNELS)
+            acc += w[part] @ np.exp(-np.square(e[part, None] - x[None, :]) / (2 * var))
+        return acc
+
+    sums = _total_rows(eigs.select(F.col("eig").cast("double"), F.col("weight").cast("double")), add, grid_len)
+    g = sums.select(F.col("cell").alias("grid_idx"),
+                    F.when(F.col("cell") == grid_len - 1, F.lit(lam_max))
+                    .otherwise(F.lit(lam_min) + F.col("cell") * F.lit(step)).alias("x"),
+                    (F.col("value") / F.lit(math.sqrt(2 * math.pi * var) * ends.draws)).alias("raw"))
     norm = g.agg((F.sum("raw") * F.lit(step)).alias("__z"))
     return g.join(F.broadcast(norm), how="inner").select("grid_idx", "x", (F.col("raw") / F.col("__z")).alias("density"))
+
+
+_KERNELS = 256                  # eigenvalues of a block

@@ -84,7 +84,8 @@ SELECT vec_id, list(round(v, 6) + 0.0 ORDER BY i) AS projected FROM p GROUP BY v
 def v5_project(spark, sf_dir):
     P = _Q(spark, sf_dir)
     a = _A(spark, sf_dir)
-    return a.select("vec_id", F.transform(V.project("a", P, 2), lambda x: F.round(x, 6)).alias("projected"))
+    made = V.project(a.select("vec_id", "a"), "a", P, 2)
+    return made.select("vec_id", F.transform("projected", lambda x: F.round(x, 6) + 0.0).alias("projected"))
 
 
 @register("v6_lanczos")
