@@ -239,6 +239,17 @@ def attack_results(gens: DataFrame, target_lm: dict, ref_lm: dict, target_domain
 
 
 # A14 --------------------------------------------------------------------------
+def append_run(path: str, runs: DataFrame) -> None:
+    """Append rows (run, result_id) to the lookup table; what is there stays."""
+    runs.select(F.col("run").cast("string"), F.col("result_id").cast("long")).write.mode("append").parquet(path)
+
+
+def read_runs(spark, path: str) -> DataFrame:
+    """The lookup table with one row per run: the greatest id that was appended."""
+    return spark.read.schema("run string, result_id long").parquet(path).groupBy("run").agg(
+        F.max("result_id").alias("result_id"))
+
+
 def run_lookup(results: DataFrame, runs: DataFrame, run_col: str = "run") -> DataFrame:
     """Attach result ids to run names (append-only lookup table)."""
     return results.join(runs, run_col, "left")

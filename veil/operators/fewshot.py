@@ -181,6 +181,17 @@ def fit_length(ids, max_len: int, pad_id: int = 0, truncate_head: bool = False,
     return out
 
 
+def fit_inputs(ids, max_len: int, pad_id: int = 0, truncate_head: bool = False, mask_id: int | None = None) -> Column:
+    """struct(input_ids, attention_mask, mask_pos): ``fit_length`` with 1 for every id
+    that is kept and 0 for padding, and the 0-based place of the mask (null without one)."""
+    a = F.col(ids) if isinstance(ids, str) else ids
+    kept = F.least(F.size(a), F.lit(max_len))
+    fitted = fit_length(a, max_len, pad_id, truncate_head, mask_id)
+    attention = F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), F.lit(max_len) - kept))
+    place = F.lit(None).cast("int") if mask_id is None else (F.array_position(fitted, mask_id) - 1).cast("int")
+    return F.struct(fitted.alias("input_ids"), attention.alias("attention_mask"), place.alias("mask_pos"))
+
+
 # F6 ---------------------------------------------------------------------------
 def _unit_rows(vectors) -> np.ndarray:
     """Vectors as rows of length 1; a zero vector stays zero (similarity 0 to all)."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions import arrays as AR
@@ -32,6 +32,32 @@ def example_loss(tok: DataFrame, key_cols: Sequence[str], nll_col: str = "nll",
         (F.sum(F.when(valid, F.col(nll_col))) / F.count_if(valid)).alias("loss"))
 
 
+def shift_labels(tok: DataFrame, key_cols: Sequence[str], pos_col: str = "pos", label_col: str = "label") -> DataFrame:
+    """Every position gets the label of the next one of its sequence; the last position goes."""
+    w = Window.partitionBy(*key_cols).orderBy(pos_col)
+    return tok.withColumn("__last", F.lead(pos_col).over(w).isNull()).withColumn(
+        label_col, F.lead(label_col).over(w)).where(~F.col("__last")).drop("__last")
+
+
+def token_losses(tok: DataFrame, key_cols: Sequence[str], logits_col: str, pos_col: str = "pos",
+                 label_col: str = "label") -> DataFrame:
+    """(key…, pos, label, nll, entropy) from logits: labels are shifted by one here;
+    ignored positions stay, with null figures."""
+    d = shift_labels(tok.select(*key_cols, pos_col, label_col, logits_col), key_cols, pos_col, label_col)
+    valid = F.col(label_col) != IGNORE_INDEX
+    lsm = AR.log_softmax(AR.to_double(logits_col))
+    d = d.withColumn("__lp", lsm)
+    entropy = -F.aggregate("__lp", F.lit(0.0), lambda a, x: a + F.exp(x) * x)
+    return d.select(*key_cols, pos_col, label_col,
+                    F.when(valid, -F.try_element_at("__lp", F.when(valid, F.col(label_col) + 1))).alias("nll"),
+                    F.when(valid, entropy).alias("entropy"))
+
+
+def valid_entropy(tok: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """Mean entropy over the valid positions of ``token_losses``; null where there is none."""
+    return tok.groupBy(*key_cols).agg(F.avg("entropy").alias("entropy"), F.count("entropy").alias("n"))
+
+
 # M2 -----------------------------------------------------------------------------
 def split_perplexity(batch_loss: DataFrame, split_col: str = "split", loss_col: str = "loss",
                      n_col: str = "n", batch_col: str = "batch", max_batches: int | None = None) -> DataFrame:
@@ -77,6 +103,33 @@ def binary_metrics(df: DataFrame, pred_col: str, label_col: str) -> DataFrame:
     return agg.select("acc", f1.alias("f1"), mcc.alias("mcc"))
 
 
+# --- fixed values: metrics of a task -------------------------------------------
+TASK_METRICS = {
+    "cola": ["mcc"],
+    "sst-2": ["acc"], "mnli": ["acc"], "mnli-mm": ["acc"], "qnli": ["acc"], "rte": ["acc"], "wnli": ["acc"],
+    "mrpc": ["acc", "f1", "acc_and_f1"], "qqp": ["acc", "f1", "acc_and_f1"],
+    "sts-b": ["pearson", "spearmanr", "corr"],
+    "snli": ["acc"], "mr": ["acc"], "sst-5": ["acc"], "subj": ["acc"], "trec": ["acc"], "cr": ["acc"], "mpqa": ["acc"],
+}
+# --- end of fixed values ------------------------------------------------------
+
+
+def task_metrics(df: DataFrame, task: str, pred_col: str, label_col: str, id_col: str) -> DataFrame:
+    """(task, metric, value): the metrics that the task is judged by."""
+    if task not in TASK_METRICS:
+        raise KeyError(task)
+    wanted = TASK_METRICS[task]
+    if "pearson" in wanted:
+        row = pearson_spearman(df, pred_col, label_col, id_col).select("pearson", F.col("spearman").alias("spearmanr"))
+        row = row.withColumn("corr", (F.col("pearson") + F.col("spearmanr")) / 2)
+    elif wanted == ["acc"]:
+        row = accuracy(df, pred_col, label_col)
+    else:
+        row = binary_metrics(df, pred_col, label_col).withColumn("acc_and_f1", (F.col("acc") + F.col("f1")) / 2)
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in wanted]))
+    return row.select(F.lit(task).alias("task"), pairs.alias("x")).select("task", "x.metric", "x.value")
+
+
 def accuracy(df: DataFrame, pred_col: str, label_col: str) -> DataFrame:
     return df.agg(F.avg((F.col(pred_col) == F.col(label_col)).cast("double")).alias("acc"))
 

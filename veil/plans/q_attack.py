@@ -12,6 +12,7 @@ from veil.plans import q_redaction as QR
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
 from veil.plans.tables import SQL_TURNS, read, turns
+from veil.sources import io
 
 TARGETS = ["AIRLINE", "MEDIA"]
 REF_SOURCES = [f"src{i}" for i in range(10)]
@@ -249,6 +250,20 @@ def a13_attack_results_zlib(spark, sf_dir):
     return _results(spark, sf_dir, with_zlib=True)
 
 
+@register("a14_append_runs", SQL_RESULTS + """,
+summary AS (SELECT domain AS run, CAST(sum(CAST(success AS BIGINT)) AS BIGINT) AS successes FROM results GROUP BY domain)
+SELECT run, CASE WHEN run = 'MEDIA' THEN successes + 1000 ELSE successes END AS result_id, successes FROM summary
+""")
+def a14_append_runs(spark, sf_dir):
+    """Two appends to the lookup table (one run comes again with a new id), then the lookup."""
+    s = A.attack_summary(_results(spark, sf_dir), ["domain"]).select(
+        F.col("domain").alias("run"), F.col("successes").cast("long").alias("successes"))
+    path = io.scratch(spark, "runs")
+    A.append_run(path, s.select("run", F.col("successes").alias("result_id")))
+    A.append_run(path, s.where("run = 'MEDIA'").select("run", (F.col("successes") + 1000).alias("result_id")))
+    return A.run_lookup(s, A.read_runs(spark, path)).select("run", "result_id", "successes")
+
+
 @register("a14_run_lookup", SQL_RESULTS + """,
 summary AS (SELECT domain AS run, CAST(sum(CAST(success AS BIGINT)) AS BIGINT) AS successes FROM results GROUP BY domain),
 runs AS (SELECT run, CAST(dense_rank() OVER (ORDER BY run) AS BIGINT) AS result_id FROM (SELECT DISTINCT run FROM summary))

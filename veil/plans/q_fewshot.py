@@ -72,6 +72,44 @@ def f1_glue_qnli(spark, sf_dir):
     return FS.glue_examples(lines, "qnli", "train")
 
 
+# Layouts of eight columns and more: the sentences stand where the layout wants them.
+_WIDE = ["doc_id", "lang", "source", "s1", "s2", "lang", "source", "s1", "s2", "label"]
+_WIDE_TASKS = {"mnli": _WIDE, "snli": _WIDE, "sts-b": _WIDE, "rte": ["doc_id", "s1", "s2", "label"],
+               "wnli": ["doc_id", "s1", "s2", "label"], "cola": ["source", "label", "lang", "s1"],
+               "qqp": ["doc_id", "source", "lang", "s1", "s2", "label"]}
+
+
+def _register_layout(task: str, fields: list[str]):
+    @register(f"f1_glue_{task.replace('-', '')}", _sql_glue(task, " || chr(9) || ".join(fields))
+              + (" UNION ALL SELECT 'train-0', '4', CAST(NULL AS VARCHAR), '2'" if not FS.GLUE_LAYOUT[task][4] else ""))
+    def query(spark, sf_dir):
+        header = "\t".join(str(k + 1) for k in range(len(fields)))
+        return FS.glue_examples(_tsv(spark, sf_dir, fields, header), task, "train")
+    query.__doc__ = f"Documents as lines of the {task} layout."
+    return query
+
+
+for _task, _fields in _WIDE_TASKS.items():
+    _register_layout(_task, _fields)
+
+
+def _register_textcls(task: str, sql_text: str):
+    @register(f"f2_textcls_{task.replace('-', '')}", f"""
+SELECT 'test-' || CAST(doc_id AS VARCHAR) AS guid, {sql_text} AS text_a, source AS label FROM documents
+""")
+    def query(spark, sf_dir):
+        d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("c0"), F.col("lang").alias("c1"),
+                                                    F.col("n_chars").cast("string").alias("c2"), F.col("text").alias("c3"))
+        return FS.textcls_examples(d, task, "test", ["c0", "c1", "c2", "c3"], "doc_id")
+    query.__doc__ = f"Rows of a headerless file of the {task} layout."
+    return query
+
+
+for _task, _sql in (("trec", "lang"), ("yelp_review_full", "lang"), ("ag_news", "lang || '. ' || CAST(n_chars AS VARCHAR)"),
+                    ("yahoo_answers", "lang || ' ' || CAST(n_chars AS VARCHAR) || ' ' || text")):
+    _register_textcls(_task, _sql)
+
+
 @register("f1_glue_sst2", _sql_glue("sst-2", SST2_SQL_FIELDS))
 def f1_glue_sst2(spark, sf_dir):
     lines = _tsv(spark, sf_dir, ["s1", "label"], "sentence\tlabel")
@@ -135,6 +173,20 @@ def f4_expand_in_context(spark, sf_dir):
     return d.select("doc_id", FS.render_template(t, sents, demo_labels=[F.col("source"), F.col("lang")]).alias("prompt"))
 
 
+@register("f5_fit_inputs", """
+WITH v AS (SELECT doc_id, list_transform(range(len(string_split(text, ' '))), lambda i: CAST(i % 50 + 1 AS INTEGER)) AS ids FROM documents),
+f AS (SELECT doc_id, len(ids) AS n, CASE WHEN len(ids) >= 64 THEN ids[len(ids) - 63:]
+        ELSE list_concat(ids, list_transform(range(64 - len(ids)), lambda i: 0)) END AS input_ids FROM v WHERE len(ids) >= 7)
+SELECT doc_id, input_ids, list_transform(range(64), lambda i: CAST(CASE WHEN i < n THEN 1 ELSE 0 END AS INTEGER)) AS attention_mask,
+       CAST(list_position(input_ids, 7) - 1 AS INTEGER) AS mask_pos FROM f
+""")
+def f5_fit_inputs(spark, sf_dir):
+    """Ids, attention mask and place of the mask (id 7) of every document of seven words or more, the tail of 64 kept."""
+    ids = F.transform(F.split("text", " "), lambda x, i: (i % 50 + 1).cast("int"))
+    d = read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).where(F.size("ids") >= 7)
+    return d.select("doc_id", FS.fit_inputs("ids", 64, truncate_head=True, mask_id=7).alias("x")).select("doc_id", "x.*")
+
+
 @register("f5_fit_length", """
 WITH v AS (SELECT item_id, list_transform(range(len(string_split(text, ' '))), lambda i: CAST(i + 1 AS INTEGER)) AS ids
            FROM benchmark)

@@ -52,6 +52,48 @@ def m1_example_loss(spark, sf_dir):
     return l.select("gen_id", F.round("loss", 6).alias("loss"))
 
 
+# Sequences of four rows: ten logits a position, the label of some positions ignored.
+SQL_SHIFTED = f"""
+tok AS (SELECT vec_id // 4 AS seq, vec_id % 4 AS pos, CASE WHEN vec_id % 5 = 1 THEN -100 ELSE label END AS label,
+               CAST(embedding[1:10] AS DOUBLE[]) AS logits FROM embeddings),
+sh AS (SELECT seq, pos, lead(label) OVER (PARTITION BY seq ORDER BY pos) AS label, logits,
+              lead(pos) OVER (PARTITION BY seq ORDER BY pos) AS nxt FROM tok),
+lp AS (SELECT seq, pos, label, list_transform(logits, lambda x: x - list_max(logits)
+              - ln(list_sum(list_transform(logits, lambda y: exp(y - list_max(logits)))))) AS lp
+       FROM sh WHERE nxt IS NOT NULL)"""
+
+
+def _shifted(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    tok = e.select(F.floor(F.col("vec_id") / 4).alias("seq"), (F.col("vec_id") % 4).alias("pos"),
+                   F.when(F.col("vec_id") % 5 == 1, M.IGNORE_INDEX).otherwise(F.col("label")).cast("int").alias("label"),
+                   F.slice("embedding", 1, 10).alias("logits"))
+    return M.token_losses(tok, ["seq"], "logits")
+
+
+@register("m1_shifted_loss", f"""
+WITH {SQL_SHIFTED}
+SELECT seq, round(sum(-lp[label + 1]) FILTER (WHERE label <> -100) / nullif(count(*) FILTER (WHERE label <> -100), 0), 6) AS loss
+FROM lp GROUP BY seq
+""")
+def m1_shifted_loss(spark, sf_dir):
+    """Per-example loss from logits, labels shifted by the operator; null where every label is ignored."""
+    loss = M.example_loss(_shifted(spark, sf_dir), ["seq"])
+    return loss.select("seq", F.round("loss", 6).alias("loss"))
+
+
+@register("m3_valid_entropy", f"""
+WITH {SQL_SHIFTED}
+SELECT seq, round(avg(-list_sum(list_transform(lp, lambda x: exp(x) * x))) FILTER (WHERE label <> -100), 6) AS entropy,
+       count(*) FILTER (WHERE label <> -100) AS n
+FROM lp GROUP BY seq
+""")
+def m3_valid_entropy(spark, sf_dir):
+    """Mean entropy over the positions whose shifted label is not ignored."""
+    e = M.valid_entropy(_shifted(spark, sf_dir), ["seq"])
+    return e.select("seq", F.round("entropy", 6).alias("entropy"), "n")
+
+
 @register("m4_sequence_logprob", f"""
 WITH {SQL_GEN_TOKENS}
 SELECT gen_id, round(sum(CASE WHEN label <> -100 THEN logprob ELSE 0 END), 6) AS sequence_logprob,
@@ -141,6 +183,35 @@ def m5_glue_metrics(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in ("acc", "f1", "mcc", "pearson", "spearman")])
 
 
+@register("m5_task_metrics", """
+WITH c AS (SELECT count(*) FILTER (WHERE toxic = 1 AND quality = 1)::DOUBLE AS tp,
+                  count(*) FILTER (WHERE toxic = 0 AND quality = 0)::DOUBLE AS tn,
+                  count(*) FILTER (WHERE toxic = 1 AND quality = 0)::DOUBLE AS fp,
+                  count(*) FILTER (WHERE toxic = 0 AND quality = 1)::DOUBLE AS fn,
+                  avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0.0 END) AS acc FROM labels),
+b AS (SELECT acc, CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+             CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0
+             ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END AS mcc FROM c),
+e AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+                rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM e),
+s AS (SELECT corr(x, y) AS p, corr(rx, ry) AS s FROM r)
+SELECT task, metric, round(value, 6) AS value FROM (
+  SELECT 'cola' AS task, 'mcc' AS metric, mcc AS value FROM b UNION ALL SELECT 'sst-2', 'acc', acc FROM b
+  UNION ALL SELECT 'mrpc', 'acc', acc FROM b UNION ALL SELECT 'mrpc', 'f1', f1 FROM b UNION ALL SELECT 'mrpc', 'acc_and_f1', (acc + f1) / 2 FROM b
+  UNION ALL SELECT 'sts-b', 'pearson', p FROM s UNION ALL SELECT 'sts-b', 'spearmanr', s FROM s UNION ALL SELECT 'sts-b', 'corr', (p + s) / 2 FROM s)
+""")
+def m5_task_metrics(spark, sf_dir):
+    """The task map: one task of each kind of metric."""
+    lab = read(spark, sf_dir, "labels")
+    e = read(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    out = M.task_metrics(e, "sts-b", "x", "y", "vec_id")
+    for task in ("cola", "sst-2", "mrpc"):
+        out = out.unionByName(M.task_metrics(lab, task, "toxic", "quality", "doc_id"))
+    return out.withColumn("value", F.round("value", 6))
+
+
 @register("m6_xent_and_zero_one", f"""
 SELECT label, round(avg(-(logits[label + 1] - lse)), 6) AS xent,
        round(avg(CASE WHEN list_position(logits, list_max(logits)) - 1 <> label THEN 1.0 ELSE 0.0 END), 6) AS zero_one

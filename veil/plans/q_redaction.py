@@ -239,10 +239,10 @@ def r11_redact_by_scores(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Token probability vectors = NB class probabilities of each token
 # (labels in sorted order), merged into spans by Jensen–Shannon distance.
-def _token_probs(spark, sf_dir):
+def _token_probs(spark, sf_dir, model=None):
     b = _bench(spark, sf_dir)
     toks = b.select("item_id", F.posexplode(T.tokens("text")).alias("tok_pos", "token"))
-    vec = R.nb_probs(toks.select(F.col("token").alias("t")), _nb(spark, sf_dir), "t").withColumnRenamed("t", "token")
+    vec = R.nb_probs(toks.select(F.col("token").alias("t")), model or _nb(spark, sf_dir), "t").withColumnRenamed("t", "token")
     return toks.join(vec, "token").select("item_id", (F.col("tok_pos") + 1).alias("tok_pos"), "token", "probs")
 
 
@@ -286,13 +286,76 @@ SELECT b.item_id, {S.fold('b.text', 'coalesce(p.pl, CAST([] AS VARCHAR[]))')} AS
 FROM {SQL_ITEMS} b LEFT JOIN priv p USING (item_id)
 """)
 def r13_redact_merged(spark, sf_dir):
-    tp = _token_probs(spark, sf_dir)
+    model = _nb(spark, sf_dir)
+    tp = _token_probs(spark, sf_dir, model)
     spans = R.merge_spans(tp, ["item_id"])
-    scores = R.nb_score(spans, _nb(spark, sf_dir), "span").withColumnRenamed("span", "gram")
+    scores = R.nb_score(spans, model, "span").withColumnRenamed("span", "gram")
     out = R.redact_merged(_bench(spark, sf_dir), tp, scores, 0.95, "text", "redacted", ["item_id"])
     return out.select("item_id", "redacted")
 
 
+# R13 per domain and R15 with every method: the domain of a turn is one of the labels.
+SQL_TAGGED = ("(SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS item_id, coalesce(text, '') AS text, "
+              "['de', 'en', 'es', 'fr'][CAST(conv_id % 4 + 1 AS INTEGER)] AS dom FROM conversations)")
+
+
+def _tagged(spark, sf_dir):
+    dom = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("conv_id") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), "text",
+                                                       dom.alias("dom"))
+
+
+@register("r15_redact_dataset_nb", _sql_fold_nb("prob > 0.9", f"SELECT item_id, dom, text FROM {SQL_TAGGED}", "item_id", "dom")
+          + "SELECT item_id, redacted AS text FROM folded")
+def r15_redact_dataset_nb(spark, sf_dir):
+    """The whole-table job with the count NB model, each turn under its own domain."""
+    out = R.redact_dataset(_tagged(spark, sf_dir), "nb", model=_nb(spark, sf_dir), text_col="text", domain_col="dom",
+                           per_domain=True)
+    return out.select("item_id", "text")
+
+
+@register("r15_redact_dataset_scores", _sql_fold_nb("prob >= 0.95", f"SELECT item_id, text FROM {SQL_TAGGED}", "item_id")
+          + "SELECT item_id, redacted AS text FROM folded")
+def r15_redact_dataset_scores(spark, sf_dir):
+    """The whole-table job with a score table, any class."""
+    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram").withColumnRenamed("__gram", "gram")
+    out = R.redact_dataset(_tagged(spark, sf_dir), "scores", scores=scores, text_col="text", domain_col="dom")
+    return out.select("item_id", "text")
+
+
+@register("r15_redact_dataset_merged", f"""
+WITH {SQL_NB}, {SQL_SPANS},
+{S.nb_score_ctes('SELECT span AS t FROM spans', NB_LO, NB_HI, 'sp_scored')},
+hot AS (SELECT DISTINCT t FROM sp_scored WHERE prob >= 0.95),
+priv AS (SELECT item_id, list(span ORDER BY span_pos) AS pl FROM spans WHERE span IN (SELECT t FROM hot) GROUP BY item_id)
+SELECT b.item_id, {S.fold('b.text', 'coalesce(p.pl, CAST([] AS VARCHAR[]))')} AS text
+FROM {SQL_TAGGED} b LEFT JOIN priv p USING (item_id)
+""")
+def r15_redact_dataset_merged(spark, sf_dir):
+    """The whole-table job over merged spans, any class."""
+    model = _nb(spark, sf_dir)
+    tp = _token_probs(spark, sf_dir, model)
+    scores = R.nb_score(R.merge_spans(tp, ["item_id"]), model, "span").withColumnRenamed("span", "gram")
+    out = R.redact_dataset(_tagged(spark, sf_dir), "merged", token_probs=tp, scores=scores, text_col="text",
+                           domain_col="dom", key_cols=["item_id"])
+    return out.select("item_id", "text")
+
+
+@register("r13_redact_merged_domain", _sql_fold_nb("prob >= 0.95", f"SELECT item_id, dom, text FROM {SQL_TAGGED}", "item_id", "dom",
+                                                   grams=S.tokens("text"))
+          + "SELECT item_id, redacted FROM folded")
+def r13_redact_merged_domain(spark, sf_dir):
+    """Spans per domain: vectors of one probability normalise to the same, so every token is a span (Q5)."""
+    model = _nb(spark, sf_dir)
+    t = _tagged(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    tp = _token_probs(spark, sf_dir, model).join(t.select("item_id", "dom"), "item_id")
+    place = F.array_position(T.lit_array(model["labels"]), F.col("dom")).cast("int")
+    tp = tp.select("item_id", "tok_pos", "token", F.array(F.element_at("probs", place)).alias("probs"))
+    scores = R.nb_score(R.merge_spans(tp, ["item_id"]), model, "span").withColumnRenamed("span", "gram")
+    out = R.redact_merged(t, tp, scores, 0.95, "text", "redacted", ["item_id"], domain_col="dom")
+    return out.select("item_id", "redacted")
+
+
 # ---------------------------------------------------------------------------
 # R6, all modes over a table of n-grams: which target domains redact a text.
 # The twins fold the text once per domain and look for the token.
