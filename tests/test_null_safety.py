@@ -124,3 +124,28 @@ def test_lines_of_files_with_the_same_name(spark, tmp_path):
         paths.append(p)
     got = sorted((r.file_idx, r.line_no, r.value) for r in io.read_lines(spark, paths, keep_linebreaks=True).collect())
     assert got == [(k, n, f"{s} {n}\n") for k, s in enumerate(("train", "valid")) for n in range(3)]
+
+
+def test_perplexities_of_null_and_repeated_keys(spark):
+    from veil.operators import attack as A
+    lm = A.fit_ngram_lm(spark.createDataFrame([("a b c a b",), ("b c d",)], "text string"))
+    rows = [(None, "a b c"), (1, "a b"), (1, "c d e"), (None, None), (2, "a"), (3, "a b c")]
+    got = A.perplexity(spark.createDataFrame(rows, "k int, text string"), lm, "text", ["k"]).collect()
+    assert len(got) == 6 and {(r.k, r.ppl is None) for r in got} == {(None, False), (1, False), (None, True), (2, True), (3, False)}
+    by = sorted(r.ppl for r in got if r.k in (None, 3) and r.ppl is not None)
+    assert by[0] == by[1]                                        # equal texts, equal figures
+    gens = [(None, "a b", "c d", "AIRLINE"), (7, "a b", "check c", "AIRLINE"), (7, "b", "c", "AIRLINE"), (7, "b", "c", "AIRLINE"),
+            (8, "a b", "", "AIRLINE"), (9, None, "c", "AIRLINE")]
+    out = A.attack_results(spark.createDataFrame(gens, "gen_id int, prompt string, gen string, domain string"), lm, lm, ["AIRLINE"]).collect()
+    assert sorted(str(r.gen_id) for r in out) == ["7", "7", "7", "8", "9", "None"]
+    assert [r.success for r in out if r.gen == "check c"] == [True] and [r.success for r in out if r.gen_id == 8] == [None]
+    assert all((r.target_ppl is None) == (r.gen_id in (8, 9)) for r in out if r.gen != "c" or r.prompt is None)
+
+
+def test_conversations_of_a_null_domain_stay(spark):
+    from veil.operators import dialogue as D
+    turns = spark.createDataFrame([(None, "c1", 0), ("x", "c2", 0), ("x", "c3", 0)], "domain string, conversation_id string, turn int")
+    manifest = spark.createDataFrame([(None, "test", 0, "c1"), ("x", "test", 0, "c2"), ("x", "test", 1, "c3")],
+                                     "domain string, split string, pos long, conversation_id string")
+    got = D.limit_prompt_conversations(turns, manifest, 1).collect()
+    assert sorted((str(r.domain), r.conversation_id, r.split) for r in got) == [("None", "c1", "test"), ("x", "c2", "test")]

@@ -84,49 +84,42 @@ def token_logprobs(texts: DataFrame, lm: dict, text_col: str = "text",
     return s.select(*key_cols, "pos", lp.alias("logprob"))
 
 
+# What a row scores depends on its texts alone: rows are told apart by a hash of them,
+# equal ones are scored once, and null or repeated keys neither lose nor mix anything.
+_TEXT_KEY = "__tk"
+
+
+def _keyed(df: DataFrame, **texts: Column) -> DataFrame:
+    """Add a key of the given texts; never null."""
+    return df.withColumn(_TEXT_KEY, F.unhex(F.md5(F.to_json(F.struct(*[t.alias(n) for n, t in texts.items()])).cast("binary"))))
+
+
 # A2 ---------------------------------------------------------------------------
 def perplexity(texts: DataFrame, lm: dict, text_col: str = "text",
                key_cols: Sequence[str] = ("item_id",), out: str = "ppl") -> DataFrame:
-    """exp(mean NLL of the tokens after the first); null for < 2 tokens."""
-    lp = token_logprobs(texts, lm, text_col, key_cols)
-    agg = lp.groupBy(*key_cols).agg(F.exp(-F.avg("logprob")).alias(out))
-    return texts.select(*key_cols).join(agg, list(key_cols), "left")
+    """exp(mean NLL of the tokens after the first); null for < 2 tokens.  One row per row of ``texts``."""
+    keyed = _keyed(texts, t=F.col(text_col))
+    unique = keyed.select(_TEXT_KEY, text_col).dropDuplicates([_TEXT_KEY])
+    agg = token_logprobs(unique, lm, text_col, [_TEXT_KEY]).groupBy(_TEXT_KEY).agg(F.exp(-F.avg("logprob")).alias(out))
+    return keyed.select(_TEXT_KEY, *key_cols).join(agg, _TEXT_KEY, "left").select(*key_cols, out)
 
 
 # A3 / A4 ----------------------------------------------------------------------
-def conditional_perplexity(gens: DataFrame, lm: dict, key_cols: Sequence[str] = ("gen_id",),
-                           prompt_col: str = "prompt", gen_col: str = "gen", out: str = "cond_ppl",
-                           lower: bool = False) -> DataFrame:
-    """ppl(prompt + ' ' + gen) / ppl(prompt); null for empty generations.
+def with_conditional_perplexities(gens: DataFrame, lms: dict, prompt_col: str = "prompt", gen_col: str = "gen",
+                                  lower: bool = False) -> DataFrame:
+    """``gens`` with a column for every model of ``lms`` (output column → model):
+    ppl(prompt + ' ' + gen) / ppl(prompt); null for empty generations (A8).
 
     The tokens of the prompt are a prefix of the tokens of prompt + ' ' + gen,
-    so one scoring pass gives both perplexities: the mean over all positions
-    and the mean over the positions inside the prompt.
+    so one scoring pass gives both perplexities (the mean over all positions
+    and over those inside the prompt), and one explode serves all models.
     """
-    keys = list(key_cols)
-    p = F.lower(prompt_col) if lower else F.col(prompt_col)
-    g = F.lower(gen_col) if lower else F.col(gen_col)
-    nonempty = gens.where(F.length(gen_col) > 0)
-    both = nonempty.select(*keys, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
-    lp = token_logprobs(both, lm, "__t", keys + ["__np"])
-    agg = lp.groupBy(*keys).agg(
-        F.exp(-F.avg("logprob")).alias("__pb"),
-        F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col("logprob")))).alias("__po"))
-    r = both.select(*keys).join(agg, keys, "left").select(*keys, F.try_divide("__pb", "__po").alias(out))
-    return gens.select(*keys).join(r, keys, "left")
-
-
-def conditional_perplexities(gens: DataFrame, lms: dict, key_cols: Sequence[str] = ("gen_id",),
-                             prompt_col: str = "prompt", gen_col: str = "gen", lower: bool = False) -> DataFrame:
-    """A3 for several LMs in one scoring pass: ``lms`` maps an output column
-    to a model; the tokens of prompt + ' ' + gen are exploded once and joined
-    to every model's count tables."""
-    keys = list(key_cols)
+    keyed = _keyed(gens, p=F.col(prompt_col), g=F.col(gen_col))
     p = F.lower(prompt_col) if lower else F.col(prompt_col)
     g = F.lower(gen_col) if lower else F.col(gen_col)
-    nonempty = gens.where(F.length(gen_col) > 0)
-    both = nonempty.select(*keys, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
-    bg = _bigrams(both, "__t", keys + ["__np"])
+    both = keyed.where(F.length(gen_col) > 0).dropDuplicates([_TEXT_KEY]).select(
+        _TEXT_KEY, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
+    bg = _bigrams(both, "__t", [_TEXT_KEY, "__np"])
     aggs = []
     for i, (out, lm) in enumerate(lms.items()):
         pair = lm["pair"].select("prev", "tok", F.col("c_pair").alias(f"__cp{i}"))
@@ -138,8 +131,20 @@ def conditional_perplexities(gens: DataFrame, lms: dict, key_cols: Sequence[str]
         bg = bg.withColumn(f"__lp{i}", lp)
         aggs.append(F.try_divide(F.exp(-F.avg(f"__lp{i}")),
                                  F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col(f"__lp{i}"))))).alias(out))
-    r = bg.groupBy(*keys).agg(*aggs)
-    return gens.select(*keys).join(r, keys, "left")
+    return keyed.join(bg.groupBy(_TEXT_KEY).agg(*aggs), _TEXT_KEY, "left").drop(_TEXT_KEY)
+
+
+def conditional_perplexity(gens: DataFrame, lm: dict, key_cols: Sequence[str] = ("gen_id",),
+                           prompt_col: str = "prompt", gen_col: str = "gen", out: str = "cond_ppl",
+                           lower: bool = False) -> DataFrame:
+    """(key…, out) of one model, one row per row of ``gens``."""
+    return conditional_perplexities(gens, {out: lm}, key_cols, prompt_col, gen_col, lower)
+
+
+def conditional_perplexities(gens: DataFrame, lms: dict, key_cols: Sequence[str] = ("gen_id",),
+                             prompt_col: str = "prompt", gen_col: str = "gen", lower: bool = False) -> DataFrame:
+    """(key…, a column per model), one row per row of ``gens``."""
+    return with_conditional_perplexities(gens, lms, prompt_col, gen_col, lower).select(*key_cols, *lms)
 
 
 # A5 ---------------------------------------------------------------------------
@@ -229,10 +234,10 @@ def attack_summary(results: DataFrame, group_cols: Sequence[str] = (), gen_col:
 # A13 --------------------------------------------------------------------------
 def attack_results(gens: DataFrame, target_lm: dict, ref_lm: dict, target_domains: Sequence[str],
                    key_cols: Sequence[str] = ("gen_id",), with_zlib: bool = True) -> DataFrame:
-    keys = list(key_cols)
-    tr = conditional_perplexities(gens, {"target_ppl": target_lm, "ref_ppl": ref_lm}, keys)
-    lo = conditional_perplexity(gens, target_lm, keys, out="lower_ppl", lower=True)
-    out = gens.join(tr, keys).join(lo, keys)
+    """``gens`` with target_ppl, ref_ppl, lower_ppl[, zlib] and success: one row per
+    row, whatever its keys (``key_cols`` is not needed)."""
+    out = with_conditional_perplexities(gens, {"target_ppl": target_lm, "ref_ppl": ref_lm})
+    out = with_conditional_perplexities(out, {"lower_ppl": target_lm}, lower=True)
     if with_zlib:
         out = out.withColumn("zlib", zlib_entropy(F.col("gen")))
     return attack_success_keyword(out, "gen", target_domains)

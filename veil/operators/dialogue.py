@@ -138,9 +138,9 @@ def build_prompts_full(turns: DataFrame, use_domain_tokens: bool = True,
 
 # D10 ------------------------------------------------------------------------
 def limit_prompt_conversations(turns: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
-    """Only the first ``k`` ids of each (domain, split) list feed D8/D9."""
+    """Only the first ``k`` ids of each (domain, split) list feed D8/D9; a null domain is a domain."""
     first = manifest.where(F.col("pos") < k).select("domain", "split", "conversation_id")
-    return turns.join(first, on=["domain", "conversation_id"], how="inner")
+    return null_safe_join(turns, first, ["domain", "conversation_id"])
 
 
 # D11 ------------------------------------------------------------------------
