@@ -9,8 +9,10 @@ Short pieces of a batch are merged together as numpy rows of equal tree size;
 long pieces are merged one by one with the same tree.
 
 Results per case: null text is the empty text; empty text has no ids and
-decodes to no bytes; ids and texts are whole at any length; repeated rows and
-extra columns do not matter, only the id and text columns are read.
+decodes to no bytes; ids and texts are whole at any length; of equally ranked
+pairs the leftmost is merged first; repeated rows and extra columns do not
+matter, only the id and text columns are read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

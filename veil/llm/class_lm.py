@@ -17,7 +17,8 @@ all other words stay distributed and are joined to the texts' words.
 Results per case: null and empty texts consist of the end token alone; an
 empty training part gives base score 0 for every token; ties among equally
 frequent words are broken by their bytes; rows that repeat id and text have
-equal results; only the id and text columns are read.
+equal results; texts are scored whole at any length, each by one task; an empty
+table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations

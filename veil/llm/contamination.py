@@ -14,8 +14,9 @@ one more narrow pass over the documents, so no block grows with the table.
 
 Results per case: null and empty texts have no words and no hits; items
 without words are ignored, a null item id counts as ''; repeated items with
-one id are one item; an empty benchmark hits nothing; all columns of the input
-can be handed on, names do not clash.
+one id are one item; an empty benchmark hits nothing; repeated documents are
+treated alike, at any length whole; an empty table gives an empty result; all
+columns of the input can be handed on, names do not clash.
 """
 
 from __future__ import annotations

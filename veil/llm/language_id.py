@@ -14,7 +14,8 @@ Results per case: null texts and texts without a letter are ``und`` with score
 0; the same holds for all texts when no training row has a language; ties go
 to the language first in alphabetical order; training rows with null language
 are left out; repeated rows are scored alike; only the id, text and language
-columns are read, the latter in the fit alone.
+columns are read, the latter in the fit alone; texts are scored whole at any
+length; an empty table gives an empty result.
 """
 
 from __future__ import annotations

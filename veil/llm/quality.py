@@ -14,7 +14,8 @@ Results per case: null and empty texts have no words, fail the base rule and
 are rejected; score 0 without words; without labels of quality 1 the ratio is
 0 everywhere and only the base rule rejects; several labels of one document
 count as their lowest quality; repeated rows are judged alike; of the input
-only the id and text columns are read (``keep_good`` hands all columns on).
+only the id and text columns are read (``keep_good`` hands all columns on);
+texts are judged whole at any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations

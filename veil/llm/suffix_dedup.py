@@ -24,7 +24,8 @@ equal offsets.  Neighbouring windows share an anchor and form a context.
 Results per case: null texts are empty; texts shorter than ``LENGTH`` are kept
 whole; a string repeated within one text counts, overlapping itself too;
 repeated rows repeat each other; matches never cross texts; whole texts of any
-length; only the id and text columns are read.
+length; an empty table gives an empty result; only the id and text columns are
+read.
 """
 
 from __future__ import annotations
