@@ -6,6 +6,14 @@ copies are reduced to one of each class, benchmark passages are cut out,
 personal data is replaced by its kind, and what is left is encoded.  All but
 the last return the columns of ``documents``; where a text changes, its
 ``n_chars`` follows.
+
+Results per case: null and empty texts fail the quality rules and go; of equal
+or near-equal texts one row stays, the one of the least id (a null id only if
+it has no other), and repeated rows leave one; ties of the quality ratio and the
+cut are kept; texts of any length are handled whole; an empty table gives an
+empty table with the columns of the stage; an empty benchmark or label table
+cuts nothing and leaves the base rule alone; extra columns, also with names that
+the stages use inside, are handed on unchanged by all stages but the last.
 """
 
 from __future__ import annotations
