@@ -39,7 +39,7 @@ _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 _NONE = np.int64(1) << 62
 _POS_BITS = 32
 _ID_BITS = 20
-_CACHE_UNITS = 300_000      # distinct units kept per task before the cache restarts
+_CACHE_UNITS = 100_000      # distinct units kept per task before the cache restarts
 _LONG = 256                 # bytes from which a piece is merged alone
 
 

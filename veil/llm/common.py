@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text bytes held as Python objects at once inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # Rows of an Arrow batch between the JVM and a worker; both sides hold whole batches of texts.

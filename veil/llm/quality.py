@@ -41,7 +41,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\t\n\x0b\x0c\r "
-_WORDS_KEPT = 200_000       # distinct words numbered before the numbering restarts
+_WORDS_KEPT = 100_000       # distinct words numbered before the numbering restarts
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
