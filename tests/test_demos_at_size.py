@@ -65,3 +65,12 @@ def test_draws_hand_on_few_rows_of_a_batch(spark):
     assert sorted(map(str, FS.sample_in_context(c, 4, 7).collect())) == sorted(map(str, plain.collect()))
     labelled = c.withColumn("label", F.col("support_id") % 2)
     assert FS.sample_demo_per_label(labelled, 7).count() == 12              # a query name goes with one label
+
+
+def test_rows_of_one_query_key_share_its_places(spark):
+    s = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(10)], "id long, v array<double>, label int")
+    q = spark.createDataFrame([(50, [1.0, 0.0])] * 3 + [(51, [1.0, 0.0]), (60, [1.0, 0.0]), (60, [0.0, 1.0])], "id long, v array<double>")
+    for rows in (1, 16):
+        got = FS.demo_filter(q, s, "id", "v", "label", 1, 0.4, query_rows=rows, support_rows=8).collect()
+        found = {k: [r.support_id for r in sorted((r for r in got if r.query_id == k), key=lambda r: r["rank"])] for k in (50, 51, 60)}
+        assert found == {50: [0, 0, 0, 1], 51: [0, 1, 2, 3], 60: [0, 9, 8, 7]}
