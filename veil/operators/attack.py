@@ -74,14 +74,24 @@ def fit_ngram_lm(corpus: DataFrame, text_col: str = "text", k: float = 1.0) -> d
 def token_logprobs(texts: DataFrame, lm: dict, text_col: str = "text",
                    key_cols: Sequence[str] = ("item_id",)) -> DataFrame:
     """Per-token log-probabilities ``(key…, pos, logprob)`` under the LM."""
-    k = lm["k"]
     bg = _bigrams(texts, text_col, list(key_cols))
-    # V is a one-row table: joining it is a broadcast of one row
-    s = (bg.join(lm["pair"], ["prev", "tok"], "left").join(lm["ctx"], "prev", "left")
-         .join(F.broadcast(lm["V"]), how="inner"))
-    lp = (F.log(F.coalesce("c_pair", F.lit(0)) + F.lit(k))
-          - F.log(F.coalesce("c_ctx", F.lit(0)) + F.lit(k) * F.col("V")))
-    return s.select(*key_cols, "pos", lp.alias("logprob"))
+    return bg.join(_pair_logprobs(bg, {"logprob": lm}), ["prev", "tok"]).select(*key_cols, "pos", "logprob")
+
+
+def _pair_logprobs(bg: DataFrame, lms: dict) -> DataFrame:
+    """(prev, tok, a column per model): the distinct bigrams of ``bg`` with their log-probabilities.
+
+    Only these meet the count tables; the bigrams of all positions are joined once, to this."""
+    d = bg.select("prev", "tok").distinct()
+    for i, (out, lm) in enumerate(lms.items()):
+        pair = lm["pair"].select("prev", "tok", F.col("c_pair").alias(f"__cp{i}"))
+        ctx = lm["ctx"].select("prev", F.col("c_ctx").alias(f"__cc{i}"))
+        # V is a one-row table: joining it is a broadcast of one row
+        vv = lm["V"].select(F.col("V").alias(f"__v{i}"))
+        d = d.join(pair, ["prev", "tok"], "left").join(ctx, "prev", "left").join(F.broadcast(vv), how="inner")
+        d = d.withColumn(out, F.log(F.coalesce(f"__cp{i}", F.lit(0)) + F.lit(lm["k"]))
+                         - F.log(F.coalesce(f"__cc{i}", F.lit(0)) + F.lit(lm["k"]) * F.col(f"__v{i}")))
+    return d.select("prev", "tok", *lms)
 
 
 # What a row scores depends on its texts alone: rows are told apart by a hash of them,
@@ -120,17 +130,10 @@ def with_conditional_perplexities(gens: DataFrame, lms: dict, prompt_col: str =
     both = keyed.where(F.length(gen_col) > 0).dropDuplicates([_TEXT_KEY]).select(
         _TEXT_KEY, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
     bg = _bigrams(both, "__t", [_TEXT_KEY, "__np"])
-    aggs = []
-    for i, (out, lm) in enumerate(lms.items()):
-        pair = lm["pair"].select("prev", "tok", F.col("c_pair").alias(f"__cp{i}"))
-        ctx = lm["ctx"].select("prev", F.col("c_ctx").alias(f"__cc{i}"))
-        vv = lm["V"].select(F.col("V").alias(f"__v{i}"))
-        bg = bg.join(pair, ["prev", "tok"], "left").join(ctx, "prev", "left").join(F.broadcast(vv), how="inner")
-        lp = (F.log(F.coalesce(f"__cp{i}", F.lit(0)) + F.lit(lm["k"]))
-              - F.log(F.coalesce(f"__cc{i}", F.lit(0)) + F.lit(lm["k"]) * F.col(f"__v{i}")))
-        bg = bg.withColumn(f"__lp{i}", lp)
-        aggs.append(F.try_divide(F.exp(-F.avg(f"__lp{i}")),
-                                 F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col(f"__lp{i}"))))).alias(out))
+    bg = bg.join(_pair_logprobs(bg, {f"__lp{i}": lm for i, lm in enumerate(lms.values())}), ["prev", "tok"])
+    aggs = [F.try_divide(F.exp(-F.avg(f"__lp{i}")),
+                         F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col(f"__lp{i}"))))).alias(out)
+            for i, out in enumerate(lms)]
     return keyed.join(bg.groupBy(_TEXT_KEY).agg(*aggs), _TEXT_KEY, "left").drop(_TEXT_KEY)
 
 
