@@ -9,6 +9,7 @@ from veil.plans import sqlfrag as S
 from veil.plans.registry import register
 from veil.functions import text as T
 from veil.plans.tables import SQL_TURNS, TEST_KEYWORDS, read, turns
+from veil.session import keep
 
 FLAT_KEYWORDS = sorted({w for ws in TEST_KEYWORDS.values() for w in ws})
 
@@ -287,7 +288,7 @@ FROM {SQL_ITEMS} b LEFT JOIN priv p USING (item_id)
 """)
 def r13_redact_merged(spark, sf_dir):
     model = _nb(spark, sf_dir)
-    tp = _token_probs(spark, sf_dir, model)
+    tp = keep(_token_probs(spark, sf_dir, model))               # read by the spans' scores and by the redaction
     spans = R.merge_spans(tp, ["item_id"])
     scores = R.nb_score(spans, model, "span").withColumnRenamed("span", "gram")
     out = R.redact_merged(_bench(spark, sf_dir), tp, scores, 0.95, "text", "redacted", ["item_id"])
@@ -334,7 +335,7 @@ FROM {SQL_TAGGED} b LEFT JOIN priv p USING (item_id)
 def r15_redact_dataset_merged(spark, sf_dir):
     """The whole-table job over merged spans, any class."""
     model = _nb(spark, sf_dir)
-    tp = _token_probs(spark, sf_dir, model)
+    tp = keep(_token_probs(spark, sf_dir, model))               # read by the spans' scores and by the redaction
     scores = R.nb_score(R.merge_spans(tp, ["item_id"]), model, "span").withColumnRenamed("span", "gram")
     out = R.redact_dataset(_tagged(spark, sf_dir), "merged", token_probs=tp, scores=scores, text_col="text",
                            domain_col="dom", key_cols=["item_id"])
@@ -350,7 +351,7 @@ def r13_redact_merged_domain(spark, sf_dir):
     t = _tagged(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
     tp = _token_probs(spark, sf_dir, model).join(t.select("item_id", "dom"), "item_id")
     place = F.array_position(T.lit_array(model["labels"]), F.col("dom")).cast("int")
-    tp = tp.select("item_id", "tok_pos", "token", F.array(F.element_at("probs", place)).alias("probs"))
+    tp = keep(tp.select("item_id", "tok_pos", "token", F.array(F.element_at("probs", place)).alias("probs")))
     scores = R.nb_score(R.merge_spans(tp, ["item_id"]), model, "span").withColumnRenamed("span", "gram")
     out = R.redact_merged(t, tp, scores, 0.95, "text", "redacted", ["item_id"], domain_col="dom")
     return out.select("item_id", "redacted")
