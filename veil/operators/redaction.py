@@ -158,6 +158,7 @@ def is_redacted_any(text, domains: Sequence[str], keyword_dict: Mapping[str, Seq
 # whatever is replaced later leaves a whole token behind.  So no fold is needed, and one
 # look-up of an n-gram answers for every domain, as a set of bits.
 MOST_DOMAINS = 62
+SMALL_DICTIONARY = 100_000       # phrases that every task may hold
 
 
 def _bit(label: Column, domains: Sequence[str]) -> Column:
@@ -204,8 +205,15 @@ def redacted_domains(df: DataFrame, bits: DataFrame, text_col: str, domains: Seq
     looked at once; a null text gets null.
     """
     domains = list(domains)
-    keyed = with_row_key(df, text_col)
-    texts = keyed.where(F.col(text_col).isNotNull()).select(ROW_KEY, F.col(text_col).alias("__t")).dropDuplicates([ROW_KEY])
+    token = F.contains(F.col(text_col), F.lit(REDACTED))
+    # what is asked of the text itself is asked before the join: only its answers need travel
+    keyed = with_row_key(df, text_col).withColumn("__some", F.col(text_col).isNotNull()).withColumn("__token", token)
+    texts = keyed.where(F.col(text_col).isNotNull()).select(ROW_KEY, F.col(text_col).alias("__t"))
+    if normalise and bits.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        # the n-grams stay where they are; those of equal texts come together by their key
+        bits = F.broadcast(bits)
+    else:
+        texts = texts.dropDuplicates([ROW_KEY])
     cut = T.with_ngrams(texts, "__t", lo, hi)
     # tokens joined by single blanks hold every n-gram; of other texts some are not in the text
     plain = F.contains(F.col("__t"), F.array_join("__toks", " "))
@@ -213,16 +221,17 @@ def redacted_domains(df: DataFrame, bits: DataFrame, text_col: str, domains: Seq
     key = T.normalise_ngram(F.col("__gram")) if normalise else F.col("__gram")
     private = grams.withColumn("gram", key).join(bits, "gram")
     sure = private.where("__plain").groupBy(ROW_KEY).agg(F.bit_or("bits").alias("bits"))
+    spaced = cut.where(~plain).select(ROW_KEY, "__t").dropDuplicates([ROW_KEY])
     maybe = private.where(~F.col("__plain")).groupBy(ROW_KEY).agg(
-        F.collect_set(F.struct("__gram", "bits")).alias("__x")).join(texts, ROW_KEY)
+        F.collect_set(F.struct("__gram", "bits")).alias("__x")).join(spaced, ROW_KEY)
     found = F.filter("__x", lambda x: F.contains(F.col("__t"), x["__gram"]))
     checked = maybe.select(ROW_KEY, F.aggregate(found, F.lit(0).cast("long"),
                                                 lambda s, x: s.bitwiseOR(x["bits"])).alias("bits"))
     joined = keyed.join(sure.unionByName(checked), ROW_KEY, "left")
     every = F.lit((1 << len(domains)) - 1).cast("long")
-    bit = F.when(F.contains(F.col(text_col), F.lit(REDACTED)), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
+    bit = F.when(F.col("__token"), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
     names = F.filter(T.lit_array(domains), lambda d: bit.bitwiseAND(_bit(d, domains)) != 0)
-    return joined.withColumn(out, F.when(F.col(text_col).isNotNull(), names)).drop(ROW_KEY, "bits")
+    return joined.withColumn(out, F.when(F.col("__some"), names)).drop(ROW_KEY, "bits", "__some", "__token")
 
 
 # Count-based naive Bayes ------------------------------------------------
@@ -253,8 +262,10 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
     ndocs = {r["label"]: r["c"] for r in
              train.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("c")).collect()}
     labels = sorted(ndocs)
-    feats = train.select(F.col(label_col).alias("label"),
-                         F.explode_outer(feature_ngrams(text_col, lo, hi)).alias("gram")).where(F.col("gram").isNotNull())
+    # tokens in a projection of their own: the n-grams read them many times
+    cut = train.select(F.col(label_col).alias("label"), T.tokens(F.lower(F.col(text_col))).alias("__toks"))
+    grams = F.flatten(F.array(*[T.exact_ngrams(F.col("__toks"), n) for n in range(lo, hi + 1)]))
+    feats = cut.select("label", F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
     # one row per gram, one count per label: a plain hash aggregation and the only
     # shuffle of the grams; materialised once (memory, then disk)
     counts = keep(feats.groupBy("gram").agg(*[F.count_if(F.col("label") == l).alias(f"__n{i}") for i, l in enumerate(labels)]))
@@ -403,21 +414,22 @@ def _word_contribs(grams: DataFrame, model: dict) -> DataFrame:
     return d.drop("__w0", "__w1")
 
 
-def vocabulary_bits(model: dict, threshold: float) -> DataFrame:
-    """(gram, bits): for every vocabulary gram of one or two words the labels under which it is private."""
+def gram_bits(grams: DataFrame, model: dict, threshold: float) -> DataFrame:
+    """(gram, bits): for every distinct ``gram`` of one or two lower-cased words the labels under which it is
+    private, where there are any.  Of the vocabulary only these grams and their words travel."""
+    d = grams.select("gram").distinct().join(model["contrib"], "gram", "left")
     own = F.contains(F.col("gram"), F.lit(" "))                # a pair adds its own contribution to its words'
-    d = _word_contribs(model["contrib"], model)
     parts = [F.col("__c0"), F.col("__c1"), F.when(own, F.col("contrib"))]
-    return _with_private_bits(d, parts, model, threshold).select("gram", "bits")
+    return _with_private_bits(_word_contribs(d, model), parts, model, threshold).select("gram", "bits").where(F.col("bits") != 0)
 
 
 def _redact_short(df: DataFrame, model: dict, threshold: float, text_col: str, out_col: str,
                   domain_col: str | None) -> DataFrame:
     """Grams of one or two words under a model of the same.
 
-    The vocabulary is scored once, from the training counts; a text's distinct
-    grams are looked up in it by one join, and only those outside it are scored
-    apart.  What comes back to a row are places in its list of grams, not strings.
+    The distinct grams of all texts are scored once, from the training counts, and
+    the private ones are joined to the texts' grams: the vocabulary is not scored
+    beyond them.  What comes back to a row are places in its list of grams, not strings.
     """
     from veil.functions.fold import fold_places_udf
     keyed = with_row_key(df, text_col, domain_col)
@@ -433,12 +445,7 @@ def _redact_short(df: DataFrame, model: dict, threshold: float, text_col: str, o
                                                        F.array_distinct("__grams").alias("__d"))
     g = cut.where("__want != 0").select(ROW_KEY, "__want", F.posexplode_outer("__d").alias("__i", "__g")).where(
         F.col("__i").isNotNull()).select(ROW_KEY, "__want", "__i", F.lower("__g").alias("gram"))
-    looked = g.join(vocabulary_bits(model, threshold), "gram", "left")
-    outside = looked.where(F.col("bits").isNull()).drop("bits")
-    scored = _with_private_bits(_word_contribs(outside.select("gram").distinct(), model),
-                                [F.col("__c0"), F.col("__c1")], model, threshold).select("gram", "bits")
-    private = looked.where(F.col("bits").isNotNull()).select(ROW_KEY, "__want", "__i", "bits").unionByName(
-        outside.join(scored, "gram").select(ROW_KEY, "__want", "__i", "bits")).where(F.col("bits").bitwiseAND(F.col("__want")) != 0)
+    private = g.join(gram_bits(g, model, threshold), "gram").where(F.col("bits").bitwiseAND(F.col("__want")) != 0)
     places = private.groupBy(ROW_KEY).agg(F.collect_list("__i").alias("__places"))
     joined = T.with_ngrams(keyed.join(places, ROW_KEY, "left"), text_col, 1, 2)
     return joined.withColumn(out_col, fold_places_udf(F.col(text_col), F.col("__grams"), F.col("__places"))).drop(
