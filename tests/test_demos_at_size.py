@@ -59,7 +59,13 @@ def test_draws_hand_on_few_rows_of_a_batch(spark):
     rows = [("q%d" % (i % 2) if i % 5 else None, i % 3, i, "x" * (i % 4)) for i in range(3000)]
     c = spark.createDataFrame(rows, "query_id string, sample int, support_id int, extra string")
     hashed = c.coalesce(1).withColumn("__h", hash_key(7, "query_id", "sample", "support_id"))
-    assert FS._least_of_batches(hashed, ["query_id", "sample"], "__h", 4).count() <= 9 * 4 + 2
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch = spark.conf.get(size)                                   # other tests of the session set it
+    spark.conf.set(size, "10000")
+    try:
+        assert FS._least_of_batches(hashed, ["query_id", "sample"], "__h", 4).count() <= 9 * 4 + 2
+    finally:
+        spark.conf.set(size, batch)
     w = Window.partitionBy("query_id", "sample").orderBy(hash_key(7, "query_id", "sample", "support_id"), "support_id")
     plain = c.withColumn("n", F.row_number().over(w)).where("n <= 4").drop("n")
     assert sorted(map(str, FS.sample_in_context(c, 4, 7).collect())) == sorted(map(str, plain.collect()))
