@@ -185,7 +185,7 @@ def classifier_bits(df: DataFrame, model: dict, domains: Sequence[str], threshol
                     text_col: str = "utterance") -> DataFrame:
     """(gram, bits) of the n-grams of ``df`` under the count NB model (strict ``>``); each is scored once."""
     grams = T.with_ngrams(df.select(text_col), text_col, model["lo"], model["hi"]).select(
-        F.explode(F.array_distinct("__grams")).alias("gram"))
+        F.explode_outer(F.array_distinct("__grams")).alias("gram")).where(F.col("gram").isNotNull())
     short = (model["lo"], model["hi"]) == (1, 2)
     probs = nb_probs_short(grams, model, "gram") if short else nb_probs(grams, model, "gram", space_joined=True)
     place = {label: k for k, label in enumerate(model["labels"])}
@@ -217,9 +217,12 @@ def redacted_domains(df: DataFrame, bits: DataFrame, text_col: str, domains: Seq
     cut = T.with_ngrams(texts, "__t", lo, hi)
     # tokens joined by single blanks hold every n-gram; of other texts some are not in the text
     plain = F.contains(F.col("__t"), F.array_join("__toks", " "))
-    grams = cut.select(ROW_KEY, plain.alias("__plain"), F.explode(F.array_distinct("__grams")).alias("__gram"))
+    grams = cut.select(ROW_KEY, plain.alias("__plain"), F.explode_outer(F.array_distinct("__grams")).alias("__gram")).where(
+        F.col("__gram").isNotNull())
     key = T.normalise_ngram(F.col("__gram")) if normalise else F.col("__gram")
-    private = grams.withColumn("gram", key).join(bits, "gram")
+    # read by both branches below: looked up (and their bits scored) once
+    private = keep(grams.withColumn("gram", key).join(bits, "gram").select(
+        ROW_KEY, "__plain", F.when(~F.col("__plain"), F.col("__gram")).alias("__gram"), "bits"))
     sure = private.where("__plain").groupBy(ROW_KEY).agg(F.bit_or("bits").alias("bits"))
     spaced = cut.where(~plain).select(ROW_KEY, "__t").dropDuplicates([ROW_KEY])
     maybe = private.where(~F.col("__plain")).groupBy(ROW_KEY).agg(
@@ -264,8 +267,13 @@ def fit_naive_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
     labels = sorted(ndocs)
     # tokens in a projection of their own: the n-grams read them many times
     cut = train.select(F.col(label_col).alias("label"), T.tokens(F.lower(F.col(text_col))).alias("__toks"))
-    grams = F.flatten(F.array(*[T.exact_ngrams(F.col("__toks"), n) for n in range(lo, hi + 1)]))
-    feats = cut.select("label", F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
+    # a place's word with the next ones, then its n-grams (null past the end): no array of all n-grams of a text
+    n_words = F.greatest(F.size("__toks"), F.lit(0))
+    ahead = F.arrays_zip(*[F.slice("__toks", n, n_words).alias(f"w{n}") for n in range(1, hi + 1)])
+    places = cut.select("label", F.explode_outer(ahead).alias("w"))
+    grams = F.array(*[F.concat(*[x for k in range(1, n + 1) for x in (F.lit(" "), F.col(f"w.w{k}"))][1:])
+                      for n in range(lo, hi + 1)])
+    feats = places.select("label", F.explode_outer(grams).alias("gram")).where(F.col("gram").isNotNull())
     # one row per gram, one count per label: a plain hash aggregation and the only
     # shuffle of the grams; materialised once (memory, then disk)
     counts = keep(feats.groupBy("gram").agg(*[F.count_if(F.col("label") == l).alias(f"__n{i}") for i, l in enumerate(labels)]))
@@ -312,33 +320,36 @@ def nb_probs(items: DataFrame, model: dict, text_col: str = "gram", space_joined
 
 
 def nb_probs_short(grams: DataFrame, model: dict, text_col: str, include_oov: bool = True) -> DataFrame:
-    """``nb_probs`` of distinct space-joined n-grams of one or two words under a
-    model of 1–2-grams: such an item has at most three features (each word and
-    the pair), so its contributions are three look-ups in place of an explode
-    and a sum."""
+    """``nb_probs`` of space-joined n-grams of one or two words under a model of
+    1–2-grams: such an item has at most three features (each word and the pair),
+    so its contributions are look-ups in place of an explode and a sum: the item
+    meets the vocabulary once, a pair's words meet the single words only.  The
+    model's own vocabulary (``model["vocab"]``) is scored from its table as it is."""
     if (model["lo"], model["hi"]) != (1, 2):
         raise ValueError("needs a model of 1-2-grams")
-    contrib = model["contrib"]
-    zero = F.array(*[F.lit(0.0)] * len(model["labels"]))
-    items = grams.select(F.col(text_col).alias("__t")).distinct()
-    words = F.split(F.lower("__t"), " ")
-    d = items.select("__t", words[0].alias("__w0"), F.when(F.size(words) == 2, words[1]).alias("__w1"),
-                     F.when(F.size(words) == 2, F.lower("__t")).alias("__w2"))
-    for k in range(3):
-        d = d.join(contrib.select(F.col("gram").alias(f"__w{k}"), F.col("contrib").alias(f"__c{k}")), f"__w{k}", "left")
+    if grams is model["vocab"]:
+        d = model["contrib"].withColumn("__t", F.col("gram"))
+    else:
+        items = grams.select(F.col(text_col).alias("__t")).distinct().withColumn("gram", F.lower("__t"))
+        d = items.join(model["contrib"], "gram", "left")
+    d = _word_contribs(d, model)
     if not include_oov:
-        d = d.where(F.coalesce("__c0", "__c1", "__c2").isNotNull())
-    parts = [F.coalesce(f"__c{k}", zero) for k in range(3)]
-    jll = F.array(*[F.lit(p) + (parts[0][i] + parts[1][i] + parts[2][i]) for i, p in enumerate(model["prior"])])
-    from veil.functions.arrays import softmax
-    return d.select(F.col("__t").alias(text_col), softmax(jll).alias("probs"))
-
-
-def nb_score(items: DataFrame, model: dict, text_col: str = "gram", space_joined: bool = False) -> DataFrame:
-    """R7 in long form ``(text, label, prob)``."""
-    p = nb_probs(items, model, text_col, space_joined)
+        d = d.where(F.coalesce("contrib", "__c0", "__c1").isNotNull())
+    pair = F.contains(F.col("gram"), F.lit(" "))               # a pair adds its own contribution to its words'
+    d = _with_probs(d, [F.col("__c0"), F.col("__c1"), F.when(pair, F.col("contrib"))], model)
+    probs = [F.col(f"__p{i}") for i in range(len(model["labels"]))]
+    return d.select(F.col("__t").alias(text_col), F.array(*probs).alias("probs"))
+
+
+def nb_score(items: DataFrame, model: dict, text_col: str = "gram", space_joined: bool = False,
+             short: bool = False) -> DataFrame:
+    """R7 in long form ``(text, label, prob)``; ``short``: the items are n-grams
+    of one or two words joined by a blank (see ``nb_probs_short``)."""
+    short = short and (model["lo"], model["hi"]) == (1, 2)
+    p = nb_probs_short(items, model, text_col) if short else nb_probs(items, model, text_col, space_joined)
     labels = T.lit_array(model["labels"])
-    return p.select(text_col, F.posexplode("probs").alias("__i", "prob")).select(
+    # the outer form: of an inner one Catalyst infers a filter that computes all probabilities again, inlined
+    return p.select(text_col, F.posexplode_outer("probs").alias("__i", "prob")).where(F.col("__i").isNotNull()).select(
         text_col, F.element_at(labels, F.col("__i") + 1).alias("label"), "prob")
 
 
@@ -382,8 +393,8 @@ def redact_by_scores(df: DataFrame, scores: DataFrame, threshold: float, text_co
     return fold_collected(df, private, text_col, out_col, key_cols).drop(ROW_KEY)
 
 
-def _with_private_bits(df: DataFrame, parts: Sequence[Column], model: dict, threshold: float) -> DataFrame:
-    """Add ``bits``: bit i is set where the probability of label i passes (strict).
+def _with_probs(df: DataFrame, parts: Sequence[Column], model: dict) -> DataFrame:
+    """Add ``__p0``, ``__p1``, …: the probability of each label.
 
     ``parts`` are contribution arrays (null: none).  Plain columns, one a label:
     arrays would be built again for every use.
@@ -399,9 +410,16 @@ def _with_private_bits(df: DataFrame, parts: Sequence[Column], model: dict, thre
     d = d.withColumn("__top", top)
     d = d.withColumns({f"__e{i}": F.exp(F.col(f"__j{i}") - F.col("__top")) for i in own})
     d = d.withColumn("__all", sum((F.col(f"__e{i}") for i in own), F.lit(0.0)))
-    bits = sum((F.when(F.col(f"__e{i}") / F.col("__all") > threshold, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return d.withColumns({f"__p{i}": F.col(f"__e{i}") / F.col("__all") for i in own}).drop(
+        "__top", "__all", *[f"__{c}{i}" for i in own for c in "je"])
+
+
+def _with_private_bits(df: DataFrame, parts: Sequence[Column], model: dict, threshold: float) -> DataFrame:
+    """Add ``bits``: bit i is set where the probability of label i passes (strict)."""
+    own = range(len(model["labels"]))
+    bits = sum((F.when(F.col(f"__p{i}") > threshold, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
                 for i in own), F.lit(0).cast("long"))
-    return d.withColumn("bits", bits).drop("__top", "__all", *[f"__{c}{i}" for i in own for c in "je"])
+    return _with_probs(df, parts, model).withColumn("bits", bits).drop(*[f"__p{i}" for i in own])
 
 
 def _word_contribs(grams: DataFrame, model: dict) -> DataFrame:

@@ -160,7 +160,7 @@ def a6_attack_success_scores(spark, sf_dir):
     """Score mode: probabilities of an external classifier, inclusive threshold."""
     gens = generations(spark, sf_dir).select("gen_id", "gen")
     grams = R.explode_ngrams(gens, "gen", ["gen_id"], QR.NB_LO, QR.NB_HI)
-    scores = R.nb_score(grams, QR._nb(spark, sf_dir), "__gram").withColumnRenamed("__gram", "gram")
+    scores = R.nb_score(grams, QR._nb(spark, sf_dir), "__gram", short=True).withColumnRenamed("__gram", "gram")
     bits = R.score_bits(scores, QR.TARGET_LANGS, 0.95)
     return A.attack_success_domains(gens, bits, "gen", QR.TARGET_LANGS, QR.NB_LO, QR.NB_HI).select("gen_id", "success")
 

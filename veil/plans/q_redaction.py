@@ -183,7 +183,7 @@ SELECT t AS gram, label, round(prob, 6) AS prob FROM nb_scored
 """)
 def r7_nb_score(spark, sf_dir):
     m = _nb(spark, sf_dir)
-    s = R.nb_score(_bench_grams(spark, sf_dir), m, "__gram")
+    s = R.nb_score(_bench_grams(spark, sf_dir), m, "__gram", short=True)
     return s.select(F.col("__gram").alias("gram"), "label", F.round("prob", 6).alias("prob"))
 
 
@@ -195,7 +195,7 @@ FROM nb_scored WHERE prob > 0.9
 """)
 def r10_class_keywords(spark, sf_dir):
     m = _nb(spark, sf_dir)
-    s = R.nb_score(m["vocab"], m, "gram")
+    s = R.nb_score(m["vocab"], m, "gram", short=True)
     k = R.class_keywords(s, 0.9)
     return k.select("label", "gram", F.round("prob", 6).alias("prob"), F.col("rank").cast("long").alias("rank"))
 
@@ -230,7 +230,7 @@ def r9_redact_by_classifier_domain(spark, sf_dir):
           + "SELECT item_id, redacted FROM folded")
 def r11_redact_by_scores(spark, sf_dir):
     """External-classifier form: a score table ``(gram, label, prob)``, inclusive ``>=``."""
-    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram") \
+    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram", short=True) \
         .withColumnRenamed("__gram", "gram")
     out = R.redact_by_scores(_bench(spark, sf_dir), scores, 0.95, "text", "redacted",
                              lo=NB_LO, hi=NB_HI)
@@ -243,7 +243,7 @@ def r11_redact_by_scores(spark, sf_dir):
 def _token_probs(spark, sf_dir, model=None):
     b = _bench(spark, sf_dir)
     toks = b.select("item_id", F.posexplode(T.tokens("text")).alias("tok_pos", "token"))
-    vec = R.nb_probs(toks.select(F.col("token").alias("t")), model or _nb(spark, sf_dir), "t").withColumnRenamed("t", "token")
+    vec = R.nb_probs_short(toks.select(F.col("token").alias("t")), model or _nb(spark, sf_dir), "t").withColumnRenamed("t", "token")
     return toks.join(vec, "token").select("item_id", (F.col("tok_pos") + 1).alias("tok_pos"), "token", "probs")
 
 
@@ -319,7 +319,7 @@ def r15_redact_dataset_nb(spark, sf_dir):
           + "SELECT item_id, redacted AS text FROM folded")
 def r15_redact_dataset_scores(spark, sf_dir):
     """The whole-table job with a score table, any class."""
-    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram").withColumnRenamed("__gram", "gram")
+    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram", short=True).withColumnRenamed("__gram", "gram")
     out = R.redact_dataset(_tagged(spark, sf_dir), "scores", scores=scores, text_col="text", domain_col="dom")
     return out.select("item_id", "text")
 
@@ -416,7 +416,7 @@ SELECT item_id, redacted_in, len(redacted_in) > 0 AS redacted_any FROM marked
 def r6_redacted_domains_scores(spark, sf_dir):
     """A score table of an external classifier, inclusive threshold."""
     items = _bench(spark, sf_dir)
-    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram").withColumnRenamed("__gram", "gram")
+    scores = R.nb_score(_bench_grams(spark, sf_dir), _nb(spark, sf_dir), "__gram", short=True).withColumnRenamed("__gram", "gram")
     bits = R.score_bits(scores, TARGET_LANGS, 0.95)
     out = R.redacted_domains(items, bits, "text", TARGET_LANGS, NB_LO, NB_HI)
     return out.select("item_id", "redacted_in", (F.size("redacted_in") > 0).alias("redacted_any"))
