@@ -227,6 +227,28 @@ def test_a_task_holds_a_bounded_group(monkeypatch):
     assert rows == 480 and not sizes
 
 
+def test_a_frequent_core_makes_few_rows(spark, monkeypatch):
+    """A piece leaves the task as one row and as one of each part, and windows are counted at the passage's ends only."""
+    monkeypatch.setattr(suffix_dedup, "_GROUP", 3)
+    rnd = random.Random(15)
+    filler = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = filler(520)
+    texts = [filler(500) + passage[:rnd.choice((330, 395, 399, 400, 401, 455, 520))] + filler(500) for _ in range(80)]
+    texts += [texts[0], texts[1][3:], passage, passage[50:]]
+    df = spark.createDataFrame([*enumerate(texts), (5, texts[5])], "doc_id long, text string")
+    kept = []
+    monkeypatch.setattr(suffix_dedup, "keep", lambda d: kept.append(d.persist()) or kept[-1])
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+           for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_removal([t.encode() for t in texts] + [texts[5].encode()])[:-1]))
+    solved, parts = kept[1].where("core is not null"), kept[2]
+    pieces, windows = solved.count(), solved.selectExpr("sum(far - near + 1)").first()[0]
+    assert pieces > 80 and solved.select("g", "u", "part").distinct().count() > 80
+    assert parts.count() < windows / 5
+    for d in kept:
+        d.unpersist()
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     rnd = random.Random(6)
     text = bytes(rnd.randrange(97, 101) for _ in range(9_000))
