@@ -108,6 +108,24 @@ def test_classes_of_the_documents(spark):
     assert got == brute_classes(texts)
 
 
+def test_few_links_stay_in_few_partitions(spark):
+    """Rounds over few pairs do not deal them over all shuffle partitions again and again."""
+    few = 4 * spark.sparkContext.defaultParallelism
+    conf = {"spark.sql.shuffle.partitions": str(4 * few), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = [(b"%02d" % k, b"%02d" % (k + 3)) for k in range(30)]
+        roots = near_dup.components(spark.createDataFrame(edges, "a binary, b binary"))
+        assert roots.rdd.getNumPartitions() <= few
+        assert {(bytes(r.node), bytes(r.root)) for r in roots.collect()} == {
+            (b"%02d" % k, b"%02d" % (k % 3)) for k in range(33)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def template_family(slopes=6, q=13):
     """Linked pairs of texts of one template whose base text is absent; texts of two pairs are no link.
 
