@@ -7,7 +7,7 @@ Two physical forms of the same fold:
   fold are one higher-order expression per row: no shuffle at all.
 * **exploded form** — n-grams are exploded with their position, the decision
   comes from a join against a scored/keyword table (broadcast when the table
-  is proven small, shuffle join otherwise), private n-grams are collected back
+  is small, shuffle join otherwise), private n-grams are collected back
   per row in (n-group, position) order and folded.  Used for large
   dictionaries and for model scores.
 
@@ -20,10 +20,13 @@ from __future__ import annotations
 import math
 from typing import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.constants import REDACTED
+from veil.functions import chunks
 from veil.functions import text as T
 from veil.functions.ranking import null_safe_join
 from veil.session import keep
@@ -110,32 +113,37 @@ def explode_ngrams(df: DataFrame, text_col: str, key_cols: Sequence[str], lo: in
 
 
 def fold_collected(df: DataFrame, private: DataFrame, text_col: str, out_col: str,
-                   key_cols: Sequence[str], multi_pattern: bool = True) -> DataFrame:
-    """Collect private n-grams per row in position order and fold them.
-
-    ``multi_pattern``: the one-pass Aho–Corasick fold (for long lists, as with
-    classifier decisions where most n-grams are private); otherwise the
-    JVM-side sequential fold (short lists, e.g. sparse dictionary hits).
-    Both are exact.
-    """
+                   key_cols: Sequence[str]) -> DataFrame:
+    """Collect private n-grams per row in position order and fold them (see ``functions/fold.py``)."""
+    from veil.functions.fold import fold_udf
     # rows with the same key have the same n-grams: a set, not a list
     per_row = private.groupBy(*key_cols).agg(
         F.array_sort(F.collect_set(F.struct("__gpos", "__gram"))).alias("__priv"))
     joined = null_safe_join(df, per_row, key_cols, "left")
     grams = F.coalesce(F.transform("__priv", lambda s: s["__gram"]), F.array().cast("array<string>"))
-    if not multi_pattern:
-        return joined.withColumn(out_col, T.fold_replace(text_col, grams)).drop("__priv")
-    from veil.functions.fold import fold_udf
     return joined.withColumn(out_col, fold_udf(F.col(text_col), grams)).drop("__priv")
 
 
+SMALL_DICTIONARY = 100_000       # phrases that every task may hold
+
+
 def redact_exploded(df: DataFrame, kw_df: DataFrame, join_on: Sequence[str], text_col: str,
                     out_col: str, domain_col: str | None, lo: int, hi: int) -> DataFrame:
+    """Each distinct n-gram of a text meets the dictionary once, where it stands if the
+    dictionary is small; what comes back to a row are places, not strings."""
+    from veil.functions.fold import fold_places_udf
+    if kw_df.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        kw_df = F.broadcast(kw_df)
     keyed = with_row_key(df, text_col, domain_col)
-    g = explode_ngrams(keyed, text_col, [ROW_KEY], lo, hi, domain_col)
-    g = g.withColumn("__key", T.normalise_ngram(F.col("__gram")))
+    extra = [F.col(domain_col).alias("__dom")] if domain_col else []
+    cut = T.with_ngrams(keyed.select(ROW_KEY, *extra, text_col), text_col, lo, hi).select(
+        ROW_KEY, *(["__dom"] if domain_col else []), F.array_distinct("__grams").alias("__d"))
+    g = cut.select(ROW_KEY, *(["__dom"] if domain_col else []), F.posexplode_outer("__d").alias("__i", "__gram")).where(
+        F.col("__i").isNotNull()).withColumn("__key", T.normalise_ngram(F.col("__gram")))
     private = g.join(kw_df, on=list(join_on), how="left_semi")
-    return fold_collected(keyed, private, text_col, out_col, [ROW_KEY], multi_pattern=False).drop(ROW_KEY)
+    places = private.groupBy(ROW_KEY).agg(F.array_sort(F.collect_set("__i")).alias("__places"))
+    joined = keyed.join(places, ROW_KEY, "left")
+    return joined.withColumn(out_col, fold_places_udf(lo, hi)(F.col(text_col), F.col("__places"))).drop(ROW_KEY, "__places")
 
 
 # R5 / R6 ----------------------------------------------------------------------
@@ -158,7 +166,6 @@ def is_redacted_any(text, domains: Sequence[str], keyword_dict: Mapping[str, Seq
 # whatever is replaced later leaves a whole token behind.  So no fold is needed, and one
 # look-up of an n-gram answers for every domain, as a set of bits.
 MOST_DOMAINS = 62
-SMALL_DICTIONARY = 100_000       # phrases that every task may hold
 
 
 def _bit(label: Column, domains: Sequence[str]) -> Column:
@@ -441,33 +448,73 @@ def gram_bits(grams: DataFrame, model: dict, threshold: float) -> DataFrame:
     return _with_private_bits(_word_contribs(d, model), parts, model, threshold).select("gram", "bits").where(F.col("bits") != 0)
 
 
+_NONE, _ANY = -1, -2             # labels that make an n-gram of a row private
+
+
 def _redact_short(df: DataFrame, model: dict, threshold: float, text_col: str, out_col: str,
                   domain_col: str | None) -> DataFrame:
     """Grams of one or two words under a model of the same.
 
-    The distinct grams of all texts are scored once, from the training counts, and
-    the private ones are joined to the texts' grams: the vocabulary is not scored
-    beyond them.  What comes back to a row are places in its list of grams, not strings.
+    A chunk of texts asks for the training counts of its distinct words and pairs
+    (``functions/chunks.py``), scores them and folds its texts: neither the
+    vocabulary is scored beyond them nor does an n-gram travel once a text.
     """
-    from veil.functions.fold import fold_places_udf
-    keyed = with_row_key(df, text_col, domain_col)
-    unique = keyed.select(ROW_KEY, text_col, *([F.col(domain_col).alias("__dom")] if domain_col else [])).dropDuplicates([ROW_KEY])
-    # which bits make a gram of this row private: all of them, or the row's domain alone
-    labels = model["labels"]
+    from veil.functions.fold import fold_text
+    labels, prior = list(model["labels"]), np.array(model["prior"])
+    n_labels = len(labels)
     if domain_col:
-        place = F.array_position(T.lit_array(labels), F.col("__dom"))
-        wanted = F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place - 1).cast("int")))
+        want = F.coalesce(F.array_position(T.lit_array(labels), F.col(domain_col)).cast("int"), F.lit(0)) - 1
     else:
-        wanted = F.lit((1 << len(labels)) - 1).cast("long")
-    cut = T.with_ngrams(unique, text_col, 1, 2).select(ROW_KEY, F.coalesce(wanted, F.lit(0).cast("long")).alias("__want"),
-                                                       F.array_distinct("__grams").alias("__d"))
-    g = cut.where("__want != 0").select(ROW_KEY, "__want", F.posexplode_outer("__d").alias("__i", "__g")).where(
-        F.col("__i").isNotNull()).select(ROW_KEY, "__want", "__i", F.lower("__g").alias("gram"))
-    private = g.join(gram_bits(g, model, threshold), "gram").where(F.col("bits").bitwiseAND(F.col("__want")) != 0)
-    places = private.groupBy(ROW_KEY).agg(F.collect_list("__i").alias("__places"))
-    joined = T.with_ngrams(keyed.join(places, ROW_KEY, "left"), text_col, 1, 2)
-    return joined.withColumn(out_col, fold_places_udf(F.col(text_col), F.col("__grams"), F.col("__places"))).drop(
-        ROW_KEY, "__places", "__grams", "__toks")
+        want = F.lit(_ANY)
+    rows = chunks.dealt(df.withColumn("__want", want), [text_col])
+
+    def tokens_of(table):
+        texts, wanted = table.column(text_col).to_pylist(), table.column("__want").to_pylist()
+        return texts, wanted, ([] if t is None or w == _NONE else t.split() for t, w in zip(texts, wanted))
+
+    def ask(table: pa.Table) -> pa.Table:
+        return chunks.words_and_pairs(table.column(chunks.CHUNK)[0].as_py(), tokens_of(table)[2])
+
+    def look_up(asked):
+        grams = asked.withColumn("gram", F.lower(F.concat_ws(" ", "w0", "w1")))
+        return grams.join(model["contrib"], "gram").select(
+            chunks.CHUNK, "id", *[F.col("contrib")[i].alias(f"c{i}") for i in range(n_labels)])
+
+    def private(total):
+        """[n-grams, labels] whether the probability passes (strict)."""
+        j = prior + total
+        e = np.exp(j - j.max(axis=1, keepdims=True))
+        every = np.zeros(len(e))
+        for i in range(n_labels):
+            every = every + e[:, i]
+        return e / every[:, None] > threshold
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, wanted, token_lists = tokens_of(table)
+        x = chunks.Numbered(token_lists)
+        of_words, of_pairs = x.known(answers.column("id").to_numpy(), np.stack(
+            [answers.column(f"c{i}").to_numpy() for i in range(n_labels)], axis=1))
+        words, pairs = private(of_words), private(of_words[x.first] + of_words[x.second] + of_pairs)
+        if not domain_col:
+            words, pairs = words.any(axis=1, keepdims=True), pairs.any(axis=1, keepdims=True)
+        words, pairs, out = words[x.codes], pairs[x.pair_of], []
+        ends, pair_ends = np.cumsum(x.sizes), np.cumsum(np.maximum(x.sizes - 1, 0))
+        for t, w, n, end, pair_end in zip(texts, wanted, x.sizes, ends, pair_ends):
+            if not n:
+                out.append(t)
+                continue
+            toks, label = t.split(), w if domain_col else 0
+            single = [toks[i] for i in np.flatnonzero(words[end - n:end, label])]
+            # a text of one word gives it for either length
+            longer = [f"{toks[i]} {toks[i + 1]}" for i in np.flatnonzero(pairs[pair_end - n + 1:pair_end, label])] if n > 1 else single
+            out.append(fold_text(t, longer + single))
+        kept = table.drop_columns([chunks.CHUNK, "__want"])
+        done = pa.array(out, pa.string())
+        at = kept.schema.get_field_index(out_col)
+        return kept.append_column(out_col, done) if at < 0 else kept.set_column(at, out_col, done)
+
+    shape = df.withColumn(out_col, F.lit(None).cast("string")).schema
+    return chunks.looked_up(rows, ask, chunks.ASKED, look_up, finish, shape)
 
 
 def redact_by_classifier(df: DataFrame, model: dict, threshold: float = 0.9,
