@@ -66,3 +66,18 @@ def test_texts_ask_by_chunk_for_their_scores(spark, monkeypatch):
                                                   for label, p in zip(model["labels"], probs[g]))]
             want.append((r.id, r.dom, r.t, None if r.t is None else _loop(r.t, hot)))
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_a_small_dictionary_table_meets_the_ngrams_where_they_stand(spark):
+    rows = [(1, "en", "See one two, two."), (None, "de", "A one  A two"), (1, "en", "See one two, two."), (3, None, "one"), (4, "en", None),
+            (5, "de", "nothing"), (6, "en", "")]
+    df = spark.createDataFrame(rows, "id int, lang string, t string")
+    words = [("en", "one two"), ("en", "TWO"), ("de", "a"), ("de", "one")]
+    for dom in (None, "lang"):
+        kw = spark.createDataFrame(words, "domain string, phrase string")
+        got = R.redact_keywords(df, kw if dom else kw.select("phrase"), "t", "out", domain_col=dom)
+        plan = _plan(got)
+        assert "SortMergeJoin [__key" not in plan and "hashpartitioning(__key" not in plan.split("BroadcastExchange")[0]
+        as_array = {d: [p for x, p in words if x == d] for d in ("en", "de")} if dom else [p for _, p in words]
+        want = R.redact_keywords(df, as_array, "t", "out", domain_col=dom)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
