@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from veil.functions import chunks, fold
+from veil.functions.ranking import positions
+from veil.operators import attack as A
 from veil.operators import redaction as R
 
 
@@ -81,3 +85,30 @@ def test_a_small_dictionary_table_meets_the_ngrams_where_they_stand(spark):
         as_array = {d: [p for x, p in words if x == d] for d in ("en", "de")} if dom else [p for _, p in words]
         want = R.redact_keywords(df, as_array, "t", "out", domain_col=dom)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_only_asked_bigrams_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 128)
+    corpus = spark.createDataFrame([(t,) for t in ["a b a b c", "x y z w v u", None, "solo", "c A b"]], "text string")
+    gens = spark.createDataFrame([(None, "a b", "A b c"), (1, "x", "q"), (1, "A", ""), (1, "a b", None), (2, None, "a b"),
+                                  (None, "a b", "A b c"), (3, "", "a b a")], "cid int, prompt string, gen string")
+    asked = A.asked_of_generations(gens)
+    whole, part = A.fit_ngram_lm(corpus), A.fit_ngram_lm(corpus, asked=asked)
+    assert {(r.prev, r.tok): r.c_pair for r in whole["pair"].collect()}[("a", "b")] == 2
+    assert {tuple(r) for r in part["pair"].collect()} == {("a", "b", 2), ("b", "a", 1), ("b", "c", 1), ("A", "b", 1)}
+    for name in ("ctx", "V"):                                  # contexts and V are of the whole corpus
+        assert sorted(map(str, part[name].collect())) == sorted(map(str, whole[name].collect()))
+    one, two = (A.attack_results(gens, lm, lm, ["AIRLINE"], with_zlib=False, near_cols=near) for lm, near in ((whole, ()), (part, ["cid"])))
+    assert "posexplode" not in _plan(two) and one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    # the prompt has one word: its perplexity is undefined
+    assert [(r.target_ppl, r.lower_ppl is None) for r in two.where("prompt = 'x' or gen = 'a b a'").collect()] == [(None, True)] * 2
+    p = A.perplexity(spark.createDataFrame([(1, "a b A b c"), (2, "a b")], "item_id int, text string"), whole)
+    p = {r.item_id: r.ppl for r in p.collect()}
+    assert all(abs(r.target_ppl - p[1] / p[2]) < 1e-12 for r in two.where("gen = 'A b c'").collect())
+
+
+def test_positions_without_groups_do_not_shuffle_twice(spark):
+    got = positions(spark.range(50).withColumn("x", F.col("id") % 7), [], ["x", "id"])
+    assert "SortMergeJoin" not in _plan(got)
+    assert [r.id for r in sorted(got.collect(), key=lambda r: r.pos)] == sorted(range(50), key=lambda i: (i % 7, i))

@@ -90,9 +90,10 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, ou
               .agg(F.count(F.lit(1)).alias("__n"), F.min("__li").alias("__first")))
     w = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    # counts has at most (#partitions + #groups) rows: safe to broadcast when
-    # the number of groups is small, otherwise AQE decides at run time.
-    res = null_safe_join(ranged, counts.drop("__n"), [*group_cols, "__pid"])
+    # counts has at most (#partitions + #groups) rows: without groups one a
+    # partition, which every task may hold (else the rows would be shuffled again
+    # before AQE knows); with groups AQE decides at run time.
+    res = null_safe_join(ranged, counts.drop("__n"), [*group_cols, "__pid"], broadcast=not group_cols)
     res = res.withColumn(out, (F.col("__off") + F.col("__li") - F.col("__first")).cast("long"))
     return res.drop("__mid", "__pid", "__li", "__first", "__off", *okeys)
 

@@ -5,19 +5,25 @@ The neural LMs of the reference are an input; here a count-based bigram LM
 whole chain runs without a GPU.  Every step is a join or an aggregation:
 
     texts ─tokens─► bigrams ─⋈ bigram counts, context counts─► logprob
-          ─groupBy item─► perplexity ─⋈─► conditional perplexities …
+          ─groupBy item─► perplexity
+
+Conditional perplexities look the counts up a chunk of rows at a time.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 from typing import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from veil.functions import chunks
 from veil.functions import text as T
 from veil.operators import redaction as R
 from veil.session import keep
@@ -55,20 +61,85 @@ def _bigrams(df: DataFrame, text_col: str, key_cols: Sequence[str]) -> DataFrame
         F.col("__p.tok").alias("tok"))
 
 
-def fit_ngram_lm(corpus: DataFrame, text_col: str = "text", k: float = 1.0) -> dict:
+FILTER_BITS = 28               # log2 of the bits that tell which bigrams are asked for
+SLICE_CHARS = 8 << 20          # text that a task looks at at once
+
+
+def _slices(column: pa.Array):
+    """Token lists of the texts of a batch, about ``SLICE_CHARS`` at a time."""
+    held, size = [], 0
+    for t in column.to_pylist():
+        if t:
+            held.append(t.split())
+            size += len(t)
+            if size >= SLICE_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _places_in_filter(words: pa.Array, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The bit of each bigram of ``words``."""
+    h = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    mixed = (h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def asked_bigrams(texts: DataFrame, text_col: str):
+    """What ``fit_ngram_lm`` needs to know of the texts to be scored: a bit for each of their
+    bigrams, by hash and of fixed size (a further bigram may share a bit, none is missed)."""
+    def bits(batches):
+        for batch in batches:
+            for lists in _slices(batch.column(0)):
+                x = chunks.Numbered(lists)
+                at = np.unique(_places_in_filter(x.words, x.first, x.second))
+                if len(at):
+                    start = np.flatnonzero(np.r_[True, np.diff(at >> 6) != 0])
+                    word = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[start] >> 6), pa.array(word.view(np.int64))], names=["at", "bits"])
+
+    found = texts.select(F.col(text_col).cast("string")).mapInArrow(bits, "at long, bits long").groupBy("at").agg(
+        F.bit_or("bits").alias("bits")).toArrow()             # at most 2 ** (FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return texts.sparkSession.sparkContext.broadcast(out)
+
+
+def fit_ngram_lm(corpus: DataFrame, text_col: str = "text", k: float = 1.0, asked=None) -> dict:
     """Add-k bigram LM: ``logp = ln((c(prev,tok)+k) / (c(prev)+k·V))``.
 
     V is the number of distinct tokens of the corpus.  The count tables grow
-    with the corpus and stay Spark tables; only V is a scalar.
+    with the corpus and stay Spark tables; only V is a scalar.  ``asked``
+    (``asked_bigrams``): only texts with these bigrams will be scored, so pairs
+    that do not occur in them are not shuffled; contexts and V are of the whole corpus.
     """
-    bg = _bigrams(corpus, text_col, [])
-    # the model is scored many times (prompt, prompt + gen, lower-cased, per
-    # LM): its count tables are materialised once (memory, then disk)
-    pair = keep(bg.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("c_pair")))
-    ctx = keep(pair.groupBy("prev").agg(F.sum("c_pair").alias("c_ctx")))
-    vocab = corpus.select(F.explode_outer(T.tokens(text_col)).alias("tok")).where(F.col("tok").isNotNull()).distinct() \
-        .agg(F.count(F.lit(1)).alias("V"))
-    return {"pair": pair, "ctx": ctx, "V": vocab, "k": float(k)}
+    def pairs(batches):
+        for batch in batches:
+            for lists in _slices(batch.column(0)):
+                x = chunks.Numbered(lists)
+                first, second, n = x.first, x.second, np.bincount(x.pair_of, minlength=len(x.pairs))
+                if asked is not None:
+                    at = _places_in_filter(x.words, first, second)
+                    some = (asked.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+                    first, second, n = first[some], second[some], n[some]
+                for i in range(0, len(n), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([x.words.take(pa.array(first[j])), x.words.take(pa.array(second[j])),
+                                                      pa.array(n[j].astype(np.int64))], names=["prev", "tok", "n"])
+
+    def words(batches):
+        for batch in batches:
+            for lists in _slices(batch.column(0)):
+                own, codes, sizes = chunks.coded(lists)
+                n = np.bincount(codes[chunks.neighbours(sizes)], minlength=len(own))
+                yield pa.RecordBatch.from_arrays([own, pa.array(n.astype(np.int64))], names=["prev", "n"])
+
+    texts = corpus.select(F.col(text_col).cast("string"))
+    # the model is scored many times: its count tables are materialised once (memory, then disk)
+    pair = keep(texts.mapInArrow(pairs, "prev string, tok string, n long").groupBy("prev", "tok").agg(F.sum("n").alias("c_pair")))
+    every = keep(texts.mapInArrow(words, "prev string, n long").groupBy("prev").agg(F.sum("n").alias("c_ctx")))
+    return {"pair": pair, "ctx": every.where("c_ctx > 0"), "V": every.agg(F.count(F.lit(1)).alias("V")), "k": float(k)}
 
 
 def token_logprobs(texts: DataFrame, lm: dict, text_col: str = "text",
@@ -118,23 +189,85 @@ def perplexity(texts: DataFrame, lm: dict, text_col: str = "text",
 def with_conditional_perplexities(gens: DataFrame, lms: dict, prompt_col: str = "prompt", gen_col: str = "gen",
                                   lower: bool = False) -> DataFrame:
     """``gens`` with a column for every model of ``lms`` (output column → model):
-    ppl(prompt + ' ' + gen) / ppl(prompt); null for empty generations (A8).
+    ppl(prompt + ' ' + gen) / ppl(prompt); null for empty generations (A8)."""
+    return _with_conditional(gens, {out: (lm, lower) for out, lm in lms.items()}, prompt_col, gen_col)
+
+
+def _with_conditional(gens: DataFrame, scores: dict, prompt_col: str, gen_col: str,
+                      near_cols: Sequence[str] = ()) -> DataFrame:
+    """``gens`` with a column for every score (output column → model, whether lower-cased).
 
     The tokens of the prompt are a prefix of the tokens of prompt + ' ' + gen,
-    so one scoring pass gives both perplexities (the mean over all positions
-    and over those inside the prompt), and one explode serves all models.
+    so one pass gives both perplexities (the mean over all positions and over
+    those inside the prompt).  A chunk of rows asks for the counts of its
+    distinct bigrams and contexts once, for all models and forms.
     """
-    keyed = _keyed(gens, p=F.col(prompt_col), g=F.col(gen_col))
-    p = F.lower(prompt_col) if lower else F.col(prompt_col)
-    g = F.lower(gen_col) if lower else F.col(gen_col)
-    both = keyed.where(F.length(gen_col) > 0).dropDuplicates([_TEXT_KEY]).select(
-        _TEXT_KEY, F.concat(p, F.lit(" "), g).alias("__t"), F.size(T.tokens(p)).alias("__np"))
-    bg = _bigrams(both, "__t", [_TEXT_KEY, "__np"])
-    bg = bg.join(_pair_logprobs(bg, {f"__lp{i}": lm for i, lm in enumerate(lms.values())}), ["prev", "tok"])
-    aggs = [F.try_divide(F.exp(-F.avg(f"__lp{i}")),
-                         F.exp(-F.avg(F.when(F.col("pos") <= F.col("__np"), F.col(f"__lp{i}"))))).alias(out)
-            for i, out in enumerate(lms)]
-    return keyed.join(bg.groupBy(_TEXT_KEY).agg(*aggs), _TEXT_KEY, "left").drop(_TEXT_KEY)
+    models = list({id(lm): lm for lm, _ in scores.values()}.values())
+    which = {id(lm): i for i, lm in enumerate(models)}
+    wanted = [(out, which[id(lm)], lower) for out, (lm, lower) in scores.items()]
+    forms = {False: (prompt_col, gen_col), True: ("__p", "__g")}
+    used = sorted({lower for _, _, lower in wanted})
+    own = gens.columns
+    if True in used:
+        gens = gens.withColumn("__p", F.lower(prompt_col)).withColumn("__g", F.lower(gen_col))
+    rows = chunks.dealt(gens, [c for lower in used for c in forms[lower]], near_cols)
+    smooth = [(lm["k"], lm["k"] * lm["V"].first()["V"]) for lm in models]
+
+    def tokens_of(table):
+        """Per form and row: the words of prompt and generation, and how many are the prompt's."""
+        lists, of_prompt = [], []
+        for lower in used:
+            for p, g in zip(*[table.column(c).to_pylist() for c in forms[lower]]):
+                toks = p.split() if p is not None and g else []
+                of_prompt.append(len(toks))
+                lists.append(toks + g.split() if p is not None and g else [])
+        return lists, np.array(of_prompt, dtype=np.int64)
+
+    def ask(table: pa.Table) -> pa.Table:
+        return chunks.words_and_pairs(table.column(chunks.CHUNK)[0].as_py(), tokens_of(table)[0])
+
+    def look_up(asked):
+        found = []
+        for i, lm in enumerate(models):
+            pair = asked.where(F.col("w1").isNotNull()).join(
+                lm["pair"].select(F.col("prev").alias("w0"), F.col("tok").alias("w1"), F.col("c_pair").alias("n")), ["w0", "w1"])
+            ctx = asked.where(F.col("w1").isNull()).join(
+                lm["ctx"].select(F.col("prev").alias("w0"), F.col("c_ctx").alias("n")), "w0")
+            found += [d.select(chunks.CHUNK, F.lit(i).alias("model"), "id", "n") for d in (pair, ctx)]
+        return reduce(DataFrame.unionByName, found)
+
+    def means(logprob, start, end):
+        """Mean of each stretch; NaN where it is empty."""
+        out, some = np.full(len(start), np.nan), end > start
+        if some.any():
+            edges = np.stack([start[some], end[some]], axis=1).ravel()
+            out[some] = np.add.reduceat(np.append(logprob, 0.0), edges)[::2] / (end - start)[some]
+        return out
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        lists, of_prompt = tokens_of(table)
+        x = chunks.Numbered(lists)
+        n_pairs = np.maximum(x.sizes - 1, 0)
+        end = np.cumsum(n_pairs)
+        start, prompt_end = end - n_pairs, end - n_pairs + np.clip(of_prompt - 1, 0, n_pairs)
+        model, ids, n = (answers.column(c).to_numpy() for c in ("model", "id", "n"))
+        ratios = []
+        for i, (k, kv) in enumerate(smooth):
+            ctx, pair = x.known(ids[model == i], n[model == i])
+            logprob = (np.log(pair + k) - np.log(ctx[x.first] + kv))[x.pair_of]
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                whole, prompt = np.exp(-means(logprob, start, end)), np.exp(-means(logprob, start, prompt_end))
+                ratios.append(np.where(prompt == 0, np.nan, whole / prompt))
+        out = table.select(own_out)
+        for name, i, lower in wanted:
+            at = used.index(lower) * len(table)
+            r = ratios[i][at:at + len(table)]
+            out = out.append_column(name, pa.array(r, pa.float64(), mask=np.isnan(r)))
+        return out
+
+    own_out = [c for c in own if c not in scores]
+    shape = StructType([f for f in gens.schema if f.name in own_out] + [StructField(out, DoubleType()) for out in scores])
+    return chunks.looked_up(rows, ask, chunks.ASKED, look_up, finish, shape)
 
 
 def conditional_perplexity(gens: DataFrame, lm: dict, key_cols: Sequence[str] = ("gen_id",),
@@ -235,12 +368,21 @@ def attack_summary(results: DataFrame, group_cols: Sequence[str] = (), gen_col:
 
 
 # A13 --------------------------------------------------------------------------
+def asked_of_generations(gens: DataFrame, prompt_col: str = "prompt", gen_col: str = "gen"):
+    """``asked_bigrams`` of what ``attack_results`` scores: both forms of prompt + ' ' + gen."""
+    p, g = F.col(prompt_col), F.col(gen_col)
+    both = F.array(F.concat(p, F.lit(" "), g), F.concat(F.lower(p), F.lit(" "), F.lower(g)))
+    return asked_bigrams(gens.where(F.length(g) > 0).select(F.explode(both).alias("t")), "t")
+
+
 def attack_results(gens: DataFrame, target_lm: dict, ref_lm: dict, target_domains: Sequence[str],
-                   key_cols: Sequence[str] = ("gen_id",), with_zlib: bool = True) -> DataFrame:
+                   key_cols: Sequence[str] = ("gen_id",), with_zlib: bool = True,
+                   near_cols: Sequence[str] = ()) -> DataFrame:
     """``gens`` with target_ppl, ref_ppl, lower_ppl[, zlib] and success: one row per
-    row, whatever its keys (``key_cols`` is not needed)."""
-    out = with_conditional_perplexities(gens, {"target_ppl": target_lm, "ref_ppl": ref_lm})
-    out = with_conditional_perplexities(out, {"lower_ppl": target_lm}, lower=True)
+    row, whatever its keys (``key_cols`` is not needed).  Rows with the same
+    ``near_cols`` share their words (prompts of one conversation)."""
+    out = _with_conditional(gens, {"target_ppl": (target_lm, False), "ref_ppl": (ref_lm, False),
+                                   "lower_ppl": (target_lm, True)}, "prompt", "gen", near_cols)
     if with_zlib:
         out = out.withColumn("zlib", zlib_entropy(F.col("gen")))
     return attack_success_keyword(out, "gen", target_domains)

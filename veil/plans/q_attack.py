@@ -12,19 +12,20 @@ from veil.plans import q_redaction as QR
 from veil.plans import sqlfrag as S
 from veil.plans.registry import register
 from veil.plans.tables import SQL_TURNS, read, turns
+from veil.session import cut_lineage
 from veil.sources import io
 
 TARGETS = ["AIRLINE", "MEDIA"]
 REF_SOURCES = [f"src{i}" for i in range(10)]
 
 
-def target_lm(spark, sf_dir):
-    return A.fit_ngram_lm(read(spark, sf_dir, "documents"), "text", 1.0)
+def target_lm(spark, sf_dir, asked=None):
+    return A.fit_ngram_lm(read(spark, sf_dir, "documents"), "text", 1.0, asked)
 
 
-def ref_lm(spark, sf_dir):
+def ref_lm(spark, sf_dir, asked=None):
     d = read(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("source").isin(REF_SOURCES))
-    return A.fit_ngram_lm(d, "text", 1.0)
+    return A.fit_ngram_lm(d, "text", 1.0, asked)
 
 
 def generations(spark, sf_dir):
@@ -83,8 +84,10 @@ results AS (SELECT g.gen_id, g.domain, g.prompt, g.gen, t.target_ppl, r.ref_ppl,
 
 
 def _results(spark, sf_dir, with_zlib=False):
-    return A.attack_results(generations(spark, sf_dir), target_lm(spark, sf_dir), ref_lm(spark, sf_dir),
-                            TARGETS, ["gen_id"], with_zlib=with_zlib)
+    gens = cut_lineage(generations(spark, sf_dir))          # read by the filter of the models and by the scores
+    asked = A.asked_of_generations(gens)                    # pairs of no generation are not counted
+    return A.attack_results(gens, target_lm(spark, sf_dir, asked), ref_lm(spark, sf_dir, asked),
+                            TARGETS, ["gen_id"], with_zlib=with_zlib, near_cols=["conversation_id"])
 
 
 @register("a1_fit_ngram_lm", f"""
@@ -218,7 +221,7 @@ SELECT gen_id, round(target_ppl / ref_ppl, 6) AS ratio,
 FROM results
 """)
 def a11_ratio_sorted(spark, sf_dir):
-    r = A.ratio_sorted(_results(spark, sf_dir), "target_ppl", "ref_ppl", ["gen_id"])
+    r = A.ratio_sorted(_results(spark, sf_dir).select("gen_id", "target_ppl", "ref_ppl"), "target_ppl", "ref_ppl", ["gen_id"])
     return r.select("gen_id", F.round("ratio", 6).alias("ratio"), F.col("rank").cast("long").alias("rank"))
 
 
