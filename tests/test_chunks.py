@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veil.functions import chunks, fold
 from veil.functions.ranking import positions
 from veil.operators import attack as A
+from veil.operators import lmdata as L
 from veil.operators import redaction as R
 
 
@@ -112,3 +113,21 @@ def test_positions_without_groups_do_not_shuffle_twice(spark):
     got = positions(spark.range(50).withColumn("x", F.col("id") % 7), [], ["x", "id"])
     assert "SortMergeJoin" not in _plan(got)
     assert [r.id for r in sorted(got.collect(), key=lambda r: r.pos)] == sorted(range(50), key=lambda i: (i % 7, i))
+
+
+def test_tokens_travel_once_a_chunk_and_blocks_stay_in_their_partition(spark, monkeypatch):
+    monkeypatch.setattr(L, "TOKEN_BYTES", 40)
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, None if i % 11 == 5 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    vocab = spark.createDataFrame([(c, i) for i, c in enumerate("abcdefg")], "token string, id int")
+    ids = L.tokenize(df, vocab, "t")
+    assert "FlatMapCoGroupsInArrow" in _plan(ids) and "Generate" not in _plan(ids)
+    want = [(k, ["abcdefg".find(w) for w in (t or "").split()]) for k, t in rows]
+    assert sorted(map(str, ((r.k, list(r.input_ids)) for r in ids.collect()))) == sorted(map(str, want))
+    one = [(i, x) for i, (_, x) in enumerate(want)]
+    packed = L.pack_blocks(spark.createDataFrame(one, "k int, ids array<int>").repartition(3), "ids", "k", 16, map_batch=70)
+    assert "Window" not in _plan(packed) and packed.columns == ["map_batch", "block", "input_ids", "labels"]
+    got = {(r.map_batch, r.block): (list(r.input_ids), list(r.labels)) for r in packed.collect()}
+    flat = [[x for _, ids in one[b:b + 70] for x in ids] for b in range(0, 200, 70)]
+    assert got == {(b, j): (f[16 * j:16 * j + 16],) * 2 for b, f in enumerate(flat) for j in range(len(f) // 16)}

@@ -31,14 +31,14 @@ LEAST_BYTES = 1 << 20          # smaller chunks are not made for the sake of mor
 _HELD = 1 << 17                # words held as Python strings
 
 
-def dealt(df: DataFrame, text_cols: Sequence[str], near_cols: Sequence[str] = ()) -> DataFrame:
+def dealt(df: DataFrame, text_cols: Sequence[str], near_cols: Sequence[str] = (), chunk_bytes: int | None = None) -> DataFrame:
     """``df`` with ``__chunk``, whole chunks in partitions.  Rows are dealt by a hash of all
     their columns, so copies of a text under several keys go to several chunks; with
     ``near_cols`` (of groups that a task can hold) rows of a group stay together."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in text_cols), F.lit(0).cast("long"))
     total = df.agg(F.sum(size)).first()[0] or 0
     tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
-    n = max(1, -(-total // CHUNK_BYTES), min(tasks, total // LEAST_BYTES))
+    n = max(1, -(-total // (chunk_bytes or CHUNK_BYTES)), min(tasks, total // LEAST_BYTES))
     known = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
     key = F.xxhash64(*known)
     if near_cols:

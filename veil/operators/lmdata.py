@@ -3,19 +3,25 @@
 The subword codec of the reference is a library; here tokens are whitespace
 tokens (special tokens kept whole) and ids come from a vocabulary *table*
 joined in Spark.  Ragged id lists are ``array<int>`` columns.  Packing into
-blocks uses a running token offset inside bounded map batches (≤ 1000 rows),
-so no window ever spans a whole table.
+blocks uses a running token offset inside bounded map batches (≤ 1000 rows).
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from veil.functions import chunks
 from veil.functions import text as T
 from veil.functions.ranking import positions
+from veil.session import keep
 
 IGNORE_INDEX = -100
 PAD_ID = 0
@@ -38,48 +44,44 @@ def build_vocab(texts: DataFrame, text_col: str = "text", specials: Sequence[str
     return ranked.select("token", (F.col("__p") + 1).cast("int").alias("id"))
 
 
-HOT_TOKENS = 1000          # tokens whose ids every task knows
-_TRACKED = 10_000          # counters of the sketch that finds them
-
-
-def hot_tokens(texts: DataFrame, tokens_col: str, k: int = HOT_TOKENS) -> list[str]:
-    """At most ``k`` tokens that are probably the most frequent (a sketch of fixed size)."""
-    top = texts.select(F.explode(tokens_col).alias("t")).agg(F.expr(f"approx_top_k(t, {k}, {max(_TRACKED, k)})").alias("top"))
-    return [r["item"] for r in (top.first()["top"] or [])]
+TOKEN_BYTES = 24 << 20     # text of a chunk: the larger, the fewer times a token is asked for
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, text_col: str, key_cols: Sequence[str] = (),
-             out: str = "input_ids", unk_id: int = -1, hot: int = HOT_TOKENS) -> DataFrame:
+             out: str = "input_ids", unk_id: int = -1, hot: int | None = None) -> DataFrame:
     """Text → ids by a vocabulary of any size; the text column is dropped (L1).
 
-    Rows are told apart by their text, so keys may be null or repeated
-    (``key_cols`` is not needed).  The ids of at most ``hot`` frequent tokens are
-    looked up in a broadcast table of that many rows; only the other tokens go
-    through the shuffle of a join, where none of them is a large share.  A null
-    or empty text has no ids.
+    A chunk of texts asks for its distinct tokens once (``functions/chunks.py``);
+    tokens neither travel once a place nor go to one task because they are
+    frequent, and keys may be null or repeated (``key_cols`` and ``hot`` are not
+    needed).  A null or empty text has no ids.
     """
-    rk = "__text_key"
-    keyed = df.withColumn(rk, F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))))
-    texts = keyed.where(F.col(rk).isNotNull()).select(rk, text_col).dropDuplicates([rk])
-    toks = texts.select(rk, T.tokens(text_col).alias("__toks"))
-    frequent = hot_tokens(toks, "__toks", hot) if hot else []
-    known = vocab.select("token", F.col("id").cast("int").alias("id"))
-    ex = toks.select(rk, F.posexplode_outer("__toks").alias("__pos", "token")).where(F.col("__pos").isNotNull())
-    if frequent:
-        few = toks.sparkSession.createDataFrame([(t,) for t in frequent], "token string").join(known, "token", "left").select(
-            "token", F.coalesce("id", F.lit(unk_id)).alias("__hot"))
-        ex = ex.join(F.broadcast(few), "token", "left")                     # at most ``hot`` rows
-        near = ex.where(F.col("__hot").isNotNull()).select(rk, "__pos", F.col("__hot").alias("id"))
-        rest = ex.where(F.col("__hot").isNull()).drop("__hot")
-    else:
-        near, rest = None, ex
-    ids = rest.join(known, "token", "left").select(rk, "__pos", F.coalesce("id", F.lit(unk_id)).alias("id"))
-    ids = ids.unionByName(near) if near is not None else ids
-    agg = ids.groupBy(rk).agg(F.array_sort(F.collect_list(F.struct("__pos", "id"))).alias("__s"))
-    agg = agg.select(rk, F.transform("__s", lambda s: s["id"]).alias("__ids"))
-    rest_cols = [c for c in df.columns if c != text_col]
-    return keyed.join(agg, rk, "left").select(
-        *rest_cols, F.coalesce("__ids", F.array().cast("array<int>")).alias(out))
+    rows = chunks.dealt(df.withColumn(text_col, F.col(text_col).cast("string")), [text_col],
+                        chunk_bytes=TOKEN_BYTES)
+    shape = StructType([f for f in df.schema if f.name != text_col] + [StructField(out, ArrayType(IntegerType()))])
+    schema = to_arrow_schema(shape)
+
+    def tokens_of(table):
+        return (t.split() if t else [] for t in table.column(text_col).to_pylist())
+
+    def ask(table: pa.Table) -> pa.Table:
+        words, _, _ = chunks.coded(tokens_of(table))
+        n = len(words)
+        return pa.table({chunks.CHUNK: pa.array(np.full(n, table.column(chunks.CHUNK)[0].as_py(), dtype=np.int64)),
+                         "id": pa.array(np.arange(n)), "w0": words})
+
+    def look_up(asked):
+        known = vocab.select(F.col("token").alias("w0"), F.coalesce(F.col("id").cast("int"), F.lit(unk_id)).alias("n"))
+        return asked.join(known, "w0").select(chunks.CHUNK, "id", "n")
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        words, codes, sizes = chunks.coded(tokens_of(table))
+        ids = np.full(len(words), unk_id, dtype=np.int32)
+        ids[answers.column("id").to_numpy()] = answers.column("n").to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids[codes]))
+        return table.drop_columns([chunks.CHUNK, text_col]).append_column(out, lists).select(schema.names).cast(schema)
+
+    return chunks.looked_up(rows, ask, f"{chunks.CHUNK} long, id long, w0 string", look_up, finish, shape)
 
 
 # L2 ---------------------------------------------------------------------------
@@ -88,27 +90,67 @@ def pack_blocks(df: DataFrame, ids_col: str, order_col: str, block: int,
     """Within each map batch of ``map_batch`` rows (in ``order_col`` order)
     concatenate ids, drop the remainder, cut blocks; ``labels = input_ids``.
 
-    A row holds the places [off, off + n) of its batch and so overlaps a few
-    blocks; it gives each of them one slice, and a block is its slices in order.
+    Range partitions hold the rows in order.  Of each a task needs to know the
+    number of its first row and, of each map batch, the ids before and in all
+    (a row a partition and a row a map batch).  It then cuts its rows where they
+    are; only blocks over the ends of what it sees at once are put together.
     """
-    d = positions(df.select(order_col, ids_col), [], [order_col], out="__row")
-    d = d.select(F.floor(F.col("__row") / map_batch).alias("map_batch"), "__row", F.col(ids_col).alias("__ids"),
-                 F.greatest(F.size(ids_col), F.lit(0)).alias("__n"))
-    batch = Window.partitionBy("map_batch").orderBy("__row")          # ≤ map_batch rows per group
-    d = d.withColumn("__end", F.sum("__n").over(batch)).withColumn(
-        "__tot", F.sum("__n").over(batch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    off = F.col("__end") - F.col("__n")
-    last = F.least(F.floor((F.col("__end") - 1) / block), F.floor(F.col("__tot") / block) - 1)
-    d = d.withColumn("__off", off).withColumn("__first", F.floor(off / block)).withColumn("__last", last)
-    d = d.where((F.col("__n") > 0) & (F.col("__first") <= F.col("__last"))).withColumn(
-        "block", F.explode(F.sequence("__first", "__last")))
-    start = F.greatest(F.col("block") * block - F.col("__off"), F.lit(0))
-    stop = F.least((F.col("block") + 1) * block - F.col("__off"), F.col("__n"))
-    part = F.slice("__ids", (start + 1).cast("int"), (stop - start).cast("int"))
-    b = d.select("map_batch", "block", F.struct("__row", part.alias("ids")).alias("__s")).groupBy("map_batch", "block").agg(
-        F.array_sort(F.collect_list("__s")).alias("__s"))
-    ids = F.flatten(F.transform("__s", lambda s: s["ids"]))
-    return b.select("map_batch", "block", ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
+    # the bounds are sampled per execution: one materialisation for all passes (see ``ranking``)
+    ranged = keep(df.select(F.col(order_col).alias("__o"), F.col(ids_col).alias("ids")).repartitionByRange("__o")
+                  .sortWithinPartitions("__o").select("ids", F.spark_partition_id().alias("pid")))
+    rows = sorted(ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    first = dict(zip([r["pid"] for r in rows], np.cumsum([0] + [r["n"] for r in rows]).tolist()))
+
+    def batches_of(batches):
+        """(partition, map batch, ids) in order."""
+        row = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            pid = batch.column("pid")[0].as_py()
+            row = first[pid] if row is None else row
+            ids = batch.column("ids")
+            start = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            values, number = ids.flatten(), (row + np.arange(len(ids))) // map_batch
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield pid, int(number[a]), values.slice(start[a], start[b] - start[a])
+            row += len(batch)
+
+    def sums(batches):
+        for pid, number, ids in batches_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pid], pa.int32()), pa.array([len(ids)])],
+                                             names=["map_batch", "pid", "n"])
+
+    before, total = {}, {}
+    for r in sorted(ranged.mapInArrow(sums, "map_batch long, pid int, n long").groupBy("map_batch", "pid").agg(
+            F.sum("n").alias("n")).collect()):
+        before[r["pid"], r["map_batch"]] = total.get(r["map_batch"], 0)
+        total[r["map_batch"]] = total.get(r["map_batch"], 0) + r["n"]
+    shape = StructType([StructField("map_batch", LongType()), StructField("block", LongType()), StructField("start", LongType()),
+                        StructField("ids", ranged.schema["ids"].dataType)])
+    schema = to_arrow_schema(shape)
+
+    def cut(batches):
+        now, end = None, 0
+        for pid, number, ids in batches_of(batches):
+            off = end if number == now else before[pid, number]
+            now, end = number, off + len(ids)
+            stop = min(end, total[number] // block * block)
+            if off >= stop:
+                continue
+            edges = np.concatenate([[off], np.arange((off // block + 1) * block, stop, block), [stop]])
+            lists = pa.ListArray.from_arrays(pa.array((edges - off).astype(np.int32)), ids.slice(0, stop - off))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(lists), number)), pa.array(edges[:-1] // block), pa.array(edges[:-1]),
+                 lists.cast(schema.field("ids").type)], schema=schema)
+
+    parts = ranged.mapInArrow(cut, shape)
+    whole = parts.where(F.size("ids") == block).select("map_batch", "block", "ids")
+    ends = parts.where(F.size("ids") < block).groupBy("map_batch", "block").agg(
+        F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("s")).select(
+        "map_batch", "block", F.flatten(F.transform("s", lambda s: s["ids"])).alias("ids"))
+    return whole.unionByName(ends).select("map_batch", "block", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
 
 
 # L3 ---------------------------------------------------------------------------
